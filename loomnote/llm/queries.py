@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import decontaminate
+from loomnote.llm import bpe, decontaminate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ranks_path() -> str:
+    """The rank file that op1 and the pipeline use; the operator itself takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to byte-level BPE ids and decoded again, as digests."""
+    return bpe.round_trip(spark, table(spark, sf_dir, "documents"), ranks_path())
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of every document with the benchmark, in runs of ten words."""
     found = decontaminate.scan(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op7_decontaminate": op7_decontaminate}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op7_decontaminate": op7_decontaminate,
+}
 ORACLE: dict[str, str] = {}
