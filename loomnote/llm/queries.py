@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import bpe, decontaminate, toxicity
+from loomnote.llm import bpe, decontaminate, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, table(spark, sf_dir, "documents"), ranks_path())
 
 
+#: (verdict, host, path): a rule fits its host and all subdomains where the path starts so.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the given rules, else by rules mined from labels."""
+    pages = table(spark, sf_dir, "pages")
+    learned = urlfilter.mine(urlfilter.labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return urlfilter.judge(pages, URL_RULES, learned)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of every document with the benchmark, in runs of ten words."""
     found = decontaminate.scan(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,6 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
