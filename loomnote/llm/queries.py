@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import bpe, decontaminate, toxicity, urlfilter
+from loomnote.llm import bpe, decontaminate, minhash, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, table(spark, sf_dir, "documents"), ranks_path())
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of five-word runs are at least 0.75 similar."""
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts so.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -51,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_minhash": op2_minhash,
     "op5_url_filter": op5_url_filter,
     "op7_decontaminate": op7_decontaminate,
     "op10_toxicity": op10_toxicity,
