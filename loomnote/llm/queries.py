@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import bpe, decontaminate, minhash, toxicity, urlfilter
+from loomnote.llm import ann, bpe, decontaminate, minhash, passages, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +40,23 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, learned)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector, by cosine."""
+    return ann.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of every document with the benchmark, in runs of ten words."""
     found = decontaminate.scan(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of thirteen-word runs that a smaller doc_id has."""
+    left = passages.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by compression distance, learned without the held-out fifth."""
     documents = table(spark, sf_dir, "documents")
@@ -58,7 +69,9 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash": op2_minhash,
     "op5_url_filter": op5_url_filter,
+    "op6_ann": op6_ann,
     "op7_decontaminate": op7_decontaminate,
+    "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}

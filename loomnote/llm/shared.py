@@ -29,6 +29,8 @@ class Tables:
     def write(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         frame.write.mode("overwrite").parquet(path)
+        # lets the driver notice that the finished job's shuffle files are of no more use
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
