@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import ann, bpe, decontaminate, minhash, passages, toxicity, urlfilter
+from loomnote.llm import ann, bpe, decontaminate, linededup, minhash, passages, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that equal an earlier line or are one edit away from it."""
+    left = linededup.dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of thirteen-word runs that a smaller doc_id has."""
     left = passages.remove_repeats(spark, table(spark, sf_dir, "documents"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_ann": op6_ann,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lines": op8_lines,
     "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
 }
