@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import ann, bpe, decontaminate, linededup, minhash, passages, toxicity, urlfilter
+from loomnote.llm import ann, bpe, decontaminate, linededup, minhash, passages, quality, secrets, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,17 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document, judged by a random forest."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), model)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by weak labels and a hashed linear scorer."""
+    return quality.assess(spark, table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts so.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -74,6 +85,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash": op2_minhash,
+    "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
     "op5_url_filter": op5_url_filter,
     "op6_ann": op6_ann,
     "op7_decontaminate": op7_decontaminate,
