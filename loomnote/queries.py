@@ -1,0 +1,616 @@
+"""The engine's queries by name, over the test tables, each with its DuckDB equivalent."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomnote.functions import text as T
+from loomnote.operators import filters, graph, history, links, markdown, memory, merge, pack, scan, search
+from loomnote.plans import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def add(run: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLE[run.__name__] = sql
+        return run
+
+    return add
+
+
+def _words(column: str) -> str:
+    return V.WORDS.format(column)
+
+
+def _bm25_sql(rows: str, fields: tuple[str, ...], k: int, name: str = "ranked") -> str:
+    """CTEs that end in `name` (query_id, chunk_id, score, rank)."""
+    parts = [f"asked AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM queries), given AS ({rows})"]
+    for f in fields:
+        parts.append(f"""t_{f} AS (SELECT chunk_id, {_words(f)} AS tokens FROM given), s_{f} AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM t_{f} WHERE len(tokens) > 0),
+ p_{f} AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM t_{f}) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+ d_{f} AS (SELECT term, count(*) AS df FROM p_{f} GROUP BY term),
+ b_{f} AS (SELECT query_id, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS part FROM p_{f} JOIN asked USING (term) JOIN d_{f} USING (term), s_{f})""")
+    total = " UNION ALL ".join(f"SELECT * FROM b_{f}" for f in fields)
+    parts.append(f"total_{name} AS (SELECT query_id, chunk_id, round(sum(part), 6) AS score FROM ({total}) GROUP BY ALL)")
+    parts.append(f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM total_{name}) WHERE rank <= {k})")
+    return ", ".join(parts)
+
+
+RECALLED = f"NOT starts_with(path, 'messy/') AND superseded_by IS NULL AND (expires_at IS NULL OR expires_at > {V.NOW}) AND coalesce(status, '') NOT IN ('revoked', 'provisional')"
+REVIEW = f"(coalesce(status, '') = 'provisional' OR needs_review) AND coalesce(status, '') <> 'revoked' AND superseded_by IS NULL AND (expires_at IS NULL OR expires_at > {V.NOW})"
+
+
+def _recalled(spark: SparkSession, d: str) -> DataFrame:
+    return V.chunks(spark, d).where(filters.recalled(filters.Filters(), V.NOW))
+
+
+@query(f"WITH {V.CHUNKS}, {V.QUERIES}, {_bm25_sql(f'SELECT * FROM chunks WHERE {RECALLED}', ('text',), 10)} SELECT query_id, chunk_id, score, rank FROM ranked")
+def bm25_search(spark, d):
+    return search.bm25(_recalled(spark, d), V.queries(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {V.CHUNKS}, {V.QUERIES}, {_bm25_sql(f'SELECT * FROM chunks WHERE {RECALLED}', ('text', 'heading'), 10)} SELECT query_id, chunk_id, score, rank FROM ranked")
+def bm25_multifield(spark, d):
+    asked = V.queries(spark, d).withColumn("terms", F.concat("terms", F.array(F.lit("policy"))))
+    return search.bm25(_recalled(spark, d), asked, ("text", "heading")).select("query_id", "chunk_id", "score", "rank")
+
+
+ORACLE["bm25_multifield"] = ORACLE["bm25_multifield"].replace("1, 4) AS terms FROM benchmark)", "1, 4) || ['policy'] AS terms FROM benchmark)")
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id, 1.0::DOUBLE AS score FROM chunks WHERE {RECALLED} AND type = 'policy'")
+def filter_only_browse(spark, d):
+    return filters.browse(V.chunks(spark, d), filters.Filters(type="Policy"), V.NOW).select("chunk_id", "score")
+
+
+@query(f"WITH {V.NOTES} SELECT path, status FROM notes WHERE {RECALLED}")
+def lifecycle_default_hiding(spark, d):
+    return V.notes(spark, d).where(filters.recalled(filters.Filters(), V.NOW)).select("path", "status")
+
+
+@query(f"WITH {V.NOTES} SELECT path, status FROM notes")
+def lifecycle_include_all(spark, d):
+    return V.notes(spark, d).where(filters.recalled(filters.Filters(include_all=True), V.NOW)).select("path", "status")
+
+
+@query(f"WITH {V.NOTES} SELECT path, status, needs_review FROM notes WHERE {REVIEW}")
+def review_filter(spark, d):
+    return V.notes(spark, d).where(filters.awaiting_review(V.NOW)).select("path", "status", "needs_review")
+
+
+@query(f"WITH {V.NOTES} SELECT path, created FROM notes WHERE {RECALLED} AND created BETWEEN {V.START + 360000} AND {V.START + 1800000}")
+def created_range(spark, d):
+    f = filters.Filters(created_from=V.START + 360000, created_to=V.START + 1800000)
+    return V.notes(spark, d).where(filters.recalled(f, V.NOW)).select("path", "created")
+
+
+@query(f"WITH {V.NOTES} SELECT path FROM notes WHERE {RECALLED} AND list_contains(tags, 'en') AND list_contains(tags, 'src1')")
+def tag_and_filter(spark, d):
+    return V.notes(spark, d).where(filters.recalled(filters.Filters(tags=["en", "src1"]), V.NOW)).select("path")
+
+
+@query(f"WITH {V.NOTES} SELECT path FROM notes WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def missing_vectors(spark, d):
+    have = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return V.notes(spark, d).join(have, "doc_id", "left_anti").select("path")
+
+
+def _syntax(spark, d, text: str) -> DataFrame:
+    return search.matching(V.chunks(spark, d), text).select("chunk_id")
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id FROM chunks WHERE len(list_filter({_words('text')}, lambda t: starts_with(t, 'thorb'))) > 0 OR len(list_filter({_words('heading')}, lambda t: starts_with(t, 'thorb'))) > 0")
+def prefix_query(spark, d):
+    return _syntax(spark, d, "thorb*")
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id FROM chunks WHERE len(list_filter({_words('text')}, lambda t: levenshtein(t, 'episade') <= 2)) > 0 OR len(list_filter({_words('heading')}, lambda t: levenshtein(t, 'episade') <= 2)) > 0")
+def fuzzy_query(spark, d):
+    return _syntax(spark, d, "episade~")
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id FROM chunks WHERE contains(' ' || array_to_string({_words('text')}, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string({_words('heading')}, ' ') || ' ', ' of the ')")
+def phrase_query(spark, d):
+    return _syntax(spark, d, '"of the"')
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id FROM chunks WHERE list_contains({_words('heading')}, 'fact') AND NOT list_contains({_words('text')}, 'the') AND NOT list_contains({_words('heading')}, 'the')")
+def field_query(spark, d):
+    return _syntax(spark, d, "+heading:fact -the")
+
+
+@query(f"WITH {V.CHUNKS} SELECT path, (ord + 1)::BIGINT AS line, substr(trim(text), 1, 240) AS text FROM chunks WHERE contains(lower(text), 'and the')")
+def grep_literal(spark, d):
+    return search.grep(V.notes(spark, d), "And The", literal=True, ignore_case=True)
+
+
+@query(f"WITH {V.CHUNKS} SELECT path, (ord + 1)::BIGINT AS line, substr(trim(text), 1, 240) AS text FROM chunks WHERE regexp_matches(text, 'token = \"[0-9a-f]+\"')")
+def grep_regex(spark, d):
+    return search.grep(V.notes(spark, d), 'token = "[0-9a-f]+"')
+
+
+@query(f"""WITH {V.CHUNKS}, flat AS (SELECT chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM chunks), placed AS (SELECT *, greatest(coalesce(nullif(instr(lower(t), 'the'), 0), 1) - 53, 1) AS s FROM flat)
+ SELECT chunk_id, CASE WHEN s > 1 THEN '…' ELSE '' END || substr(t, s, 160) || CASE WHEN s + 160 <= length(t) THEN '…' ELSE '' END AS snippet FROM placed""")
+def snippet(spark, d):
+    return V.chunks(spark, d).select("chunk_id", T.snippet(F.col("text"), F.array(F.lit("the"))).alias("snippet"))
+
+
+COSINE = "list_dot_product(v.vec, q.vec) / (sqrt(list_dot_product(v.vec, v.vec)) * sqrt(list_dot_product(q.vec, q.vec)))"
+
+
+def _knn_sql(where: str, k: int, name: str = "near") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT q.query_id, v.path AS chunk_id, round((1 + {COSINE}) / 2, 6) AS score FROM vectors v, vector_queries q WHERE {where})) WHERE rank <= {k})"""
+
+
+def _vectors(spark, d) -> DataFrame:
+    return V.vectors(spark, d).withColumn("chunk_id", F.col("path"))
+
+
+@query(f"WITH {V.VECTORS}, {V.VECTOR_QUERIES}, {_knn_sql('true', 10)} SELECT query_id, chunk_id, score, rank FROM near")
+def knn_search(spark, d):
+    return search.knn(_vectors(spark, d), V.vector_queries(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"WITH {V.VECTORS}, {V.VECTOR_QUERIES}, {_knn_sql(RECALLED + " AND v.lang = 'en'", 10)} SELECT query_id, chunk_id, score, rank FROM near")
+def knn_filtered(spark, d):
+    rows = _vectors(spark, d).where(filters.recalled(filters.Filters(tags=["en"]), V.NOW))
+    return search.knn(rows, V.vector_queries(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {V.VECTORS}, each AS (SELECT lang AS path, i, avg(vec[i]) AS m FROM (SELECT DISTINCT lang, label, min(doc_id) OVER (PARTITION BY lang, label) AS doc_id FROM vectors) g JOIN vectors v USING (doc_id, lang, label), range(1, 65) r(i) GROUP BY ALL),
+ normed AS (SELECT path, i, m / sqrt(sum(m * m) OVER (PARTITION BY path)) AS x FROM each) SELECT path, i::BIGINT AS i, round(x, 6) AS x FROM normed""")
+def note_mean_vectors(spark, d):
+    first = V.vectors(spark, d).groupBy("lang", "label").agg(F.min("doc_id").alias("doc_id"))
+    rows = V.vectors(spark, d).join(first, ["lang", "label", "doc_id"]).select(F.col("lang").alias("path"), "vec", F.concat_ws("-", "lang", F.col("label").cast("string")).alias("content_hash"))
+    return search.mean_vectors(rows).select("path", F.posexplode("vec").alias("i", "x")).select("path", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {V.NOTES}, h AS (SELECT path, doc_id, sha256(chr(10) || text) AS content_hash FROM notes), k AS (SELECT DISTINCT content_hash FROM h WHERE doc_id IN (SELECT vec_id FROM embeddings)) SELECT path, content_hash IN (SELECT content_hash FROM k) AS reused FROM h")
+def vector_reuse(spark, d):
+    rows = V.notes(spark, d).select("path", "doc_id", T.content_hash(F.lit(None).cast("string"), F.col("text")).alias("content_hash"))
+    known = rows.join(V.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id").select("content_hash", "vec")
+    have, need = search.reuse_vectors(rows, known)
+    return have.select("path", F.lit(True).alias("reused")).unionAll(need.select("path", F.lit(False).alias("reused")))
+
+
+def _legs(spark, d, k: int = 50) -> tuple[DataFrame, DataFrame]:
+    notes_ = V.notes(spark, d).where(filters.recalled(filters.Filters(), V.NOW)).withColumn("chunk_id", F.col("path"))
+    keyword = search.bm25(notes_, V.queries(spark, d), ("text",), k)
+    near = search.knn(_vectors(spark, d).where(filters.recalled(filters.Filters(), V.NOW)), V.vector_queries(spark, d), k)
+    return keyword, near
+
+
+LEGS = f"{V.VECTORS}, {V.VECTOR_QUERIES}, {V.QUERIES}, {_bm25_sql(f'SELECT *, path AS chunk_id FROM notes WHERE {RECALLED}', ('text',), 50, 'kw')}, {_knn_sql(RECALLED, 50)}"
+FUSED = LEGS + """, fused AS (SELECT query_id, chunk_id, round(sum(w / (60 + rank)), 9) AS score, bool_or(is_kw) AS matched_keyword, bool_or(NOT is_kw) AS matched_semantic FROM (
+  SELECT query_id, chunk_id, rank, 1.0::DOUBLE AS w, true AS is_kw FROM kw UNION ALL SELECT query_id, chunk_id, rank, 3.0::DOUBLE, false FROM near) GROUP BY ALL)"""
+TOP_FUSED = FUSED + ", hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 10)"
+
+
+def _hybrid(spark, d, k: int = 10) -> DataFrame:
+    return search.top(search.fuse(*_legs(spark, d)), k)
+
+
+@query(f"WITH {TOP_FUSED} SELECT query_id, chunk_id, score, matched_keyword, matched_semantic, rank FROM hits")
+def rrf_hybrid(spark, d):
+    return _hybrid(spark, d).select("query_id", "chunk_id", "score", "matched_keyword", "matched_semantic", "rank")
+
+
+@query(f"""WITH {TOP_FUSED}, r AS (SELECT *, rank <= 5 AS in_head, CASE WHEN rank <= 5 THEN length(chunk_id)::DOUBLE + (query_id % 7) / 10 END AS fresh FROM hits)
+ SELECT query_id, chunk_id, in_head, coalesce(fresh, score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY in_head DESC, fresh DESC NULLS LAST, rank, chunk_id) AS rank FROM r""")
+def rerank_head_tail(spark, d):
+    made = F.length("chunk_id").cast("double") + (F.col("query_id") % 7) / 10
+    return search.rerank(_hybrid(spark, d), made, head=5)
+
+
+@query(f"""WITH {V.NOTES}, {V.QUERIES}, {_bm25_sql(f'SELECT *, path AS chunk_id FROM notes WHERE {RECALLED}', ('text',), 50)}, f AS (SELECT n.vault, r.query_id, r.chunk_id, r.score FROM ranked r JOIN notes n ON n.path = r.chunk_id)
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vault, chunk_id) AS rank FROM f) WHERE rank <= 10""")
+def federated_search(spark, d):
+    rows = V.notes(spark, d).where(filters.recalled(filters.Filters(), V.NOW)).withColumn("chunk_id", F.col("path"))
+    hits = search.bm25(rows, V.queries(spark, d), ("text",), 50).drop("rank").join(rows.select("chunk_id", "vault"), "chunk_id")
+    return search.federated(hits.select("vault", "query_id", "chunk_id", "score"))
+
+
+def _packed(spark, d) -> DataFrame:
+    hits = _hybrid(spark, d, 50).select("query_id", "rank", F.col("chunk_id").alias("path"))
+    blocks = pack.first_per_note(hits).join(V.notes(spark, d).select("path", "text"), "path")
+    return pack.within_budget(blocks)
+
+
+PACKED = FUSED.replace("), fused AS", "), fused AS") + """, ranked50 AS (SELECT f.query_id, f.chunk_id AS path, row_number() OVER (PARTITION BY f.query_id ORDER BY f.score DESC, f.chunk_id) AS rank, ceil(length(n.text) / 4)::BIGINT AS tokens
+  FROM fused f JOIN notes n ON n.path = f.chunk_id), blocks AS (SELECT * FROM ranked50 WHERE rank <= 50),
+ walk AS (SELECT query_id, rank, path, tokens, tokens AS total, true AS taken, 1::BIGINT AS place FROM blocks WHERE rank = 1
+  UNION ALL SELECT b.query_id, b.rank, b.path, b.tokens, CASE WHEN w.total < 2000 AND w.total + b.tokens <= 2000 THEN w.total + b.tokens ELSE w.total END,
+   w.total < 2000 AND w.total + b.tokens <= 2000, CASE WHEN w.total < 2000 AND w.total + b.tokens <= 2000 THEN w.place + 1 ELSE w.place END FROM walk w JOIN blocks b ON b.query_id = w.query_id AND b.rank = w.rank + 1),
+ packed AS (SELECT query_id, path, place, tokens FROM walk WHERE taken)"""
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT query_id, path, place, tokens FROM packed")
+def context_pack_ranked(spark, d):
+    return _packed(spark, d)
+
+
+@query(f"WITH {V.NOTES} SELECT path, ceil(length(text) / 4)::BIGINT AS tokens FROM notes WHERE {RECALLED} AND type = 'policy' ORDER BY path LIMIT 500")
+def context_pack_enumerate(spark, d):
+    return pack.enumerate_notes(V.notes(spark, d).where(filters.recalled(filters.Filters(type="policy"), V.NOW)))
+
+
+@query(f"""WITH RECURSIVE {PACKED}, {V.LINKS.removeprefix(V.NOTES).lstrip(', ')}, seeds AS (SELECT query_id, path AS seed, place FROM packed WHERE place <= 3),
+ edges AS (SELECT src AS seed, resolved AS path, 0 AS way, pos, '' AS via FROM resolved WHERE resolved IS NOT NULL UNION ALL SELECT resolved, src, 1, 0, src FROM resolved WHERE resolved IS NOT NULL),
+ near2 AS (SELECT s.query_id, e.path, s.seed, s.place, e.way, e.pos, e.via FROM seeds s JOIN edges e ON e.seed = s.seed WHERE e.path <> s.seed AND NOT EXISTS (SELECT 1 FROM packed k WHERE k.query_id = s.query_id AND k.path = e.path)),
+ once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY place, way, pos, via) AS turn FROM near2) WHERE turn = 1)
+ SELECT query_id, path, seed AS via, row_number() OVER (PARTITION BY query_id ORDER BY place, way, pos, path) AS rank FROM once""")
+def context_pack_expand(spark, d):
+    return pack.expansion(_packed(spark, d), links.resolve(V.links(spark, d), V.notes(spark, d)))
+
+
+@query(f"WITH {V.COMMITS}, m AS (SELECT path, max(seq) AS seq FROM commits GROUP BY path) SELECT m.path, c.commit, c.author FROM m JOIN commits c USING (seq)")
+def provenance(spark, d):
+    c = V.commits(spark, d)
+    return history.last_touch(c, c)
+
+
+AS_OF = V.START + 5 * 86400
+
+
+@query(f"""WITH {V.CHUNKS}, {V.QUERIES}, {_bm25_sql(f"SELECT * FROM chunks WHERE created <= {AS_OF} AND superseded_by IS NULL AND (expires_at IS NULL OR expires_at > {AS_OF}) AND coalesce(status, '') NOT IN ('revoked', 'provisional')", ('text',), 10)} SELECT query_id, chunk_id, score, rank FROM ranked""")
+def as_of_search(spark, d):
+    rows = V.chunks(spark, d).where(F.col("created") <= AS_OF).where(filters.recalled(filters.Filters(), AS_OF))
+    return search.bm25(rows, V.queries(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
+MIDDLE = "(SELECT max(event_id) // 2 FROM events)"
+
+
+def _middle(spark, d) -> int:
+    return V.table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+
+
+@query(f"WITH {V.COMMITS}, {V.snapshot_sql('snap', MIDDLE)} SELECT path, revision, seq FROM snap")
+def snapshot_at(spark, d):
+    return history.snapshot(V.commits(spark, d), _middle(spark, d))
+
+
+@query(f"""WITH {V.COMMITS}, {V.snapshot_sql('a', MIDDLE)}, {V.snapshot_sql('b', '(SELECT max(event_id) FROM events)')}
+ SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'ADD' WHEN b.path IS NULL THEN 'DELETE' ELSE 'MODIFY' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.revision IS DISTINCT FROM b.revision""")
+def snapshot_diff(spark, d):
+    c = V.commits(spark, d)
+    return history.diff(history.snapshot(c, _middle(spark, d)), history.snapshot(c))
+
+
+@query(f"WITH {V.COMMITS} SELECT path, place, seq, author FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS place FROM commits) WHERE place <= 100")
+def commit_history(spark, d):
+    c = V.commits(spark, d)
+    return history.history(c.select("path", "seq"), c)
+
+
+@query(f"WITH {V.COMMITS} SELECT path, max(CASE WHEN op = 'add' THEN seq END) AS added_seq, max(seq) AS last_seq FROM commits GROUP BY path")
+def attribution(spark, d):
+    return history.attribution(V.commits(spark, d))
+
+
+@query(f"WITH {V.COMMITS} SELECT '.trash/' || path AS trash_path, path AS origin, arg_max(epoch, seq) AS deleted_at FROM commits WHERE op = 'delete' GROUP BY path")
+def trash(spark, d):
+    return history.trash(V.commits(spark, d))
+
+
+@query(f"""WITH {V.COMMITS}, u AS (SELECT DISTINCT (SELECT min(epoch) FROM commits) + o_orderkey * 97 % 2592000 AS moment FROM orders), c AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY seq DESC) AS turn FROM commits)
+ SELECT u.moment, c.seq, c.commit FROM u ASOF JOIN (SELECT * FROM c WHERE turn = 1) c ON u.moment >= c.epoch""")
+def commit_as_of(spark, d):
+    c = V.commits(spark, d)
+    first = c.agg(F.min("epoch")).first()[0]
+    o = V.table(spark, d, "orders").select((F.col("o_orderkey") * 97 % 2592000 + first).alias("moment")).distinct()
+    return history.commit_at(c, o)
+
+
+@query(f"WITH {V.LINKS} SELECT src, pos, target, resolved FROM resolved")
+def link_resolve(spark, d):
+    return links.resolve(V.links(spark, d), V.notes(spark, d)).select("src", "pos", "target", "resolved")
+
+
+@query(f"WITH {V.LINKS} SELECT resolved AS target_path, count(DISTINCT src) AS backlinks, min(src) AS first_source FROM resolved WHERE resolved IS NOT NULL GROUP BY resolved")
+def backlinks(spark, d):
+    return links.backlinks(links.resolve(V.links(spark, d), V.notes(spark, d)))
+
+
+@query(f"WITH {V.LINKS} SELECT src, target FROM resolved WHERE resolved IS NULL")
+def broken_links(spark, d):
+    return links.resolve(V.links(spark, d), V.notes(spark, d)).where("resolved is null").select("src", "target")
+
+
+@query(f"""WITH {V.LINKS}, f AS (SELECT vault, src, pos, CASE WHEN pos = 0 THEN 'src' || (pos + 1) || ':' || target ELSE target END AS target FROM links),
+ g AS (SELECT *, CASE WHEN contains(target, ':') AND split_part(target, ':', 1) IN (SELECT vault FROM notes) THEN split_part(target, ':', 1) ELSE vault END AS tv FROM f),
+ h AS (SELECT *, CASE WHEN contains(target, ':') AND split_part(target, ':', 1) IN (SELECT vault FROM notes) THEN substr(target, length(split_part(target, ':', 1)) + 2) ELSE target END AS page FROM g),
+ bn AS (SELECT vault, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '')) AS name, min(path) AS path FROM notes GROUP BY ALL HAVING count(*) = 1)
+ SELECT h.src, h.pos, h.target, h.tv AS target_vault, coalesce(a.path, b.path, c.path) AS resolved FROM h LEFT JOIN notes a ON a.vault = h.tv AND a.path = h.page LEFT JOIN notes b ON b.vault = h.tv AND b.path = h.page || '.md'
+ LEFT JOIN bn c ON c.vault = h.tv AND c.name = lower(regexp_replace(regexp_extract(h.page, '[^/]*$'), '\\.md$', ''))""")
+def federated_links(spark, d):
+    rows = V.links(spark, d).withColumn("target", F.when(F.col("pos") == 0, F.concat(F.lit("src1:"), "target")).otherwise(F.col("target")))
+    return links.resolve_federated(rows, V.notes(spark, d)).select("src", "pos", "target", "target_vault", "resolved")
+
+
+@query(f"WITH {V.NOTES} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM notes) GROUP BY tag")
+def tag_counts(spark, d):
+    return links.tag_counts(V.notes(spark, d))
+
+
+@query(f"""WITH {V.NOTES}, p AS (SELECT string_split(lang || '/' || path, '/') AS parts FROM notes) SELECT array_to_string(list_slice(parts, 1, i), '/') AS folder, count(*) AS files FROM p, range(1, 3) r(i) WHERE i <= len(parts) - 1 GROUP BY 1""")
+def folder_tree(spark, d):
+    return links.folder_tree(V.notes(spark, d).select(F.concat_ws("/", "lang", "path").alias("path")))
+
+
+PAIR = "list_dot_product(x.vec, y.vec) / (sqrt(list_dot_product(x.vec, x.vec)) * sqrt(list_dot_product(y.vec, y.vec)))"
+SIMILAR = f"""sim AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS turn FROM (
+  SELECT x.path AS a, y.path AS b, round({PAIR}, 9) AS score FROM vectors x, vectors y WHERE x.path <> y.path AND {PAIR} >= 0.2)) WHERE turn <= 6 AND score >= 0.2)"""
+EDGES = f"""{V.VECTORS}, {SIMILAR}, {V.LINKS.removeprefix(V.NOTES).lstrip(', ')}, raw AS (SELECT a, b, 'SIM' AS kind, score AS weight FROM sim UNION ALL SELECT src, resolved, 'LINK', 1.5::DOUBLE FROM resolved WHERE resolved IS NOT NULL),
+ edges AS (SELECT a, b, kind, weight FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY kind = 'LINK' DESC, weight DESC) AS turn FROM (SELECT least(a, b) AS a, greatest(a, b) AS b, kind, weight FROM raw WHERE a <> b)) WHERE turn = 1)"""
+
+
+def _similar(spark, d) -> DataFrame:
+    return graph.similar(V.vectors(spark, d).select(F.col("path").alias("id"), "vec"), threshold=0.2)
+
+
+def _edges(spark, d) -> DataFrame:
+    linked = links.resolve(V.links(spark, d), V.notes(spark, d)).where("resolved is not null").select(F.col("src").alias("a"), F.col("resolved").alias("b"), F.lit("LINK").alias("kind"), F.lit(1.5).alias("weight"))
+    return graph.canonical(_similar(spark, d).select("a", "b", F.lit("SIM").alias("kind"), F.col("score").alias("weight")).unionAll(linked))
+
+
+@query(f"WITH {V.VECTORS}, {SIMILAR} SELECT a, b, round(score, 6) AS score FROM sim")
+def sim_edges(spark, d):
+    return _similar(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {EDGES} SELECT a, b, kind, round(weight, 6) AS weight FROM edges")
+def canonical_edges(spark, d):
+    return _edges(spark, d).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {EDGES} SELECT node, round(sum(weight), 6) AS degree, count(*) AS edges FROM (SELECT a AS node, weight FROM edges UNION ALL SELECT b, weight FROM edges) GROUP BY node")
+def degrees(spark, d):
+    return graph.degrees(_edges(spark, d))
+
+
+@query(None)
+def louvain(spark, d):
+    nodes = V.vectors(spark, d).select(F.col("path").alias("node"))
+    return graph.communities(nodes, graph.canonical(_similar(spark, d).select("a", "b", F.lit("SIM").alias("kind"), F.col("score").alias("weight"))))
+
+
+CENTRES = "each AS (SELECT label, i, avg(vec[i]) AS m FROM vectors, range(1, 65) r(i) GROUP BY ALL), centres AS (SELECT label AS community, list(m / n ORDER BY i) AS vec FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY label)) AS n FROM each) GROUP BY label)"
+
+
+def _centres(spark, d) -> DataFrame:
+    return graph.centroids(V.vectors(spark, d).select(F.col("label").alias("community"), "vec"))
+
+
+@query(f"WITH {V.VECTORS}, {CENTRES} SELECT c.community, i::BIGINT AS i, round(c.vec[i], 6) AS x, (SELECT count(*) FROM vectors v WHERE v.label = c.community) AS size FROM centres c, range(1, 65) r(i)")
+def centroids(spark, d):
+    return _centres(spark, d).select("community", "size", F.posexplode("vec").alias("i", "x")).select("community", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"), "size")
+
+
+@query(f"WITH {V.VECTORS}, {V.VECTOR_QUERIES}, {CENTRES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community) AS rank FROM (SELECT q.query_id, v.community, round({COSINE}, 6) AS score FROM centres v, vector_queries q)) WHERE rank <= 20")
+def rank_communities(spark, d):
+    return graph.rank_communities(_centres(spark, d), V.vector_queries(spark, d))
+
+
+@query(f"""WITH {V.VECTORS}, m AS (SELECT label AS community, lang || '/' || path AS path FROM vectors), f AS (SELECT community, path, string_split(path, '/') AS s FROM m),
+ c AS (SELECT community, i, array_to_string(list_slice(s, 1, i), '/') AS folder, count(*) AS c FROM f, range(1, 4) r(i) WHERE i < len(s) GROUP BY ALL), n AS (SELECT community, count(*) AS n FROM m GROUP BY 1),
+ h AS (SELECT * FROM (SELECT c.community, folder, row_number() OVER (PARTITION BY c.community ORDER BY i DESC, c.c DESC, folder) AS turn FROM c JOIN n USING (community) WHERE c.c >= ceil(n.n / 2)) WHERE turn = 1),
+ g AS (SELECT * FROM (SELECT community, folder, row_number() OVER (PARTITION BY community ORDER BY c DESC, folder) AS turn FROM c WHERE i = 2) WHERE turn = 1),
+ t AS (SELECT n.community, coalesce(h.folder, g.folder) AS title FROM n LEFT JOIN h USING (community) LEFT JOIN g USING (community))
+ SELECT community, CASE WHEN count(*) OVER (PARTITION BY title) > 1 THEN title || ' (' || community || ')' ELSE title END AS title FROM t""")
+def community_titles(spark, d):
+    members = V.vectors(spark, d).select(F.col("label").alias("community"), F.concat_ws("/", "lang", "path").alias("path"))
+    return graph.unique_titles(graph.titles(members))
+
+
+VOTES = f"""votes AS (SELECT a AS node, community, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, community) AS turn FROM (SELECT s.a, v.label AS community, round(sum(s.score), 6) AS weight FROM sim s JOIN vectors v ON v.path = s.b GROUP BY ALL)) WHERE turn = 1)"""
+
+
+def _votes(spark, d) -> DataFrame:
+    return graph.vote(_similar(spark, d), V.vectors(spark, d).select(F.col("path").alias("node"), F.col("label").alias("community")))
+
+
+@query(f"WITH {V.VECTORS}, {SIMILAR}, {VOTES} SELECT node, community, weight FROM votes")
+def attach_vote(spark, d):
+    return _votes(spark, d)
+
+
+@query(f"""WITH {V.VECTORS}, {SIMILAR}, {VOTES}, p AS (SELECT * FROM (SELECT path AS node, label AS home, row_number() OVER (ORDER BY path) - 1 AS turn, count(*) OVER () AS n FROM vectors) WHERE turn % greatest(1, ceil(n / 50)::BIGINT) = 0)
+ SELECT count(*) AS sampled, count(*) FILTER (WHERE v.community <> p.home) AS moved, round(avg(CASE WHEN v.community <> p.home THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM p LEFT JOIN votes v USING (node)""")
+def drift(spark, d):
+    return graph.drift(_votes(spark, d), V.vectors(spark, d).select(F.col("path").alias("node"), F.col("label").alias("community")))
+
+
+@query(f"WITH {EDGES} SELECT (SELECT count(*) FROM notes) AS nodes, count(*) AS edges, count(*) FILTER (WHERE kind = 'LINK') AS links, count(*) FILTER (WHERE kind = 'SIM') AS similar, (SELECT count(DISTINCT label) FROM vectors) AS communities, (SELECT count(*) FROM vectors) AS with_vector, round((SELECT count(*) FROM vectors) / greatest((SELECT count(*) FROM notes), 1), 6) AS coverage FROM edges")
+def graph_status(spark, d):
+    v = V.vectors(spark, d)
+    return graph.status(V.notes(spark, d).select(F.col("path").alias("node")), _edges(spark, d), v.select(F.col("path").alias("node"), F.col("label").alias("community")), v.select(F.col("path").alias("id")))
+
+
+@query(f"SELECT s_name AS vault, s_suppkey % 3 = 0 OR s_suppkey % 40 >= 25 OR s_suppkey * 3600 >= 86400 AS due FROM supplier")
+def rebuild_due(spark, d):
+    k = F.col("s_suppkey")
+    rows = V.table(spark, d, "supplier").select(F.col("s_name").alias("vault"), F.when(k % 3 != 0, F.lit(0)).alias("built_at"), (k % 40).alias("attached"), (k * 3600).alias("now"))
+    return graph.rebuild_due(rows, 25, 86400)
+
+
+@query(f"""WITH {V.NOTES}, w AS (SELECT path, type, list_distinct({_words('text')}) AS w FROM notes)
+ SELECT x.path AS a, y.path AS b, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) AS overlap FROM w x JOIN w y ON x.type = y.type AND x.path < y.path WHERE len(x.w) > 0 AND len(y.w) > 0 AND least(len(x.w), len(y.w)) >= 0.9 * greatest(len(x.w), len(y.w)) AND round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) >= 0.9""")
+def jaccard_duplicates(spark, d):
+    return memory.near_words(V.notes(spark, d), 0.9)
+
+
+@query(f"""WITH {TOP_FUSED}, c AS (SELECT h.query_id AS id, h.chunk_id AS target, h.rank, n.text AS other, q.text AS body FROM hits h JOIN notes n ON n.path = h.chunk_id JOIN queries q ON q.query_id = h.query_id WHERE h.rank <= 5),
+ s AS (SELECT *, trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = trim(regexp_replace(lower(other), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS same, list_distinct({_words('body')}) AS x, list_distinct({_words('other')}) AS y FROM c),
+ t AS (SELECT *, CASE WHEN same THEN 1.0 ELSE round(len(list_intersect(x, y)) / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1), 6) END AS score FROM s),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY same DESC, score DESC, target) AS turn FROM t) WHERE turn = 1),
+ v AS (SELECT q.query_id AS id, b.target, coalesce(b.score, 0.0)::DOUBLE AS score, CASE WHEN b.target IS NULL THEN 'NEW' WHEN b.score >= 0.9 THEN 'DUPLICATE' WHEN b.score >= 0.35 THEN 'UNCERTAIN' ELSE 'NEW' END AS verdict FROM queries q LEFT JOIN b ON b.id = q.query_id)
+ SELECT id, verdict, round(CASE WHEN verdict = 'NEW' THEN 1 - score ELSE score END, 6) AS confidence, CASE WHEN verdict <> 'NEW' THEN target END AS target FROM v""")
+def classify_memory(spark, d):
+    near = _hybrid(spark, d).where("rank <= 5").select(F.col("query_id").alias("id"), F.col("chunk_id").alias("target"), "rank")
+    near = near.join(V.notes(spark, d).select(F.col("path").alias("target"), F.col("text").alias("other")), "target")
+    return memory.classify(V.queries(spark, d).select(F.col("query_id").alias("id"), F.col("text").alias("body")), near)
+
+
+@query(f"WITH {V.NOTES}, r AS (SELECT path, needs_review OR contradicts IS NOT NULL AS urgent, created FROM notes WHERE {REVIEW}) SELECT * FROM (SELECT row_number() OVER (ORDER BY urgent DESC, created DESC NULLS LAST, path) AS place, path, urgent FROM r) WHERE place <= 200")
+def review_queue(spark, d):
+    return memory.review_queue(V.notes(spark, d), V.NOW)
+
+
+@query(f"WITH {V.NOTES} SELECT * FROM (SELECT row_number() OVER (ORDER BY type, lower(title), path) AS place, path, type FROM notes WHERE {RECALLED} AND type IN ('policy', 'preference')) WHERE place <= 40")
+def rulebook(spark, d):
+    return memory.rulebook(V.notes(spark, d), V.NOW)
+
+
+@query(f"WITH {V.CAPTURES} SELECT session_id, bytes, started_at, ended_at FROM (SELECT session_id, bytes, ended_at, min(started_at) OVER (PARTITION BY session_id) AS started_at, row_number() OVER (PARTITION BY session_id ORDER BY bytes DESC, ended_at DESC) AS turn FROM captures) WHERE turn = 1")
+def sessions_capture(spark, d):
+    return memory.capture(V.captures(spark, d)).select("session_id", "bytes", "started_at", "ended_at")
+
+
+PROPOSED = "p AS (SELECT turn % 3 AS k, role AS kind, 'topic ' || conv_id % 20 AS title, 'scope' || turn % 2 AS scope, conv_id * 1000 + turn AS seq FROM conversations)"
+
+
+def _proposals(spark, d) -> DataFrame:
+    c = V.table(spark, d, "conversations")
+    rows = c.select(F.col("role").alias("kind"), F.concat(F.lit("topic "), (F.col("conv_id") % 20).cast("string")).alias("title"), F.concat(F.lit("scope"), (F.col("turn") % 2).cast("string")).alias("scope"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+    return memory.proposals(rows)
+
+
+@query(f"WITH {PROPOSED} SELECT substr(sha256(kind || '|' || title || '|' || scope), 1, 16) AS id, kind, title, scope, min(seq) AS seq FROM p GROUP BY kind, title, scope")
+def proposals_dedupe(spark, d):
+    return _proposals(spark, d)
+
+
+@query(f"""WITH {V.NOTES}, {V.CAPTURES}, {PROPOSED}, s AS (SELECT session_id, max(bytes) AS bytes, session_id % 2 = 0 AS distilled FROM captures GROUP BY session_id)
+ SELECT (SELECT count(*) FROM s) AS sessions, (SELECT sum(bytes) FROM s)::BIGINT AS captured, (SELECT coalesce(sum(bytes) FILTER (WHERE distilled), 0) FROM s)::BIGINT AS distilled, (SELECT count(DISTINCT kind || '|' || title || '|' || scope) FROM p) AS open_proposals,
+ (SELECT count(*) FROM notes WHERE {REVIEW}) AS awaiting_review, round((SELECT sum(bytes) FROM s) / greatest((SELECT coalesce(sum(bytes) FILTER (WHERE distilled), 0) FROM s), 1), 6) AS ratio""")
+def dashboard(spark, d):
+    sessions = memory.capture(V.captures(spark, d)).withColumn("distilled", F.col("session_id") % 2 == 0)
+    return memory.dashboard(sessions, _proposals(spark, d), V.notes(spark, d), V.NOW)
+
+
+@query(f"""WITH {V.NOTES}, r AS (SELECT n.path, n.doc_id AS k, n.text AS have FROM notes n)
+ SELECT path, CASE WHEN contains(have, 'token = ') THEN 'secret' WHEN k % 5 = 0 THEN 'written' WHEN k % 3 = 0 THEN 'unchanged' WHEN k % 2 = 0 THEN 'differs' WHEN k % 7 = 0 THEN 'conflict' ELSE 'written' END AS outcome FROM r""")
+def batch_write_outcomes(spark, d):
+    n = V.notes(spark, d)
+    k = F.col("doc_id")
+    current = n.where(k % 5 != 0).select("path", F.col("text").alias("content"), T.blob_id(F.col("text")).alias("revision"))
+    asked = n.select("path", F.when(k % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("content"), (k % 2 == 1).alias("overwrite"), F.when(k % 7 == 0, F.lit("stale")).otherwise(T.blob_id(F.col("text"))).alias("expected"))
+    return merge.batch_outcomes(asked, current, F.contains(F.col("content"), F.lit("token = ")))
+
+
+@query(f"WITH {V.SIDES} SELECT o.path, t.revision AS expected, b.revision AS actual FROM ours o LEFT JOIN theirs t ON t.path = o.path LEFT JOIN base b ON b.path = o.path WHERE t.revision IS DISTINCT FROM b.revision")
+def guarded_write(spark, d):
+    base, ours, theirs = V.sides(spark, d)
+    guards = ours.select("path").join(theirs.select("path", F.col("revision").alias("expected")), "path", "left")
+    return merge.guard_failures(guards, base)
+
+
+@query(f"""WITH {V.SIDES}, r AS (SELECT path, b.revision AS b, o.revision AS o, t.revision AS t FROM base b FULL JOIN ours o USING (path) FULL JOIN theirs t USING (path))
+ SELECT path, CASE WHEN o IS NOT DISTINCT FROM t OR t IS NOT DISTINCT FROM b THEN 'keep' WHEN o IS NOT DISTINCT FROM b THEN CASE WHEN t IS NULL THEN 'delete' ELSE 'take' END WHEN o IS NULL OR t IS NULL THEN 'conflict' WHEN path LIKE '%.md' THEN 'merge' ELSE 'conflict' END AS action FROM r""")
+def three_way_plan(spark, d):
+    return merge.three_way(*V.sides(spark, d))
+
+
+@query(f"""WITH {V.SIDES}, m AS (SELECT b.path, b.revision AS ext, b.revision AS vault FROM base b), r AS (SELECT coalesce(e.path, m.path) AS path, e.revision AS e, v.revision AS v, m.ext AS me, m.vault AS mv, m.path IS NOT NULL AS known FROM theirs e FULL JOIN m ON m.path = e.path LEFT JOIN ours v ON v.path = coalesce(e.path, m.path))
+ SELECT path, CASE WHEN e IS NULL THEN CASE WHEN v IS NULL THEN 'pruned' ELSE 'orphaned' END WHEN v IS NULL THEN 'create' WHEN e = v THEN CASE WHEN known AND me = e AND mv = v THEN 'unchanged' ELSE 'quiet' END WHEN known AND mv = v THEN 'update' WHEN known AND me = e THEN 'push' ELSE 'conflict' END AS action FROM r""")
+def source_sync_plan(spark, d):
+    base, ours, theirs = V.sides(spark, d)
+    side = lambda x: x.withColumnRenamed("revision", "hash")
+    return merge.source_plan(side(theirs), side(ours), base.select("path", F.col("revision").alias("ext"), F.col("revision").alias("vault")))
+
+
+@query(f"WITH {V.NOTES} SELECT path, array_to_string(list_filter([lang, source2, type, lang || '2'], lambda x, i: i <= 2 OR NOT list_contains([lang, source2], x)), ',') AS tags FROM (SELECT *, vault AS source2 FROM notes)")
+def frontmatter_list_union(spark, d):
+    n = V.notes(spark, d)
+    return n.select("path", F.array_join(merge.merged_list(F.col("tags"), F.array("type", F.concat("lang", F.lit("2")), "lang")), ",").alias("tags"))
+
+
+@query(f"""WITH {V.COMMITS}, g AS (SELECT author, epoch, seq, CASE WHEN epoch - lag(epoch) OVER w > 1800 OR lag(epoch) OVER w IS NULL THEN 1 ELSE 0 END AS gap FROM commits WINDOW w AS (PARTITION BY author ORDER BY epoch, seq)),
+ r AS (SELECT *, sum(gap) OVER (PARTITION BY author ORDER BY epoch, seq) AS run FROM g) SELECT author, min(epoch) AS first_epoch, max(epoch) AS last_epoch, count(*) AS commits FROM r GROUP BY author, run""")
+def commit_sessions(spark, d):
+    return history.sessions(V.commits(spark, d), 1800)
+
+
+@query(None)
+def token_bucket(spark, d):
+    return history.token_bucket(V.commits(spark, d).select(F.col("author").alias("key"), "seq", "epoch"), capacity=3, refill=1 / 600)
+
+
+@query(f"WITH {V.COMMITS} SELECT count(*) AS count, round(avg(ms), 3) AS avg_ms, round(max(ms), 3) AS max_ms, round(arg_max(ms, seq), 3) AS last_ms FROM commits")
+def write_stats(spark, d):
+    return merge.write_stats(V.commits(spark, d).select("ms", F.lit(0).alias("ts"), "seq"))
+
+
+@query(f"WITH {V.NOTES} SELECT count(*) AS notes, sum(strlen(text))::BIGINT AS bytes FROM notes")
+def disk_stats(spark, d):
+    return merge.disk_stats(V.notes(spark, d))
+
+
+@query(f"""WITH {TOP_FUSED}, g AS (SELECT q.query_id, v.path AS item, CASE WHEN v.label = e.label AND v.doc_id = q.query_id THEN 3 ELSE 1 END AS gain FROM vector_queries q JOIN embeddings e ON e.vec_id = q.query_id JOIN vectors v ON v.label = e.label WHERE v.doc_id % 10 = 0 OR v.doc_id = q.query_id),
+ i AS (SELECT query_id, sum(CASE WHEN place <= 10 THEN (pow(2, gain) - 1) / log2(place + 1) END) AS ideal, count(*) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, item) AS place FROM g) GROUP BY 1),
+ h AS (SELECT h.query_id, sum((pow(2, gain) - 1) / log2(rank + 1)) AS dcg, count(*) AS found, min(rank) AS first FROM hits h JOIN g ON g.query_id = h.query_id AND g.item = h.chunk_id GROUP BY 1)
+ SELECT count(*) AS queries, round(avg(coalesce(found, 0) / wanted), 6) AS recall, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM i LEFT JOIN h USING (query_id)""")
+def retrieval_metrics(spark, d):
+    v = V.vectors(spark, d)
+    asked = V.vector_queries(spark, d).join(V.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    gains = asked.select("query_id", "label").join(v.select("label", "doc_id", F.col("path").alias("item")), "label").where((F.col("doc_id") % 10 == 0) | (F.col("doc_id") == F.col("query_id")))
+    gains = gains.select("query_id", "item", F.when(F.col("doc_id") == F.col("query_id"), 3).otherwise(1).alias("gain"))
+    hits = _hybrid(spark, d).select("query_id", F.col("chunk_id").alias("item"), "rank")
+    return search.retrieval_metrics(hits, gains)
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS line, s FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), r AS (SELECT doc_id, line, s[line] AS t FROM l)
+ SELECT doc_id, 'aws-access-key' AS rule, line FROM r WHERE regexp_matches(t, '\\bAKIA[0-9A-Z]{16}\\b')
+ UNION ALL SELECT doc_id, 'assignment', line FROM r WHERE regexp_matches(t, '(?i)(password|passwd|secret|token|api_?key)["'']?\\s*[=:]\\s*["'']?[^\\s"'']{8,}')
+ UNION ALL SELECT doc_id, 'private-key', line FROM r WHERE regexp_matches(t, '-----BEGIN ([A-Z]+ )*PRIVATE KEY-----')
+ UNION ALL SELECT doc_id, 'github-token', line FROM r WHERE regexp_matches(t, '\\bgh[pousr]_[0-9A-Za-z]{36,}')
+ UNION ALL SELECT doc_id, 'slack-token', line FROM r WHERE regexp_matches(t, '\\bxox[abprs]-[0-9A-Za-z-]{10,}')
+ UNION ALL SELECT doc_id, 'google-key', line FROM r WHERE regexp_matches(t, '\\bAIza[0-9A-Za-z_-]{35}')
+ UNION ALL SELECT doc_id, 'jwt', line FROM r WHERE regexp_matches(t, '\\beyJ[0-9A-Za-z_-]{8,}\\.[0-9A-Za-z_-]{8,}\\.[0-9A-Za-z_-]{8,}')""")
+def secret_scan(spark, d):
+    return scan.findings(V.table(spark, d, "documents"))
+
+
+@query(None)
+def parse_notes(spark, d):
+    return markdown.parse_notes(_raw(spark, d)).drop("chunks")
+
+
+@query(None)
+def chunk_markdown(spark, d):
+    return markdown.chunk_rows(markdown.parse_notes(_raw(spark, d)))
+
+
+def _raw(spark, d) -> DataFrame:
+    """The notes written out as Markdown with frontmatter."""
+    head = F.concat(F.lit("---\ntitle: note "), F.col("doc_id").cast("string"), F.lit("\ntags: ["), F.array_join("tags", ", "), F.lit("]\ntype: "), "type", F.coalesce(F.concat(F.lit("\nstatus: "), "status"), F.lit("")), F.lit("\ncreated: "), F.col("created").cast("string"), F.lit("\n---\n# First\n"))
+    return V.notes(spark, d).select("path", F.concat(head, "text").alias("text"))
+
+
+@query("WITH RECURSIVE up(k) AS (SELECT max(p_partkey) FROM part UNION SELECT k // 2 FROM up WHERE k > 1) SELECT 'c' || k AS commit FROM up")
+def ancestor_test(spark, d):
+    k = F.col("p_partkey")
+    parts = V.table(spark, d, "part")
+    parents = parts.select(F.concat(F.lit("c"), k.cast("string")).alias("commit"), F.when(k > 1, F.concat(F.lit("c"), F.floor(k / 2).cast("string"))).alias("parent"))
+    return history.ancestors(parents, f"c{parts.agg(F.max('p_partkey')).first()[0]}")
+
+
+@query(f"WITH {V.NOTES} SELECT path, sha1('blob ' || strlen(text) || chr(0) || text) AS revision FROM notes")
+def blob_ids(spark, d):
+    return V.notes(spark, d).select("path", T.blob_id(F.col("text")).alias("revision"))
+
+
+@query(f"WITH {V.NOTES} SELECT 'memory/' || type || '/' || substr(sha256(type || chr(10) || trim(text)), 1, 12) || '.md' AS path, count(*) AS notes FROM notes GROUP BY 1")
+def memory_paths(spark, d):
+    return V.notes(spark, d).groupBy(T.memory_path("memory", F.col("type"), F.col("text")).alias("path")).agg(F.count("*").alias("notes"))
