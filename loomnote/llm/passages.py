@@ -111,61 +111,108 @@ def _edge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(found.anchor[which].view(np.int64)), pa.array(key.view(np.int64)), ids], names=["anchor", "key", "doc_id"])
 
 
+STREAM_WORDS = 100_000
+
+
+class Automaton:
+    """Aho-Corasick over word numbers.
+
+    A number becomes two letters of two alphabets of some square root's size each, since the
+    automaton looks through a state's followers one by one.  Number 0 is in no pattern.
+    """
+
+    def __init__(self, patterns: dict[tuple[int, ...], int], vocabulary: int):
+        self.base = int(np.ceil(np.sqrt(vocabulary + 1))) + 1
+        self.held = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.length = np.fromiter(map(len, patterns), np.int64, len(patterns))
+        self.source = np.fromiter(patterns.values(), np.int64, len(patterns))
+        letters = self._letters(np.fromiter((w for p in patterns for w in p), np.int64, int(self.length.sum())))
+        ends = (2 * np.cumsum(self.length)).tolist()
+        at = 0
+        for number, end in enumerate(ends):
+            self.held.add_word(tuple(letters[at:end]), number)
+            at = end
+        self.held.make_automaton()
+
+    def _letters(self, numbers: np.ndarray) -> list[int]:
+        return np.stack([numbers // self.base + self.base, numbers % self.base], axis=1).ravel().tolist()
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End (exclusive) and pattern of every occurrence."""
+        hits = np.array(list(self.held.iter(tuple(self._letters(numbers)))), np.int64).reshape(-1, 2)
+        return hits[:, 0] // 2 + 1, hits[:, 1]
+
+
+def _spell(found: Excerpts, kind: np.ndarray, anchor: np.ndarray, key: np.ndarray, lo: np.ndarray) -> list[tuple[int, int, int]]:
+    """First word, number of words and source of each passage, as it stands in these documents."""
+    spelled: list[tuple[int, int, int]] = []
+    windows = np.unique(anchor[kind == 1])
+    which, start, window_key = found.windows(np.flatnonzero(np.isin(found.anchor, windows)))
+    for number, keys, anchors, first, length in (
+        (0, found.key, found.anchor, found.first, found.count + WINDOW - 1),
+        (1, window_key, found.anchor[which], start, np.full(len(start), WINDOW)),
+    ):
+        own = kind == number
+        k, a, least = key[own], anchor[own], lo[own]
+        if not len(k) or not len(keys):
+            continue
+        order = np.argsort(k, kind="stable")
+        k, a, least = k[order], a[order], least[order]
+        _, once = np.unique(keys, return_index=True)
+        place = np.minimum(np.searchsorted(k, keys[once]), len(k) - 1)
+        good = (k[place] == keys[once]) & (a[place] == anchors[once])
+        spelled += zip(first[once][good].tolist(), length[once][good].tolist(), least[place][good].tolist(), strict=True)
+    return spelled
+
+
+def _marks(found: Excerpts, ids: np.ndarray, patterns: tuple[np.ndarray, ...]) -> np.ndarray:
+    """True for every word inside a passage whose source is a smaller document."""
+    changes = np.zeros(len(found.hashes) + 1, np.int32)
+    spelled = _spell(found, *patterns) if len(patterns[0]) and len(found.first) else []
+    if spelled:
+        first, length, _ = (np.array(x, np.int64) for x in zip(*spelled, strict=True))
+        inside = np.zeros(len(found.hashes) + 1, np.int32)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, first + length, -1)
+        vocabulary = np.unique(found.hashes[np.cumsum(inside[:-1]) > 0])
+        place = np.minimum(np.searchsorted(vocabulary, found.hashes), len(vocabulary) - 1)
+        number = np.where(vocabulary[place] == found.hashes, place + 1, 0)
+        sequences: dict[tuple[int, ...], int] = {}
+        flat = number.tolist()
+        for start, size, least in spelled:
+            word = tuple(flat[start : start + size])
+            sequences[word] = min(least, sequences.get(word, least))
+        automaton = Automaton(sequences, len(vocabulary))
+        bounds, row = found.words.row, 0
+        while row < len(bounds) - 1:
+            stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + STREAM_WORDS, "right")) - 1)
+            begin, count = bounds[row], np.diff(bounds[row : stop + 1])
+            stream = np.zeros(int(count.sum()) + stop - row, np.int64)
+            shift = np.repeat(np.arange(stop - row), count)
+            stream[np.arange(len(shift)) + shift] = number[begin : bounds[stop]]
+            end, value = automaton.find(stream)
+            # a stream position counts one break after each document before it
+            own = np.searchsorted(np.cumsum(count + 1), end - 1, "right")
+            good = automaton.source[value] < ids[row + own]
+            end = (end - own + begin)[good]
+            np.add.at(changes, end - automaton.length[value[good]], 1)
+            np.add.at(changes, end, -1)
+            row = stop
+    return np.cumsum(changes[:-1]) > 0
+
+
 def _remove(docs: pa.Table, patterns: pa.Table) -> pa.Table:
     """One shard: spell its passages, compile the automaton, stream every document."""
     ids = np.asarray(docs.column("doc_id").combine_chunks().fill_null(-(1 << 63)))
-    texts = docs.column("text").combine_chunks()
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+    columns = [np.asarray(patterns.column(n).combine_chunks()) if len(patterns) else np.zeros(0, np.int64) for n in ("kind", "anchor", "key", "lo")]
+    columns[1], columns[2] = columns[1].view(np.uint64), columns[2].view(np.uint64)
+    texts = docs.column("text")
     kept, total, gone = [], [], []
-    table = {}
-    for name in ("anchor", "key", "lo"):
-        table[name] = np.asarray(patterns.column(name).combine_chunks()) if len(patterns) else np.zeros(0, np.int64)
-    order = np.lexsort((table["lo"], table["key"]))
-    key, anchor, lo = table["key"][order].view(np.uint64), table["anchor"][order].view(np.uint64), table["lo"][order]
-    key_order = np.argsort(key, kind="stable")
-    key, anchor, lo = key[key_order], anchor[key_order], lo[key_order]
+    texts = pa.concat_arrays(texts.chunks) if texts.num_chunks != 1 else texts.chunk(0)
     for chunk in bt.chunks(texts, 1 << 40):
         found = Excerpts(chunk)
-        removed = np.zeros(len(found.hashes) + 1, np.int32)
-        if len(key) and len(found.first):
-            _, number = np.unique(found.hashes, return_inverse=True)
-            number = (number + 1).astype(np.int64)
-            spelled: dict[tuple[int, ...], int] = {}
-
-            def spell(start: np.ndarray, length: np.ndarray, keys: np.ndarray, anchors: np.ndarray) -> None:
-                place = np.minimum(np.searchsorted(key, keys), len(key) - 1)
-                for i in np.flatnonzero((key[place] == keys) & (anchor[place] == anchors)).tolist():
-                    word = tuple(number[start[i] : start[i] + length[i]].tolist())
-                    least = int(lo[place[i]])
-                    spelled[word] = min(least, spelled.get(word, least))
-
-            _, once = np.unique(found.key, return_index=True)
-            spell(found.first[once], found.count[once] + WINDOW - 1, found.key[once], found.anchor[once])
-            which, start, window_key = found.windows(np.flatnonzero(np.isin(found.anchor, anchor)))
-            _, once = np.unique(window_key, return_index=True)
-            spell(start[once], np.full(len(once), WINDOW), window_key[once], found.anchor[which[once]])
-            if spelled:
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                lengths, sources = [], []
-                for word, least in spelled.items():
-                    automaton.add_word(word, len(lengths))
-                    lengths.append(len(word))
-                    sources.append(least)
-                automaton.make_automaton()
-                length, source = np.array(lengths), np.array(sources, np.int64)
-                bounds = found.words.row
-                stream, shift = np.zeros(len(number) + chunk.rows, np.int64), np.repeat(np.arange(chunk.rows), found.words.per_row)
-                stream[np.arange(len(number)) + shift] = number
-                hits = np.array(list(automaton.iter(tuple(stream.tolist()))), np.int64).reshape(-1, 2)
-                # a stream position counts a break after each document before it
-                row = np.searchsorted(bounds[1:] + np.arange(chunk.rows), hits[:, 0], "right")
-                end, value = hits[:, 0] - row + 1, hits[:, 1]
-                good = source[value] < ids[chunk.first + row]
-                np.add.at(removed, end[good] - length[value[good]], 1)
-                np.add.at(removed, end[good], -1)
-        stay = np.cumsum(removed[:-1]) == 0
-        data, bounds = chunk.data.tobytes(), found.words.row.tolist()
-        cut = chunk.starts.tolist()
+        stay = ~_marks(found, ids[chunk.first : chunk.first + chunk.rows], tuple(columns))
+        data, bounds, cut = chunk.data.tobytes(), found.words.row.tolist(), chunk.starts.tolist()
         for r in range(chunk.rows):
             words = data[cut[r] : cut[r + 1]].split()
             own = stay[bounds[r] : bounds[r + 1]]
@@ -195,13 +242,13 @@ def remove_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     tables.drop("anchors")
     sources = tables.write(found.groupBy("anchor", "key").agg(F.min("doc_id").alias("lo")), "sources")
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
-    whole = found.join(sources, ["anchor", "key"]).where("lo < doc_id").select(shard, "anchor", "key", "lo").distinct()
+    whole = found.join(sources, ["anchor", "key"]).where("lo < doc_id").select(shard, F.lit(0).cast("long").alias("kind"), "anchor", "key", "lo").distinct()
     several = sources.groupBy("anchor").agg(F.count("key").alias("n")).where("n > 1").select("anchor")
     edges = sources.join(several, "anchor").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("key").alias("wanted"))
     windows = texts.join(edges, "doc_id").mapInArrow(_edge_windows, "anchor long, key long, doc_id long")
     windows = tables.write(windows.distinct(), "windows")
     least = windows.groupBy("anchor", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    parts = windows.join(least, ["anchor", "key"]).where("lo < doc_id").select(shard, "anchor", "key", "lo").distinct()
+    parts = windows.join(least, ["anchor", "key"]).where("lo < doc_id").select(shard, F.lit(1).cast("long").alias("kind"), "anchor", "key", "lo").distinct()
     passages = tables.write(whole.unionAll(parts), "passages")
     for name in ("common", "found", "sources", "windows"):
         tables.drop(name)
