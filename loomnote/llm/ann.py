@@ -36,6 +36,8 @@ ROUNDS = 8
 CANDIDATES = 200
 QUERY_BLOCK = 512
 CODE_BLOCK = 8192
+#: A task keeps the best candidates of its query blocks up to this size before it hands them on.
+HELD_BYTES = 64 << 20
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -169,27 +171,41 @@ def search(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50,
     met = spread.join(F.broadcast(blocked) if total * size * 8 < 8 << 20 else blocked, "block")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for asked, who, value in held_best.values():
+                full = np.isfinite(value)
+                query = np.broadcast_to(asked[:, None], value.shape)[full]
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(who[full]), pa.array(value[full].astype(np.float64))], names=["query_id", "vec_id", "near"])
+            held_best.clear()
+
         for batch in batches:
             for row in range(len(batch)):
-                ids, near, length, packed, asked = (c[row] for c in batch.columns)
+                ids, near, length, packed, number, asked = (c[row] for c in batch.columns)
                 own = np.frombuffer(ids.as_buffer(), np.int64)
                 coded = np.frombuffer(near.as_buffer(), np.uint8), np.frombuffer(length.as_buffer(), np.float32), np.frombuffer(packed.as_buffer(), np.uint8).reshape(len(own), -1)
                 struct = asked.values
                 query_ids = np.asarray(struct.field("vec_id"))
                 wanted = unit(np.asarray(struct.field("x").flatten()).reshape(len(query_ids), -1))
+                who = np.full((len(query_ids), candidates), -1, np.int64)
+                value = np.full((len(query_ids), candidates), -np.inf, np.float32)
+                if number.as_py() in held_best:
+                    _, who, value = held_best[number.as_py()]
                 for q in range(0, len(query_ids), 64):
-                    scores = held.value.scan(wanted[q : q + 64], *coded)
-                    scores[query_ids[q : q + 64][:, None] == own[None]] = -np.inf
-                    keep = min(candidates, len(own))
-                    if keep < len(own):
-                        top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-                    else:
-                        top = np.tile(np.arange(len(own)), (len(scores), 1))
-                    value = np.take_along_axis(scores, top, axis=1)
-                    who = np.repeat(query_ids[q : q + 64], top.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(own[top.ravel()]), pa.array(value.ravel().astype(np.float64))], names=["query_id", "vec_id", "near"])
-
-    found = met.select("ids", "near", "length", "codes", "queries").mapInArrow(best, "query_id long, vec_id long, near double").where("query_id <> vec_id")
+                    part = slice(q, q + 64)
+                    scores = held.value.scan(wanted[part], *coded)
+                    scores[query_ids[part][:, None] == own[None]] = -np.inf
+                    both = np.concatenate([value[part], scores], axis=1)
+                    names = np.concatenate([who[part], np.broadcast_to(own, scores.shape)], axis=1)
+                    top = np.argpartition(-both, candidates - 1, axis=1)[:, :candidates]
+                    value[part], who[part] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
+                held_best[number.as_py()] = query_ids, who, value
+                if len(held_best) * QUERY_BLOCK * candidates * 12 > HELD_BYTES:
+                    yield from told()
+        yield from told()
+
+    found = met.select("ids", "near", "length", "codes", "block", "queries").mapInArrow(best, "query_id long, vec_id long, near double").where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidates).select("query_id", "vec_id")
     short = tables.write(short, "short")
