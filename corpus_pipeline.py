@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomnote.llm import bpe, decontaminate, linededup, minhash, toxicity
 from loomnote.llm.queries import ranks_path, table
-from loomnote.llm.shared import Tables
+from loomnote.llm.shared import Tables, fresh, quoted
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +26,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     columns = docs.columns
     left = linededup.dedup_lines(spark, docs)
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*quoted(columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id."""
-    gone = minhash.near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = fresh(docs.columns, "copy_doc")
+    gone = minhash.near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.llm import bytetext as bt
+from loomnote.llm.shared import fresh
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -261,5 +262,6 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, win
 
 def remove_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit word, with all their columns; rows with a null doc_id stay."""
-    hit = scan(spark, documents, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return documents.join(hit, documents["doc_id"] == F.col("__hit"), "left_anti")
+    name = fresh(documents.columns, "hit_doc")
+    hit = scan(spark, documents, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(hit, F.col("doc_id") == F.col(name), "left_anti")

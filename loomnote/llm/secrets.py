@@ -132,7 +132,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         .when(kind == 3, finding(F.lit("assigned"), F.substring(mixed, F.lit(1), long), F.lit(1)))
         .when(kind == 4, F.when(twist < 3, finding(F.lit("private-key"), F.lit("-----BEGIN RSA PRIVATE KEY-----"), F.lit(1))).when(twist < 6, finding(F.lit("slack-token"), F.concat(F.lit("xoxb-"), F.substring(mixed, 1, 24)), F.lit(1))).otherwise(finding(F.lit("jwt"), F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20), F.lit("."), F.substring(mixed, 20, 30), F.lit("."), F.substring(mixed, 50, 30)), F.lit(1))))
         .when(kind == 5, finding(F.lit("assigned"), F.concat(word, F.lit("_"), other), F.lit(0)))
-        .when(kind == 6, finding(F.lit("assigned"), F.concat(F.lit("<"), word, F.lit("-"), other, F.lit(">")), F.lit(0)))
+        .when(kind == 6, finding(F.lit("assigned"), F.concat(F.lit("${"), word, F.lit("-"), other, F.lit("}")), F.lit(0)))
         .when(kind == 7, finding(F.lit("assigned"), F.concat(F.lit("os."), word, F.lit("."), other, F.lit("()")), F.lit(0)))
         .when(kind == 8, finding(F.lit("aws-access-key"), F.concat(F.lit("AKIA"), F.when(twist < 4, F.lit("IOSFODNN7EXAMPLE")).otherwise(F.repeat(F.substring(capitals, 1, 1), 16))), F.lit(0)))
         .otherwise(F.when(twist < 4, finding(F.lit("assigned"), F.repeat(F.element_at(F.array(*map(F.lit, "x*0a")), (twist + 1).cast("int")), 20), F.lit(0))).otherwise(finding(F.lit("github-token"), F.concat(F.lit("ghp_"), F.repeat(F.lit("xxxx"), 9)), F.lit(0))))

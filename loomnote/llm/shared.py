@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,6 +20,36 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Column names for select, whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+#: So many ids, some 16 MB, are sent to every executor rather than shuffled for.
+FEW_IDS = 500_000
+
+
+def narrowed(rows: DataFrame, ids: DataFrame, key: str, most: int = FEW_IDS) -> DataFrame:
+    """`rows` without most of those whose key is not among `ids`, before a join on it.
+
+    The ids (a written table) are counted; a bounded number of them is broadcast, so that
+    the join that follows shuffles the wanted rows only.  Beyond the bound rows stay as
+    they are and that join does all the work.
+    """
+    keys = ids.select(key).distinct()
+    if keys.count() > most:
+        return rows
+    return rows.join(F.broadcast(keys), key, "left_semi")
+
+
 class Tables:
     """Intermediate results, written once and reread; `drop` removes them again."""
 

@@ -240,13 +240,16 @@ def remove_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
     """The documents that score below the threshold, with all their columns, in one pass."""
     spark: SparkSession = documents.sparkSession
     held = spark.sparkContext.broadcast(model)
+    place = documents.columns.index("text")
 
     def run(batches):
         own = held.value
         compressors = own.compressors()
         for batch in batches:
-            rows = [measure(text.as_py(), own, compressors) for text in batch.column("text")]
+            rows = [measure(text.as_py(), own, compressors) for text in batch.column(place)]
             if rows:
                 yield batch.filter(pa.array(score(np.array(rows), own) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    # numbered names: Spark's own hand-over does not take every column name
+    plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)
