@@ -27,7 +27,7 @@ NONE, BAD, GOOD = 0, 1, 2
 
 _LETTER = bt.byte_class([(0, 64), (91, 96), (123, 127)])
 _CAPITAL = ~bt.byte_class([(65, 90)])
-_MARK = ~bt.byte_class([(0, 0x20), (0x2C, 0x2C), (0x2E, 0x2E), (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF), (0x27, 0x27), (0x2D, 0x2D)])
+_MARK = bt.byte_class([(0, 0x20), (0x2C, 0x2C), (0x2E, 0x2E), (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF), (0x27, 0x27), (0x2D, 0x2D)])
 _KIND = np.zeros(256, np.uint8)
 for _table, _code in ((_LETTER, 1), (_CAPITAL, 2), (_MARK, 3)):
     _KIND[_table] = _code
@@ -120,14 +120,14 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     """
     good, bad = patterns == GOOD, patterns == BAD
     votes = good.sum(axis=1) + bad.sum(axis=1)
-    belief = np.where(votes, (good.sum(axis=1) + 1) / (votes + 2), 0.5)
-    belief = np.where(bad.any(axis=1), np.minimum(belief, 0.35), belief)  # one complaint outweighs silence at first
+    # texts fail in different ways, so one complaint is worth more at first than others' content
+    belief = np.where(bad.any(axis=1), 0.05, np.where(votes > 0, 0.95, 0.5))
     accuracy = np.full((2, patterns.shape[1]), 0.7)
     for _ in range(rounds):
         for truth, weight in ((1, belief * counts), (0, (1 - belief) * counts)):
             agree = (good if truth else bad).T @ weight
             against = (bad if truth else good).T @ weight
-            accuracy[truth] = np.clip((agree + 2) / (agree + against + 3), 0.05, 0.999)
+            accuracy[truth] = np.clip((agree + 1) / (agree + against + 2), 0.02, 0.9995)
         prior = np.clip((belief @ counts) / max(counts.sum(), 1), 0.01, 0.99)
         up = np.log(prior) + good @ np.log(accuracy[1]) + bad @ np.log(1 - accuracy[1])
         down = np.log(1 - prior) + bad @ np.log(accuracy[0]) + good @ np.log(1 - accuracy[0])
