@@ -242,3 +242,28 @@ def status(nodes: DataFrame, edges: DataFrame, members: DataFrame, vectors: Data
     d = nodes.join(vectors.select(F.col("id").alias("node")).distinct(), "node", "left_semi").agg(F.count("*").alias("with_vector"))
     joined = a.crossJoin(b).crossJoin(c).crossJoin(d)  # one row each
     return joined.withColumn("coverage", F.round(F.col("with_vector") / F.greatest("nodes", F.lit(1)), 6))
+
+
+def parents(children: DataFrame, upper: DataFrame) -> DataFrame:
+    """child, parent: communities whose members (community, node) all lie in one upper community."""
+    joined = children.select("node", F.col("community").alias("child")).join(upper.select("node", F.col("community").alias("parent")), "node", "left")
+    sums = joined.groupBy("child").agg(F.count_distinct(F.coalesce(F.col("parent").cast("string"), F.lit(""))).alias("n"), F.min("parent").alias("parent"), F.count_if(F.col("parent").isNull()).alias("outside"))
+    return sums.where("n = 1 and outside = 0").select("child", "parent")
+
+
+#: What a summary's prompt may hold, and the smallest community that gets one.
+PROMPT_CHARS, NOTE_CHARS, SMALLEST = 12_000, 1_500, 3
+
+
+def summary_prompts(members: DataFrame) -> DataFrame:
+    """community, notes, sampled, prompt: the texts to summarise (members: community, path, text).
+
+    Notes come by path, cut to NOTE_CHARS each, as long as PROMPT_CHARS are not exceeded;
+    `sampled` says that some were left out.
+    """
+    piece = F.concat(F.lit("## "), "path", F.lit("\n"), F.substring("text", 1, NOTE_CHARS), F.lit("\n"))
+    order = Window.partitionBy("community").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    rows = members.withColumn("piece", piece).withColumn("until", F.sum(F.length("piece")).over(order))
+    kept = F.when(F.col("until") <= PROMPT_CHARS, F.struct("path", "piece"))
+    out = rows.groupBy("community").agg(F.count("*").alias("notes"), F.array_sort(F.collect_list(kept)).alias("parts")).where(F.col("notes") >= SMALLEST)
+    return out.select("community", "notes", (F.size("parts") < F.col("notes")).alias("sampled"), F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("prompt"))

@@ -99,3 +99,9 @@ def remember(requests: DataFrame, notes: DataFrame, folder: str = "memory") -> D
     rows = requests.withColumn("path", T.memory_path(folder, F.col("type"), F.col("content")))
     there = notes.select("path", F.lit(True).alias("there")).distinct()
     return rows.join(there, "path", "left").select("id", "path", F.when(F.col("there"), "DEDUP").when(F.col("supersedes").isNotNull(), "UPDATE").otherwise("NEW").alias("outcome"))
+
+
+def reviewed(notes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """path, status: states after review (decisions: path, decision approve, decline or reopen)."""
+    state = F.when(F.col("decision") == "approve", "active").when(F.col("decision") == "decline", "revoked").when(F.col("decision") == "reopen", "provisional")
+    return notes.select("path", "status").join(decisions, "path", "left").select("path", F.coalesce(state, "status").alias("status"))

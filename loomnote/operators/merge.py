@@ -96,3 +96,15 @@ def disk_stats(notes: DataFrame) -> DataFrame:
 def exposition(stats: DataFrame, prefix: str = "vault") -> DataFrame:
     """line: text metrics, one a vault and figure (stats: vault, name, value)."""
     return stats.select(F.concat(F.lit(prefix + "_"), F.col("name"), F.lit('{vault="'), F.col("vault"), F.lit('"} '), F.col("value").cast("string")).alias("line"))
+
+
+def sync_state(heads: DataFrame) -> DataFrame:
+    """vault, state: up-to-date, fast-forward, push or diverged (heads: vault, local, remote, common ancestor)."""
+    state = F.when(F.col("local").eqNullSafe(F.col("remote")), "up-to-date").when(F.col("local").eqNullSafe(F.col("common")), "fast-forward").when(F.col("remote").eqNullSafe(F.col("common")), "push").otherwise("diverged")
+    return heads.select("vault", state.alias("state"))
+
+
+def resolved_conflicts(conflicts: DataFrame, answers: DataFrame) -> DataFrame:
+    """path, content: answers (path, choice mine, incoming or content, content) applied to conflicts (path, mine, incoming)."""
+    chosen = F.when(F.col("choice") == "mine", F.col("mine")).when(F.col("choice") == "incoming", F.col("incoming")).otherwise(F.col("content"))
+    return conflicts.join(answers, "path").select("path", chosen.alias("content"))

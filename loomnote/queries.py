@@ -614,3 +614,60 @@ def blob_ids(spark, d):
 @query(f"WITH {V.NOTES} SELECT 'memory/' || type || '/' || substr(sha256(type || chr(10) || trim(text)), 1, 12) || '.md' AS path, count(*) AS notes FROM notes GROUP BY 1")
 def memory_paths(spark, d):
     return V.notes(spark, d).groupBy(T.memory_path("memory", F.col("type"), F.col("text")).alias("path")).agg(F.count("*").alias("notes"))
+
+
+@query("SELECT c_name AS principal, c_mktsegment AS vault FROM customer WHERE c_custkey % 3 >= 1 AND c_acctbal >= 0")
+def grants_check(spark, d):
+    c = V.table(spark, d, "customer")
+    role = F.element_at(F.array(*map(F.lit, ("READER", "WRITER", "MAINTAINER"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return filters.allowed(c.select(F.col("c_name").alias("principal"), (F.col("c_acctbal") < 0).alias("read_only")), c.select(F.col("c_name").alias("principal"), F.col("c_mktsegment").alias("vault"), role.alias("role")), "WRITER")
+
+
+@query(f"WITH {V.NOTES} SELECT 'vault_notes{{vault=\"' || vault || '\"}} ' || count(*) AS line FROM notes GROUP BY vault")
+def metrics_exposition(spark, d):
+    return merge.exposition(V.notes(spark, d).groupBy("vault").agg(F.count("*").alias("value")).withColumn("name", F.lit("notes")))
+
+
+@query(f"WITH {V.VECTORS} SELECT label || '-' || lang AS child, min(label) AS parent FROM vectors GROUP BY 1")
+def child_parent(spark, d):
+    v = V.vectors(spark, d)
+    return graph.parents(v.select(F.col("path").alias("node"), F.concat_ws("-", F.col("label").cast("string"), "lang").alias("community")), v.select(F.col("path").alias("node"), F.col("label").alias("community")))
+
+
+@query(f"""WITH {V.VECTORS}, p AS (SELECT label AS community, path, '## ' || path || chr(10) || substr(text, 1, 1500) || chr(10) AS piece FROM vectors), u AS (SELECT *, sum(length(piece)) OVER (PARTITION BY community ORDER BY path) AS until FROM p)
+ SELECT community, count(*) AS notes, count(*) FILTER (WHERE until <= 12000) < count(*) AS sampled, coalesce(string_agg(piece, '' ORDER BY path) FILTER (WHERE until <= 12000), '') AS prompt FROM u GROUP BY community HAVING count(*) >= 3""")
+def summary_prompts(spark, d):
+    return graph.summary_prompts(V.vectors(spark, d).select(F.col("label").alias("community"), "path", "text"))
+
+
+@query(f"WITH {V.NOTES} SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'active' WHEN doc_id % 4 = 1 THEN 'revoked' WHEN doc_id % 4 = 2 THEN 'provisional' ELSE status END AS status FROM notes")
+def review_apply(spark, d):
+    n = V.notes(spark, d)
+    choice = F.element_at(F.array(*map(F.lit, ("approve", "decline", "reopen", "wait"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return memory.reviewed(n, n.select("path", choice.alias("decision")))
+
+
+@query("SELECT s_name AS vault, CASE WHEN s_suppkey % 2 = s_suppkey % 3 THEN 'up-to-date' WHEN s_suppkey % 2 = s_suppkey % 5 THEN 'fast-forward' WHEN s_suppkey % 3 = s_suppkey % 5 THEN 'push' ELSE 'diverged' END AS state FROM supplier")
+def sync_state(spark, d):
+    k = F.col("s_suppkey")
+    return merge.sync_state(V.table(spark, d, "supplier").select(F.col("s_name").alias("vault"), (k % 2).alias("local"), (k % 3).alias("remote"), (k % 5).alias("common")))
+
+
+@query(f"WITH {V.SIDES} SELECT o.path, CASE WHEN length(o.path) % 3 = 0 THEN o.revision WHEN length(o.path) % 3 = 1 THEN t.revision ELSE 'new' END AS content FROM ours o JOIN theirs t ON t.path = o.path WHERE o.revision <> t.revision")
+def conflict_resolve(spark, d):
+    _, ours, theirs = V.sides(spark, d)
+    rows = ours.select("path", F.col("revision").alias("mine")).join(theirs.select("path", F.col("revision").alias("incoming")), "path").where("mine <> incoming")
+    choice = F.element_at(F.array(*map(F.lit, ("mine", "incoming", "content"))), (F.length("path") % 3 + 1).cast("int"))
+    return merge.resolved_conflicts(rows, rows.select("path", choice.alias("choice"), F.lit("new").alias("content")))
+
+
+@query(f"WITH {V.NOTES} SELECT path, CASE WHEN len(regexp_extract_all(text, '\\p{{Cyrillic}}')) > len(regexp_extract_all(text, '\\p{{Latin}}')) THEN 'ru' ELSE 'en' END AS language FROM notes")
+def language_detection(spark, d):
+    return V.notes(spark, d).select("path", T.language(F.col("text")).alias("language"))
+
+
+@query(f"WITH {V.NOTES} SELECT 'memory/' || type || '/' || substr(sha256(type || chr(10) || trim(text)), 1, 12) || '.md' AS path, doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'UPDATE' ELSE 'NEW' END AS outcome FROM notes")
+def remember_plan(spark, d):
+    n = V.notes(spark, d)
+    asked = n.select(F.col("doc_id").alias("id"), "type", F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.lit("old.md")).alias("supersedes"))
+    return memory.remember(asked, n)
