@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
-from loomnote.operators.history import _cut
+from loomnote.operators.order import cut, numbered
 
 #: Neighbours a note, similarity threshold, link weight, Louvain's limits.
 NEIGHBOURS, THRESHOLD, LINK_WEIGHT = 6, 0.75, 1.5
@@ -160,7 +160,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         hung = both.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).unionAll(low.select("u", F.col("low").alias("v")))
-        current = _cut(hung.where("u <> v").distinct())
+        current = cut(hung.where("u <> v").distinct())
         shape = current.groupBy("u").agg(F.count("v").alias("n"), F.min("v").alias("v"))
         if shape.where("n > 1").isEmpty() and current.join(shape.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
@@ -221,8 +221,7 @@ def drift(voted: DataFrame, homes: DataFrame, sample: int = 50) -> DataFrame:
     """sampled, moved, ratio: of at most `sample` evenly spaced attached nodes, those voted elsewhere."""
     total = homes.count()
     step = max(1, -(-total // sample))
-    order = Window.partitionBy(F.lit(0)).orderBy("node")
-    picked = homes.withColumn("turn", F.row_number().over(order) - 1).where(F.col("turn") % step == 0).select("node", F.col("community").alias("home"))
+    picked = numbered(homes.select("node", "community"), "turn", "node").where(F.col("turn") % step == 0).select("node", F.col("community").alias("home"))
     judged = picked.join(voted.select("node", "community"), "node", "left")
     moved = F.coalesce(F.col("community") != F.col("home"), F.lit(False))
     return judged.agg(F.count("*").alias("sampled"), F.count_if(moved).alias("moved"), F.round(F.avg(moved.cast("double")), 6).alias("ratio"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomnote.operators.order import cut
+
 
 def snapshot(changes: DataFrame, seq: int | None = None) -> DataFrame:
     """path, revision, seq: what exists after a commit (after all, if none is named)."""
@@ -38,17 +40,17 @@ def commit_at(commits: DataFrame, moments: DataFrame) -> DataFrame:
     """moment, seq, commit: for each moment the last commit not after it.
 
     Both are sorted together once and the last commit is carried forward within hour
-    buckets; a bucket's opening value comes from the aggregate of the buckets before it.
+    buckets; what a bucket opens with is carried over the buckets before it.
     """
     marks = commits.select("epoch", "seq", "commit").unionByName(moments.select(F.col("moment").alias("epoch")), allowMissingColumns=True)
     marks = marks.withColumn("bucket", F.floor(F.col("epoch") / 3600))
     last = commits.groupBy(F.floor(F.col("epoch") / 3600).alias("bucket")).agg(F.max_by(F.struct("seq", "commit"), F.struct("epoch", "seq")).alias("last"))
     inside = Window.partitionBy("bucket").orderBy("epoch", F.col("seq").isNull(), "seq").rowsBetween(Window.unboundedPreceding, 0)
     carried = marks.withColumn("own", F.last(F.when(F.col("seq").isNotNull(), F.struct("seq", "commit")), True).over(inside)).where("seq is null")
-    earlier = last.select(F.col("bucket").alias("from_bucket"), "last")
-    missing = carried.where("own is null").select("epoch", "bucket").distinct()
-    before = missing.join(earlier, F.col("from_bucket") < F.col("bucket")).groupBy("epoch").agg(F.max_by("last", "from_bucket").alias("last"))
-    out = carried.select("epoch", "own").distinct().join(before, "epoch", "left")
+    # what a bucket opens with: at most one row an hour, whatever the number of commits
+    hours = last.join(carried.where("own is null").select("bucket").distinct(), "bucket", "full_outer")
+    opening = hours.select("bucket", F.last("last", True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("last"))
+    out = carried.select("epoch", "bucket", "own").distinct().join(opening, "bucket", "left")
     found = F.coalesce("own", "last")
     return out.select(F.col("epoch").alias("moment"), found["seq"].alias("seq"), found["commit"].alias("commit")).where("seq is not null")
 
@@ -97,22 +99,12 @@ def ancestors(parents: DataFrame, start: str, checkpoint: bool = True) -> DataFr
     found = frontier = edges.sparkSession.createDataFrame([(start,)], "commit string")
     while True:
         reached = edges.join(frontier, "commit").select(F.col("parent").alias("commit")).distinct().join(found, "commit", "left_anti")
-        frontier = _cut(reached) if checkpoint else reached
+        frontier = cut(reached) if checkpoint else reached
         if frontier.isEmpty():
             return found
         found = found.unionAll(frontier)
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the cluster's folder or, where none is set, one of our own."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomnote-"))
-    return rows.checkpoint()
-
-
 def token_bucket(events: DataFrame, capacity: float = 60, refill: float = 10) -> DataFrame:
     """key, seq, allowed: a bucket a key, refilled by the second; one ordered fold a key.
 

@@ -255,3 +255,10 @@ def test_retrieval_metrics(spark):
     gains = spark.createDataFrame([(1, "b", 3), (1, "c", 1)], "query_id long, item string, gain int")
     row = search.retrieval_metrics(ranked, gains).first()
     assert (row.recall, row.mrr) == (0.5, 0.5) and 0 < row.ndcg < 1
+
+
+def test_numbered(spark):
+    from loomnote.operators.order import numbered
+
+    rows = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "x long").repartition(5)
+    assert sorted((r.place, r.x) for r in numbered(rows, "place", "x").collect()) == [(i, i) for i in range(101)]
