@@ -94,4 +94,31 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SMALL = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_NON_SPACE = r"'[^\x20\x09-\x0D]+'"
+
+ORACLE: dict[str, str] = {
+    "op2_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_SMALL}, {_NON_SPACE}) AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 75 * (x.n + y.n - c.c)),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+    "op7_decontaminate": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_SMALL}, {_PLAIN}) AS w FROM documents), b AS (SELECT item_id, regexp_extract_all({_SMALL}, {_PLAIN}) AS w FROM benchmark),
+ k AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + 9), ' ') AS key FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+ p AS (SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS key FROM (SELECT doc_id, w, size, unnest(range(1, greatest(len(w) - size + 1, 0) + 1)) AS i FROM d, (SELECT DISTINCT size FROM k))),
+ h AS (SELECT p.doc_id, p.i, p.size, k.item_id FROM p JOIN k ON k.key = p.key AND k.size = p.size),
+ x AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM h) GROUP BY doc_id),
+ y AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+ SELECT d.doc_id, len(d.w) AS n_words, coalesce(x.n_hit, 0) AS n_hit, coalesce(y.n_items, 0) AS n_items, sha256(coalesce(y.items, '')) AS items_sha256, coalesce(x.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id""",
+    "op9_passages": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_NON_SPACE}) AS w FROM documents),
+ p AS (SELECT doc_id, i, sha256(array_to_string(list_slice(w, i, i + 12), ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 12, 0) + 1)) AS i FROM d)),
+ g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) AS lo FROM p) WHERE lo < doc_id),
+ w AS (SELECT doc_id, pos, w[pos] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d)),
+ k AS (SELECT w.doc_id, count(g.pos) AS n_removed, string_agg(w.word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL) AS kept FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY w.doc_id)
+ SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
+}
