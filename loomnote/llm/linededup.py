@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.llm import bytetext as bt
-from loomnote.llm.shared import Tables
+from loomnote.llm.shared import Tables, narrowed, quoted
 
 MIN_CHARS = 24
 BLOCKS = 4
+REBUILT_ROWS = 500
 _K = [np.uint64(bt.mix_int(i + 77)) | np.uint64(1) for i in range(6)]
 
 
@@ -126,7 +127,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.searchsorted(line[order], np.append(which, which[-1] + 1 if len(which) else 0))
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[order].view(np.int64)))
             ids = batch.column("doc_id").take(pa.array(chunk.first + lines.row[which]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[which], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), keys], names=["doc_id", "line", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[which], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(lines.size[which], pa.int32()), keys], names=["doc_id", "line", "h1", "h2", "n", "keys"])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +139,19 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = wanted.flatten()
             row = np.repeat(np.arange(chunk.rows), np.asarray(wanted.value_lengths()))
             line = lines.first[row] + np.asarray(asked.field("line"))
-            keys = np.asarray(asked.field("key")).view(np.uint64)
+            keys, roles = np.asarray(asked.field("key")).view(np.uint64), np.asarray(asked.field("roles"))
             parts = list(lines.blocks(np.unique(line)))
             have = np.rec.fromarrays([np.concatenate([p[0] for p in parts] or [line]), np.concatenate([p[1] for p in parts] or [keys])])
             want = np.rec.fromarrays([line, keys])
             _, code = np.unique(np.concatenate([have, want]), return_inverse=True)
-            hit = np.isin(code[: len(have)], code[len(have) :])
+            allowed = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int32)
+            np.bitwise_or.at(allowed, code[len(have) :], roles)
+            allowed = allowed[code[: len(have)]]
+            hit = allowed > 0
             head, tail = (np.concatenate([p[i] for p in parts])[hit] if parts else line for i in (2, 3))
             entry, role, key = lines.variants(have["f1"][hit], head, tail)
+            fits = allowed[hit][entry] >> role & 1 == 1
+            entry, role, key = entry[fits], role[fits], key[fits]
             at = have["f0"][hit][entry]
             for i in range(0, len(entry), 200_000):
                 cut = slice(i, i + 200_000)
@@ -154,47 +160,58 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines in `gone` and without later equal lines of the same document."""
-    for batch in batches:
-        known = batch.column("doc_id").is_valid().to_pylist()
-        gone = batch.column("gone").to_pylist()
-        texts, total, removed = [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            lines = (text or "").split("\n")
-            if text is None or not known[i]:
-                texts.append(text), total.append(len(lines) if text else 0), removed.append(0)
-                continue
-            out, drop, seen = [], set(gone[i] or ()), set()
-            for number, line in enumerate(lines):
-                if len(line) >= MIN_CHARS:
-                    if line in seen:
-                        continue
-                    seen.add(line)
-                    if number in drop:
-                        continue
-                out.append(line)
-            texts.append("\n".join(out)), total.append(len(lines) if text else 0), removed.append(len(lines) - len(out))
-        columns = {n: batch.column(n) for n in batch.schema.names if n != "gone"}
-        columns["text"] = pa.array(texts, pa.string())
-        columns["__lines"], columns["__removed"] = pa.array(total, pa.int64()), pa.array(removed, pa.int64())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    """Texts without the lines to go and without later equal lines of the same document.
+
+    The first columns are the lines to go, doc_id and text; the others pass through.
+    """
+    for whole in batches:
+        for first in range(0, len(whole), REBUILT_ROWS):
+            batch = whole.slice(first, REBUILT_ROWS)
+            gone, known = batch.column(0).to_pylist(), batch.column(1).is_valid().to_pylist()
+            texts, total, removed = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                lines = (text or "").split("\n")
+                if text is None or not known[i]:
+                    texts.append(text), total.append(len(lines) if text else 0), removed.append(0)
+                    continue
+                out, drop, seen = [], set(gone[i] or ()), set()
+                for number, line in enumerate(lines):
+                    if len(line) >= MIN_CHARS:
+                        if line in seen:
+                            continue
+                        seen.add(line)
+                        if number in drop:
+                            continue
+                    out.append(line)
+                texts.append("\n".join(out)), total.append(len(lines) if text else 0), removed.append(len(lines) - len(out))
+            columns = [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["text", "lines", "removed", *batch.schema.names[3:]])
 
 
 def later_lines(spark: SparkSession, documents: DataFrame, tables: Tables) -> DataFrame:
     """doc_id, line: the lines, each document's first of their kind, that have an earlier neighbour."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lines = tables.write(texts.mapInArrow(_lines, "doc_id long, line int, h1 long, h2 long, keys array<long>"), "lines")
+    lines = tables.write(texts.mapInArrow(_lines, "doc_id long, line int, h1 long, h2 long, n int, keys array<long>"), "lines")
     same = ["h1", "h2"]
     firsts = lines.groupBy(*same).agg(F.min("doc_id").alias("lead"))
     marked = lines.join(firsts, same)
     equal = tables.write(marked.where("doc_id > lead").select("doc_id", "line"), "equal")
-    distinct = marked.where("doc_id = lead").select("doc_id", "line", "h1", "keys")
-    keys = tables.write(distinct.select("doc_id", "line", "h1", F.explode("keys").alias("key")), "keys")
+    distinct = marked.where("doc_id = lead").select("doc_id", "line", "h1", "n", "keys")
+    keys = tables.write(distinct.select("doc_id", "line", "h1", "n", F.explode("keys").alias("key")), "keys")
     tables.drop("lines")
-    open_keys = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
-    wanted = keys.join(open_keys, "key").groupBy("doc_id").agg(F.collect_set(F.struct("line", "key")).alias("wanted"))
-    variants = tables.write(texts.join(wanted, "doc_id").mapInArrow(_variants, "key long, role int, doc_id long, line int"), "variants")
+    shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+    near = tables.write(keys.join(shared, "key"), "near")
     tables.drop("keys")
+    # an exchange needs another line of the same length, an insertion one that differs by one
+    sizes = near.groupBy("key", "n").agg((F.min("h1") != F.max("h1")).alias("equal"))
+    one_less, one_more = (sizes.select("key", (F.col("n") + d).alias("n"), F.lit(True).alias(name)) for d, name in ((1, "longer"), (-1, "shorter")))
+    roles = sizes.join(one_less, ["key", "n"], "left").join(one_more, ["key", "n"], "left").fillna(False, ["longer", "shorter"])
+    roles = roles.where("equal or longer or shorter").select("key", "n", (F.col("equal").cast("int") + 2 * F.col("longer").cast("int") + 4 * F.col("shorter").cast("int")).alias("roles"))
+    wanted = near.join(roles, ["key", "n"]).groupBy("doc_id").agg(F.collect_set(F.struct("line", "key", "roles")).alias("wanted"))
+    wanted = tables.write(wanted, "wanted")
+    variants = tables.write(narrowed(texts, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_variants, "key long, role int, doc_id long, line int"), "variants")
+    for name in ("near", "wanted"):
+        tables.drop(name)
     place = F.struct("doc_id", "line")
     least = variants.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, place)).alias(f"m{r}") for r in range(3)), F.max(place).alias("most"))
     least = least.where("most > least(m0, m1, m2)").drop("most")
@@ -204,14 +221,13 @@ def later_lines(spark: SparkSession, documents: DataFrame, tables: Tables) -> Da
     tables.drop("variants")
     flat = pairs.select("doc_id", "line", F.col("before.doc_id").alias("doc_b"), F.col("before.line").alias("line_b"))
 
-    def lines_of(ids: DataFrame) -> DataFrame:
-        asked = ids.groupBy("doc_id").agg(F.collect_set("line").alias("asked"))
-        split = texts.join(asked, "doc_id").select("doc_id", "asked", F.split("text", "\n", -1).alias("all"))
-        return split.select("doc_id", F.explode("asked").alias("line"), "all").select("doc_id", "line", F.expr("get(all, line)").alias("body")).distinct()
-
-    own = lines_of(flat.select("doc_id", "line"))
-    other = lines_of(flat.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")).distinct()).select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("body").alias("body_b"))
-    near = flat.join(own, ["doc_id", "line"]).join(other, ["doc_b", "line_b"]).where(F.levenshtein("body", "body_b", 1) >= 0).select("doc_id", "line")
+    asked = flat.select("doc_id", "line").unionAll(flat.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")))
+    asked = tables.write(asked.groupBy("doc_id").agg(F.collect_set("line").alias("asked")), "asked")
+    split = narrowed(texts, asked, "doc_id").join(asked, "doc_id").select("doc_id", "asked", F.split("text", "\n", -1).alias("all"))
+    bodies = split.select("doc_id", F.explode("asked").alias("line"), "all").select("doc_id", "line", F.expr("get(all, line)").alias("body")).distinct()
+    bodies = tables.write(bodies, "bodies")
+    other = bodies.select(F.col("doc_id").alias("doc_b"), F.col("line").alias("line_b"), F.col("body").alias("body_b"))
+    near = flat.join(bodies, ["doc_id", "line"]).join(other, ["doc_b", "line_b"]).where(F.levenshtein("body", "body_b", 1) >= 0).select("doc_id", "line")
     return equal.unionAll(near).distinct()
 
 
@@ -224,10 +240,16 @@ def dedup_lines(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
     tables = Tables(spark)
     found = later_lines(spark, documents, tables)
-    gone = tables.write(found.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone").withColumnRenamed("doc_id", "__id")
-    for name in ("equal", "pairs"):
+    gone = tables.write(found.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone").select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))
+    for name in ("equal", "pairs", "asked", "bodies"):
         tables.drop(name)
-    columns = documents.columns
-    joined = documents.withColumn("text", F.col("text").cast("string")).join(gone, F.col("doc_id") == F.col("__id"), "left").select(*columns, "gone")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.withColumn("text", F.col("text").cast("string")).schema)
-    return joined.mapInArrow(_rebuild, f"{fields}, __lines long, __removed long")
+    # numbered names: Spark's own hand-over does not take every column name
+    names = [c for c in documents.columns if c not in ("__lines", "__removed")]
+    plain = documents.select(*quoted(names)).toDF(*(f"c{i}" for i in range(len(names))))
+    doc, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    rest = [c for c in plain.columns if c != text]
+    # merged, not broadcast: lists of line numbers are far smaller in a file than in memory
+    joined = plain.join(gone.hint("merge"), F.col(doc) == F.col("gone_id"), "left").select("gone_lines", F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), *rest)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.select(*rest).schema)
+    out = joined.mapInArrow(_rebuild, f"text string, lines long, removed long, {fields}")
+    return out.select(*("text" if c == text else c for c in plain.columns), "lines", "removed").toDF(*names, "__lines", "__removed")
