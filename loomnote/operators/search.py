@@ -263,3 +263,21 @@ def retrieval_metrics(ranked: DataFrame, gains: DataFrame, k: int = 10) -> DataF
     got = hits.groupBy("query_id").agg(F.sum(dcg).alias("dcg"), F.count("item").alias("found"), F.min("place").alias("first"))
     each = ideal.join(got, "query_id", "left").select((F.coalesce("found", F.lit(0)) / F.col("wanted")).alias("recall"), (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
     return each.agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
+def cached_embedder(embed: Callable[[list[str]], list[list[float]]], size: int = 256) -> Callable[[str], list[float]]:
+    """An embedder of single queries that remembers the last `size`; callers get copies."""
+    from functools import lru_cache
+
+    @lru_cache(maxsize=size)
+    def known(text: str) -> tuple[float, ...]:
+        return tuple(embed([text])[0])
+
+    return lambda text: list(known(text))
+
+
+def embedding_progress(chunks: DataFrame, started: float, now: float) -> DataFrame:
+    """One row: done, total, rate a second, seconds left (null: no rate yet)."""
+    counts = chunks.agg(F.count_if(F.col("vec").isNotNull()).alias("done"), F.count("*").alias("total"))
+    rate = F.col("done") / F.lit(max(now - started, 1e-9))
+    return counts.withColumn("rate", F.round(rate, 3)).withColumn("left", F.when(rate > 0, F.round((F.col("total") - F.col("done")) / rate, 1)))

@@ -262,3 +262,12 @@ def test_numbered(spark):
 
     rows = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "x long").repartition(5)
     assert sorted((r.place, r.x) for r in numbered(rows, "place", "x").collect()) == [(i, i) for i in range(101)]
+
+
+def test_cached_embedder_and_progress(spark):
+    calls = []
+    embed = search.cached_embedder(lambda texts: [calls.append(t) or [1.0, 2.0] for t in texts], 2)
+    embed("a").append(3.0)
+    assert embed("a") == [1.0, 2.0] and calls == ["a"]
+    rows = spark.createDataFrame([("a", [1.0]), ("b", None), ("c", None), ("d", [2.0])], "chunk_id string, vec array<double>")
+    assert tuple(search.embedding_progress(rows, 0, 4).first()) == (2, 4, 0.5, 4.0)
