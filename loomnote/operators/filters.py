@@ -92,9 +92,9 @@ def browse(rows: DataFrame, f: Filters, now: int) -> DataFrame:
 
 
 def valid_path(path: Column) -> Column:
-    """No empty, `.` or `..` segment, and no reserved top folder."""
+    """No empty, `.` or `..` segment; top folders that begin with a dot are reserved."""
     parts = F.split(path, "/")
-    bad = F.exists(parts, lambda p: p.isin("", ".", "..")) | parts[0].isin(".git", ".svod", ".trash")
+    bad = F.exists(parts, lambda p: p.isin("", ".", "..")) | parts[0].startswith(".")
     return path.isNotNull() & (path != "") & ~bad
 
 
