@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
-from conftest import ODD
+from cases import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -3,7 +3,7 @@
 import random
 import re
 
-from conftest import ODD
+from cases import ODD
 
 from loomnote.llm import decontaminate
 

@@ -2,7 +2,7 @@
 
 import random
 
-from conftest import ODD
+from cases import ODD
 
 from loomnote.llm import linededup, passages
 

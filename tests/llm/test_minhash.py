@@ -4,7 +4,7 @@ import random
 import re
 
 import numpy as np
-from conftest import ODD
+from cases import ODD
 
 from loomnote.llm import minhash
 from loomnote.llm.components import UnionFind, components

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import ODD
+from cases import ODD
 
 from loomnote.llm import ann, quality, secrets, toxicity, urlfilter
 
