@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.llm import bytetext as bt
+from loomnote.llm.shared import small_batches
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 LONG_WORD = 512
 
 # States: which token is open after a code point.
@@ -288,6 +289,7 @@ class Codec:
 
 def read_ranks(spark: SparkSession, path: str) -> str:
     """Give a rank file to every executor; the name under which they find it."""
+    small_batches(spark)
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
 
@@ -353,6 +355,7 @@ def round_trip(spark: SparkSession, documents: DataFrame, ranks_path: str) -> Da
                     [batch.column("doc_id").slice(chunk.first, chunk.rows), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(np.diff(chunk.starts))],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
+        own.seen.clear()  # the worker goes on to other tasks
 
     return _texts(documents).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 

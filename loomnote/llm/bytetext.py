@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -68,6 +68,27 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
             yield Chunk(base + i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             i = j
         base += len(part)
+    release()
+
+
+_libc: list = []
+
+
+def release() -> None:
+    """Give memory that a batch no longer needs back to the system.
+
+    Python workers live on between tasks, and allocators keep what they once had; in an
+    executor of a few GB that is what other tasks lack.
+    """
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        import ctypes
+
+        try:
+            _libc.append(ctypes.CDLL(None).malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda pad: 0)
+    _libc[0](0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.llm import bytetext as bt
-from loomnote.llm.shared import fresh
+from loomnote.llm.shared import fresh, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -212,6 +212,7 @@ def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window
     without words or with a null item_id occur nowhere.  Rows that share a doc_id are
     judged one by one.  Other columns of either table are ignored.
     """
+    small_batches(spark)
     state, first = _texts(documents), True
     blocks = _blocks(benchmark, block_words)
     block = next(blocks, [])

@@ -186,6 +186,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append("\n".join(out)), total.append(len(lines) if text else 0), removed.append(len(lines) - len(out))
             columns = [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), *batch.columns[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=["text", "lines", "removed", *batch.schema.names[3:]])
+        bt.release()
 
 
 def later_lines(spark: SparkSession, documents: DataFrame, tables: Tables) -> DataFrame:

@@ -33,7 +33,7 @@ from loomnote.llm.shared import Tables
 
 WINDOW = 13
 ANCHOR = 6
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class Excerpts:

@@ -20,6 +20,22 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+#: Arrow batches of at most so many bytes reach the operators' Python code.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for this session, unless it asks for smaller ones already.
+
+    A batch exists in the JVM, in Python and often once more as a result; Spark's usual
+    64 MB a task are a large part of a small executor.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is not None and int("".join(c for c in now if c.isdigit()) or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name like `name` that none of the columns has."""
     taken = {c.lower() for c in columns}
@@ -55,6 +71,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{folder(spark)}/loomnote-{uuid.uuid4().hex}"
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:

@@ -21,6 +21,9 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomnote.llm.bytetext import release
+from loomnote.llm.shared import small_batches
+
 #: The classifier is fitted on at most so many labelled documents a class, of at most so
 #: many characters each; every text is scored whole.
 SAMPLE_DOCS = 3000
@@ -222,6 +225,7 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
     other columns are ignored.
     """
     spark: SparkSession = documents.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -231,6 +235,7 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
             rows = [measure(text.as_py(), own, compressors) for text in batch.column("text")]
             out = score(np.array(rows), own) if rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            release()
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, score double")
@@ -239,6 +244,7 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
 def remove_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with all their columns, in one pass."""
     spark: SparkSession = documents.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     place = documents.columns.index("text")
 
@@ -249,6 +255,7 @@ def remove_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
             rows = [measure(text.as_py(), own, compressors) for text in batch.column(place)]
             if rows:
                 yield batch.filter(pa.array(score(np.array(rows), own) < threshold))
+            release()
 
     # numbered names: Spark's own hand-over does not take every column name
     plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))
