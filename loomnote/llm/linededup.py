@@ -1,8 +1,8 @@
 """Line dedup: a line goes if an earlier one is equal or one edit away; the earliest stays.
 
-Lines of at least `MIN_CHARS` characters count; shorter ones always stay.  Earlier means
-a smaller doc_id, or the same and a smaller line number.  An edit is one character put
-in, left out or exchanged.
+Every line counts that is not blank; empty lines and lines of white space only always
+stay, and nothing is compared with them.  Earlier means a smaller doc_id, or the same and
+a smaller line number.  An edit is one character put in, left out or exchanged.
 
 1. Equal lines are grouped by a 128-bit hash; only the earliest of each goes on.
 2. One edit leaves three of a line's four blocks as they are.  Each line emits four
@@ -11,7 +11,9 @@ in, left out or exchanged.
    character, with its place for an exchange and without for an insertion.  Equal variants
    are joined; each line is compared with the earliest one of each variant only, which is
    enough, as all lines of a variant are neighbours.
-4. Pairs are confirmed by the edit distance of the lines themselves.
+4. Lines of fewer than `BLOCK_CHARS` characters have no four blocks.  Their text is carried
+   along and each emits the variants of the whole line.
+5. Pairs are confirmed by the edit distance of the lines themselves.
 """
 
 from __future__ import annotations
@@ -26,10 +28,17 @@ from pyspark.sql import functions as F
 from loomnote.llm import bytetext as bt
 from loomnote.llm.shared import Tables, narrowed, quoted
 
-MIN_CHARS = 24
+#: No line is too short, but blank lines do not count.
+MIN_CHARS = 1
 BLOCKS = 4
+#: If the longer line of a pair has so many characters, each of its blocks has four at least.
+BLOCK_CHARS = 4 * BLOCKS
 REBUILT_ROWS = 500
 _K = [np.uint64(bt.mix_int(i + 77)) | np.uint64(1) for i in range(6)]
+#: White space by code point; the last entry stands for all higher ones.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+#: The key of short lines, of which no block is left.
+_WHOLE = np.uint64(bt.mix_int(83))
 
 
 class Lines:
@@ -38,7 +47,8 @@ class Lines:
     def __init__(self, chunk: bt.Chunk):
         data = chunk.data
         lead = np.flatnonzero((data & 0xC0) != 0x80)
-        self.chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        self.text = data.tobytes().decode("utf-8")
+        self.chars = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
         bounds = np.searchsorted(lead, chunk.starts)
         rows = chunk.rows
         feeds = np.flatnonzero(self.chars == 10)
@@ -55,6 +65,8 @@ class Lines:
         last = self.first[1:] - 1
         self.end[last] = bounds[1:]
         self.size = self.end - self.start
+        marks = np.concatenate([[0], np.cumsum(~_BLANK[np.minimum(self.chars, len(_BLANK) - 1)])])
+        self.filled = marks[self.end] > marks[self.start]
         n = len(self.chars)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(bt._power(bt._PRIME, n) * (self.chars.astype(np.uint64) + np.uint64(1)))])
         self.inverse = bt._power(bt._INVERSE, n + 2)
@@ -69,8 +81,8 @@ class Lines:
         return bt.mix(self.raw(s, e) + self.size[which].astype(np.uint64) * _K[0]), other
 
     def firsts(self) -> np.ndarray:
-        """The long enough lines that no earlier line of their document equals."""
-        which = np.flatnonzero(self.size >= MIN_CHARS)
+        """The lines, not blank, that no earlier line of their document equals."""
+        which = np.flatnonzero(self.filled)
         one, two = self.hashes(which)
         order = np.lexsort((which, two, one, self.row[which]))
         a, b, r = one[order], two[order], self.row[which][order]
@@ -85,14 +97,14 @@ class Lines:
         another unit if it were one longer emits keys for that too.
         """
         for longer in (0, 1):
-            if longer:
-                which = which[(self.size[which] + 1) % (4 * BLOCKS) == 0]
-            units = (self.size[which] + longer) // (4 * BLOCKS) * 4
-            s, e = self.start[which], self.end[which]
+            size = self.size[which] + longer
+            fits = (size % BLOCK_CHARS == 0) & (size > 0) if longer else size >= BLOCK_CHARS
+            chosen, units = which[fits], size[fits] // BLOCK_CHARS * 4
+            s, e = self.start[chosen], self.end[chosen]
             for j in range(BLOCKS):
                 head, tail = s + j * units, e - (BLOCKS - 1 - j) * units
                 key = bt.mix(self.raw(s, head) * _K[1] + self.raw(tail, e) * _K[2] + units.astype(np.uint64) * _K[3] + np.uint64(j))
-                yield which, key, head, tail
+                yield chosen, key, head, tail
 
     def variants(self, key: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For left-out blocks: entry, role and key of each variant.
@@ -114,7 +126,7 @@ class Lines:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct lines: doc_id, line, h1, h2, keys (of the blocks left out)."""
+    """Each document's distinct lines: doc_id, line, h1, h2, n, keys (of the blocks left out), body (of short ones)."""
     for batch in batches:
         for chunk in bt.chunks(batch.column("text")):
             lines = Lines(chunk)
@@ -126,8 +138,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(line, kind="stable")
             offsets = np.searchsorted(line[order], np.append(which, which[-1] + 1 if len(which) else 0))
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[order].view(np.int64)))
+            spans = zip(lines.start[which].tolist(), lines.end[which].tolist(), strict=True)
+            bodies = [lines.text[s:e] if e - s < BLOCK_CHARS else None for s, e in spans]
             ids = batch.column("doc_id").take(pa.array(chunk.first + lines.row[which]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[which], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(lines.size[which], pa.int32()), keys], names=["doc_id", "line", "h1", "h2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[which], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(lines.size[which], pa.int32()), keys, pa.array(bodies, pa.string())], names=["doc_id", "line", "h1", "h2", "n", "keys", "body"])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +167,23 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fits = allowed[hit][entry] >> role & 1 == 1
             entry, role, key = entry[fits], role[fits], key[fits]
             at = have["f0"][hit][entry]
-            for i in range(0, len(entry), 200_000):
-                cut = slice(i, i + 200_000)
-                ids = batch.column("doc_id").take(pa.array(chunk.first + lines.row[at[cut]]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(role[cut]), ids, pa.array(lines.number[at[cut]], pa.int32())], names=["key", "role", "doc_id", "line"])
+            yield from _placed(key, role, batch.column("doc_id"), chunk.first + lines.row[at], pa.array(lines.number, pa.int32()), at)
+
+
+def _placed(key: np.ndarray, role: np.ndarray, ids: pa.Array, row: np.ndarray, numbers: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(key), 200_000):
+        cut = slice(i, i + 200_000)
+        yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(role[cut]), ids.take(pa.array(row[cut])), numbers.take(pa.array(at[cut]))], names=["key", "role", "doc_id", "line"])
+
+
+def _whole_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The variants of whole short lines, one a row: doc_id, line, body."""
+    for batch in batches:
+        for chunk in bt.chunks(batch.column("body")):
+            lines = Lines(chunk)
+            entry, role, key = lines.variants(np.full(chunk.rows, _WHOLE), lines.start, lines.end)
+            row = chunk.first + entry
+            yield from _placed(key, role, batch.column("doc_id"), row, batch.column("line"), row)
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +203,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 out, drop, seen = [], set(gone[i] or ()), set()
                 for number, line in enumerate(lines):
-                    if len(line) >= MIN_CHARS:
+                    if len(line) >= MIN_CHARS and not line.isspace():
                         if line in seen:
                             continue
                         seen.add(line)
@@ -192,13 +219,17 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def later_lines(spark: SparkSession, documents: DataFrame, tables: Tables) -> DataFrame:
     """doc_id, line: the lines, each document's first of their kind, that have an earlier neighbour."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lines = tables.write(texts.mapInArrow(_lines, "doc_id long, line int, h1 long, h2 long, n int, keys array<long>"), "lines")
+    lines = tables.write(texts.mapInArrow(_lines, "doc_id long, line int, h1 long, h2 long, n int, keys array<long>, body string"), "lines")
     same = ["h1", "h2"]
     firsts = lines.groupBy(*same).agg(F.min("doc_id").alias("lead"))
     marked = lines.join(firsts, same)
     equal = tables.write(marked.where("doc_id > lead").select("doc_id", "line"), "equal")
-    distinct = marked.where("doc_id = lead").select("doc_id", "line", "h1", "n", "keys")
-    keys = tables.write(distinct.select("doc_id", "line", "h1", "n", F.explode("keys").alias("key")), "keys")
+    # a short line's body stands in a row of its own, without a key
+    every = F.explode(F.expr("if(body is null, keys, concat(keys, array(cast(null as long))))")).alias("key")
+    distinct = marked.where("doc_id = lead").select("doc_id", "line", "h1", "n", every, "body")
+    distinct = tables.write(distinct.withColumn("body", F.expr("if(key is null, body, null)")), "keys")
+    keys = distinct.where("key is not null").drop("body")
+    short = tables.write(distinct.where("key is null").select("doc_id", "line", "body"), "short")
     tables.drop("lines")
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
     near = tables.write(keys.join(shared, "key"), "near")
@@ -210,8 +241,10 @@ def later_lines(spark: SparkSession, documents: DataFrame, tables: Tables) -> Da
     roles = roles.where("equal or longer or shorter").select("key", "n", (F.col("equal").cast("int") + 2 * F.col("longer").cast("int") + 4 * F.col("shorter").cast("int")).alias("roles"))
     wanted = near.join(roles, ["key", "n"]).groupBy("doc_id").agg(F.collect_set(F.struct("line", "key", "roles")).alias("wanted"))
     wanted = tables.write(wanted, "wanted")
-    variants = tables.write(narrowed(texts, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_variants, "key long, role int, doc_id long, line int"), "variants")
-    for name in ("near", "wanted"):
+    made = "key long, role int, doc_id long, line int"
+    variants = narrowed(texts, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_variants, made)
+    variants = tables.write(variants.unionAll(short.mapInArrow(_whole_variants, made)), "variants")
+    for name in ("near", "wanted", "short"):
         tables.drop(name)
     place = F.struct("doc_id", "line")
     least = variants.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, place)).alias(f"m{r}") for r in range(3)), F.max(place).alias("most"))

@@ -55,6 +55,49 @@ def test_lines_of_odd_rows(spark, docs):
     assert linededup.dedup_lines(spark, docs([])).count() == 0
 
 
+def brute_all_lines(rows):
+    """As brute_lines, but every line counts that is not blank, however short."""
+    before, out = [], {}
+    for i, text in sorted(rows):
+        kept = []
+        for line in text.split("\n"):
+            if not line.strip() or not any(near(line, other) for other in before):
+                kept.append(line)
+            if line.strip():
+                before.append(line)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
+
+
+def test_lines_of_any_length_equal_brute_force(spark, docs):
+    rnd = random.Random(16)
+    made = lambda n: "".join(rnd.choice("abcdefghé中") for _ in range(n))
+    lines = [made(n) for n in range(1, 36) for _ in range(3)]
+
+    def edited(line):
+        for _ in range(rnd.choice([0, 1, 1, 2])):
+            p = rnd.randrange(len(line) + 1)
+            line = rnd.choice([line[:p] + line[p + 1 :], line[:p] + "z" + line[p:], line[:p] + "y" + line[p + 1 :]])
+        return line
+
+    rows = [(i, "\n".join(edited(rnd.choice(lines)) for _ in range(rnd.randrange(0, 8)))) for i in range(120)]
+    rows += [(200, "All rights reserved.\n\n \t\n\u3000\n"), (201, "All rights reserved.\n\n \t\n\u3000\nAll rights reserved"), (202, "\u2028\nx\u3000y z q w e r t\nx\u3000y z q w e r")]
+    # pairs on both sides of every bound between units
+    for n in range(1, 60):
+        line, p = made(n + 1), rnd.randrange(n + 1)
+        rows.append((300 + n, f"{line}\n{line[:p]}{line[p + 1 :]}"))
+    rnd.shuffle(rows)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark, docs(rows)).collect()}
+    assert got == brute_all_lines(rows)
+
+
 def brute_passages(rows):
     source = {}
     for i, text in rows:
