@@ -15,23 +15,41 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The rules, by name; the first group is the candidate.
+_NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?"
+# a value may stand on a later line, unless an assignment of its own stands there
+_SET = rf"(?i){_NAMES}\s*+(?:=>|=|:)(?:[^\S\n]*+(?=\S)|\s*+(?!\S*?{_NAMES}[^\S\n]*+[=:]))"
+
+
+def _quoted_value(quote: str, other: str) -> str:
+    """A value up to its closing quote, if more than `assigned` would take of it."""
+    closing = rf"(?<!(?<!\\)\\){quote}"
+    return rf"{quote}(?![^\r\n]{{0,7}}?{closing})(?=[^{quote}\r\n]*(?:[^\S\r\n]|[{other},;<>]|\\{quote}))([^\r\n]{{8,}}?){closing}"
+
+
+#: The rules, by name; the group that matches is the candidate.  They find all
+#: that `operators.scan.RULES` finds.  Where an assigned value may go on after , ; < > or, in
+#: quotes, after a blank, both readings are candidates: `assigned` and `assigned-whole`.
 RULES = {
     "aws-access-key": r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b",
-    "github-token": r"\b(gh[pousr]_[0-9A-Za-z]{36,255})\b",
-    "slack-token": r"\b(xox[abprs]-[0-9A-Za-z-]{10,250})",
+    "github-token": r"\b(gh[pousr]_[0-9A-Za-z]{36,})",
+    "slack-token": r"\b(xox[abprs]-[0-9A-Za-z-]{10,})",
+    "google-key": r"\b(AIza[0-9A-Za-z_-]{35})",
     "jwt": r"\b(eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})",
     "private-key": r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)",
-    "assigned": r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?([^\s\"',;<>]{8,200})",
+    "assigned": _SET + r"[\"']?([^\s\"',;<>]{8,})",
+    "assigned-whole": _SET + rf"(?:{_quoted_value('\"', "'")}|{_quoted_value("'", '\"')}|[\"']?((?=[^\s\"']*[,;<>])[^\s\"']{{8,}}))",
 }
+GROUPS = {"assigned-whole": 3}
 #: Of each rule the strings of which a text must hold one; checked before the pattern.
 HINTS = {
     "aws-access-key": ["AKIA", "ASIA"],
     "github-token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
     "slack-token": ["xox"],
+    "google-key": ["AIza"],
     "jwt": ["eyJ"],
     "private-key": ["PRIVATE KEY-----"],
     "assigned": ["pass", "pwd", "secret", "token", "api", "access", "auth"],
+    "assigned-whole": ["pass", "pwd", "secret", "token", "api", "access", "auth"],
 }
 #: Common words and fillers that stand in values which are no secrets.
 DICTIONARY = ["password", "passwd", "secret", "token", "example", "sample", "placeholder", "changeme", "change", "your", "test", "dummy", "none", "null", "true", "false", "config", "settings", "environ", "value", "string", "default", "insert", "here", "user", "admin", "key", "name", "the", "and", "with", "xxxx", "****", "1234", "abcd", "todo", "required", "hidden", "redacted", "undefined"]
@@ -57,7 +75,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("small", F.lower("text"))
     found = []
     for rule, pattern in RULES.items():
-        where = F.col("small") if rule == "assigned" else F.col("text")
+        where = F.col("small") if rule.startswith("assigned") else F.col("text")
         hinted = None
         for hint in HINTS[rule]:
             one = F.contains(where, F.lit(hint))
@@ -71,7 +89,8 @@ def candidates(documents: DataFrame) -> DataFrame:
         'next', locate(f.span, text, if(a.rule = f.rule, a.next, 1)) + length(f.span),
         'out', concat(a.out, array(locate(f.span, text, if(a.rule = f.rule, a.next, 1)))))).out"""
     each = rows.withColumn("places", F.expr(fold)).select("doc_id", "path", "text", F.posexplode(F.arrays_zip("found", "places")).alias("turn", "m"))
-    value = F.coalesce(*(F.when(F.col("m.found.rule") == rule, F.regexp_extract("m.found.span", pattern, 1)) for rule, pattern in RULES.items()))
+    parts = {rule: [F.regexp_extract("m.found.span", pattern, i + 1) for i in range(GROUPS.get(rule, 1))] for rule, pattern in RULES.items()}
+    value = F.coalesce(*(F.when(F.col("m.found.rule") == rule, F.concat(*found)) for rule, found in parts.items()))
     span, place = F.col("m.found.span"), F.col("m.places")
     start = F.greatest(place - CONTEXT, F.lit(1))
     return each.withColumn("value", value).where("value <> ''").select(
@@ -105,9 +124,9 @@ def features(findings: DataFrame) -> DataFrame:
         (1 - F.length("rest") / size).alias("covered"),
         F.lower("path").rlike("|".join(QUIET_PATHS)).cast("double").alias("quiet_path"),
         F.col("near").rlike("|".join(w.replace(".", r"\.") for w in NEAR_WORDS)).cast("double").alias("near_filler"),
-        (F.col("rule") == "assigned").cast("double").alias("assigned"),
+        F.col("rule").startswith("assigned").cast("double").alias("assigned"),
         value.rlike("^[0-9a-f]{16,}$").cast("double").alias("hexadecimal"),
-        (F.col("rule") != "assigned").cast("double").alias("shaped"),
+        (~F.col("rule").startswith("assigned")).cast("double").alias("shaped"),
     )
 
 

@@ -7,6 +7,7 @@ import pytest
 from cases import ODD
 
 from loomnote.llm import ann, quality, secrets, toxicity, urlfilter
+from loomnote.operators import scan
 
 
 def toxic_corpus(n=400):
@@ -89,6 +90,43 @@ def test_secrets_places_and_odd_rows(spark, docs):
     assert secrets.scan(spark.createDataFrame([(1, key)], "doc_id long, text string"), model).count() == 1
 
 
+def test_secret_candidates_hold_what_a_scan_finds(spark, docs):
+    body = "Q3eGrXuZ7nBv2LwS9dKfJhYt"
+    long = body * 20
+    cases = {
+        f"AIza{body}{body[:11]}": f"AIza{body}{body[:11]}",
+        f"ghp_{long}_x": f"ghp_{long}",
+        f"xoxb-{long}": f"xoxb-{long}",
+        "password = hunter2hunter2": "hunter2hunter2",
+        "password        =      hunter2hunter2": "hunter2hunter2",
+        "password=P@ss,w0rd!x": "P@ss,w0rd!x",
+        "password = ab,cd;ef<gh>ij": "ab,cd;ef<gh>ij",
+        f"token: {long}": long,
+        'secret = "two words; \\"and\\" more"': 'two words; \\"and\\" more',
+        "api_key => 'it is \"long\" enough'": 'it is "long" enough',
+        'passwd="hunter2,hunter2 and no end': "hunter2,hunter2",
+        "token:\n    password = hunter2hunter2": "hunter2hunter2",
+        "secret:\nQUJDREVGR0g=": "QUJDREVGR0g=",
+        "password: hunter2hunter2, then": "hunter2hunter2",
+        "password=abcdefg1,token=hijklmn2": "hijklmn2",
+        'token="ab", other="cdefgh"': None,
+        "token:" + " " * 50_000 + "\n" + " " * 50_000: None,
+    }
+    rows = list(enumerate(cases))
+    found = {}
+    for r in secrets.candidates(docs(rows)).collect():
+        found.setdefault(r.doc_id, set()).add(r.value)
+        assert dict(rows)[r.doc_id][r["at"] :].startswith(r.value)
+    for i, text in rows:
+        value = cases[text]
+        assert value in found[i] if value is not None else i not in found, text[:80]
+    rnd = random.Random(9)
+    parts = ["password", "api_key", "token", "=", ":", " ", "    ", "'", '"', ",", ";", "<", "\\", "abcdefgh", "x1Y2", "\t", "é"]
+    table = docs([(i, "".join(rnd.choice(parts) for _ in range(14))) for i in range(3000)])
+    wanted = {r.doc_id for r in scan.findings(table).collect()}
+    assert len(wanted) > 100 and wanted <= {r.doc_id for r in secrets.candidates(table).collect()}
+
+
 def brute_rule(url, rules):
     import re
 
