@@ -204,12 +204,30 @@ def titles(members: DataFrame) -> DataFrame:
     return sizes.join(best, "community", "left").join(fullest, "community", "left").select("community", F.coalesce("by_half", "by_most", "name").alias("title"))
 
 
-def unique_titles(named: DataFrame) -> DataFrame:
-    """Titles that several communities share get their community in brackets."""
+def unique_titles(named: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Titles that several communities share get their community in brackets.
+
+    With members (community, path) such titles are extended first, by the two most common
+    path segments that follow at their depth; only those still shared get the brackets.
+    """
+    if members is not None:
+        named = _extended(named, members)
     shared = named.groupBy("title").agg(F.count("*").alias("n")).where("n > 1").select("title", F.lit(True).alias("shared"))
     return named.join(shared, "title", "left").select("community", F.when(F.col("shared"), F.concat("title", F.lit(" ("), F.col("community").cast("string"), F.lit(")"))).otherwise(F.col("title")).alias("title"))
 
 
+def _extended(named: DataFrame, members: DataFrame) -> DataFrame:
+    shared = named.groupBy("title").agg(F.count("*").alias("n")).where("n > 1").select("title")
+    depth = F.size(F.split("title", "/"))
+    rows = members.join(named.join(shared, "title", "left_semi"), "community").withColumn("segment", F.get(F.split("path", "/"), depth))
+    counts = rows.where("segment is not null").withColumn("segment", F.regexp_replace("segment", r"\.md\z", "")).groupBy("community", "segment").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("community").orderBy(F.desc("c"), "segment")
+    top = counts.withColumn("turn", F.row_number().over(order)).where("turn <= 2")
+    more = top.groupBy("community").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", "segment")))["segment"], ", ").alias("more"))
+    title = F.coalesce(F.concat("title", F.lit("/"), "more", F.lit("…")), F.col("title"))
+    return named.join(more, "community", "left").select("community", title.alias("title"))
+
+
 def vote(neighbours: DataFrame, placed: DataFrame) -> DataFrame:
     """node, community, weight: where a node's neighbours (a, b, score) mostly are; ties: smallest."""
     sums = neighbours.join(placed.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.round(F.sum("score"), 6).alias("weight"))

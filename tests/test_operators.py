@@ -271,3 +271,19 @@ def test_cached_embedder_and_progress(spark):
     assert embed("a") == [1.0, 2.0] and calls == ["a"]
     rows = spark.createDataFrame([("a", [1.0]), ("b", None), ("c", None), ("d", [2.0])], "chunk_id string, vec array<double>")
     assert tuple(search.embedding_progress(rows, 0, 4).first()) == (2, 4, 0.5, 4.0)
+
+
+def test_shared_titles_are_extended_by_segments(spark):
+    paths = {
+        1: ["p/a/1.md", "p/a/2.md", "p/b/3.md", "p/c/4.md", "p/c/5.md"],
+        2: ["p/b/1.md", "p/x.md", "p/x.md"],
+        3: ["q/1.md", "q/2.md"],
+        4: ["r/s/1.md", "r/t/2.md"],
+        5: ["r/t/3.md", "r/s/4.md"],
+        6: ["lone.md"],
+        7: ["lone.md"],
+    }
+    members = spark.createDataFrame([(c, p) for c, ps in paths.items() for p in ps], "community long, path string")
+    named = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, "r"), (5, "r"), (6, "lone"), (7, "lone")], "community long, title string")
+    got = {r.community: r.title for r in graph.unique_titles(named, members).collect()}
+    assert got == {1: "p/a, c…", 2: "p/x, b…", 3: "q", 4: "r/s, t… (4)", 5: "r/s, t… (5)", 6: "lone (6)", 7: "lone (7)"}
