@@ -150,13 +150,18 @@ def _side(rows: DataFrame, mark: str, *more: str) -> DataFrame:
     return rows.select("key", *(F.col(c).alias(f"{c}{mark}") for c in ("id", "n", *MARKS, *more)))
 
 
+def _sums(elements: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each document's set; with its size they tell sets apart."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(bt.mix(elements + np.uint64(seed)))]) for seed in (0x1B873593, 0xCC9E2D51)]
+    return [s[starts[1:]] - s[starts[:-1]] for s in sums]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in bt.chunks(batch.column("text")):
             elements, starts = shingles(chunk)
             sizes = np.diff(starts)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(bt.mix(elements + np.uint64(seed)))]) for seed in (0x1B873593, 0xCC9E2D51)]
-            one, two = (s[starts[1:]] - s[starts[:-1]] for s in sums)
+            one, two = _sums(elements, starts)
             signed = signatures(elements, starts)
             keys = bands(signed).view(np.int64)
             odd = parities(elements, starts).view(np.int64)
@@ -174,7 +179,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in bt.chunks(batch.column("text")):
             elements, starts = shingles(chunk)
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(elements.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, chunk.rows), pa.array(np.diff(starts)), lists], names=["doc_id", "n", "elements"])
+            sums = [pa.array(s.view(np.int64)) for s in _sums(elements, starts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, chunk.rows), pa.array(np.diff(starts)), *sums, lists], names=["doc_id", "n", "s1", "s2", "elements"])
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -186,8 +192,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, tables: Tables, name: str) -> D
     pairs = tables.write(pairs, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # rows that share the id of a class but not its set are told apart by the set's size and sums
-    rows = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, elements array<long>")
-    sets = tables.write(rows.dropDuplicates(["doc_id", "n"]), f"{name}-sets")
+    rows = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, s1 long, s2 long, elements array<long>")
+    sets = tables.write(rows.dropDuplicates(["doc_id", "n", "s1", "s2"]), f"{name}-sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
     joined = pairs.join(two, "b").join(one, "a")

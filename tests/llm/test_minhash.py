@@ -99,3 +99,11 @@ def test_components_of_a_long_chain(spark):
     frame = spark.createDataFrame(edges, "u long, v long").repartition(8)
     got = {r.node: r.component for r in components(frame, Tables(spark), "chain").collect()}
     assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000
+
+
+def test_rows_of_one_id_and_size_keep_all_links(spark, docs):
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, near(one)), (7, near(two)), (8, "alone " * 9)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, docs(rows)).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8}
