@@ -7,13 +7,16 @@ a smaller line number.  An edit is one character put in, left out or exchanged.
 1. Equal lines are grouped by a 128-bit hash; only the earliest of each goes on.
 2. One edit leaves three of a line's four blocks as they are.  Each line emits four
    keys, one without each block; a line that shares none of them has no neighbour.
-3. The others emit, for a shared key, every variant of the left-out block that lacks one
+3. For a shared key, the left-out block is cut in four again: of the lines that share a
+   block key each emits four finer keys, which leave a sixteenth of the line out.  Lines of
+   many words that differ in a whole word part here, before anything is emitted by character.
+4. The others emit, for a shared finer key, every variant of the left-out part that lacks one
    character, with its place for an exchange and without for an insertion.  Equal variants
    are joined; each line is compared with the earliest one of each variant only, which is
    enough, as all lines of a variant are neighbours.
-4. Lines of fewer than `BLOCK_CHARS` characters have no four blocks.  Their text is carried
+5. Lines of fewer than `BLOCK_CHARS` characters have no four blocks.  Their text is carried
    along and each emits the variants of the whole line.
-5. Pairs are confirmed by the edit distance of the lines themselves.
+6. Pairs are confirmed by the edit distance of the lines themselves.
 """
 
 from __future__ import annotations
@@ -90,8 +93,8 @@ class Lines:
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1])
         return np.sort(which[order[new]])
 
-    def blocks(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Lines without a block: line, key, and the left-out block's start and end.
+    def blocks(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Lines without a block: line, key, the left-out block's start and end, and the blocks' unit.
 
         The blocks' unit follows the longer line of a pair, so a line that would get
         another unit if it were one longer emits keys for that too.
@@ -104,7 +107,20 @@ class Lines:
             for j in range(BLOCKS):
                 head, tail = s + j * units, e - (BLOCKS - 1 - j) * units
                 key = bt.mix(self.raw(s, head) * _K[1] + self.raw(tail, e) * _K[2] + units.astype(np.uint64) * _K[3] + np.uint64(j))
-                yield chosen, key, head, tail
+                yield chosen, key, head, tail, units
+
+    def parts(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Lines without a part of a block: line, the block's key, finer key, and the part's start and end.
+
+        The block of the shorter of two lines may lack one character of four parts; its
+        parts then overlap there, and a left-out part may be empty.
+        """
+        for line, key, head, tail, units in self.blocks(which):
+            unit = units // BLOCKS
+            for i in range(BLOCKS):
+                start, end = head + i * unit, tail - (BLOCKS - 1 - i) * unit
+                rest = self.raw(head, start) * _K[1] + self.raw(end, tail) * _K[2]
+                yield line, key, bt.mix(rest + key * _K[3] + np.uint64(i + BLOCKS)), start, end
 
     def variants(self, key: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For left-out blocks: entry, role and key of each variant.
@@ -144,30 +160,59 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[which], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(lines.size[which], pa.int32()), keys, pa.array(bodies, pa.string())], names=["doc_id", "line", "h1", "h2", "n", "keys", "body"])
 
 
+def _asked(batch: pa.RecordBatch, chunk: bt.Chunk, lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, key and roles of each entry of the rows' lists `wanted`."""
+    wanted = batch.column("wanted").slice(chunk.first, chunk.rows)
+    asked = wanted.flatten()
+    row = np.repeat(np.arange(chunk.rows), np.asarray(wanted.value_lengths()))
+    line = lines.first[row] + np.asarray(asked.field("line"))
+    own = line < lines.first[row + 1]  # another row of the same doc_id may be meant
+    return line[own], np.asarray(asked.field("key")).view(np.uint64)[own], np.asarray(asked.field("roles"))[own]
+
+
+def _allowed(have: tuple[np.ndarray, np.ndarray], line: np.ndarray, keys: np.ndarray, roles: np.ndarray) -> np.ndarray:
+    """The roles that are wanted of each pair (line, key) at hand; 0: none."""
+    pairs, want = np.rec.fromarrays(have), np.rec.fromarrays([line, keys])
+    _, code = np.unique(np.concatenate([pairs, want]), return_inverse=True)
+    allowed = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int32)
+    np.bitwise_or.at(allowed, code[len(pairs) :], roles)
+    return allowed[code[: len(pairs)]]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the lines and block keys that each row's list `wanted` names: key (finer), n, h1, doc_id, line."""
+    for batch in batches:
+        for chunk in bt.chunks(batch.column("text")):
+            lines = Lines(chunk)
+            asked = _asked(batch, chunk, lines)
+            if not len(asked[0]):
+                continue
+            line, block, key = (np.concatenate(x) for x in list(zip(*lines.parts(np.unique(asked[0])), strict=True))[:3])
+            hit = _allowed((line, block), *asked) > 0
+            line, key = line[hit], key[hit]
+            one, _ = lines.hashes(line)
+            for i in range(0, len(key), 200_000):
+                cut = slice(i, i + 200_000)
+                ids = batch.column("doc_id").take(pa.array(chunk.first + lines.row[line[cut]]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[cut].view(np.int64)), pa.array(lines.size[line[cut]], pa.int32()), pa.array(one[cut].view(np.int64)), ids, pa.array(lines.number[line[cut]], pa.int32())], names=["key", "n", "h1", "doc_id", "line"])
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The variants of the lines and keys that each row's list `wanted` names."""
+    """The variants of the lines and finer keys that each row's list `wanted` names."""
     for batch in batches:
         for chunk in bt.chunks(batch.column("text")):
             lines = Lines(chunk)
-            wanted = batch.column("wanted").slice(chunk.first, chunk.rows)
-            asked = wanted.flatten()
-            row = np.repeat(np.arange(chunk.rows), np.asarray(wanted.value_lengths()))
-            line = lines.first[row] + np.asarray(asked.field("line"))
-            keys, roles = np.asarray(asked.field("key")).view(np.uint64), np.asarray(asked.field("roles"))
-            parts = list(lines.blocks(np.unique(line)))
-            have = np.rec.fromarrays([np.concatenate([p[0] for p in parts] or [line]), np.concatenate([p[1] for p in parts] or [keys])])
-            want = np.rec.fromarrays([line, keys])
-            _, code = np.unique(np.concatenate([have, want]), return_inverse=True)
-            allowed = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int32)
-            np.bitwise_or.at(allowed, code[len(have) :], roles)
-            allowed = allowed[code[: len(have)]]
+            asked = _asked(batch, chunk, lines)
+            if not len(asked[0]):
+                continue
+            line, _, key, head, tail = (np.concatenate(x) for x in zip(*lines.parts(np.unique(asked[0])), strict=True))
+            allowed = _allowed((line, key), *asked)
             hit = allowed > 0
-            head, tail = (np.concatenate([p[i] for p in parts])[hit] if parts else line for i in (2, 3))
-            entry, role, key = lines.variants(have["f1"][hit], head, tail)
+            entry, role, variant = lines.variants(key[hit], head[hit], tail[hit])
             fits = allowed[hit][entry] >> role & 1 == 1
-            entry, role, key = entry[fits], role[fits], key[fits]
-            at = have["f0"][hit][entry]
-            yield from _placed(key, role, batch.column("doc_id"), chunk.first + lines.row[at], pa.array(lines.number, pa.int32()), at)
+            entry, role, variant = entry[fits], role[fits], variant[fits]
+            at = line[hit][entry]
+            yield from _placed(variant, role, batch.column("doc_id"), chunk.first + lines.row[at], pa.array(lines.number, pa.int32()), at)
 
 
 def _placed(key: np.ndarray, role: np.ndarray, ids: pa.Array, row: np.ndarray, numbers: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -216,6 +261,18 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bt.release()
 
 
+def _wanted(rows: DataFrame) -> DataFrame:
+    """doc_id and the list (line, key, roles) of the lines that share their key with a different line they may be one edit from.
+
+    An exchange needs another line of the same length, an insertion one that differs by one.
+    """
+    sizes = rows.groupBy("key", "n").agg((F.min("h1") != F.max("h1")).alias("equal"))
+    one_less, one_more = (sizes.select("key", (F.col("n") + d).alias("n"), F.lit(True).alias(name)) for d, name in ((1, "longer"), (-1, "shorter")))
+    roles = sizes.join(one_less, ["key", "n"], "left").join(one_more, ["key", "n"], "left").fillna(False, ["longer", "shorter"])
+    roles = roles.where("equal or longer or shorter").select("key", "n", (F.col("equal").cast("int") + 2 * F.col("longer").cast("int") + 4 * F.col("shorter").cast("int")).alias("roles"))
+    return rows.join(roles, ["key", "n"]).groupBy("doc_id").agg(F.collect_set(F.struct("line", "key", "roles")).alias("wanted"))
+
+
 def later_lines(spark: SparkSession, documents: DataFrame, tables: Tables) -> DataFrame:
     """doc_id, line: the lines, each document's first of their kind, that have an earlier neighbour."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -234,17 +291,15 @@ def later_lines(spark: SparkSession, documents: DataFrame, tables: Tables) -> Da
     shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
     near = tables.write(keys.join(shared, "key"), "near")
     tables.drop("keys")
-    # an exchange needs another line of the same length, an insertion one that differs by one
-    sizes = near.groupBy("key", "n").agg((F.min("h1") != F.max("h1")).alias("equal"))
-    one_less, one_more = (sizes.select("key", (F.col("n") + d).alias("n"), F.lit(True).alias(name)) for d, name in ((1, "longer"), (-1, "shorter")))
-    roles = sizes.join(one_less, ["key", "n"], "left").join(one_more, ["key", "n"], "left").fillna(False, ["longer", "shorter"])
-    roles = roles.where("equal or longer or shorter").select("key", "n", (F.col("equal").cast("int") + 2 * F.col("longer").cast("int") + 4 * F.col("shorter").cast("int")).alias("roles"))
-    wanted = near.join(roles, ["key", "n"]).groupBy("doc_id").agg(F.collect_set(F.struct("line", "key", "roles")).alias("wanted"))
-    wanted = tables.write(wanted, "wanted")
+    wanted = tables.write(_wanted(near), "wanted")
+    tables.drop("near")
+    finer = narrowed(texts, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_parts, "key long, n int, h1 long, doc_id long, line int")
+    finer = tables.write(finer, "finer")
+    asked_of = tables.write(_wanted(finer), "parts")
     made = "key long, role int, doc_id long, line int"
-    variants = narrowed(texts, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_variants, made)
+    variants = narrowed(texts, asked_of, "doc_id").join(asked_of, "doc_id").mapInArrow(_variants, made)
     variants = tables.write(variants.unionAll(short.mapInArrow(_whole_variants, made)), "variants")
-    for name in ("near", "wanted", "short"):
+    for name in ("wanted", "finer", "parts", "short"):
         tables.drop(name)
     place = F.struct("doc_id", "line")
     least = variants.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, place)).alias(f"m{r}") for r in range(3)), F.max(place).alias("most"))
@@ -274,9 +329,7 @@ def dedup_lines(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """
     tables = Tables(spark)
     found = later_lines(spark, documents, tables)
-    gone = tables.write(found.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone").select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))
-    for name in ("equal", "pairs", "asked", "bodies"):
-        tables.drop(name)
+    gone = tables.finish(found.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))).select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))
     # numbered names: Spark's own hand-over does not take every column name
     names = [c for c in documents.columns if c not in ("__lines", "__removed")]
     plain = documents.select(*quoted(names)).toDF(*(f"c{i}" for i in range(len(names))))
