@@ -1,15 +1,19 @@
 """Nearest neighbours by score-aware quantisation, four-bit table scans and exact reranking.
 
 Vectors are scaled to length one, so that the largest inner product is the largest
-cosine.  A vector is its nearest centre plus a remainder; the remainder's length is kept
-as it is and its direction is quantised, so tight clusters are told apart as finely as
-loose ones.  Each pair of dimensions gets sixteen codewords for that, fitted on a bounded sample with
+cosine.  A coarse centre divides the rows into cells, whose number grows with the table;
+a vector is its cell's centre plus a remainder.  The remainder's length is kept as it is
+and its direction is quantised, so tight cells are told apart as finely as loose ones.
+Each pair of dimensions gets sixteen codewords for that, fitted on a bounded sample with
 an anisotropic loss: the part of a residual parallel to its vector, which shifts the
 inner products with the vector's likely queries, weighs more than the part across it.
-A code is four bits a pair of dimensions.  For a block of queries a table holds the
-product of each query with each codeword; scanning a block of codes adds table entries.
-Each scan hands on its best candidates only, and those are rescored on the original
-vectors in double precision.
+A code is four bits a pair of dimensions.
+
+A cell's rows lie in blocks of bounded size, and each query goes to the blocks of its
+`PROBES` nearest cells.  A table holds the product of each query with each codeword; a
+scan adds table entries.  The best of a block by the scan are rescored on the original
+vectors in double precision, and after them every row whose estimate could still reach
+the k-th score, so ties and near ties are never cut.  Each block hands on k rows a query.
 
 Equal vectors form a class of which the smallest ids alone take part: a query needs no
 more than `k + 1` of them.
@@ -26,37 +30,50 @@ from pyspark.sql import functions as F
 
 from loomnote.llm.shared import Tables
 
-#: Codebooks are fitted on at most so many vectors, those of lowest hash; every row is indexed.
+#: Centres and codebooks are fitted on at most so many vectors, those of lowest hash; every row is indexed.
 SAMPLE = 20_000
 WIDTH = 2
 WORDS = 16
-CENTRES = 128
+#: There is a cell for so many rows, up to one for eight vectors of the sample.
+CELL_ROWS = 1024
+PROBES = 16
 PARALLEL = 4.0
 ROUNDS = 8
-CANDIDATES = 200
+#: The best of a block that are rescored first; how many follow depends on their scores.
+CANDIDATES = 64
+#: Standard errors of an estimate within which a row is rescored too.
+WIDE = 4.0
 QUERY_BLOCK = 512
-CODE_BLOCK = 8192
-#: A task keeps the best candidates of its query blocks up to this size before it hands them on.
-HELD_BYTES = 64 << 20
+CODE_BLOCK = 2048
+PAIRS = 16_384
+_CELLS = 1 << 24
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
-    rows = rows.astype(np.float64)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which change no cosine, so that no square is too large or small."""
+    _, power = np.frexp(np.abs(rows).max(axis=1, initial=0.0))
+    return np.ldexp(rows, -power[:, None])
+
+
 class Index:
     """Centres, and codebooks (blocks, WORDS, width) for the directions of remainders."""
 
-    def __init__(self, sample: np.ndarray, width: int = WIDTH, parallel: float = PARALLEL, rounds: int = ROUNDS):
+    def __init__(self, sample: np.ndarray, cells: int = 1, width: int = WIDTH, parallel: float = PARALLEL, rounds: int = ROUNDS):
         self.width, self.parallel = width, parallel
         rows, size = sample.shape
         self.blocks = -(-size // width)
-        self.centres = sample[:: max(1, rows // CENTRES)][:CENTRES].copy() if rows else np.zeros((1, size))
-        for _ in range(rounds):
+        cells = max(1, min(cells, rows // 8))
+        self.centres = sample[np.linspace(0, rows - 1, cells).astype(int)].copy() if rows else np.zeros((1, size))
+        for _ in range(rounds if rows else 0):
             near = self.nearest(sample)
-            for c in np.unique(near):
-                self.centres[c] = sample[near == c].mean(axis=0)
+            count = np.bincount(near, minlength=cells)
+            total = np.zeros_like(self.centres)
+            np.add.at(total, near, sample)
+            self.centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], self.centres)
         self.books = np.zeros((self.blocks, WORDS, width))
         if not rows:
             return
@@ -66,7 +83,17 @@ class Index:
             self.books[b] = self._book(parts[:, b], shares[:, b], rounds)
 
     def nearest(self, rows: np.ndarray) -> np.ndarray:
-        return ((self.centres**2).sum(axis=1) - 2 * rows @ self.centres.T).argmin(axis=1)
+        return self.probes(rows, 1)[:, 0]
+
+    def probes(self, rows: np.ndarray, number: int) -> np.ndarray:
+        """The numbers of each row's nearest centres (in no order)."""
+        number = min(number, len(self.centres))
+        found = np.zeros((len(rows), number), np.int64)
+        square = (self.centres**2).sum(axis=1)
+        for i in range(0, len(rows), 1024):
+            far = square - 2 * rows[i : i + 1024] @ self.centres.T
+            found[i : i + 1024] = np.argpartition(far, number - 1, axis=1)[:, :number]
+        return found
 
     def split(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each row's centre, and its remainder's length and direction."""
@@ -97,17 +124,19 @@ class Index:
         along = np.einsum("nwd,nd->nw", residual, share)
         return ((residual**2).sum(axis=2) + (self.parallel - 1) * along**2).argmin(axis=1)
 
-    def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Centre (a byte), remainder's length, and codes, two a byte."""
-        near, length, direction = self.split(rows)
-        parts, shares = self._cut(direction), self._cut(rows)
+    def encode(self, rows: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Remainder's length, length of what the code leaves of it, and codes, two a byte."""
+        rest = rows - self.centres[near]
+        length = np.linalg.norm(rest, axis=1)
+        parts, shares = self._cut(rest / np.maximum(length, 1e-12)[:, None]), self._cut(rows)
         codes = np.stack([self._choose(parts[:, b], shares[:, b], self.books[b]) for b in range(self.blocks)], axis=1).astype(np.uint8)
+        left = ((parts - self.books[np.arange(self.blocks), codes]) ** 2).sum(axis=(1, 2))
         if self.blocks % 2:
             codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
-        return near.astype(np.uint8), length.astype(np.float32), codes[:, ::2] << 4 | codes[:, 1::2]
+        return length.astype(np.float32), (length * np.sqrt(left)).astype(np.float32), codes[:, ::2] << 4 | codes[:, 1::2]
 
-    def scan(self, queries: np.ndarray, near: np.ndarray, length: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Approximate products (queries, rows), two four-bit look-ups a byte of code."""
+    def scan(self, queries: np.ndarray, cell: int, length: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Estimated products (queries, rows of a cell), two four-bit look-ups a byte of code."""
         table = np.einsum("qbd,bwd->bqw", self._cut(queries), self.books).astype(np.float32)
         if self.blocks % 2:
             table = np.concatenate([table, np.zeros_like(table[:1])])
@@ -115,7 +144,30 @@ class Index:
         for b in range(codes.shape[1]):
             both = (table[2 * b][:, :, None] + table[2 * b + 1][:, None, :]).reshape(len(queries), WORDS * WORDS)
             out += both[:, codes[:, b]]
-        return out * length + (queries @ self.centres.T).astype(np.float32)[:, near]
+        return out * length + (queries @ self.centres[cell]).astype(np.float32)[:, None]
+
+
+def by_size(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a column of vectors each length, the rows that have it, and their values, scaled."""
+    flat = np.asarray(column.flatten(), dtype=np.float64)
+    sizes = np.asarray(column.value_lengths()).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield size, rows, scaled(flat[starts[rows][:, None] + np.arange(size)])
+
+
+class Space:
+    """An index for each length of vectors in the sample; other lengths form one cell each."""
+
+    def __init__(self, sample: pa.Array, total: int):
+        self.by: dict[int, Index] = {}
+        for size, rows, data in by_size(sample):
+            share = total * len(rows) // len(sample)
+            self.by[size] = Index(unit(data), -(-share // CELL_ROWS))
+
+    def of(self, size: int) -> Index:
+        return self.by.get(size) or Index(np.zeros((0, size)))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -130,100 +182,127 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(fine & F.exists("x", lambda v: v != 0))
 
 
-def search(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = CANDIDATES) -> DataFrame:
+def cosine(q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (q * y).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+
+
+def _numbers(value: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _binary(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays]
+
+
+def nearest_of_block(index: Index, cell: int, k: int, asked: tuple[np.ndarray, ...], block: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Query row, vec_id and score of each query's k best rows of a block.
+
+    asked: the queries' row numbers and vectors; block: row numbers, vec_ids, remainder
+    lengths, error lengths, codes and vectors.
+    """
+    rows, ids, length, error, codes, y = block
+    slack = WIDE / np.sqrt(y.shape[1]) * error + 1e-6
+    for at in range(0, len(asked[0]), 64):
+        own, q = asked[0][at : at + 64], asked[1][at : at + 64]
+        estimate = index.scan(unit(q), cell, length, codes)
+        other = own[:, None] != rows[None]
+        estimate[~other] = -np.inf
+        first = np.argpartition(-estimate, min(CANDIDATES, len(rows)) - 1, axis=1)[:, :CANDIDATES]
+        near = np.zeros(estimate.shape, bool)
+        np.put_along_axis(near, first, True, axis=1)
+        score = np.full(estimate.shape, -np.inf)
+
+        def rescore(chosen: np.ndarray, q=q, score=score) -> None:
+            one, two = np.nonzero(chosen)
+            for i in range(0, len(one), PAIRS):
+                a, b = one[i : i + PAIRS], two[i : i + PAIRS]
+                score[a, b] = cosine(q[a], y[b])
+
+        rescore(near & other)
+        least = -np.partition(-score, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+        rescore((estimate + slack >= least[:, None]) & other & ~near)
+        least = -np.partition(-score, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+        one, two = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        order = np.lexsort((rows[two], ids[two], -score[one, two], one))
+        one, two = one[order], two[order]
+        place = np.arange(len(one)) - np.searchsorted(one, one)
+        one, two = one[place < k], two[place < k]
+        yield own[one], ids[two], score[one, two]
+
+
+def search(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50, probes: int = PROBES) -> DataFrame:
     """Each query's k nearest: query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`; a query's own row is no
-    candidate for it.  Fewer candidates than k give fewer rows.  A repeated vec_id is
-    compared once, with the smallest of its vectors; vectors of another length than the
-    most frequent one take no part.
+    candidate for it.  Fewer candidates than k give fewer rows.  Rows that share a vec_id
+    are searched and found one by one, each a candidate for the others.  Vectors are
+    compared with those of their own length only.  Other columns are ignored; an empty
+    table gives no rows.
     """
     tables = Tables(spark)
-    rows = usable(vectors).groupBy("vec_id").agg(F.min("x").alias("x"))
-    rows = tables.write(rows, "rows")
-    sizes = rows.groupBy(F.size("x").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    size = sizes[0]["size"] if sizes else 0
-    rows = rows.where(F.size("x") == size)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow()
-    learned = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, max(size, 1))
-    held = spark.sparkContext.broadcast(Index(unit(learned)))
-
+    rows = tables.write(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "rows")
     # of equal vectors the k + 1 smallest ids; the window limit applies before the shuffle
-    place = Window.partitionBy("x").orderBy("vec_id")
+    place = Window.partitionBy("x").orderBy("vec_id", "row")
     leaders = rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1).drop("place")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x")
-            data = np.asarray(x.flatten()).reshape(len(batch), -1)
-            for i in range(0, len(batch), CODE_BLOCK):
-                parts = held.value.encode(unit(data[i : i + CODE_BLOCK]))
-                ids = np.asarray(batch.column("vec_id"))[i : i + CODE_BLOCK].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in (ids, *parts)], names=["ids", "near", "length", "codes"])
-
-    codes = leaders.mapInArrow(pack, "ids binary, near binary, length binary, codes binary")
-    queries = rows.where(F.col("vec_id") % every == 0)
-    total = queries.count()
-    parts = max(1, -(-total // QUERY_BLOCK))
-    blocked = queries.groupBy((F.pmod(F.xxhash64("vec_id"), F.lit(parts))).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "x")).alias("queries"))
-    spread = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<int>")))
-    # codes are a few bytes a vector; each block of them meets each block of queries once
-    met = spread.join(F.broadcast(blocked) if total * size * 8 < 8 << 20 else blocked, "block")
+    leaders = tables.write(leaders, "leaders")
+    sample = leaders.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("x").toArrow().column("x").combine_chunks()
+    sample = pa.concat_arrays(sample.chunks) if isinstance(sample, pa.ChunkedArray) else sample
+    held = spark.sparkContext.broadcast(Space(sample, leaders.count()))
+
+    def route(number: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for size, own, data in by_size(batch.column("x")):
+                    cells = held.value.of(size).probes(unit(data), number)
+                    taken = batch.take(pa.array(np.repeat(own, cells.shape[1])))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.ravel() + size * _CELLS)], names=["vec_id", "x", "row", "cell"])
+
+        return run
+
+    routed = "vec_id long, x array<double>, row long, cell long"
+    placed = tables.write(leaders.mapInArrow(route(1), routed), "placed")
+    asked = tables.write(rows.where(F.col("vec_id") % every == 0).mapInArrow(route(probes), routed), "asked")
+
+    def parts(table: DataFrame, most: int, name: str) -> DataFrame:
+        return table.groupBy("cell").agg(F.ceil(F.count("row") / most).cast("int").alias(name))
+
+    shape = tables.write(parts(placed, CODE_BLOCK, "blocks").join(parts(asked, QUERY_BLOCK, "lists"), "cell", "left"), "shape")
+
+    def encode(group: pa.Table) -> pa.Table:
+        cell = group.column("cell")[0].as_py()
+        ((size, _, data),) = by_size(group.column("x").combine_chunks())
+        parts = held.value.of(size).encode(unit(data), np.full(len(data), cell % _CELLS))
+        ids = [np.asarray(group.column(c)).astype(np.int64) for c in ("row", "vec_id")]
+        return pa.table([pa.array([cell]), group.column("lists")[:1], *_binary(*ids, *parts, data)], names=["cell", "lists", "rows", "ids", "length", "error", "codes", "y"])
+
+    def gather(group: pa.Table) -> pa.Table:
+        ((_, _, data),) = by_size(group.column("x").combine_chunks())
+        return pa.table([group.column("cell")[:1], group.column("list")[:1], *_binary(np.asarray(group.column("row")).astype(np.int64), data)], names=["cell", "list", "queries", "q"])
+
+    def dealt(number: str):
+        return F.pmod(F.xxhash64("row"), F.col(number)).cast("int")
+
+    blocks = placed.join(shape, "cell").withColumn("block", dealt("blocks"))
+    blocks = blocks.groupBy("cell", "block").applyInArrow(encode, "cell long, lists int, rows binary, ids binary, length binary, error binary, codes binary, y binary")
+    blocks = tables.write(blocks, "blocks")
+    lists = asked.join(shape, "cell").withColumn("list", dealt("lists"))
+    lists = tables.write(lists.groupBy("cell", "list").applyInArrow(gather, "cell long, list int, queries binary, q binary"), "lists")
+    # each block of a cell meets each list of the queries that probe the cell once
+    met = blocks.where("lists is not null").withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).join(lists, ["cell", "list"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-        def told() -> Iterator[pa.RecordBatch]:
-            for asked, who, value in held_best.values():
-                full = np.isfinite(value)
-                query = np.broadcast_to(asked[:, None], value.shape)[full]
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(who[full]), pa.array(value[full].astype(np.float64))], names=["query_id", "vec_id", "near"])
-            held_best.clear()
-
         for batch in batches:
-            for row in range(len(batch)):
-                ids, near, length, packed, number, asked = (c[row] for c in batch.columns)
-                own = np.frombuffer(ids.as_buffer(), np.int64)
-                coded = np.frombuffer(near.as_buffer(), np.uint8), np.frombuffer(length.as_buffer(), np.float32), np.frombuffer(packed.as_buffer(), np.uint8).reshape(len(own), -1)
-                struct = asked.values
-                query_ids = np.asarray(struct.field("vec_id"))
-                wanted = unit(np.asarray(struct.field("x").flatten()).reshape(len(query_ids), -1))
-                who = np.full((len(query_ids), candidates), -1, np.int64)
-                value = np.full((len(query_ids), candidates), -np.inf, np.float32)
-                if number.as_py() in held_best:
-                    _, who, value = held_best[number.as_py()]
-                for q in range(0, len(query_ids), 64):
-                    part = slice(q, q + 64)
-                    scores = held.value.scan(wanted[part], *coded)
-                    scores[query_ids[part][:, None] == own[None]] = -np.inf
-                    both = np.concatenate([value[part], scores], axis=1)
-                    names = np.concatenate([who[part], np.broadcast_to(own, scores.shape)], axis=1)
-                    top = np.argpartition(-both, candidates - 1, axis=1)[:, :candidates]
-                    value[part], who[part] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
-                held_best[number.as_py()] = query_ids, who, value
-                if len(held_best) * QUERY_BLOCK * candidates * 12 > HELD_BYTES:
-                    yield from told()
-        yield from told()
-
-    found = met.select("ids", "near", "length", "codes", "block", "queries").mapInArrow(best, "query_id long, vec_id long, near double").where("query_id <> vec_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidates).select("query_id", "vec_id")
-    short = tables.write(short, "short")
-    exact = short.join(rows.select("vec_id", F.col("x").alias("y")), "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
-
-    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            y = np.asarray(batch.column("y").flatten()).reshape(len(batch), -1)
-            q = np.asarray(batch.column("q").flatten()).reshape(len(batch), -1)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(cosine(q, y))], names=["query_id", "vec_id", "score"])
-
-    scored = exact.select("query_id", "vec_id", "q", "y").mapInArrow(rescore, "query_id long, vec_id long, score double")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = scored.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-    return tables.finish(ranked.select("query_id", "rank", "vec_id", "score"))
-
-
-def cosine(q: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (q * y).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+            for cell, *block, queries, q in zip(*batch.columns, strict=True):
+                size, number = divmod(cell.as_py(), _CELLS)
+                kinds = (np.int64, np.int64, np.float32, np.float32, np.uint8, np.float64)
+                rows, ids, length, error, codes, y = (_numbers(b, kind) for b, kind in zip(block, kinds, strict=True))
+                own = rows, ids, length, error, codes.reshape(len(rows), -1), y.reshape(len(rows), size)
+                asked = _numbers(queries, np.int64), _numbers(q, np.float64).reshape(-1, size)
+                for found in nearest_of_block(held.value.of(size), number, k, asked, own):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query", "vec_id", "score"])
+
+    found = met.select("cell", "rows", "ids", "length", "error", "codes", "y", "queries", "q").mapInArrow(best, "query long, vec_id long, score double")
+    final = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    names = rows.where(F.col("vec_id") % every == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return tables.finish(ranked.join(names, "query").select("query_id", "rank", "vec_id", "score"))

@@ -171,7 +171,7 @@ def test_ann_recall_and_ties(spark):
     x = rng.normal(size=(1500, 20)) + 3 * rng.normal(size=(6, 20))[rng.integers(0, 6, 1500)]
     x[900:1300] = x[0]  # a large group of equal vectors
     rows = [(i, [float(v) for v in x[i]]) for i in range(1500)]
-    rows += [(5000, None), (5050, [0.0] * 20), (5100, [float("nan")] + [1.0] * 19), (5150, [None] + [1.0] * 19), (5200, [1.0, 2.0]), (None, [1.0] * 20), (3, rows[3][1])]
+    rows += [(5000, None), (5050, [0.0] * 20), (5100, [float("nan")] + [1.0] * 19), (5150, [None] + [1.0] * 19), (5200, [1.0, 2.0]), (None, [1.0] * 20)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("x", __import__("pyspark").sql.functions.lit(1))
     got = {}
     for r in ann.search(spark, table).collect():
@@ -192,3 +192,52 @@ def test_ann_recall_and_ties(spark):
     assert ann.search(spark, table.limit(0)).count() == 0
     few = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.search(spark, few).collect()] == [(50, 1, 1)]
+
+
+def brute_nearest(rows, k=5, every=50):
+    """Exactly the measure, row by row; rows are told apart by their place in the list."""
+    out = []
+    for i, (q, x) in enumerate(rows):
+        if q % every:
+            continue
+        others = [(v, np.array(y, float)) for j, (v, y) in enumerate(rows) if j != i and len(y) == len(x)]
+        scores = ann.cosine(np.tile(np.array(x, float), (len(others), 1)), np.array([y for _, y in others])) if others else []
+        best = sorted((-s, v) for s, (v, _) in zip(scores, others, strict=True))[:k]
+        out += [(q, n + 1, v, -s) for n, (s, v) in enumerate(best)]
+    return sorted(out)
+
+
+def test_ann_equals_brute_force_on_ties_and_odd_tables(spark):
+    rng = np.random.default_rng(11)
+    line = rng.normal(size=16)
+    rows = [(i, (line * (1 + i * 0.37)).tolist()) for i in range(600)]  # parallel, of different lengths
+    rows += [(600 + i, rng.normal(size=16).tolist()) for i in range(300)]
+    rows += [(700, rng.normal(size=16).tolist()), (700, rng.normal(size=16).tolist()), (701, rows[701][1])]  # repeated ids
+    rows += [(2000 + i, rng.normal(size=3).tolist()) for i in range(120)] + [(3000, [1.0, 2.0]), (3050, [1e300] * 4), (3051, [1e-300, 1e-300, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("row", "cell", "x", "score", "lists", "query"):
+        table = table.withColumn(name, table["vec_id"].cast("string"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(spark, table.repartition(5)).collect())
+    want = [(q, n, v, s if q < 3050 else pytest.approx(s)) for q, n, v, s in brute_nearest([(v, x) for v, x in rows if v < 3050])]
+    want += [(3050, 1, 3051, pytest.approx(2 / (2 * 2**0.5)))]
+    assert got == want
+
+
+def test_ann_widens_until_the_kth_is_certain():
+    """A block in which more rows lie near the k-th score than are rescored at first."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=32)
+    y = ann.scaled(base + 1e-3 * rng.normal(size=(1500, 32)))
+    index = ann.Index(ann.unit(y[:200]), 1)
+    ids = np.arange(1500)
+    q = y[:8]
+    found = {}
+    for query, vec, score in zip(*next(ann.nearest_of_block(index, 0, 5, (ids[:8], q), (ids, ids, *index.encode(ann.unit(y), np.zeros(1500, int)), y)))):
+        found.setdefault(int(query), []).append((int(vec), score))
+    hits = 0
+    for i in range(8):
+        score = ann.cosine(np.tile(q[i], (1500, 1)), y)
+        score[i] = -2
+        want = np.lexsort((ids, -score))[:5].tolist()
+        hits += len(set(want) & {v for v, _ in found[i]})
+    assert hits >= 38
