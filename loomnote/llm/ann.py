@@ -10,7 +10,9 @@ inner products with the vector's likely queries, weighs more than the part acros
 A code is four bits a pair of dimensions.
 
 A cell's rows lie in blocks of bounded size, and each query goes to the blocks of its
-`PROBES` nearest cells.  A table holds the product of each query with each codeword; a
+nearest cells: to as many as hold a share `COVER` of the true neighbours of the sample's
+own vectors, found by brute force.  Tight clusters need a few cells; vectors without any
+structure need most of them, and the search then costs what a full scan of codes does.  A table holds the product of each query with each codeword; a
 scan adds table entries.  The best of a block by the scan are rescored on the original
 vectors in double precision, and after them every row whose estimate could still reach
 the k-th score, so ties and near ties are never cut.  Each block hands on k rows a query.
@@ -35,8 +37,10 @@ SAMPLE = 20_000
 WIDTH = 2
 WORDS = 16
 #: There is a cell for so many rows, up to one for eight vectors of the sample.
-CELL_ROWS = 1024
-PROBES = 16
+CELL_ROWS = 2048
+COVER = 0.97
+#: Vectors of the sample whose neighbours decide how many cells a query probes.
+TRIED = 256
 PARALLEL = 4.0
 ROUNDS = 8
 #: The best of a block that are rescored first; how many follow depends on their scores.
@@ -75,9 +79,11 @@ class Index:
             np.add.at(total, near, sample)
             self.centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], self.centres)
         self.books = np.zeros((self.blocks, WORDS, width))
+        self.number = 1
         if not rows:
             return
-        _, _, direction = self.split(sample)
+        near, _, direction = self.split(sample)
+        self.number = self._needed(sample, near)
         shares, parts = self._cut(sample), self._cut(direction)
         for b in range(self.blocks):
             self.books[b] = self._book(parts[:, b], shares[:, b], rounds)
@@ -102,6 +108,16 @@ class Index:
         length = np.linalg.norm(rest, axis=1)
         return near, length, rest / np.maximum(length, 1e-12)[:, None]
 
+    def _needed(self, sample: np.ndarray, near: np.ndarray, k: int = 5) -> int:
+        """How many nearest cells hold the share COVER of the nearest vectors, over some of the sample."""
+        tried = np.unique(np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int))
+        product = sample[tried] @ sample.T
+        product[np.arange(len(tried)), tried] = -np.inf
+        best = np.argpartition(-product, min(k, len(sample) - 1), axis=1)[:, : min(k, len(sample) - 1)]
+        far = (self.centres**2).sum(axis=1) - 2 * sample[tried] @ self.centres.T
+        place = np.take_along_axis(np.argsort(np.argsort(far, axis=1), axis=1), near[best], axis=1).ravel()
+        return int(np.sort(place)[int(np.ceil(COVER * len(place))) - 1]) + 1 if len(place) else 1
+
     def _cut(self, rows: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(rows), self.blocks * self.width))
         padded[:, : rows.shape[1]] = rows
@@ -230,14 +246,15 @@ def nearest_of_block(index: Index, cell: int, k: int, asked: tuple[np.ndarray, .
         yield own[one], ids[two], score[one, two]
 
 
-def search(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50, probes: int = PROBES) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50, probes: int | None = None) -> DataFrame:
     """Each query's k nearest: query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`; a query's own row is no
     candidate for it.  Fewer candidates than k give fewer rows.  Rows that share a vec_id
     are searched and found one by one, each a candidate for the others.  Vectors are
     compared with those of their own length only.  Other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows.  `probes` is the number of cells a query goes to; by default the
+    sample decides.
     """
     tables = Tables(spark)
     rows = tables.write(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -249,11 +266,12 @@ def search(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50,
     sample = pa.concat_arrays(sample.chunks) if isinstance(sample, pa.ChunkedArray) else sample
     held = spark.sparkContext.broadcast(Space(sample, leaders.count()))
 
-    def route(number: int):
+    def route(number: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for size, own, data in by_size(batch.column("x")):
-                    cells = held.value.of(size).probes(unit(data), number)
+                    index = held.value.of(size)
+                    cells = index.probes(unit(data), number or index.number)
                     taken = batch.take(pa.array(np.repeat(own, cells.shape[1])))
                     yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.ravel() + size * _CELLS)], names=["vec_id", "x", "row", "cell"])
 
