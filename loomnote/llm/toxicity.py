@@ -1,18 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text.  The ordinary one holds the
-segments that ordinary text repeats; the toxic one holds those too, preceded by the
-segments that toxic documents repeat far more often than ordinary ones.  A window of
-text that compresses shorter with the toxic dictionary than with the ordinary one
-therefore holds toxic segments, and ordinary windows come out equal.  How much shorter,
-over the windows of a document, is calibrated on labelled documents that the
-dictionaries were not trained on.
+zstandard trains one dictionary on the windows of labelled ordinary texts and one on the
+windows of labelled toxic texts.  A window of text is compressed with the ordinary
+dictionary, and with the toxic one laid before it: what it gets shorter by is what toxic
+text has in common with it and ordinary text has not.  Toxic documents are mostly made of
+ordinary words, and so is their dictionary; ordinary windows that it shortens by chance
+are trained into a third dictionary, which both sides share, so that they no longer tell.
+How much the windows of a document are shortened is calibrated, with the threshold, on
+labelled documents that no dictionary was trained on.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,37 +27,48 @@ from loomnote.llm.shared import small_batches
 #: many characters each; every text is scored whole.
 SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 20_000
-WINDOW_BYTES = 48
-#: Ends both dictionaries and begins every window, so that each window compresses well
+WINDOW_BYTES = 100
+#: Dictionaries are trained on at most so many windows, dealt evenly over the sampled ones.
+SAMPLE_WINDOWS = 200_000
+#: Ends all dictionaries and begins every window, so that each window compresses well
 #: enough for zstandard to keep its matches, however short it is.
 PREAMBLE = b"~0123456789=abcdefghijklmnop^QRSTUVWXYZ|"
-ORDINARY_BYTES = 24_576
-TOXIC_BYTES = 8_192
-#: A segment tells of toxicity if its log odds of standing in a toxic document are higher.
-ODDS = 3.0
-PREFIX = (4, 5, 6, 7, 8, 9)
-STEPS = 8
+ORDINARY_BYTES = 65_536
+TOXIC_BYTES = 6_144
+SHARED_BYTES = 16_384
+#: Lengths, in bytes, of the pieces that training weighs and of those it takes.
+DMER, PIECE = 6, 12
+#: Rounds in which ordinary windows that the toxic dictionary shortens by two bytes are trained in.
+ROUNDS = 2
+#: A document's windows are counted by how many bytes they are shortened, from LEAST to MOST.
+LEAST, MOST = -2, 13
+#: A clean document above the threshold weighs so many times a toxic one below it.
+CLEAN_WEIGHT = 2.0
+#: A text without words scores this.
+EMPTY_SCORE = 0.01
 
 
 @dataclass
 class Model:
-    """Dictionaries, and a logistic scorer over a document's window differences."""
+    """Dictionaries, and a logistic scorer over how much a document's windows are shortened."""
 
     ordinary: bytes
     toxic: bytes
     window: int = WINDOW_BYTES
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(STEPS + 2))
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(STEPS + 1))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(STEPS + 1))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 3))
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 2))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(MOST - LEAST + 2))
 
     def compressors(self) -> tuple:
+        """For windows with the preamble: with the ordinary dictionary, and with the toxic one before it."""
+
         def one(content: bytes):
             held = zs.ZstdCompressionDict(content + PREAMBLE, dict_type=zs.DICT_TYPE_RAWCONTENT)
             settings = zs.ZstdCompressionParameters.from_level(5, min_match=4, strategy=zs.STRATEGY_LAZY2, window_log=17, hash_log=17, chain_log=17, write_content_size=False, write_dict_id=False)
             held.precompute_compress(compression_params=settings)
             return zs.ZstdCompressor(compression_params=settings, dict_data=held)
 
-        return one(self.ordinary), one(self.toxic)
+        return one(self.ordinary), one(self.toxic + self.ordinary)
 
 
 def lowered(text: str | None) -> str:
@@ -77,88 +87,59 @@ def windows(data: bytes, size: int) -> list[bytes]:
     return out
 
 
+def shortened(data: bytes, model: Model, compressors: tuple) -> np.ndarray:
+    """By how many bytes each window is shorter with the toxic dictionary."""
+    ordinary, toxic = (c.compress for c in compressors)
+    return np.array([len(ordinary(w)) - len(toxic(w)) for w in (PREAMBLE + x for x in windows(data, model.window))], np.int64)
+
+
 def measure(text: str | None, model: Model, compressors: tuple) -> np.ndarray:
-    """How many windows the toxic dictionary shortens by 1, 2, .. STEPS bytes or more; all windows."""
-    out = np.zeros(STEPS + 1)
+    """How many windows are shortened by LEAST, .. MOST - 1 bytes or more, all windows, and the mean."""
     data = lowered(text).encode("utf-8", "replace")
     if not data.strip():
-        return out
-    ordinary, toxic = (c.compress for c in compressors)
-    for window in windows(data, model.window):
-        window = PREAMBLE + window
-        saved = len(ordinary(window)) - len(toxic(window))
-        if saved > 0:
-            out[: min(saved, STEPS)] += 1
-        out[STEPS] += 1
-    return out
+        return np.zeros(MOST - LEAST + 2)
+    saved = shortened(data, model, compressors)
+    counts = np.bincount(np.clip(saved, LEAST - 1, MOST - 1) - LEAST + 1, minlength=MOST - LEAST + 1)
+    return np.concatenate([np.cumsum(counts[::-1])[::-1][1:], [len(saved), saved.mean()]])
 
 
 def _features(rows: np.ndarray) -> np.ndarray:
-    return np.log1p(rows)
-
-
-def segments(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and of the toxic dictionary, most frequent segments last.
-
-    A segment is a word with its leading blank.  The toxic part takes words that begin
-    with, or are, something in far more toxic than ordinary documents.
-    """
-
-    def frequencies(texts: list[str]) -> tuple[Counter, Counter]:
-        heads, full = Counter(), Counter()
-        for text in texts:
-            found = set(text.split())
-            full.update(found)
-            heads.update({w[:n] for w in found for n in PREFIX if len(w) >= n})
-        return heads, full
-
-    t_heads, t_words = frequencies(toxic)
-    o_heads, o_words = frequencies(ordinary)
-    nt, no = len(toxic) + 1, len(ordinary) + 1
-
-    def odds(part: str) -> float:
-        return math.log((t_heads[part] + 0.5) / nt) - math.log((o_heads[part] + 0.5) / no)
-
-    least = 5 + len(toxic) * 3 // 100
-    telling = {p: t_heads[p] * odds(p) for p in t_heads if t_heads[p] >= least and odds(p) > ODDS}
-    for word, n in t_words.items():  # a whole word that begins with no telling part may tell itself
-        if n >= least and len(word) >= min(PREFIX):
-            rate = math.log((n + 0.5) / nt) - math.log((o_words[word] + 0.5) / no)
-            if rate > ODDS:
-                telling[word] = max(telling.get(word, 0.0), n * rate)
-    value: dict[str, float] = {}
-    for part, worth in telling.items():
-        if not any(len(p) > len(part) and p.startswith(part) and w >= 0.9 * worth for p, w in telling.items()):
-            value[part] = worth
-    chosen, size = [], 0
-    for part in sorted(value, key=lambda w: (-value[w], w)):
-        piece = f" {part}".encode()
-        if size + len(piece) > TOXIC_BYTES:
-            break
-        chosen.append(piece)
-        size += len(piece)
-    common, size = [], 0
-    for word in sorted((w for w in o_words if o_words[w] > 1), key=lambda w: (-o_words[w] * len(w), w)):
-        piece = f" {word}".encode()
-        if size + len(piece) > ORDINARY_BYTES:
-            break
-        common.append(piece)
-        size += len(piece)
-    plain = b"".join(reversed(common)) or b" the quick brown fox"
-    return plain, b"".join(reversed(chosen)) + plain
+    return np.hstack([np.log1p(rows[:, :-1]), rows[:, -1:]])
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """zstandard's dictionary of the samples; where they are too few to train on, their end."""
+    if len(samples) > SAMPLE_WINDOWS:
+        samples = [samples[i] for i in np.linspace(0, len(samples) - 1, SAMPLE_WINDOWS).astype(int)]
+    try:
+        return zs.train_dictionary(size, samples, k=PIECE, d=DMER, level=3).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], window: int = WINDOW_BYTES) -> Model:
+    """Dictionaries of the windows of each class, and of the ordinary ones that the toxic one shortens."""
+    foul, clean = ([w for t in texts for w in windows(t, window)] for texts in (toxic, ordinary))
+    plain = dictionary(clean, ORDINARY_BYTES)
+    model, hard = Model(plain, dictionary(foul, TOXIC_BYTES), window), []
+    for _ in range(ROUNDS):
+        held = model.compressors()
+        saved = (held[0].compress, held[1].compress)
+        hard += [w for w in clean if len(saved[0](PREAMBLE + w)) - len(saved[1](PREAMBLE + w)) >= 2]
+        model = Model(dictionary(hard, SHARED_BYTES) + plain, model.toxic, window)
+    return model
 
 
 def fit(toxic: list[str], ordinary: list[str], window: int = WINDOW_BYTES) -> Model:
     """Train dictionaries on every other sampled document, and calibrate on the rest."""
-    toxic, ordinary = [lowered(x) for x in toxic], [lowered(x) for x in ordinary]
-    plain, foul = segments(toxic[::2], ordinary[::2])
-    model = Model(plain, foul, window)
+    toxic, ordinary = ([lowered(x).encode("utf-8", "replace") for x in texts] for texts in (toxic, ordinary))
+    model = dictionaries(toxic[::2], ordinary[::2], window)
     held = model.compressors()
-    texts = toxic[1::2] + ordinary[1::2]
     if not toxic[1::2] or not ordinary[1::2]:
-        model.weights = np.array([-4.0] + [1.0] * STEPS + [0.0])
+        model.weights[0] = -4.0  # nothing to calibrate on: windows shortened by four bytes tell
+        model.weights[1 + 4 - LEAST] = 4.0
         return model
-    x = _features(np.array([measure(t, model, held) for t in texts]))
+    x = _features(np.array([measure(t.decode("utf-8"), model, held) for t in toxic[1::2] + ordinary[1::2]]))
     y = np.concatenate([np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))])
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
     model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -175,6 +156,7 @@ def fit(toxic: list[str], ordinary: list[str], window: int = WINDOW_BYTES) -> Mo
     cuts = np.unique(margin)
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     cuts = cuts[:: max(1, len(cuts) // 500)]
+    weight = np.where(y == 1, weight, CLEAN_WEIGHT * weight)
     right = [((margin > c) == (y == 1)) @ weight for c in cuts]
     w[0] -= cuts[int(np.argmax(right))]
     model.weights = w
@@ -182,10 +164,10 @@ def fit(toxic: list[str], ordinary: list[str], window: int = WINDOW_BYTES) -> Mo
 
 
 def score(rows: np.ndarray, model: Model) -> np.ndarray:
-    """0 to 1; a text of which no window is shortened scores 0.01 at most."""
+    """0 to 1; a text without words scores EMPTY_SCORE."""
     z = (_features(rows) - model.centre) / model.scale
     out = 1 / (1 + np.exp(-np.clip(model.weights[0] + z @ model.weights[1:], -30, 30)))
-    return np.where(rows[:, 0] > 0, out, np.minimum(out, 0.01))
+    return np.where(rows[:, -2] > 0, out, EMPTY_SCORE)
 
 
 def remainder(column: str = "doc_id"):
@@ -221,8 +203,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 def classify(documents: DataFrame, model: Model) -> DataFrame:
     """Per document doc_id and score; every whole text is read, null counts as empty.
 
-    Scores depend on the text alone; rows that share a doc_id are scored one by one and
-    other columns are ignored.
+    Scores depend on the text alone; rows that share a doc_id, or have none, are scored
+    one by one and other columns are ignored.  A very long text is read window by window;
+    an empty table gives no rows.
     """
     spark: SparkSession = documents.sparkSession
     small_batches(spark)
@@ -242,7 +225,11 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def remove_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with all their columns, in one pass."""
+    """The documents that score below the threshold, with all their columns, in one pass.
+
+    Every row is judged by its own text: repeated rows go or stay together, a null doc_id
+    changes nothing, and null or empty texts stay.
+    """
     spark: SparkSession = documents.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)

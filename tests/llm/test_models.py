@@ -40,6 +40,51 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert left.columns == table.columns and left.count() == sum(r.score < 0.5 for r in scored)
 
 
+def test_toxicity_equals_plain_windows(spark, docs):
+    """Scores equal those from compressing each window with freshly made compressors."""
+    rows, labels = toxic_corpus(150)
+    table = docs(rows + [(1000 + n, t) for n, (_, t) in enumerate(ODD)])
+    model = toxicity.train(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = sorted((r.doc_id, r.score) for r in toxicity.classify(table, model).collect())
+    want = []
+    for i, text in rows + [(1000 + n, t) for n, (_, t) in enumerate(ODD)]:
+        data = (text or "").lower().encode()
+        if not data.strip():
+            want.append((i, toxicity.EMPTY_SCORE))
+            continue
+        saved, at = [], 0
+        ordinary, toxic = model.compressors()
+        for window in toxicity.windows(data, model.window):
+            assert data[at : at + len(window)] == window and 0 < len(window) <= model.window
+            at += len(window)
+            lengths = [len(c.compress(toxicity.PREAMBLE + window)) for c in (ordinary, toxic)]
+            saved.append(lengths[0] - lengths[1])
+        assert at == len(data)
+        x = [np.log1p(sum(s >= k for s in saved)) for k in range(toxicity.LEAST, toxicity.MOST)] + [np.log1p(len(saved)), np.mean(saved)]
+        margin = model.weights[0] + ((np.array(x) - model.centre) / model.scale) @ model.weights[1:]
+        want.append((i, 1 / (1 + np.exp(-np.clip(margin, -30, 30)))))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([s for _, s in got], [s for _, s in sorted(want)])
+
+
+def test_toxicity_of_repeated_and_tied_rows(spark, docs):
+    rows, labels = toxic_corpus(200)
+    foul = next(t for i, t in rows if i % 3 == 0)
+    table = docs(rows + [(None, foul), (None, foul), (7, foul), (7, "a second text of document seven"), (900, None)])
+    known = spark.createDataFrame([*labels, (0, 0), (0, None)], "doc_id long, toxic int")  # contradicting labels: toxic
+    toxic, ordinary = toxicity.sample(table, known)
+    assert rows[0][1] in toxic and rows[0][1] not in ordinary or toxicity_held_out(0)
+    model = toxicity.train(table, known)
+    left = toxicity.remove_toxic(table, model).collect()
+    assert (sum(r.text == foul for r in left) in (0, 4)) and any(r.doc_id == 900 for r in left)
+    assert toxicity.remove_toxic(docs([]), model).count() == 0
+
+
+def toxicity_held_out(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs([(1, "a")]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.classify(docs(ODD), model).count() == len(ODD) and toxicity.classify(docs([]), model).count() == 0
