@@ -8,10 +8,12 @@ together, and a document leaves as soon as every slot holds a value below j + 1,
 later step can lower: for most documents after one or two steps.
 
 Documents with equal sets form a class; only its smallest doc_id goes on.  Classes that
-agree in a band of the signature are candidates.  Within a bucket each class is first
-checked against the smallest; buckets whose classes those links do not join into one
-component are then searched in full, but only across components, since a link within a
-component changes nothing.  Every link is confirmed on the full sets.
+agree in a band of the signature are candidates.  Band keys travel with ids alone; what
+tells pairs apart, a sketch of the set, is joined to the few ids whose keys are shared.
+Within a bucket each class is first checked against the smallest; buckets
+whose classes those links do not join into one component are then searched in full, but
+only across components, since a link within a component changes nothing.  Every link is
+confirmed on the full sets, each of which is shuffled once for all of its links.
 """
 
 from __future__ import annotations
@@ -25,21 +27,19 @@ from pyspark.sql import functions as F
 
 from loomnote.llm import bytetext as bt
 from loomnote.llm.components import components
-from loomnote.llm.shared import Tables
+from loomnote.llm.shared import Tables, narrowed
 
 SHINGLE = 5
 SLOTS = 128
 BANDS = 32
 PERCENT = 75
-#: Signatures are compared by one bit a slot first.  At a similarity of 0.75 an eighth of
-#: the bits differ, 16 of 128 with a deviation of 3.7; pairs that differ in more than 38, six
-#: deviations above, are not looked at further.
-MOST_BITS = 38
 #: Words of 64 parities: each element turns one of them over.  Sets that differ in d elements
 #: differ in d parities at most, so a pair with more differing parities than a link allows
 #: cannot be one.  This bound is never wrong, and sharp for sets of up to some 1000 elements.
 PARITIES = 8
-MARKS = ["b1", "b2", *(f"o{i}" for i in range(PARITIES))]
+MARKS = [f"o{i}" for i in range(PARITIES)]
+#: A set is read once for so many comparisons; a class with more gets several rows.
+MOST_OTHERS = 500
 _TOP = np.uint64(56)
 _FREE = np.uint64((1 << 64) - 1)
 _ACTIVE_BYTES = 8 << 20
@@ -139,15 +139,14 @@ def parities(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _may_link(one: str, two: str) -> str:
     """SQL for what every link fulfils, over the columns n and MARKS of two sides."""
-    bits = " + ".join(f"bit_count(b{i}{one} ^ b{i}{two})" for i in (1, 2))
-    odd = " + ".join(f"bit_count(o{i}{one} ^ o{i}{two})" for i in range(PARITIES))
+    odd = " + ".join(f"bit_count({m}{one} ^ {m}{two})" for m in MARKS)
     sizes = f"100 * least(n{one}, n{two}) >= {PERCENT} * greatest(n{one}, n{two})"
     # 100 i >= P (a + b - i) gives a + b - 2 i <= (100 - P) (a + b) / (100 + P)
-    return f"{sizes} and {100 + PERCENT} * ({odd}) <= {100 - PERCENT} * (n{one} + n{two}) and {bits} <= {MOST_BITS}"
+    return f"{sizes} and {100 + PERCENT} * ({odd}) <= {100 - PERCENT} * (n{one} + n{two})"
 
 
 def _side(rows: DataFrame, mark: str, *more: str) -> DataFrame:
-    return rows.select("key", *(F.col(c).alias(f"{c}{mark}") for c in ("id", "n", *MARKS, *more)))
+    return rows.select(*(F.col(c).alias(f"{c}{mark}") for c in ("id", "n", *MARKS, *more)))
 
 
 def _sums(elements: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -165,22 +164,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signed = signatures(elements, starts)
             keys = bands(signed).view(np.int64)
             odd = parities(elements, starts).view(np.int64)
-            bits = np.packbits((bt.mix(signed) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
             filled = sizes > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled * BANDS)]), pa.int32()), pa.array(keys[filled].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(chunk.first, chunk.rows), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITIES)), lists],
+                [batch.column("doc_id").slice(chunk.first, chunk.rows), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITIES)), lists],
                 names=["doc_id", "n", "s1", "s2", *MARKS, "bands"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's set, beside the list of the classes it is compared with."""
     for batch in batches:
         for chunk in bt.chunks(batch.column("text")):
             elements, starts = shingles(chunk)
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(elements.view(np.int64)))
-            sums = [pa.array(s.view(np.int64)) for s in _sums(elements, starts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, chunk.rows), pa.array(np.diff(starts)), *sums, lists], names=["doc_id", "n", "s1", "s2", "elements"])
+            same = [batch.column(c).slice(chunk.first, chunk.rows) for c in ("doc_id", "others")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.diff(starts)), lists], names=["doc_id", "others", "n", "elements"])
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -188,20 +187,26 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """Of the pairs (a, b) of classes those whose full sets are similar enough, as edges (u, v)."""
+    """Of the pairs (a, b) of classes those whose full sets are similar enough, as edges (u, v).
+
+    Rows that share the id of a class are all compared, since the id has the links of each.
+    """
     pairs = tables.write(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # rows that share the id of a class but not its set are told apart by the set's size and sums
-    rows = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, s1 long, s2 long, elements array<long>")
-    sets = tables.write(rows.dropDuplicates(["doc_id", "n", "s1", "s2"]), f"{name}-sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    joined = pairs.join(two, "b").join(one, "a")
-    joined = joined.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    each = pairs.groupBy("b").agg(F.ceil(F.count("a") / MOST_OTHERS).alias("parts"))
+    dealt = pairs.join(each, "b").groupBy("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    members = dealt.agg(F.collect_set("a").alias("others")).select(F.col("b").alias("doc_id"), "others")
+    pivots = pairs.select(F.col("a").alias("doc_id")).distinct().withColumn("others", F.lit(None).cast("array<long>"))
+    asked = tables.write(members.unionAll(pivots), f"{name}-asked")
+    rows = narrowed(texts, asked, "doc_id").join(asked, "doc_id").select("doc_id", "others", "text")
+    sets = tables.write(rows.mapInArrow(_sets, "doc_id long, others array<long>, n long, elements array<long>"), f"{name}-sets")
+    one = sets.where("others is null").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
+    two = sets.select(F.explode("others").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
+    joined = two.join(one, "a").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     common = F.size(F.array_intersect("ea", "eb")).cast("long")
     links = joined.select("a", "b", "na", "nb", common.alias("common")).where(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common")))
     out = tables.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-links")
-    tables.drop(f"{name}-sets")
+    for part in ("asked", "sets"):
+        tables.drop(f"{name}-{part}")
     return out
 
 
@@ -218,30 +223,36 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     sketch = tables.write(texts.mapInArrow(_sketch, f"doc_id long, n long, s1 long, s2 long, {marks}, bands array<long>"), "sketch")
     same = ["n", "s1", "s2"]
     real = sketch.where("n > 0 and doc_id is not null")
-    classes = real.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    joined = real.join(classes, same)
-    reps = tables.write(joined.where("doc_id = rep").select("rep", "n", *MARKS, "bands"), "reps")
-    copies = tables.write(joined.where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct(), "copies")
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n", *MARKS)
-    shared = buckets.select("key", "id").groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other").drop("other")
-    full = tables.write(buckets.join(shared, "key"), "full")
-    pivots = _side(full.where("id = pivot"), "_a")
-    members = _side(full.where("id > pivot"), "_b")
-    first = members.join(pivots, (members["key"] == pivots["key"]) & F.expr(_may_link("_a", "_b"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    classes = real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+    copies = real.select("doc_id", *same).join(classes, same).where("doc_id <> rep")
+    copies = tables.write(copies.distinct(), "copies")
+    reps = real.join(copies.select("doc_id", *same), ["doc_id", *same], "left_anti")
+    # keys and ids alone: merged at every size, since either side grows with the documents
+    buckets = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    shared = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other").drop("other")
+    full = tables.write(buckets.join(shared.hint("merge"), "key"), "full")
+    wanted = full.select("id").distinct()
+    rest = tables.write(reps.select(F.col("doc_id").alias("id"), "n", *MARKS).join(wanted, "id", "left_semi"), "marks")
+    pairs = full.where("id > pivot").select(F.col("pivot").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    near = pairs.join(_side(rest, "_b"), "id_b").join(_side(rest, "_a"), "id_a").where(_may_link("_a", "_b"))
+    first = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     links = _confirm(first, texts, tables, "first")
     labels = tables.write(components(links, tables, "grow"), "labels")
     # buckets that hold several components still: every pair across components
-    known = full.join(labels, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component", "pivot")
+    known = full.join(labels, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "c")
     known = tables.write(known, "known")
     counted = known.groupBy("key", "c").agg(F.count("id").alias("size"))
     mixed = counted.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("main"), F.count("c").alias("several")).where("several > 1").drop("several")
-    rows = known.join(mixed, "key")
-    one, two = _side(rows.where("c <> main"), "_a", "c"), _side(rows, "_b", "c", "main")
-    across = one.join(two, (one["key"] == two["key"]) & F.expr("c_a <> c_b and (c_b = main_b or id_a < id_b)") & F.expr(_may_link("_a", "_b")))
+    rows = tables.write(known.join(mixed, "key").join(rest, "id"), "mixed")
+    one, two = _side(rows.where("c <> main"), "_a", "key", "c"), _side(rows, "_b", "key", "c", "main")
+    across = one.join(two, F.expr(f"key_a = key_b and c_a <> c_b and (c_b = main_b or id_a < id_b) and {_may_link('_a', '_b')}"))
     second = across.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
     second = second.join(spark.read.parquet(f"{tables.root}/first-pairs"), ["a", "b"], "left_anti")
     more = _confirm(second, texts, tables, "second")
-    final = tables.write(components(links.unionAll(more).unionAll(copies), tables, "final"), "final")
+    edges = links.unionAll(more).unionAll(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
+    for name in ("full", "marks", "known", "mixed", "labels"):
+        tables.drop(name)
+    final = tables.write(components(edges, tables, "final"), "final")
     result = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return tables.finish(result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
