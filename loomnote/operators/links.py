@@ -37,6 +37,14 @@ def backlinks(resolved: DataFrame) -> DataFrame:
     return once.groupBy("target_path").agg(F.count("*").alias("backlinks"), F.min("src").alias("first_source"))
 
 
+def visible(resolved: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Links that lead somewhere, without those from or to a hidden note (path)."""
+    out = resolved.where("resolved is not null")
+    for end in ("src", "resolved"):
+        out = out.join(hidden.select(F.col("path").alias(end)).distinct(), end, "left_anti")
+    return out.select(*resolved.columns)
+
+
 def resolve_federated(links: DataFrame, paths: DataFrame) -> DataFrame:
     """Adds target_vault and resolved.  `vault:target` names a vault only if there is one."""
     vaults = paths.select(F.col("vault").alias("known")).distinct()

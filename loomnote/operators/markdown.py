@@ -230,24 +230,52 @@ def merge_lines(base: str, ours: str, theirs: str) -> tuple[str, bool]:
     return "".join(out), clash
 
 
+_GONE = object()
+
+
+def merge_value(base, ours, theirs):
+    """One frontmatter value of three states and whether it clashes; _GONE stands for a missing key.
+
+    What one side alone has changed, or removed, holds; lists that both have changed are united.
+    """
+    if ours == theirs or theirs == base:
+        return ours, False
+    if ours == base:
+        return theirs, False
+    if isinstance(ours, list) and isinstance(theirs, list):
+        return [*ours, *(x for x in theirs if x not in ours)], False
+    return ours, True
+
+
+def written(raw: str) -> dict[str, str]:
+    """The lines of each top-level key of a text's frontmatter, as they are written."""
+    m = FENCE.match(raw)
+    out: dict[str, str] = {}
+    last = None
+    for line in m[1].splitlines() if m else []:
+        if key := re.match(r"([^\s#\-][^:]*?)\s*:(?:\s|$)", line):
+            last = key[1].strip("\"'")
+            out[last] = line + "\n"
+        elif last is not None:
+            out[last] += line + "\n"
+    return out
+
+
 def merge_notes(base: str, ours: str, theirs: str) -> tuple[str, bool]:
-    """Merge frontmatter key by key (lists by union) and the body by lines."""
+    """Merge frontmatter key by key and the body by lines; what one side holds stays as it wrote it."""
     (bf, bb), (of, ob), (tf, tb) = (split_frontmatter(x) for x in (base, ours, theirs))
-    merged, clash = {}, False
-    for key in [*of, *(k for k in tf if k not in of)]:
-        b, o, t = bf.get(key), of.get(key), tf.get(key)
-        if isinstance(o, list) and isinstance(t, list):
-            merged[key] = o + [x for x in t if x not in o]
-        elif o == t or t == b:
-            merged[key] = o
-        elif o == b:
-            merged[key] = t
-        else:
-            merged[key], clash = o, True
+    mine, other = written(ours), written(theirs)
+    head, clash = "", False
+    for key in dict.fromkeys([*of, *tf, *bf]):
+        value, clashes = merge_value(*(x.get(key, _GONE) for x in (bf, of, tf)))
+        clash |= clashes
+        if value is _GONE:
+            continue
+        side = mine if key in of and of[key] == value else other if key in tf and tf[key] == value else {}
+        listed = f"[{', '.join(map(str, value))}]" if isinstance(value, list) else "" if value is None else value
+        head += side.get(key, f"{key}: {listed}\n")
     body, broken = merge_lines(bb, ob, tb)
-    kept = {k: v for k, v in merged.items() if v is not None}
-    head = "---\n" + "\n".join(f"{k}: [{', '.join(map(str, v))}]" if isinstance(v, list) else f"{k}: {v}" for k, v in kept.items()) + "\n---\n" if kept else ""
-    return head + body, clash or broken
+    return (f"---\n{head}---\n" if head else "") + body, clash or broken
 
 
 def merge_rows(rows: DataFrame) -> DataFrame:

@@ -73,9 +73,13 @@ def source_plan(external: DataFrame, vault: DataFrame, manifest: DataFrame) -> D
     return rows.select("path", action.alias("action"))
 
 
-def merged_list(ours: Column, theirs: Column) -> Column:
-    """Two frontmatter lists: ours first, then theirs that are new."""
-    return F.array_union(F.coalesce(ours, F.array().cast("array<string>")), F.coalesce(theirs, F.array().cast("array<string>")))
+def merged_list(base: Column, ours: Column, theirs: Column) -> Column:
+    """A three-way frontmatter list: the side that changed, else both changes united, ours first.
+
+    A null list is a missing key.
+    """
+    both = F.array_union(F.coalesce(ours, F.array().cast("array<string>")), F.coalesce(theirs, F.array().cast("array<string>")))
+    return F.when(ours.eqNullSafe(theirs) | theirs.eqNullSafe(base), ours).when(ours.eqNullSafe(base), theirs).otherwise(both)
 
 
 def merged_scalar(base: Column, ours: Column, theirs: Column) -> Column:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from loomnote.functions import text as T
+from loomnote.operators import scoring
+from loomnote.operators.order import cut
 
 #: BM25, rank fusion and candidate window.
 K1, B = 1.2, 0.75
@@ -29,27 +33,29 @@ def top(rows: DataFrame, k: int, key: str = "query_id", score: str = "score", ti
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = ("text",), k: int | None = 10) -> DataFrame:
-    """query_id, chunk_id, score (, rank): the k best chunks a query; queries has query_id, terms.
+    """query_id, chunk_id, score (, rank): the k best chunks a query.
 
-    Statistics are a field's own, over the chunks given.  Only the queries' terms are
-    counted: the chunks are read once for lengths and once for those postings.
+    queries: query_id, terms (, weights: a boost for each term).  Statistics are a field's
+    own, over the chunks given.  The chunks are read once: their lengths and the counts of
+    the queries' terms are kept, and scored as matrix products (`scoring`).
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    scored = None
-    for name in fields:
-        tokens = chunks.select("chunk_id", T.words(F.col(name)).alias("tokens")).withColumn("dl", F.size("tokens"))
-        stats = tokens.where("dl > 0").agg(F.count("chunk_id").alias("n"), F.avg("dl").alias("avgdl"))
-        terms = asked.select("term").distinct()
-        postings = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-        known = postings.groupBy("term").agg(F.count("*").alias("df"))
-        one = postings.join(asked.join(known, "term"), "term").crossJoin(F.broadcast(stats))  # one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        one = one.select("query_id", "chunk_id", part.alias("part"))
-        scored = one if scored is None else scored.unionAll(one)
-    total = scored.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    # sums arrive in any order; rounding makes equal scores equal
-    total = total.withColumn("score", F.round("score", 6))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double"
+
+    def one(block: pa.Table) -> DataFrame | None:
+        terms = pa.array(sorted({t for ts in block.column("terms").to_pylist() for t in ts or [] if t is not None}), pa.string())
+        if not len(terms):
+            return None
+        counted = cut(scoring.postings(chunks, fields, T.words, terms))
+        each = [x for i in range(len(fields)) for x in (f"count_if(l{i} > 0) AS n{i}", f"avg(if(l{i} > 0, l{i}, null)) AS m{i}")]
+        sizes = counted.selectExpr(*each).first()
+        df = np.zeros((len(fields), len(terms)))
+        for i in range(len(fields)):  # a row for each term asked, at most
+            for r in counted.select(F.explode(f"t{i}").alias("t")).groupBy("t").count().collect():
+                df[i, r.t] = r["count"]
+        statistics = [(sizes[f"n{i}"], sizes[f"m{i}"] or 1.0, df[i]) for i in range(len(fields))]
+        return scoring.weighed(counted, block, terms, statistics, K1, B, k, schema)
+
+    total = scoring.over_blocks(queries.select("query_id", "terms", *(c for c in ("weights",) if c in queries.columns)), one, schema)
     return total if k is None else top(total, k)
 
 
@@ -141,13 +147,10 @@ def grep(notes: DataFrame, pattern: str, literal: bool = False, ignore_case: boo
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, chunk_id, score (1 + cosine) / 2: exact, over vectors (chunk_id, vec), queries (query_id, vec).
 
-    The stated queries meet all rows; rows that the caller filters out before are never
-    scored.  Partial limits keep k rows a query and task before the shuffle.
+    The stated queries meet all rows, as matrix products; rows that the caller filters out
+    before are never scored.  A task hands on k rows a query.
     """
-    asked = queries.select("query_id", F.col("vec").alias("q"))
-    near = T.cosine(F.col("vec"), F.col("q"))
-    pairs = vectors.where("vec is not null").crossJoin(asked).select("query_id", "chunk_id", F.round((1 + near) / 2, 6).alias("score"))
-    return top(pairs, k)
+    return top(scoring.cosines(vectors, queries, k), k)
 
 
 def fuse(keyword: DataFrame, semantic: DataFrame, keyword_weight: float = KEYWORD_WEIGHT, semantic_weight: float = SEMANTIC_WEIGHT) -> DataFrame:
@@ -240,8 +243,8 @@ def federated(hits: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def mean_vectors(chunks: DataFrame) -> DataFrame:
-    """path, vec: the mean of a note's distinct chunks (by content_hash), length one; zero: none."""
-    once = chunks.where("vec is not null").dropDuplicates(["path", "content_hash"])
+    """path, vec: the mean of a note's distinct chunks (by content_hash; of several vectors the smallest), length one; zero: none."""
+    once = chunks.where("vec is not null").groupBy("path", "content_hash").agg(F.min("vec").alias("vec"))
     each = once.select("path", F.posexplode("vec").alias("i", "x")).groupBy("path", "i").agg(F.avg("x").alias("m"))
     means = each.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("parts")).select("path", F.transform("parts", lambda p: p["m"]).alias("mean"))
     norm = F.sqrt(T.dot(F.col("mean"), F.col("mean")))

@@ -57,11 +57,11 @@ WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four words of every benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.slice(T.words(F.col("text")), 1, 4).alias("terms"))
+    """Every benchmark item's words."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.words(F.col("text")).alias("terms"))
 
 
-QUERIES = f"queries AS (SELECT item_id AS query_id, text, list_slice({WORDS.format('text')}, 1, 4) AS terms FROM benchmark)"
+QUERIES = f"queries AS (SELECT item_id AS query_id, text, {WORDS.format('text')} AS terms FROM benchmark)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

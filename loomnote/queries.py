@@ -64,7 +64,7 @@ def bm25_multifield(spark, d):
     return search.bm25(_recalled(spark, d), asked, ("text", "heading")).select("query_id", "chunk_id", "score", "rank")
 
 
-ORACLE["bm25_multifield"] = ORACLE["bm25_multifield"].replace("1, 4) AS terms FROM benchmark)", "1, 4) || ['policy'] AS terms FROM benchmark)")
+ORACLE["bm25_multifield"] = ORACLE["bm25_multifield"].replace("AS terms FROM benchmark)", "|| ['policy'] AS terms FROM benchmark)")
 
 
 @query(f"WITH {V.CHUNKS} SELECT chunk_id, 1.0::DOUBLE AS score FROM chunks WHERE {RECALLED} AND type = 'policy'")
@@ -167,11 +167,11 @@ def knn_filtered(spark, d):
     return search.knn(rows, V.vector_queries(spark, d)).select("query_id", "chunk_id", "score", "rank")
 
 
-@query(f"""WITH {V.VECTORS}, each AS (SELECT lang AS path, i, avg(vec[i]) AS m FROM (SELECT DISTINCT lang, label, min(doc_id) OVER (PARTITION BY lang, label) AS doc_id FROM vectors) g JOIN vectors v USING (doc_id, lang, label), range(1, 65) r(i) GROUP BY ALL),
+@query(f"""WITH {V.VECTORS}, g AS (SELECT lang AS path, sha256(chr(10) || text) AS content_hash, min(vec) AS vec FROM vectors GROUP BY ALL),
+ each AS (SELECT path, i, avg(vec[i]) AS m FROM g, range(1, 65) r(i) GROUP BY ALL),
  normed AS (SELECT path, i, m / sqrt(sum(m * m) OVER (PARTITION BY path)) AS x FROM each) SELECT path, i::BIGINT AS i, round(x, 6) AS x FROM normed""")
 def note_mean_vectors(spark, d):
-    first = V.vectors(spark, d).groupBy("lang", "label").agg(F.min("doc_id").alias("doc_id"))
-    rows = V.vectors(spark, d).join(first, ["lang", "label", "doc_id"]).select(F.col("lang").alias("path"), "vec", F.concat_ws("-", "lang", F.col("label").cast("string")).alias("content_hash"))
+    rows = V.vectors(spark, d).select(F.col("lang").alias("path"), "vec", T.content_hash(F.lit(None).cast("string"), F.col("text")).alias("content_hash"))
     return search.mean_vectors(rows).select("path", F.posexplode("vec").alias("i", "x")).select("path", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
@@ -530,10 +530,49 @@ def source_sync_plan(spark, d):
     return merge.source_plan(side(theirs), side(ours), base.select("path", F.col("revision").alias("ext"), F.col("revision").alias("vault")))
 
 
-@query(f"WITH {V.NOTES} SELECT path, array_to_string(list_filter([lang, source2, type, lang || '2'], lambda x, i: i <= 2 OR NOT list_contains([lang, source2], x)), ',') AS tags FROM (SELECT *, vault AS source2 FROM notes)")
+#: Three states of a note's lists and scalars by number: who changes, removes or adds what.
+STATES = """r AS (SELECT path, doc_id % 7 AS k, [lang, vault, type] AS base, [lang, vault, type, 'ours'] AS more, [lang, vault] AS less, [vault, 'theirs'] AS other FROM notes),
+ l AS (SELECT path, base AS b, CASE WHEN k IN (1, 3) THEN more WHEN k = 4 THEN less WHEN k = 5 THEN NULL ELSE base END AS o, CASE WHEN k IN (2, 3) THEN other WHEN k IN (4, 6) THEN less ELSE base END AS t FROM r)"""
+
+
+@query(f"WITH {V.NOTES}, {STATES} SELECT path, array_to_string(CASE WHEN o IS NOT DISTINCT FROM t OR t IS NOT DISTINCT FROM b THEN o WHEN o IS NOT DISTINCT FROM b THEN t ELSE coalesce(o, []) || list_filter(coalesce(t, []), lambda x: NOT list_contains(coalesce(o, []), x)) END, ',') AS tags FROM l")
 def frontmatter_list_union(spark, d):
+    k = F.col("doc_id") % 7
+    base, more, less, other = (F.array(*x) for x in (("lang", "vault", "type"), ("lang", "vault", "type", F.lit("ours")), ("lang", "vault"), ("vault", F.lit("theirs"))))
+    ours = F.when(k.isin(1, 3), more).when(k == 4, less).when(k == 5, F.lit(None).cast("array<string>")).otherwise(base)
+    theirs = F.when(k.isin(2, 3), other).when(k.isin(4, 6), less).otherwise(base)
+    return V.notes(spark, d).select("path", F.array_join(merge.merged_list(base, ours, theirs), ",").alias("tags"))
+
+
+@query(f"""WITH {V.NOTES}, s AS (SELECT path, doc_id % 9 AS k, type FROM notes)
+ SELECT path, CASE WHEN k = 3 THEN '---' || chr(10) || 'status: mine' || chr(10) ELSE '---' || chr(10) || 'status: ' || CASE WHEN k = 1 THEN 'mine' WHEN k = 2 THEN 'theirs' ELSE 'old' END || chr(10) END
+   || CASE WHEN k = 4 THEN '' WHEN k = 5 THEN 'tags: [a, b, c, d]' || chr(10) WHEN k = 6 THEN 'tags: [a]' || chr(10) ELSE 'tags: [a, b]' || chr(10) END || CASE WHEN k = 7 THEN 'kind: ' || type || chr(10) ELSE '' END || '---' || chr(10)
+   || CASE WHEN k = 8 THEN 'ONE' || chr(10) || 'two' || chr(10) || 'THREE' || chr(10) ELSE 'one' || chr(10) || 'two' || chr(10) || 'three' || chr(10) END AS merged, k = 3 AS conflict FROM s""")
+def frontmatter_merge(spark, d):
+    k = F.col("doc_id") % 9
+
+    def side(status, tags, lines, kind=F.lit("")):
+        return F.concat(F.lit("---\nstatus: "), status, F.lit("\n"), tags, kind, F.lit("---\n"), lines)
+
+    def tags(given: dict[int, str | None]):
+        out = F
+        for n, text in given.items():
+            out = out.when(k == n, F.lit(f"tags: {text}\n" if text else ""))
+        return out.otherwise(F.lit("tags: [a, b]\n"))
+
+    plain, body = F.lit("tags: [a, b]\n"), F.lit("one\ntwo\nthree\n")
+    base = side(F.lit("old"), plain, body)
+    ours = side(F.when(k.isin(1, 3), "mine").otherwise("old"), tags({4: None, 5: "[a, b, c]"}), F.when(k == 8, "ONE\ntwo\nthree\n").otherwise(body))
+    theirs = side(F.when(k.isin(2, 3), "theirs").otherwise("old"), tags({5: "[a, b, d]", 6: "[a]"}), F.when(k == 8, "one\ntwo\nTHREE\n").otherwise(body), F.when(k == 7, F.concat(F.lit("kind: "), "type", F.lit("\n"))).otherwise(""))
+    return markdown.merge_rows(V.notes(spark, d).select("path", base.alias("base"), ours.alias("ours"), theirs.alias("theirs")))
+
+
+@query(f"WITH {V.LINKS}, hidden AS (SELECT path FROM notes WHERE doc_id % 19 = 0) SELECT DISTINCT least(src, resolved) AS a, greatest(src, resolved) AS b FROM resolved WHERE resolved IS NOT NULL AND src <> resolved AND src NOT IN (SELECT path FROM hidden) AND resolved NOT IN (SELECT path FROM hidden)")
+def private_graph(spark, d):
+    """Link edges of the graph where every nineteenth note is private."""
     n = V.notes(spark, d)
-    return n.select("path", F.array_join(merge.merged_list(F.col("tags"), F.array("type", F.concat("lang", F.lit("2")), "lang")), ",").alias("tags"))
+    shown = links.visible(links.resolve(V.links(spark, d), n), n.where(F.col("doc_id") % 19 == 0).select("path"))
+    return graph.canonical(shown.select(F.col("src").alias("a"), F.col("resolved").alias("b"), F.lit("LINK").alias("kind"), F.lit(1.5).alias("weight"))).select("a", "b")
 
 
 @query(f"""WITH {V.COMMITS}, g AS (SELECT author, epoch, seq, CASE WHEN epoch - lag(epoch) OVER w > 1800 OR lag(epoch) OVER w IS NULL THEN 1 ELSE 0 END AS gap FROM commits WINDOW w AS (PARTITION BY author ORDER BY epoch, seq)),
@@ -557,14 +596,14 @@ def disk_stats(spark, d):
     return merge.disk_stats(V.notes(spark, d))
 
 
-@query(f"""WITH {TOP_FUSED}, g AS (SELECT q.query_id, v.path AS item, CASE WHEN v.label = e.label AND v.doc_id = q.query_id THEN 3 ELSE 1 END AS gain FROM vector_queries q JOIN embeddings e ON e.vec_id = q.query_id JOIN vectors v ON v.label = e.label WHERE v.doc_id % 10 = 0 OR v.doc_id = q.query_id),
+@query(f"""WITH {TOP_FUSED}, g AS (SELECT q.query_id, v.path AS item, CASE WHEN v.label = e.label AND v.doc_id = q.query_id THEN 3 ELSE 1 END AS gain FROM vector_queries q JOIN embeddings e ON e.vec_id = q.query_id JOIN vectors v ON v.label = e.label),
  i AS (SELECT query_id, sum(CASE WHEN place <= 10 THEN (pow(2, gain) - 1) / log2(place + 1) END) AS ideal, count(*) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, item) AS place FROM g) GROUP BY 1),
  h AS (SELECT h.query_id, sum((pow(2, gain) - 1) / log2(rank + 1)) AS dcg, count(*) AS found, min(rank) AS first FROM hits h JOIN g ON g.query_id = h.query_id AND g.item = h.chunk_id GROUP BY 1)
  SELECT count(*) AS queries, round(avg(coalesce(found, 0) / wanted), 6) AS recall, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM i LEFT JOIN h USING (query_id)""")
 def retrieval_metrics(spark, d):
     v = V.vectors(spark, d)
     asked = V.vector_queries(spark, d).join(V.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id")
-    gains = asked.select("query_id", "label").join(v.select("label", "doc_id", F.col("path").alias("item")), "label").where((F.col("doc_id") % 10 == 0) | (F.col("doc_id") == F.col("query_id")))
+    gains = asked.select("query_id", "label").join(v.select("label", "doc_id", F.col("path").alias("item")), "label")
     gains = gains.select("query_id", "item", F.when(F.col("doc_id") == F.col("query_id"), 3).otherwise(1).alias("gain"))
     hits = _hybrid(spark, d).select("query_id", F.col("chunk_id").alias("item"), "rank")
     return search.retrieval_metrics(hits, gains)

@@ -72,6 +72,11 @@ class Vault:
         now = self.snapshot().where(F.col("path").endswith(".md"))
         return links.resolve(links.extract(now), now)
 
+    @cached_property
+    def shown(self) -> DataFrame:
+        """Links between notes that are not private; only these reach the graph."""
+        return links.visible(self.resolved, self.parsed.where("private").select("path"))
+
     # reading
 
     def list(self, prefix: str = "") -> DataFrame:
@@ -151,7 +156,7 @@ class Vault:
         blocks = pack.first_per_note(hits).join(texts, "path").withColumn("via", F.lit(None).cast("string"))
         if expand:
             packed = pack.within_budget(blocks, budget)
-            near = pack.expansion(packed, own.resolved).join(texts, "path").withColumn("rank", F.col("rank") + 1000)
+            near = pack.expansion(packed, own.shown).join(texts, "path").withColumn("rank", F.col("rank") + 1000)
             blocks = blocks.select("query_id", "rank", "path", "text", "via").unionByName(near.select("query_id", "rank", "path", "text", "via"))
         packed = pack.within_budget(blocks, budget).join(blocks.select("path", "via").distinct(), "path")
         return pack.with_provenance(packed.drop("query_id"), touched).orderBy("place")
@@ -164,12 +169,12 @@ class Vault:
 
     def graph_query(self, path: str) -> DataFrame:
         """A note's neighbours: path, way (out or in)."""
-        r = self.resolved.where("resolved is not null")
+        r = self.shown
         out = r.where(F.col("src") == path).select(F.col("resolved").alias("path"), F.lit("out").alias("way"))
         return out.unionAll(r.where(F.col("resolved") == path).select(F.col("src").alias("path"), F.lit("in").alias("way"))).distinct()
 
     def graph_edges(self) -> DataFrame:
-        r = self.resolved.where("resolved is not null").select(F.col("src").alias("a"), F.col("resolved").alias("b"), F.lit("LINK").alias("kind"), F.lit(graph.LINK_WEIGHT).alias("weight"))
+        r = self.shown.select(F.col("src").alias("a"), F.col("resolved").alias("b"), F.lit("LINK").alias("kind"), F.lit(graph.LINK_WEIGHT).alias("weight"))
         if self.vectors is not None:
             means = search.mean_vectors(self.chunks.select("path", "content_hash").join(self.vectors, "content_hash"))
             r = r.unionAll(graph.similar(means.select(F.col("path").alias("id"), "vec")).select("a", "b", F.lit("SIM").alias("kind"), F.col("score").alias("weight")))

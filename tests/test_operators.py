@@ -287,3 +287,21 @@ def test_shared_titles_are_extended_by_segments(spark):
     named = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, "r"), (5, "r"), (6, "lone"), (7, "lone")], "community long, title string")
     got = {r.community: r.title for r in graph.unique_titles(named, members).collect()}
     assert got == {1: "p/a, c…", 2: "p/x, b…", 3: "q", 4: "r/s, t… (4)", 5: "r/s, t… (5)", 6: "lone (6)", 7: "lone (7)"}
+
+
+@pytest.mark.parametrize(
+    "base, ours, theirs, want",
+    [
+        ("tags: [a, b]", "tags: [a, b]", "tags: [a]", ("tags: [a]", False)),  # a deletion holds
+        ("tags: [a, b]", "tags: [b]", "tags: [a, b]", ("tags: [b]", False)),
+        ("tags: [a]", "tags: [a, b]", "tags: [a, c]", ("tags: [a, b, c]", False)),
+        ("tags: [a]", "x: 1", "tags: [a]", ("x: 1", False)),  # a removed key stays removed
+        ("tags: [a]", "x: 1", "tags: [a, b]", ("x: 1", True)),
+        ("t: one", "t: two", "t: three", ("t: two", True)),
+        ("t: one\nz: 1\na: 2", "t: one\nz: 1\na: 3", "t: one\nz: 9\na: 2\nb: new", ("t: one\nz: 9\na: 3\nb: new", False)),
+        ("day: 2026-09-01\nat: 2026-09-01T10:00:00Z", "day: 2026-09-01\nat: 2026-09-01T10:00:00Z\nx: 1", "day: 2026-09-01\nat: 2026-09-01T10:00:00Z", ("day: 2026-09-01\nat: 2026-09-01T10:00:00Z\nx: 1", False)),
+    ],
+)
+def test_frontmatter_merges_against_the_base(base, ours, theirs, want):
+    texts = (f"---\n{x}\n---\nbody\n" for x in (base, ours, theirs))
+    assert markdown.merge_notes(*texts) == (f"---\n{want[0]}\n---\nbody\n", want[1])

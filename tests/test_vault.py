@@ -65,3 +65,11 @@ def test_memories(vault):
     assert v2.extract_memories("x")[0].status == "not_configured"
     out, v3 = v2.extract_memories("x", lambda t: ["one entirely different thing"])
     assert out.detail == "1" and v3.list("memory/").count() == 2
+
+
+def test_private_notes_stay_out_of_the_graph(spark):
+    rows = [("a.md", "[[b]] [[secret]]"), ("b.md", "text"), ("secret.md", "---\nprivate: true\n---\n[[a]] [[b]]")]
+    vault = Vault.of_notes(spark.createDataFrame(rows, "path string, text string"))
+    assert {(r.a, r.b) for r in vault.graph_edges().collect()} == {("a.md", "b.md")}
+    assert "secret.md" not in {r.node for r in vault.graph_communities().collect()} and "secret.md" not in {r.community for r in vault.graph_communities().collect()}
+    assert {r.path for r in vault.graph_query("a.md").collect()} == {"b.md"} and vault.graph_query("secret.md").count() == 0
