@@ -1,14 +1,17 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every task reads its documents in shards of bounded size and builds a suffix array
-over each shard's words.  The array is sparse: it holds the suffixes that start with
-a pair of words which some benchmark item holds too (or with an item of one word),
-since no other suffix can match.  Each distinct benchmark window is then found by two
-binary searches; the range between them lists every place where it occurs.
+Every task reads its documents in shards of bounded size and builds a suffix array over
+each shard's words, in the order of their first ten words; a match is extended word by
+word, so deeper order is not needed.  The array is sparse: it holds the suffixes that
+start with a pair of words which some benchmark item holds too (or with an item of one
+word), since no other suffix can match.  Every benchmark suffix is found by two binary
+searches; the range between them lists each place where its first ten words occur.  Of
+those, the ones that do not continue a match to the left are extended to the longest
+verbatim match, and the matches decide which words are hit and which documents go.
 
 Nothing is shuffled.  The benchmark goes to the executors in blocks of at most
-`block_words` words, one pass over the documents a block, so what is broadcast stays
-bounded whatever the benchmark's size.
+`block_words` words, one pass over the documents a block, each written before the next
+begins, so what is broadcast and held stays bounded whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -21,55 +24,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.llm import bytetext as bt
-from loomnote.llm.shared import fresh, small_batches
+from loomnote.llm.shared import Tables, fresh, small_batches
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+#: Pairs of a place in a shard and one in the items that are looked at together.
+PAIRS = 2_000_000
 _ALL = np.uint32(0xFFFFFFFF)
 
 
 class Index:
-    """The distinct windows of a block of items, as keys that compare like word sequences."""
+    """The suffixes of a block of items, by their first words, as keys that compare like word sequences."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.window = window
         self.names = [name for name, _ in items]
         column = pa.array([text or "" for _, text in items], pa.string())
-        hashes, lengths, owners, places = [], [], [], []
+        hashes, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for chunk in bt.chunks(column):
             data = bt.LOWER[chunk.data]
             spans = bt.words(chunk, bt.ALNUM, data)
             hashes.append(bt.span_hash(data, spans.start, spans.end))
             lengths.append(spans.per_row)
-        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        sizes = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        words, sizes = np.concatenate(hashes), np.concatenate(lengths)
         self.vocabulary = np.unique(words)
-        ids = (np.searchsorted(self.vocabulary, words) + 1).astype(np.uint32)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        rows = []
-        for item, n in enumerate(sizes):
-            if not n:
-                continue
-            own = ids[first[item] : first[item + 1]]
-            for at in range(max(1, n - window + 1)):
-                rows.append((own[at : at + window], item, at))
-        owners = np.array([r[1] for r in rows], np.int64)
-        places = np.array([r[2] for r in rows], np.int64)
-        size = np.array([len(r[0]) for r in rows], np.int64)
-        low = np.zeros((len(rows), window), np.uint32)
-        high = np.full((len(rows), window), _ALL)
-        for i, (own, _, _) in enumerate(rows):
-            low[i, : len(own)] = high[i, : len(own)] = own
-        keys, which = np.unique(_packed(high, window), return_inverse=True)
-        self.high = keys
-        order = np.argsort(which, kind="stable")
-        self.items, self.at = owners[order], places[order]
-        self.of = np.searchsorted(which[order], np.arange(len(keys) + 1))
-        lead = order[self.of[:-1]] if len(rows) else order
-        self.low, self.size = _packed(low[lead], window), size[lead]
-        pairs = [r[0][:2].astype(np.uint64) for r in rows]
-        self.pairs = np.unique(np.array([p[0] << np.uint64(32) | p[1] for p in pairs if len(p) == 2], np.uint64))
-        self.single = np.unique(np.array([r[0][0] for r in rows if len(r[0]) == 1], np.uint32))
+        #: Each word's number, its item and where that begins and ends.
+        self.words = (np.searchsorted(self.vocabulary, words) + 1).astype(np.uint32)
+        self.item = np.repeat(np.arange(len(sizes)), sizes)
+        self.begin = np.cumsum(sizes) - sizes
+        self.end = np.cumsum(sizes)
+        at = np.arange(len(words))
+        left = self.end[self.item] - at
+        starts = at[(left >= window) | (at == self.begin[self.item])]
+        size = np.minimum(left[starts], window)
+        own = np.arange(window) < size[:, None]
+        rows = self.words[np.minimum(starts[:, None] + np.arange(window), max(len(words) - 1, 0))]
+        keys, lead, which = np.unique(_packed(np.where(own, rows, _ALL), window), return_index=True, return_inverse=True)
+        #: Distinct keys, least and greatest, their lengths, and the suffixes of each.
+        self.high, self.low, self.size = keys, _packed(np.where(own, rows, 0)[lead], window), size[lead]
+        self.starts = starts[np.argsort(which, kind="stable")]
+        self.of = np.searchsorted(np.sort(which), np.arange(len(keys) + 1))
+        several = size > 1
+        self.pairs = np.unique(rows[several, 0].astype(np.uint64) << np.uint64(32) | rows[several, min(1, window - 1)])
+        self.single = np.unique(rows[~several, 0])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
@@ -104,7 +101,8 @@ class Shard:
         self.words = bt.words(chunk, bt.ALNUM, data)
         self.ids = index.ids(bt.span_hash(data, self.words.start, self.words.end))
         n, w = len(self.ids), index.window
-        left = self.words.left()
+        self.left, self.owner = self.words.left(), self.words.owner()
+        left = self.left
         known = np.flatnonzero(self.ids)
         after = np.zeros(len(known), np.uint64)
         inner = left[known] > 1
@@ -123,14 +121,43 @@ class Shard:
         """For each distinct benchmark window the range of suffixes that start with it."""
         return np.searchsorted(self.keys, index.low, "left"), np.searchsorted(self.keys, index.high, "right")
 
-    def occurrences(self, index: Index) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window number, word position in the shard)."""
+    def matches(self, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The longest matches of `window` words or a whole shorter item: places here, in the items' words, and lengths."""
         first, last = self.search(index)
-        count = np.maximum(last - first, 0)
+        count, each = np.maximum(last - first, 0), np.diff(index.of)
         found = np.flatnonzero(count)
+        begins = [self._begins(index, first, count, part) for part in self._slices(found, count * each)]
+        place, at, length = (np.concatenate(x) for x in zip(*begins, strict=True)) if begins else (np.zeros(0, np.int64),) * 3
+        row = np.searchsorted(self.words.row, place, "right") - 1
+        stop = np.minimum(self.words.row[row + 1] - place, index.end[index.item[at]] - at)
+        going = np.flatnonzero(length < stop)
+        while len(going):
+            going = going[self.ids[place[going] + length[going]] == index.words[at[going] + length[going]]]
+            length[going] += 1
+            going = going[length[going] < stop[going]]
+        return place, at, length
+
+
+    @staticmethod
+    def _slices(found: np.ndarray, cost: np.ndarray) -> Iterator[np.ndarray]:
+        """Runs of `found` of at most PAIRS pairs together, or of one key."""
+        total, i = np.cumsum(cost[found]), 0
+        while i < len(found):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+            yield found[i:j]
+            i = j
+
+    def _begins(self, index: Index, first: np.ndarray, count: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some keys the pairs (place here, in the items' words) that continue no match to the left."""
         which = np.repeat(found, count[found])
         inner = np.arange(len(which)) - np.repeat(np.cumsum(count[found]) - count[found], count[found])
-        return which, self.suffixes[first[which] + inner]
+        place = self.suffixes[first[which] + inner]
+        each = index.of[which + 1] - index.of[which]
+        entry = np.repeat(index.of[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        place, length, at = np.repeat(place, each), np.repeat(index.size[which], each), index.starts[entry]
+        inside = (self.left[place] < self.words.per_row[self.owner[place]]) & (at > index.begin[index.item[at]])
+        new = ~inside | (self.ids[place - inside] != index.words[at - inside])
+        return place[new], at[new], length[new]
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -155,16 +182,16 @@ _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("doc_word
 
 
 def _hits(shard: Shard, index: Index) -> tuple[np.ndarray, dict[int, set[str]]]:
-    """Which words of the shard some window covers, and the items of each document."""
-    which, place = shard.occurrences(index)
+    """Which words of the shard some match covers, and the items of each document."""
+    place, at, length = shard.matches(index)
     cover = np.zeros(len(shard.ids) + 1, np.int32)
     np.add.at(cover, place, 1)
-    np.add.at(cover, place + index.size[which], -1)
+    np.add.at(cover, place + length, -1)
     rows = np.searchsorted(shard.words.row, place, "right") - 1
     items: dict[int, set[str]] = {}
-    for code in np.unique(rows * max(1, len(index.high)) + which).tolist():
-        row, w = divmod(code, len(index.high))
-        items.setdefault(row, set()).update(index.names[i] for i in index.items[index.of[w] : index.of[w + 1]].tolist())
+    for code in np.unique(rows * max(1, len(index.names)) + index.item[at]).tolist():
+        row, item = divmod(code, len(index.names))
+        items.setdefault(row, set()).add(index.names[item])
     return np.cumsum(cover[:-1]) > 0, items
 
 
@@ -212,20 +239,31 @@ def scan(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window
     without words or with a null item_id occur nowhere.  Rows that share a doc_id are
     judged one by one.  Other columns of either table are ignored.
     """
-    small_batches(spark)
-    state, first = _texts(documents), True
+    tables = Tables(spark)
+    state, first, turn = _texts(documents), True, 0
     blocks = _blocks(benchmark, block_words)
     block = next(blocks, [])
-    while block is not None:
+    while True:
         following = next(blocks, None)
         index = spark.sparkContext.broadcast(Index(block, window))
         state = state.mapInArrow(_pass(index, first, following is None), STATE)
-        block, first = following, False
-    return state.drop("text")
+        if following is None:
+            return state.drop("text") if first else tables.finish(state.drop("text"))
+        state = tables.write(state, f"pass-{turn}")  # ends the pass: one index at a time is held
+        index.destroy()
+        if turn:
+            tables.drop(f"pass-{turn - 1}")
+        block, first, turn = following, False, turn + 1
 
 
 def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every longest verbatim match of a document with an item, with both word positions."""
+    """Every longest verbatim match of a document with an item: doc_id, item_id, doc_word, item_word, n_words.
+
+    Words are counted from 0.  A match has `window` words at least, or is a whole shorter
+    item, and cannot be made longer at either end.  Null and empty texts match nothing;
+    repeated rows, and rows that share an id or have none, match one by one.  Empty tables
+    give no rows.
+    """
 
     def locate(index):
         def run(batches):
@@ -234,35 +272,33 @@ def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, win
                 ids = batch.column("doc_id")
                 for chunk in bt.chunks(batch.column("text")):
                     shard = Shard(chunk, own)
-                    which, place = shard.occurrences(own)
-                    each = own.of[which + 1] - own.of[which]
-                    entry = np.repeat(own.of[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                    place, size = np.repeat(place, each), np.repeat(own.size[which], each)
-                    item, at = own.items[entry], own.at[entry]
-                    row = np.searchsorted(shard.words.row, place, "right") - 1
-                    order = np.lexsort((place, place - at, item, row))
-                    row, item, at, place, size = (x[order] for x in (row, item, at, place, size))
-                    new = np.ones(len(place), bool)
-                    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (place[1:] - at[1:] != place[:-1] - at[:-1]) | (place[1:] != place[:-1] + 1)
-                    head = np.flatnonzero(new)
-                    length = np.diff(np.append(head, len(place))) - 1 + size[head]
+                    place, at, length = shard.matches(own)
+                    row, item = np.searchsorted(shard.words.row, place, "right") - 1, own.item[at]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(chunk.first + row[head])), pa.array([own.names[i] for i in item[head].tolist()], pa.string()), pa.array(place[head] - shard.words.row[row[head]]), pa.array(at[head]), pa.array(length)],
+                        [ids.take(pa.array(chunk.first + row)), pa.array([own.names[i] for i in item.tolist()], pa.string()), pa.array(place - shard.words.row[row]), pa.array(at - own.begin[item]), pa.array(length)],
                         schema=_MATCH,
                     )
 
         return run
 
-    out = None
-    for block in _blocks(benchmark, block_words):
+    small_batches(spark)
+    tables, paths = Tables(spark), []
+    for turn, block in enumerate(_blocks(benchmark, block_words)):
         index = spark.sparkContext.broadcast(Index(block, window))
-        part = _texts(documents).mapInArrow(locate(index), MATCH)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], MATCH) if out is None else out
+        paths.append(tables.write(_texts(documents).mapInArrow(locate(index), MATCH), f"matches-{turn}"))
+        index.destroy()
+    out = spark.createDataFrame([], MATCH)
+    for part in paths:
+        out = out.unionAll(part)
+    return tables.finish(out)
 
 
 def remove_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a hit word, with all their columns; rows with a null doc_id stay."""
+    """The documents without a hit word, with all their columns; rows with a null doc_id stay.
+
+    Null and empty texts stay.  Rows that share a doc_id go together if any of them is hit;
+    repeated rows stay or go alike.
+    """
     name = fresh(documents.columns, "hit_doc")
     hit = scan(spark, documents, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
     return documents.join(hit, F.col("doc_id") == F.col(name), "left_anti")

@@ -73,3 +73,29 @@ def test_removal_keeps_columns(spark, docs):
     table = docs([(1, item), (2, "clean"), (None, "no id"), (3, None)])
     left = decontaminate.remove_contaminated(spark, table, benchmark)
     assert left.columns == table.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == ["2", "3", "None"]
+
+
+def test_periodic_texts_and_matches_by_brute_force(spark, docs, monkeypatch):
+    rnd = random.Random(8)
+    items = [(1, "a b " * 40), (2, "a b a"), (3, " ".join(rnd.choice("ab") for _ in range(60)))]
+    documents = [(1, "a b " * 300), (2, "b " + "a b " * 20), (2, "a b a"), (None, " ".join(rnd.choice("ab") for _ in range(200))), (3, None), (4, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PAIRS", 100)
+    got = decontaminate.scan(spark, docs(documents), benchmark)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()), key=str) == brute(documents, items)
+    want = []
+    for i, text in documents:
+        d = words(text)
+        for name, item in items:
+            w = words(item)
+            for p in range(len(d)):
+                for q in range(len(w)):
+                    if p and q and d[p - 1] == w[q - 1]:
+                        continue
+                    n = 0
+                    while p + n < len(d) and q + n < len(w) and d[p + n] == w[q + n]:
+                        n += 1
+                    if n >= min(10, len(w)):
+                        want.append((i, str(name), p, q, n))
+    found = [(r.doc_id, r.item_id, r.doc_word, r.item_word, r.n_words) for r in decontaminate.matches(spark, docs(documents), benchmark).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
