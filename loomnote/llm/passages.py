@@ -249,9 +249,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
     windows = tables.write(windows.distinct(), "windows")
     least = windows.groupBy("anchor", "key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     parts = windows.join(least, ["anchor", "key"]).where("lo < doc_id").select(shard, F.lit(1).cast("long").alias("kind"), "anchor", "key", "lo").distinct()
-    passages = tables.write(whole.unionAll(parts), "passages")
-    for name in ("common", "found", "sources", "windows"):
-        tables.drop(name)
-    dealt = texts.withColumn("shard", F.coalesce(shard, F.lit(0).cast("long")))
-    out = dealt.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
-    return out
+    passages = tables.finish(whole.unionAll(parts))
+    # a document without an id has no passages to meet, so its text deals it
+    dealt = texts.withColumn("shard", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(shards)))
+    return dealt.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string")
