@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the cluster's folder or, where none is set, one of our own."""
+    """A reliable checkpoint, in the cluster's folder or, in local mode without one, one of our own."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomnote-"))
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="loomnote-"))
     return rows.checkpoint()
 
 
