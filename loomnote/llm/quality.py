@@ -20,8 +20,12 @@ from loomnote.llm import bytetext as bt
 from loomnote.llm.shared import Tables
 
 LABELLERS = ["repetition", "marks", "capitals", "bars", "variety", "function_words", "sentences", "word_length"]
-#: The scorer is fitted on at most so many documents, those of lowest hash; all are scored.
+#: The scorer is fitted on at most so many documents of at most so many characters, those of
+#: lowest hash; all are scored, whole.
 SAMPLE = 8000
+SAMPLE_CHARS = 20_000
+#: Variety is the share of distinct words in stretches of so many, so it does not follow a text's length.
+STRETCH = 500
 BITS = 16
 NONE, BAD, GOOD = 0, 1, 2
 
@@ -68,9 +72,12 @@ class Chunk:
         single = length == 1
         bar[single] = self.data[self.words.start[single]] == 0x7C
         bars = np.bincount(owner[bar], minlength=self.rows) / least
-        order = np.lexsort((hashes, owner))
+        part = (np.arange(len(owner)) - self.words.row[owner]) // STRETCH
+        order = np.lexsort((hashes, part, owner))
         new = np.ones(len(order), bool)
-        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        for values in (hashes, part, owner):
+            new[1:] &= values[order][1:] == values[order][:-1]
+        new[1:] = ~new[1:]
         distinct = np.bincount(owner[order][new], minlength=self.rows) / least
         short = np.bincount(owner[length <= 3], minlength=self.rows) / least
         mean = np.bincount(owner, weights=length, minlength=self.rows) / least
@@ -85,7 +92,7 @@ class Chunk:
                 _vote(marks / size > 0.08, marks / size < 0.03, some),
                 _vote(capitals / np.maximum(letters, 1) > 0.5, capitals / np.maximum(letters, 1) < 0.2, letters >= 20),
                 _vote(bars > 0.1, bars < 0.02, some),
-                _vote(distinct < 0.15, distinct > 0.3, many & (n < 2000)),
+                _vote(distinct < 0.15, distinct > 0.3, many),
                 _vote(short < 0.08, (short > 0.15) & (short < 0.7), many),
                 _vote(sentence < 0.01, (sentence > 0.03) & (sentence < 0.4), many),
                 _vote((mean < 2.5) | (mean > 11), (mean > 3) & (mean < 9), some),
@@ -152,10 +159,11 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in bt.chunks(batch.column("text")):
-            row, number, weight = Chunk(chunk).features()
+            own = Chunk(chunk)
+            row, number, weight = own.features()
             offsets = pa.array(np.searchsorted(row, np.arange(chunk.rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("pattern").slice(chunk.first, chunk.rows), pa.ListArray.from_arrays(offsets, pa.array(number, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(weight, pa.float32()))],
+                [pa.array(_code(own.votes())), pa.ListArray.from_arrays(offsets, pa.array(number, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(weight, pa.float32()))],
                 names=["pattern", "numbers", "weights"],
             )
 
@@ -188,9 +196,9 @@ def fit(rows: pa.Table, belief: dict[int, float], rounds: int = 60) -> np.ndarra
 def assess(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_votes, posterior, score (0 to 1, higher: better), keep.
 
-    Null and empty texts get no votes and the prior as posterior; they score low or high as
-    the bias says.  Rows that share a doc_id are judged one by one; other columns are
-    ignored; an empty table gives no rows.
+    Texts without words, null ones among them, have posterior and score 0 and are not kept.
+    Rows that share a doc_id, or have none, are judged one by one, so repeated rows score
+    alike; other columns are ignored; an empty table gives no rows.
     """
     tables = Tables(spark)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -200,8 +208,10 @@ def assess(spark: SparkSession, documents: DataFrame) -> DataFrame:
     codes = np.array([r["pattern"] for r in found], np.int64)
     belief, _ = estimate(_decode(codes), np.array([r["count"] for r in found], np.float64)) if len(codes) else (np.zeros(0), None)
     known = dict(zip(codes.tolist(), belief.tolist(), strict=True))
-    picked = voted.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).dropDuplicates(["doc_id"])
-    rows = texts.join(F.broadcast(picked), "doc_id").select("pattern", "text").mapInArrow(_features, "pattern long, numbers array<int>, weights array<float>").toArrow()
+    # one text an id: repeated ids cannot make the sample larger
+    short = texts.where((F.length("text") <= SAMPLE_CHARS) & F.col("doc_id").isNotNull())
+    picked = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_features, "pattern long, numbers array<int>, weights array<float>").toArrow()
     held = spark.sparkContext.broadcast((fit(rows, known), known))
     tables.drop()
 
@@ -215,6 +225,7 @@ def assess(spark: SparkSession, documents: DataFrame) -> DataFrame:
                 margin = np.bincount(row, weights=weights[number] * value, minlength=own.rows) + weights[-1]
                 score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
                 told = np.array([posterior.get(c, 0.5) for c in _code(votes).tolist()], np.float64)
+                told[own.count == 0] = score[own.count == 0] = 0.0
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, chunk.rows), pa.array((votes > 0).sum(axis=1).astype(np.int64)), pa.array(told), pa.array(score), pa.array(score >= 0.5)], names=["doc_id", "n_votes", "posterior", "score", "keep"])
 
     return texts.mapInArrow(run, "doc_id long, n_votes long, posterior double, score double, keep boolean")

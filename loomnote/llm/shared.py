@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; where that is unset (tests), a folder of our own."""
+    """The cluster's `spark.checkpoint.dir`; where that is unset, in local mode only, a folder of our own."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="loomnote-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
@@ -27,12 +29,12 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches for this session, unless it asks for smaller ones already.
 
-    A batch exists in the JVM, in Python and often once more as a result; Spark's usual
+    The setting stays, since results are read after the operator has returned.  A batch exists in the JVM, in Python and often once more as a result; Spark's usual
     64 MB a task are a large part of a small executor.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
-    if now is not None and int("".join(c for c in now if c.isdigit()) or 0) > BATCH_BYTES:
+    if now is not None and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
@@ -76,9 +78,14 @@ class Tables:
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(path)
-        # lets the driver notice that the finished job's shuffle files are of no more use
-        self.spark._jvm.System.gc()
+        # the finished job's shuffle files are of no more use; what was set before holds again
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            frame.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

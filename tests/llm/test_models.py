@@ -104,6 +104,56 @@ def test_quality_tells_junk_from_prose(spark, docs):
     assert quality.assess(spark, docs([])).count() == 0
 
 
+def test_quality_of_odd_and_repeated_rows(spark, docs):
+    rnd = random.Random(6)
+    prose = lambda n: ". ".join(" ".join(rnd.choice(["the", "of", "river", "stone", "walked", "under", "a", "bright", "morning"]) for _ in range(9)) for _ in range(n))
+    rows = [(i, prose(5)) for i in range(60)] + [(7, rows_text := prose(4)), (7, rows_text), (7, rows_text), (None, rows_text), (500, prose(4000)), (501, "word " * 9000)]
+    rows += [(1000 + n, t) for n, (_, t) in enumerate(ODD)]
+    got = quality.assess(spark, docs(rows)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.score == 0 and r.posterior == 0 and not r.keep for r in got if r.doc_id in (1000, 1001, 1002))
+    alike = [r.score for r in got if r.doc_id in (7, None)]
+    assert max(alike.count(s) for s in alike) == 4
+    assert [r.posterior > 0.5 for r in got if r.doc_id == 500] == [True] and [r.posterior < 0.5 for r in got if r.doc_id == 501] == [True]
+
+
+def plain_votes(text):
+    """The labellers once more, for plain ASCII texts, word by word."""
+    import re
+
+    w = [m.lower() for m in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    n, low = len(w), max(len(w), 1)
+    letters, capitals = len(re.findall("[A-Za-z]", text)), len(re.findall("[A-Z]", text))
+    marks = len(re.findall(r"[^\x00-\x20,.0-9A-Za-z'\-]", text)) / max(len(text), 1)
+    repeated, bars = sum(a == b for a, b in zip(w, w[1:])) / low, w.count("|") / low
+    distinct = sum(len(set(w[i : i + 500])) for i in range(0, n, 500)) / low
+    short, mean, ends = sum(len(x) <= 3 for x in w) / low, sum(map(len, w)) / low, sum(x[-1] in "!.:?" for x in w) / low
+    caps = capitals / max(letters, 1)
+    vote = lambda bad, good, known: 0 if not known else 1 if bad else 2 if good else 0
+    return [
+        vote(repeated > 0.2, repeated < 0.05, n >= 5), vote(marks > 0.08, marks < 0.03, n >= 5), vote(caps > 0.5, caps < 0.2, letters >= 20), vote(bars > 0.1, bars < 0.02, n >= 5),
+        vote(distinct < 0.15, distinct > 0.3, n >= 20), vote(short < 0.08, 0.15 < short < 0.7, n >= 20), vote(ends < 0.01, 0.03 < ends < 0.4, n >= 20), vote(mean < 2.5 or mean > 11, 3 < mean < 9, n >= 5),
+    ]
+
+
+def test_quality_equals_brute_force(spark, docs):
+    """Votes, EM posteriors and the linear scores of every document, recomputed plainly."""
+    rnd = random.Random(21)
+    parts = ["the", "a", "River", "stone", "WALKED", "|", "&&&", "x", "morning.", "sea,", "it's"]
+    rows = [(i, " ".join(rnd.choice(parts[: rnd.randrange(1, 12)]) for _ in range(rnd.choice([0, 3, 12, 40, 700])))) for i in range(150)]
+    got = {r.doc_id: r for r in quality.assess(spark, docs(rows)).collect()}
+    votes = {i: plain_votes(t) for i, t in rows}
+    patterns, which, counts = np.unique(np.array([votes[i] for i, _ in rows]), axis=0, return_inverse=True, return_counts=True)
+    codes = quality._code(patterns)
+    order = np.argsort(codes)
+    belief = np.zeros(len(codes))
+    belief[order], _ = quality.estimate(quality._decode(codes[order]), counts[order].astype(float))
+    for (i, text), p in zip(rows, which.ravel(), strict=True):
+        words = len(text.split())
+        assert got[i].n_votes == sum(v > 0 for v in votes[i]), text[:80]
+        assert got[i].posterior == pytest.approx(belief[p] if words else 0.0, abs=1e-6) and got[i].keep == (got[i].score >= 0.5)
+
+
 def test_expectation_maximisation_finds_the_bad_labeller():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.7
