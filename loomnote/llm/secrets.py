@@ -1,10 +1,11 @@
 """Secret scans: candidate rules, then a random forest that tells secrets from look-alikes.
 
 DataFrame, SQL and ML functions only.  Rules propose candidates anywhere in a text.  The
-forest judges each by its length, its character transitions, how much of it common words
-cover, the path it stands under, and the words next to it.  It is trained on labelled
-findings: a table of one's own with the columns of `findings` and `label`, or the
-findings that `labelled_findings` makes up by rule.
+forest judges each by its length, its character transitions, how much of it dictionary
+words cover, the path it stands under, and the words next to it.  It is trained on
+labelled findings: a table of one's own with the columns of `candidates` and `label`, or
+the findings that `labelled_findings` makes up by rule.  Those hold random values in the
+code and in fixtures and manuals, so a value alone does not decide.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What no ASCII word character stands before; `\\b` means other letters in some Java versions.
+_APART = r"(?<![0-9A-Za-z_])"
 _NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?"
 # a value may stand on a later line, unless an assignment of its own stands there
 _SET = rf"(?i){_NAMES}\s*+(?:=>|=|:)(?:[^\S\n]*+(?=\S)|\s*+(?!\S*?{_NAMES}[^\S\n]*+[=:]))"
@@ -30,11 +33,11 @@ def _quoted_value(quote: str, other: str) -> str:
 #: that `operators.scan.RULES` finds.  Where an assigned value may go on after , ; < > or, in
 #: quotes, after a blank, both readings are candidates: `assigned` and `assigned-whole`.
 RULES = {
-    "aws-access-key": r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b",
-    "github-token": r"\b(gh[pousr]_[0-9A-Za-z]{36,})",
-    "slack-token": r"\b(xox[abprs]-[0-9A-Za-z-]{10,})",
-    "google-key": r"\b(AIza[0-9A-Za-z_-]{35})",
-    "jwt": r"\b(eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})",
+    "aws-access-key": rf"{_APART}((?:AKIA|ASIA)[0-9A-Z]{{16}})(?![0-9A-Za-z_])",
+    "github-token": rf"{_APART}(gh[pousr]_[0-9A-Za-z]{{36,}})",
+    "slack-token": rf"{_APART}(xox[abprs]-[0-9A-Za-z-]{{10,}})",
+    "google-key": rf"{_APART}(AIza[0-9A-Za-z_-]{{35}})",
+    "jwt": rf"{_APART}(eyJ[0-9A-Za-z_-]{{8,}}\.[0-9A-Za-z_-]{{8,}}\.[0-9A-Za-z_-]{{8,}})",
     "private-key": r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)",
     "assigned": _SET + r"[\"']?([^\s\"',;<>]{8,})",
     "assigned-whole": _SET + rf"(?:{_quoted_value('\"', "'")}|{_quoted_value("'", '\"')}|[\"']?((?=[^\s\"']*[,;<>])[^\s\"']{{8,}}))",
@@ -51,8 +54,17 @@ HINTS = {
     "assigned": ["pass", "pwd", "secret", "token", "api", "access", "auth"],
     "assigned-whole": ["pass", "pwd", "secret", "token", "api", "access", "auth"],
 }
-#: Common words and fillers that stand in values which are no secrets.
-DICTIONARY = ["password", "passwd", "secret", "token", "example", "sample", "placeholder", "changeme", "change", "your", "test", "dummy", "none", "null", "true", "false", "config", "settings", "environ", "value", "string", "default", "insert", "here", "user", "admin", "key", "name", "the", "and", "with", "xxxx", "****", "1234", "abcd", "todo", "required", "hidden", "redacted", "undefined"]
+#: Words that stand in names, settings and fillers rather than in secrets.
+DICTIONARY = (
+    "password passwd secret token example sample placeholder changeme change your test dummy none null true false config settings environ value string default insert here user admin key name "
+    "the and with for from that this not are was have xxxx **** 1234 abcd todo required hidden redacted undefined access account action address agent api app application array auth authorization "
+    "base basic bearer blank body build cache callback certificate client cloud code command common connection content context cookie count create current data database date debug delete description "
+    "development device disabled document domain email empty enabled encrypted end entry error event expired export external field file filter first flag folder form format function get global group "
+    "hash header home host http id image import index info input instance internal item json last length level limit link list local location login long main manager map master message method mode "
+    "model module network new next node number object old open option order output page param parameter path pattern port prefix private process production profile project property provider public "
+    "query random read record reference region remote request reset response result role root rule sandbox save schema scope script search second security select send server service session set "
+    "shared short sign size source staging start state status store system table tag target task temp template text time title type update upload url variable verify version view web word write"
+).split()
 #: Parts of a source or path that make a finding less likely to be real.
 QUIET_PATHS = ["test", "example", "sample", "doc", "fixture", "mock", "spec"]
 NEAR_WORDS = ["example", "sample", "e.g", "placeholder", "dummy", "test", "fake", "your", "replace", "format"]
@@ -69,35 +81,44 @@ def _named(rule: str):
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, path, rule, turn, value, at (characters before it), before, after: every match of every rule."""
+    """doc_id, path, rule, turn, value, at (characters before it), before, after: every match of every rule.
+
+    `turn` counts a rule's matches in a text from 0.  `before` and `after` are the CONTEXT
+    nearest characters, back to where the rule's last match begins and on to where its next
+    one ends.  Null and empty texts have no match, and without a column `source` paths are
+    empty.  Equal matches in a text stand for themselves, each at its own place; repeated
+    rows, and rows that share a doc_id or have none, are read one by one.  Other columns are
+    ignored; an empty table gives no rows.
+    """
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in documents.columns else F.lit("")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("small", F.lower("text"))
-    found = []
-    for rule, pattern in RULES.items():
+    spans = []
+    for n, (rule, pattern) in enumerate(RULES.items()):
         where = F.col("small") if rule.startswith("assigned") else F.col("text")
         hinted = None
         for hint in HINTS[rule]:
             one = F.contains(where, F.lit(hint))
             hinted = one if hinted is None else hinted | one
-        spans = F.when(hinted, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        found.append(F.transform(spans, _named(rule)))
-    rows = rows.select("doc_id", "path", "text", F.concat(*found).alias("found")).where(F.size("found") > 0)
-    # each match stands at or after the end of the one before it, if that is of the same rule
-    fold = """aggregate(found, named_struct('rule', cast('' as string), 'next', cast(1 as int), 'out', cast(array() as array<int>)), (a, f) -> named_struct(
-        'rule', f.rule,
-        'next', locate(f.span, text, if(a.rule = f.rule, a.next, 1)) + length(f.span),
-        'out', concat(a.out, array(locate(f.span, text, if(a.rule = f.rule, a.next, 1)))))).out"""
-    each = rows.withColumn("places", F.expr(fold)).select("doc_id", "path", "text", F.posexplode(F.arrays_zip("found", "places")).alias("turn", "m"))
-    parts = {rule: [F.regexp_extract("m.found.span", pattern, i + 1) for i in range(GROUPS.get(rule, 1))] for rule, pattern in RULES.items()}
-    value = F.coalesce(*(F.when(F.col("m.found.rule") == rule, F.concat(*found)) for rule, found in parts.items()))
-    span, place = F.col("m.found.span"), F.col("m.places")
-    start = F.greatest(place - CONTEXT, F.lit(1))
+        spans.append(F.when(hinted, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"s{n}"))
+    rows = rows.select("doc_id", "path", "text", *spans)
+    rows = rows.where(F.greatest(*(F.size(f"s{n}") for n in range(len(RULES)))) > 0)
+    found = []
+    for n, (rule, pattern) in enumerate(RULES.items()):
+        # what stands between the matches gives each one's place, in one pass over the text
+        rows = rows.withColumn(f"p{n}", F.when(F.size(f"s{n}") > 0, F.split("text", pattern, -1)))
+        ends = f"""aggregate(transform(s{n}, (s, i) -> struct(length(p{n}[i]) as gap, length(s) as size)), cast(struct(0L as next, array() as places) as struct<next: bigint, places: array<bigint>>),
+            (a, m) -> struct(a.next + m.gap + m.size as next, concat(a.places, array(a.next + m.gap)) as places)).places"""
+        rows = rows.withColumn(f"a{n}", F.expr(f"if(size(s{n}) > 0, {ends}, cast(array() as array<bigint>))"))
+        found.append(F.expr(f"""transform(s{n}, (s, i) -> struct('{rule}' as rule, i as turn, s as span, get(a{n}, i) as place,
+            right(concat(coalesce(get(s{n}, i - 1), ''), get(p{n}, i)), {CONTEXT}) as before, left(concat(get(p{n}, i + 1), coalesce(get(s{n}, i + 1), '')), {CONTEXT}) as after))"""))
+    each = rows.select("doc_id", "path", F.explode(F.concat(*found)).alias("m"))
+    parts = {rule: [F.regexp_extract("m.span", pattern, i + 1) for i in range(GROUPS.get(rule, 1))] for rule, pattern in RULES.items()}
+    value = F.coalesce(*(F.when(F.col("m.rule") == rule, F.concat(*groups)) for rule, groups in parts.items()))
     return each.withColumn("value", value).where("value <> ''").select(
-        "doc_id", "path", F.col("m.found.rule").alias("rule"), "turn", "value",
-        (place + F.instr(span, F.col("value")) - 2).cast("long").alias("at"),
-        F.substring("text", start, place - start).alias("before"),
-        F.substring("text", place + F.length(span), F.lit(CONTEXT)).alias("after"),
+        "doc_id", "path", "m.rule", "m.turn", "value",
+        (F.col("m.place") + F.instr("m.span", F.col("value")) - 1).cast("long").alias("at"),
+        "m.before", "m.after",
     )
 
 
@@ -131,12 +152,17 @@ def features(findings: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """Findings made up by rule, half of them secrets, with their label; the same every time."""
+    """Findings made up by rule, with their label; the same every time.
+
+    Secrets are random values of the rules' shapes.  The others are names, fillers, calls
+    and references, and random values as well: in fixtures and manuals, beside words that
+    say so.  The shapes and shares are this file's own; nothing is drawn from real findings.
+    """
     seed = F.col("id")
     hexes = F.sha2(F.concat(F.lit("h"), seed.cast("string")), 256)
     mixed = F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("m"), seed.cast("string")), 512))), "+/=", "xYz")
     capitals = F.translate(F.upper(F.sha2(F.concat(F.lit("c"), seed.cast("string")), 256)), "0189", "QRST")
-    kind, twist = F.pmod(seed, F.lit(10)), F.pmod(F.xxhash64(seed, F.lit(1)), F.lit(8))
+    kind, twist = F.pmod(F.xxhash64(seed, F.lit(6)), F.lit(12)), F.pmod(F.xxhash64(seed, F.lit(1)), F.lit(8))
     word = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64(seed, F.lit(2)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     other = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64(seed, F.lit(3)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     long = (F.lit(16) + F.pmod(F.xxhash64(seed, F.lit(4)), F.lit(25))).cast("int")
@@ -154,27 +180,35 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         .when(kind == 6, finding(F.lit("assigned"), F.concat(F.lit("${"), word, F.lit("-"), other, F.lit("}")), F.lit(0)))
         .when(kind == 7, finding(F.lit("assigned"), F.concat(F.lit("os."), word, F.lit("."), other, F.lit("()")), F.lit(0)))
         .when(kind == 8, finding(F.lit("aws-access-key"), F.concat(F.lit("AKIA"), F.when(twist < 4, F.lit("IOSFODNN7EXAMPLE")).otherwise(F.repeat(F.substring(capitals, 1, 1), 16))), F.lit(0)))
+        .when(kind == 9, finding(F.lit("assigned"), F.substring(hexes, F.lit(1), long), F.lit(0)))
+        .when(kind == 10, finding(F.lit("assigned"), F.substring(mixed, F.lit(1), long), F.lit(0)))
         .otherwise(F.when(twist < 4, finding(F.lit("assigned"), F.repeat(F.element_at(F.array(*map(F.lit, "x*0a")), (twist + 1).cast("int")), 20), F.lit(0))).otherwise(finding(F.lit("github-token"), F.concat(F.lit("ghp_"), F.repeat(F.lit("xxxx"), 9)), F.lit(0))))
     )
-    chance = F.pmod(F.xxhash64(seed, F.lit(5)), F.lit(100))
-    filler = F.when((F.col("made.label") == 0) & (chance < 60), F.lit("replace this example ")).when(chance < 5, F.lit("for test ")).otherwise(F.lit("then set "))
-    path = F.when((F.col("made.label") == 0) & (chance % 3 == 0), F.lit("docs/example.md")).when(chance < 10, F.lit("tests/app.py")).otherwise(F.lit("src/app.py"))
+    chance, fixture = F.pmod(F.xxhash64(seed, F.lit(5)), F.lit(100)), kind.isin(9, 10)
+    filler = F.when(fixture & (chance < 80), F.lit("for this test use the sample ")).when((F.col("made.label") == 0) & (chance < 60), F.lit("replace this example ")).when(chance < 5, F.lit("for test ")).otherwise(F.lit("then set "))
+    quiet = F.when(chance % 2 == 0, F.lit("docs/example.md")).otherwise(F.lit("tests/fixtures/app.py"))
+    path = F.when(fixture & (chance >= 10), quiet).when((F.col("made.label") == 0) & (chance % 3 == 0), quiet).when(chance < 6, F.lit("tests/app.py")).when(chance < 50, F.lit("src/app.py")).otherwise(F.lit(""))
     rows = spark.range(rows).withColumn("made", made)
     return rows.select(F.col("id").alias("doc_id"), path.alias("path"), "made.rule", F.lit(0).alias("turn"), "made.value", F.lit(0).cast("long").alias("at"), filler.alias("before"), F.lit("").alias("after"), "made.label")
 
 
 def train(labelled: DataFrame, trees: int = 30, depth: int = 6) -> RandomForestClassificationModel:
-    """A forest over the features of labelled findings (label 1: a secret)."""
+    """A forest over the features of labelled findings (label 1: a secret).
+
+    Rows with a null label or value are not learned from; repeated rows count as often as
+    they stand.
+    """
+    labelled = labelled.where("label is not null and value is not null and value <> ''")
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(labelled))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(ready)
 
 
 def scan(documents: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
-    """Per candidate: doc_id, rule, line, at, n_chars, value_sha256, score, secret.
+    """Per candidate: doc_id, rule, turn, at, n_chars, value_sha256, score, secret.
 
     Null and empty texts have no candidate, and a table without `source` has empty paths.
-    Equal values in one text are all reported, at the place of the first; a null doc_id
-    is kept.  Values themselves are not returned.
+    Equal values in one text are all reported, each at its own place; repeated rows report
+    theirs again, and a null doc_id is kept.  Values themselves are not returned.
     """
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(documents)))
     scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
