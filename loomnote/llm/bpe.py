@@ -337,7 +337,10 @@ def round_trip(spark: SparkSession, documents: DataFrame, ranks_path: str) -> Da
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes.
 
     Encodes every whole text and decodes the ids again in the same task, so the ids,
-    several times the text's size, never leave it.
+    several times the text's size, never leave it.  Null texts count as empty; an empty text
+    has no ids and the digests of nothing.  Rows that share a doc_id, or have none, are
+    encoded one by one, so repeated rows give equal results; a very long text is one chunk
+    of its own.  Other columns are ignored; an empty table gives no rows.
     """
     name = read_ranks(spark, ranks_path)
 
@@ -355,7 +358,6 @@ def round_trip(spark: SparkSession, documents: DataFrame, ranks_path: str) -> Da
                     [batch.column("doc_id").slice(chunk.first, chunk.rows), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(np.diff(chunk.starts))],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
-        own.seen.clear()  # the worker goes on to other tasks
 
     return _texts(documents).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 

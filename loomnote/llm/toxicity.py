@@ -6,8 +6,9 @@ dictionary, and with the toxic one laid before it: what it gets shorter by is wh
 text has in common with it and ordinary text has not.  Toxic documents are mostly made of
 ordinary words, and so is their dictionary; ordinary windows that it shortens by chance
 are trained into a third dictionary, which both sides share, so that they no longer tell.
-How much the windows of a document are shortened is calibrated, with the threshold, on
-labelled documents that no dictionary was trained on.
+All of that is done once for each third of the labelled documents left out, and how much
+the windows of a left-out document are shortened is calibrated, with the threshold; a new
+document is measured with each set of dictionaries, and the measures are averaged.
 """
 
 from __future__ import annotations
@@ -37,27 +38,27 @@ ORDINARY_BYTES = 65_536
 TOXIC_BYTES = 6_144
 SHARED_BYTES = 16_384
 #: Lengths, in bytes, of the pieces that training weighs and of those it takes.
-DMER, PIECE = 6, 12
+DMER, PIECE = 8, 16
 #: Rounds in which ordinary windows that the toxic dictionary shortens by two bytes are trained in.
 ROUNDS = 2
+#: Sets of dictionaries, each trained without its own share of the documents.
+FOLDS = 3
 #: A document's windows are counted by how many bytes they are shortened, from LEAST to MOST.
 LEAST, MOST = -2, 13
 #: A clean document above the threshold weighs so many times a toxic one below it.
-CLEAN_WEIGHT = 2.0
+CLEAN_WEIGHT = 1.5
+#: A text's windows count as so many more, so that a few alone tell little.
+DAMPED = 8
 #: A text without words scores this.
 EMPTY_SCORE = 0.01
 
 
 @dataclass
-class Model:
-    """Dictionaries, and a logistic scorer over how much a document's windows are shortened."""
+class Dictionaries:
+    """An ordinary and a toxic dictionary."""
 
     ordinary: bytes
     toxic: bytes
-    window: int = WINDOW_BYTES
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 3))
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 2))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(MOST - LEAST + 2))
 
     def compressors(self) -> tuple:
         """For windows with the preamble: with the ordinary dictionary, and with the toxic one before it."""
@@ -71,6 +72,20 @@ class Model:
         return one(self.ordinary), one(self.toxic + self.ordinary)
 
 
+@dataclass
+class Model:
+    """Sets of dictionaries, and a logistic scorer over how much a document's windows are shortened."""
+
+    sets: list[Dictionaries]
+    window: int = WINDOW_BYTES
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 3))
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(MOST - LEAST + 2))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(MOST - LEAST + 2))
+
+    def compressors(self) -> list[tuple]:
+        return [s.compressors() for s in self.sets]
+
+
 def lowered(text: str | None) -> str:
     return (text or "").lower()
 
@@ -87,24 +102,28 @@ def windows(data: bytes, size: int) -> list[bytes]:
     return out
 
 
-def shortened(data: bytes, model: Model, compressors: tuple) -> np.ndarray:
+def shortened(cut: list[bytes], compressors: tuple) -> np.ndarray:
     """By how many bytes each window is shorter with the toxic dictionary."""
     ordinary, toxic = (c.compress for c in compressors)
-    return np.array([len(ordinary(w)) - len(toxic(w)) for w in (PREAMBLE + x for x in windows(data, model.window))], np.int64)
+    return np.array([len(ordinary(w)) - len(toxic(w)) for w in map(PREAMBLE.__add__, cut)], np.int64)
 
 
-def measure(text: str | None, model: Model, compressors: tuple) -> np.ndarray:
-    """How many windows are shortened by LEAST, .. MOST - 1 bytes or more, all windows, and the mean."""
-    data = lowered(text).encode("utf-8", "replace")
-    if not data.strip():
-        return np.zeros(MOST - LEAST + 2)
-    saved = shortened(data, model, compressors)
-    counts = np.bincount(np.clip(saved, LEAST - 1, MOST - 1) - LEAST + 1, minlength=MOST - LEAST + 1)
-    return np.concatenate([np.cumsum(counts[::-1])[::-1][1:], [len(saved), saved.mean()]])
-
+def measure(text: str | None, window: int, compressors: list[tuple]) -> np.ndarray:
+    """The scorer's inputs, averaged over the sets of dictionaries; zeros for a text without words.
 
-def _features(rows: np.ndarray) -> np.ndarray:
-    return np.hstack([np.log1p(rows[:, :-1]), rows[:, -1:]])
+    Logarithms of how many windows are shortened by LEAST, .. MOST - 1 bytes or more, less
+    half of that of how many windows there are (damped), which is an input of its own, and the mean of bytes.
+    """
+    out = np.zeros((len(compressors), MOST - LEAST + 2))
+    data = lowered(text).encode("utf-8", "replace")
+    if data.strip():
+        cut = windows(data, window)
+        for row, pair in zip(out, compressors, strict=True):
+            saved = shortened(cut, pair)
+            counts = np.bincount(np.clip(saved, LEAST - 1, MOST - 1) - LEAST + 1, minlength=MOST - LEAST + 1)
+            size = len(saved) + DAMPED
+            row[:] = *(np.log1p(np.cumsum(counts[::-1])[::-1][1:]) - np.log(size) / 2), np.log(size), saved.sum() / size
+    return out.mean(axis=0)
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -117,32 +136,39 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], window: int = WINDOW_BYTES) -> Model:
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], window: int = WINDOW_BYTES) -> Dictionaries:
     """Dictionaries of the windows of each class, and of the ordinary ones that the toxic one shortens."""
     foul, clean = ([w for t in texts for w in windows(t, window)] for texts in (toxic, ordinary))
     plain = dictionary(clean, ORDINARY_BYTES)
-    model, hard = Model(plain, dictionary(foul, TOXIC_BYTES), window), []
+    # of little text only what it repeats: the rest of its words are ordinary
+    made, hard = Dictionaries(plain, dictionary(foul, min(TOXIC_BYTES, max(256, sum(map(len, foul)) // 10)))), []
     for _ in range(ROUNDS):
-        held = model.compressors()
-        saved = (held[0].compress, held[1].compress)
-        hard += [w for w in clean if len(saved[0](PREAMBLE + w)) - len(saved[1](PREAMBLE + w)) >= 2]
-        model = Model(dictionary(hard, SHARED_BYTES) + plain, model.toxic, window)
-    return model
+        hard += [w for w, saved in zip(clean, shortened(clean, made.compressors()), strict=True) if saved >= 2]
+        made = Dictionaries(dictionary(hard, SHARED_BYTES) + plain, made.toxic)
+    return made
 
 
 def fit(toxic: list[str], ordinary: list[str], window: int = WINDOW_BYTES) -> Model:
-    """Train dictionaries on every other sampled document, and calibrate on the rest."""
-    toxic, ordinary = ([lowered(x).encode("utf-8", "replace") for x in texts] for texts in (toxic, ordinary))
-    model = dictionaries(toxic[::2], ordinary[::2], window)
-    held = model.compressors()
-    if not toxic[1::2] or not ordinary[1::2]:
+    """Train a set of dictionaries without each fold of the documents, and calibrate on those left out."""
+    toxic, ordinary = ([lowered(x) for x in texts] for texts in (toxic, ordinary))
+    sets, rows, truth = [], [], []
+    for fold in range(FOLDS):
+        rest = ([t.encode("utf-8", "replace") for i, t in enumerate(texts) if i % FOLDS != fold] for texts in (toxic, ordinary))
+        sets.append(dictionaries(*rest, window))
+        pair = [sets[-1].compressors()]
+        for label, texts in ((1, toxic[fold::FOLDS]), (0, ordinary[fold::FOLDS])):
+            rows += [measure(t, window, pair) for t in texts]
+            truth += [label] * len(texts)
+    model = Model(sets, window)
+    if not toxic or not ordinary:
         model.weights[0] = -4.0  # nothing to calibrate on: windows shortened by four bytes tell
         model.weights[1 + 4 - LEAST] = 4.0
         return model
-    x = _features(np.array([measure(t.decode("utf-8"), model, held) for t in toxic[1::2] + ordinary[1::2]]))
-    y = np.concatenate([np.ones(len(toxic[1::2])), np.zeros(len(ordinary[1::2]))])
+    x, y = np.array(rows), np.array(truth)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
-    model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    # what hardly differs in the sample must not weigh where it does, as in far longer texts
+    least = np.array([0.5] * (x.shape[1] - 1) + [0.05])
+    model.centre, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), least)
     z = np.hstack([np.ones((len(x), 1)), (x - model.centre) / model.scale])
     w = np.zeros(x.shape[1] + 1)
     ridge = np.array([1e-6] + [1.0] * x.shape[1])
@@ -157,15 +183,16 @@ def fit(toxic: list[str], ordinary: list[str], window: int = WINDOW_BYTES) -> Mo
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     cuts = cuts[:: max(1, len(cuts) // 500)]
     weight = np.where(y == 1, weight, CLEAN_WEIGHT * weight)
-    right = [((margin > c) == (y == 1)) @ weight for c in cuts]
-    w[0] -= cuts[int(np.argmax(right))]
+    right = np.array([((margin > c) == (y == 1)) @ weight for c in cuts])
+    best = np.flatnonzero(right >= right.max() - 1e-9)
+    w[0] -= cuts[best[len(best) // 2]]
     model.weights = w
     return model
 
 
 def score(rows: np.ndarray, model: Model) -> np.ndarray:
     """0 to 1; a text without words scores EMPTY_SCORE."""
-    z = (_features(rows) - model.centre) / model.scale
+    z = (rows - model.centre) / model.scale
     out = 1 / (1 + np.exp(-np.clip(model.weights[0] + z @ model.weights[1:], -30, 30)))
     return np.where(rows[:, -2] > 0, out, EMPTY_SCORE)
 
@@ -176,7 +203,7 @@ def remainder(column: str = "doc_id"):
 
 
 def sample(documents: DataFrame, labels: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Toxic and ordinary training texts: of each label the `docs` ids of lowest hash.
+    """Toxic and ordinary training texts: of each label the `docs` ids of lowest hash.  Null labels tell nothing.
 
     Held-out ids, texts of more than `chars` characters and rows with null id, label or
     text are not learned from.  Contradicting labels of one id count as toxic.
@@ -215,7 +242,7 @@ def classify(documents: DataFrame, model: Model) -> DataFrame:
         own = held.value
         compressors = own.compressors()
         for batch in batches:
-            rows = [measure(text.as_py(), own, compressors) for text in batch.column("text")]
+            rows = [measure(text.as_py(), own.window, compressors) for text in batch.column("text")]
             out = score(np.array(rows), own) if rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
             release()
@@ -239,7 +266,7 @@ def remove_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
         own = held.value
         compressors = own.compressors()
         for batch in batches:
-            rows = [measure(text.as_py(), own, compressors) for text in batch.column(place)]
+            rows = [measure(text.as_py(), own.window, compressors) for text in batch.column(place)]
             if rows:
                 yield batch.filter(pa.array(score(np.array(rows), own) < threshold))
             release()

@@ -52,16 +52,18 @@ def test_toxicity_equals_plain_windows(spark, docs):
         if not data.strip():
             want.append((i, toxicity.EMPTY_SCORE))
             continue
-        saved, at = [], 0
-        ordinary, toxic = model.compressors()
-        for window in toxicity.windows(data, model.window):
-            assert data[at : at + len(window)] == window and 0 < len(window) <= model.window
-            at += len(window)
-            lengths = [len(c.compress(toxicity.PREAMBLE + window)) for c in (ordinary, toxic)]
-            saved.append(lengths[0] - lengths[1])
-        assert at == len(data)
-        x = [np.log1p(sum(s >= k for s in saved)) for k in range(toxicity.LEAST, toxicity.MOST)] + [np.log1p(len(saved)), np.mean(saved)]
-        margin = model.weights[0] + ((np.array(x) - model.centre) / model.scale) @ model.weights[1:]
+        inputs = []
+        for ordinary, toxic in model.compressors():
+            saved, at = [], 0
+            for window in toxicity.windows(data, model.window):
+                assert data[at : at + len(window)] == window and 0 < len(window) <= model.window
+                at += len(window)
+                lengths = [len(c.compress(toxicity.PREAMBLE + window)) for c in (ordinary, toxic)]
+                saved.append(lengths[0] - lengths[1])
+            assert at == len(data)
+            size = len(saved) + toxicity.DAMPED
+            inputs.append([np.log1p(sum(s >= k for s in saved)) - np.log(size) / 2 for k in range(toxicity.LEAST, toxicity.MOST)] + [np.log(size), sum(saved) / size])
+        margin = model.weights[0] + ((np.mean(inputs, axis=0) - model.centre) / model.scale) @ model.weights[1:]
         want.append((i, 1 / (1 + np.exp(-np.clip(margin, -30, 30)))))
     assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([s for _, s in got], [s for _, s in sorted(want)])
 

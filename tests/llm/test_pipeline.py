@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from cases import ODD
 from loomnote.llm import minhash
 
 
@@ -62,3 +63,17 @@ def test_stages_take_an_empty_table(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, tables).count() == 0
     assert minhash.near_duplicates(spark, docs).count() == 0
+
+
+def test_stages_take_odd_rows(spark, tables, docs):
+    """Null and repeated ids, very long and empty texts, clashing columns: none crashes a stage or loses an id-less row."""
+    far = [(i if i is None else i + 5000, t) for i, t in ODD]  # ids without labels
+    base = docs([*far, *((i, f"line {i} of a clean text\nwith words like number{i}") for i in range(5020, 5060)), (None, None), (5009, None), (5009, None)])
+    names, out = base.columns, base
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, tables)
+        assert out.columns == names, name
+    rows = out.select("doc_id", "text").collect()
+    assert sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_id == 5009 for r in rows) == 2 and {r.doc_id for r in rows} >= {5001, 5002, 5003, 5004, 5007}
+    last = corpus_pipeline.STAGES[-1][1](spark, out, tables).collect()
+    assert len(last) == len(rows)
