@@ -100,6 +100,25 @@ def snippet(text: Column, terms: Column, window: int = 160, before: int = 53) ->
     return F.concat(F.when(start > 1, F.lit("…")).otherwise(""), F.substring(flat, start, F.lit(window)), F.when(end <= F.length(flat), F.lit("…")).otherwise(""))
 
 
+def highlighted(text: Column, terms: list[str], window: int = 160) -> Column:
+    """A snippet around the earliest term with `**` around what matches.
+
+    Of terms of one length the first is marked, longer ones before shorter ones; without a
+    match it is the text's beginning.
+    """
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    known = [t for t in dict.fromkeys(x.lower() for x in terms) if len(t) > 1]
+    places = [F.instr(F.lower(flat), F.lit(t)) for t in known]
+    at = F.array_min(F.filter(F.array(*places), lambda p: p > 0)) if known else F.lit(None).cast("int")
+    start = F.greatest(at - window // 3, F.lit(1))
+    core = F.substring(flat, start, F.lit(window))
+    for t in sorted({len(t): t for t in reversed(known)}.values(), key=len, reverse=True):
+        core = F.regexp_replace(core, "(?iu)" + "".join(c if c.isalnum() else "\\" + c for c in t), r"**$0**")
+    found = F.concat(F.when(start > 1, F.lit("…")).otherwise(""), core, F.when(start + window <= F.length(flat), F.lit("…")).otherwise(""))
+    plain = F.concat(F.substring(flat, 1, window), F.when(F.length(flat) > window, F.lit("…")).otherwise(""))
+    return F.when(at.isNull(), plain).otherwise(found)
+
+
 def language(text: Column) -> Column:
     """`ru` where Cyrillic letters outnumber Latin ones, else `en`."""
     cyrillic = F.regexp_count(text, F.lit(r"\p{IsCyrillic}"))

@@ -69,6 +69,49 @@ def rewritten(text: Column, old: Column, new: Column) -> Column:
     return F.regexp_replace(text, quoted, F.concat(F.lit("[["), F.regexp_replace(new, r"([\\$])", r"\\$1")))
 
 
+def relinked(text: Column, vault: Column, old: Column, new: Column) -> Column:
+    """A text of another vault whose qualified links `[[vault:old]]` name `new` instead.
+
+    A link fits by its whole path or its last name, with or without .md; heading and alias stay.
+    """
+    escape = lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|-])", r"\\$1")
+    to = F.regexp_replace(new, r"\.md$", "")
+    pattern = F.concat(F.lit(r"\[\[\s*"), escape(vault), F.lit(r"\s*:\s*(?:[^\[\]|#:]*/)?"), escape(T.stem(old)), F.lit(r"(?:\.md)?\s*((?:#|\|)[^\[\]]*)?\]\]"))
+    made = F.concat(F.lit("[["), vault, F.lit(":"), to)
+    return F.regexp_replace(text, pattern, F.concat(F.regexp_replace(made, r"([\\$])", r"\\$1"), F.lit("$1]]")))
+
+
+def relink_others(notes: DataFrame, moves: DataFrame, writable: DataFrame) -> DataFrame:
+    """vault, path, text: the notes of other, writable vaults that a move's links change.
+
+    notes: vault, path, text.  moves: moved (a vault), old, new, one row each.  writable: vault.
+    """
+    rows = notes.join(writable.select("vault").distinct(), "vault", "left_semi").where(F.col("path").endswith(".md") & F.contains(F.col("text"), F.lit("[[")))
+    each = rows.crossJoin(F.broadcast(moves)).where(F.col("vault") != F.col("moved"))  # one move
+    done = each.select("vault", "path", F.col("text").alias("before"), relinked(F.col("text"), F.col("moved"), F.col("old"), F.col("new")).alias("text"))
+    return done.where("text <> before").drop("before")
+
+
+def tree_totals(paths: DataFrame, prefix: str = "", depth: int = 2, most: int = 500) -> DataFrame:
+    """One row: files, root_files (directly at the prefix) and whether folders exceed `most`."""
+    rows = paths.where(F.col("path").startswith(prefix)).select(F.substring("path", len(prefix) + 1, 1 << 30).alias("path"))
+    files = rows.agg(F.count("*").alias("files"), F.count_if(~F.contains("path", F.lit("/"))).alias("root_files"))
+    return files.crossJoin(folder_tree(rows, depth).agg((F.count("*") > most).alias("truncated")))  # one row each
+
+
+def tree_page(paths: DataFrame, depth: int = 2, most: int = 500) -> DataFrame:
+    """The first `most` folders by path, with their files."""
+    return folder_tree(paths, depth).orderBy("folder").limit(most)
+
+
+def tree_nodes(paths: DataFrame) -> DataFrame:
+    """path, parent, name, kind (dir or file): the nested tree as rows, each node once; the root's parent is ''."""
+    parts = F.split("path", "/")
+    levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("path"), F.array_join(F.slice(parts, 1, i - 1), "/").alias("parent"), F.element_at(parts, i).alias("name"), (i < F.size(parts)).alias("inner")))
+    each = paths.select(F.explode(levels).alias("n")).select("n.*")
+    return each.groupBy("path", "parent", "name").agg(F.when(F.max("inner"), "dir").otherwise("file").alias("kind"))
+
+
 def tag_counts(notes: DataFrame) -> DataFrame:
     return notes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,71 +60,156 @@ def bm25(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = ("text
     return total if k is None else top(total, k)
 
 
+_TOKEN = re.compile(
+    r'''\s*(?:(?P<op>AND|OR|NOT|&&|\|\|)(?=[\s()]|$)|(?P<close>\))(?:\^(?P<boosted>\d+(?:\.\d+)?))?
+    |(?P<sign>[+\-!])?(?:(?P<field>\w+):)?(?:(?P<open>\()|(?P<phrase>"[^"]*")(?:~\d+)?|[\[{](?P<low>\S+)\s+TO\s+(?P<high>[^\s\]}]+)[\]}]|/(?P<regex>(?:[^/\\]|\\.)+)/|(?P<word>[^\s()"^]+))(?:\^(?P<boost>\d+(?:\.\d+)?))?)''',
+    re.X,
+)
+_OPERATOR = {"AND": "must", "&&": "must", "OR": "should", "||": "should", "NOT": "must_not"}
+
+
 def parse_query(query: str) -> list[dict]:
-    """A query's clauses: kind (term, prefix, fuzzy, phrase), field, text, boost, occur.
+    """A query's clauses: kind (term, prefix, fuzzy, phrase, range, regex, group, all), field, text, boost, occur.
 
-    Understands field:, "phrases", trailing * and ~, ^boost, + - AND OR NOT.  What does not
+    Understands field:, "phrases", trailing * and ~, [a TO b], /regular expressions/, ^boost,
+    ( ) and + - ! AND OR NOT.  A group has `clauses`, a range `low` and `high`.  What does not
     parse is taken as plain words.
     """
-    import re
+    stack: list[list[dict]] = [[]]
+    waiting, at, text = ["should"], 0, query.rstrip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m or (m["close"] and len(stack) == 1):
+            return _plain(query)
+        at, own = m.end(), stack[-1]
+        if m["op"]:
+            if m["op"] in ("AND", "&&") and own and own[-1]["occur"] == "should":
+                own[-1]["occur"] = "must"
+            waiting[-1] = _OPERATOR[m["op"]] if waiting[-1] != "must" or m["op"] != "NOT" else "must_not"
+            continue
+        if m["close"]:
+            stack.pop(), waiting.pop()
+            stack[-1][-1]["boost"] = float(m["boosted"] or 1)
+            continue
+        occur = {"+": "must", "-": "must_not", "!": "must_not"}.get(m["sign"], waiting[-1])
+        waiting[-1] = "should"
+        clause = {"kind": "term", "field": m["field"], "text": "", "boost": float(m["boost"] or 1), "occur": occur}
+        own.append(clause)
+        if m["open"]:
+            clause |= {"kind": "group", "clauses": []}
+            stack.append(clause["clauses"]), waiting.append("should")
+        elif m["phrase"] is not None:
+            clause |= {"kind": "phrase", "text": m["phrase"][1:-1].lower()}
+        elif m["low"]:
+            clause |= {"kind": "range", "low": m["low"].lower(), "high": m["high"].lower()}
+        elif m["regex"]:
+            clause |= {"kind": "regex", "text": m["regex"].lower()}
+        elif m["word"] == "*":
+            clause["kind"] = "all"
+        elif m["word"].endswith("*"):
+            clause |= {"kind": "prefix", "text": m["word"][:-1].lower()}
+        elif f := re.fullmatch(r"(.+)~(\d?)", m["word"]):
+            clause |= {"kind": "fuzzy", "text": f[1].lower()}
+        else:
+            clause["text"] = m["word"].lower()
+    return stack[0] if len(stack) == 1 else _plain(query)
+
+
+def _plain(query: str) -> list[dict]:
+    return [{"kind": "term", "field": None, "text": w, "boost": 1.0, "occur": "should"} for w in re.findall(r"\w+", query.lower())]
+
 
-    out, occur = [], "should"
-    for m in re.finditer(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|([^\s"]+))', query):
-        sign, name, phrase, word = m[1], m[2], m[3], m[4]
-        if word in ("AND", "OR", "NOT") and not name and not sign:
-            if word == "AND" and out and out[-1]["occur"] == "should":
-                out[-1]["occur"] = "must"
-            occur = {"AND": "must", "OR": "should", "NOT": "must_not"}[word]
+def leaves(clauses: list[dict], boost: float = 1.0, field: str | None = None) -> Iterator[dict]:
+    """The clauses that can add to a score, out of their groups, with the product of their boosts."""
+    for c in clauses:
+        if c["occur"] == "must_not":
             continue
-        boost = 1.0
-        if word and (b := re.fullmatch(r"(.+)\^(\d+(?:\.\d+)?)", word)):
-            word, boost = b[1], float(b[2])
-        kind, text = "term", phrase if phrase is not None else word
-        if phrase is not None:
-            kind = "phrase"
-        elif word == "*":
-            kind = "all"
-        elif word.endswith("*"):
-            kind, text = "prefix", word[:-1]
-        elif f := re.fullmatch(r"(.+)~(\d?)", word):
-            kind, text = "fuzzy", f[1]
-        out.append({"kind": kind, "field": name, "text": text.lower(), "boost": boost, "occur": {"+": "must", "-": "must_not"}.get(sign, occur)})
-        occur = "should"
-    return out
+        own = {**c, "boost": c["boost"] * boost, "field": c["field"] or field}
+        if c["kind"] == "group":
+            yield from leaves(c["clauses"], own["boost"], own["field"])
+        else:
+            yield own
 
 
 def clause_matches(clause: dict, tokens: Column) -> Column:
     """Whether a clause matches a chunk's words."""
-    if clause["kind"] == "all":
+    kind, text = clause["kind"], clause["text"]
+    if kind == "all":
         return F.lit(True)
-    if clause["kind"] == "prefix":
-        return F.exists(tokens, lambda t: t.startswith(clause["text"]))
-    if clause["kind"] == "fuzzy":
-        return F.exists(tokens, lambda t: F.levenshtein(t, F.lit(clause["text"]), 2) >= 0)
-    if clause["kind"] == "phrase":
+    if kind == "prefix":
+        return F.exists(tokens, lambda t: t.startswith(text))
+    if kind == "fuzzy":
+        return F.exists(tokens, lambda t: F.levenshtein(t, F.lit(text), 2) >= 0)
+    if kind == "range":
+        low, high = clause["low"], clause["high"]
+        return F.exists(tokens, lambda t: (F.lit(True) if low == "*" else t >= low) & (F.lit(True) if high == "*" else t <= high))
+    if kind == "regex":
+        return F.exists(tokens, lambda t: t.rlike(f"^(?:{text})$"))
+    if kind == "phrase" or not text.isalnum():  # a word that the analyser splits is a phrase of its parts
         joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-        return F.contains(joined, F.concat(F.lit(" "), T.normalised(F.lit(clause["text"])), F.lit(" ")))
-    return F.array_contains(tokens, clause["text"])
+        return F.contains(joined, F.concat(F.lit(" "), T.normalised(F.lit(text)), F.lit(" ")))
+    return F.array_contains(tokens, text)
 
 
-def matching(chunks: DataFrame, query: str, fields: tuple[str, ...] = ("text", "heading")) -> DataFrame:
-    """The chunks that a query in the small syntax selects."""
-    must, should = F.lit(True), None
-    required = False
-    for clause in parse_query(query):
-        own = (clause["field"],) if clause["field"] else fields
-        hit = F.lit(False)
-        for name in own:
-            hit |= clause_matches(clause, T.words(F.col(name)))
+def _hits(clause: dict, fields: tuple[str, ...]) -> Column:
+    own = (clause["field"],) if clause["field"] else fields
+    if clause["kind"] == "group":
+        return selects(clause["clauses"], own)
+    hit = F.lit(False)
+    for name in own:
+        hit |= clause_matches(clause, T.words(F.col(name)))
+    return hit
+
+
+def selects(clauses: list[dict], fields: tuple[str, ...] = ("text", "heading")) -> Column:
+    """All `must`, no `must_not`, and one `should` at least where nothing is required."""
+    out, should, required = F.lit(True), None, False
+    for clause in clauses:
+        hit = _hits(clause, fields)
         if clause["occur"] == "must":
-            must, required = must & hit, True
+            out, required = out & hit, True
         elif clause["occur"] == "must_not":
-            must &= ~hit
+            out &= ~hit
         else:
             should = hit if should is None else should | hit
-    if should is not None and not required:
-        must &= should
-    return chunks.where(must)
+    return out if should is None or required else out & should
+
+
+def matching(chunks: DataFrame, query: str, fields: tuple[str, ...] = ("text", "heading")) -> DataFrame:
+    """The chunks that a query in the small syntax selects."""
+    return chunks.where(selects(parse_query(query), fields))
+
+
+def scored_syntax(chunks: DataFrame, query: str, fields: tuple[str, ...] = ("text", "heading")) -> DataFrame:
+    """query_id (0), chunk_id, score: the chunks that a query selects.
+
+    Words and phrases score by BM25 of their words, times their boosts; a prefix, fuzzy word,
+    range, regular expression or * that matches adds its boost.
+    """
+    parts = list(leaves(parse_query(query)))
+    rows, spark = chunks.where(selects(parse_query(query), fields)), chunks.sparkSession
+    constant = F.lit(0.0)
+    weights: dict[str, dict[str, float]] = {}
+    for c in parts:
+        if c["kind"] in ("term", "phrase"):
+            for name in (c["field"],) if c["field"] else fields:
+                for w in re.findall(r"[^\W_]+", c["text"]):
+                    weights.setdefault(name, {})[w] = max(weights.get(name, {}).get(w, 0.0), c["boost"])
+        else:
+            constant += F.when(_hits(c, fields), F.lit(c["boost"])).otherwise(0.0)
+    out = rows.select("chunk_id", constant.alias("extra"))
+    for n, (name, own) in enumerate(weights.items()):
+        asked = spark.createDataFrame([(0, list(own), list(own.values()))], "query_id int, terms array<string>, weights array<double>")
+        out = out.join(bm25(chunks, asked, (name,), None).select("chunk_id", F.col("score").alias(f"s{n}")), "chunk_id", "left")
+    total = F.col("extra")
+    for n in range(len(weights)):
+        total += F.coalesce(f"s{n}", F.lit(0.0))
+    return out.select(F.lit(0).alias("query_id"), "chunk_id", F.round(total, 6).alias("score"))
+
+
+def semantic_degraded(mode: str, query: str, embedder: bool, vector: bool) -> bool:
+    """Whether a search that wants vectors of a vault that has them goes without: no query vector could be had."""
+    return bool(query.strip()) and mode != "KEYWORD" and embedder and not vector
 
 
 def grep(notes: DataFrame, pattern: str, literal: bool = False, ignore_case: bool = False, prefix: str | None = None, limit: int | None = None) -> DataFrame:
@@ -173,11 +259,19 @@ def rerank(ranked: DataFrame, score: Column, head: int = RERANKED) -> DataFrame:
     """Rescore the first `head` rows a query; the rest follow in their old order and score."""
     rows = ranked.withColumn("in_head", F.col("rank") <= head).withColumn("new", F.when(F.col("rank") <= head, score))
     order = Window.partitionBy("query_id").orderBy(F.desc("in_head"), F.desc_nulls_last("new"), "rank", "chunk_id")
-    return rows.select("query_id", "chunk_id", "in_head", F.coalesce("new", "score").alias("score"), F.row_number().over(order).cast("long").alias("rank"))
+    return rows.select("query_id", "chunk_id", "in_head", F.coalesce("new", "score").alias("score"), F.row_number().over(order).cast("long").alias("rank"), F.col("new").isNull().alias("missed"))
+
+
+def reranked(ranked: DataFrame, score: Column, head: int = RERANKED) -> DataFrame:
+    """query_id, chunk_id, in_head, score, rank after `rerank`."""
+    return rerank(ranked, score, head).drop("missed")
 
 
 def rerank_with(ranked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], head: int = RERANKED) -> DataFrame:
-    """Rerank by a pluggable scorer of (query, text) batches; a scorer that fails keeps the order."""
+    """Rerank by a pluggable scorer of (query, text) batches.
+
+    A scorer that fails keeps the order, and `degraded` says so of a query's rows.
+    """
 
     @pandas_udf("double")
     def scored(query: pd.Series, text: pd.Series) -> pd.Series:
@@ -186,16 +280,27 @@ def rerank_with(ranked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.S
         except Exception:  # the contract: degraded, not failed
             return pd.Series([None] * len(query), dtype="float64")
 
-    return rerank(ranked, scored(F.col("query"), F.col("text")), head)
+    rows = rerank(ranked, scored(F.col("query"), F.col("text")), head)
+    unscored = F.max((F.col("in_head") & F.col("missed")).cast("int")).over(Window.partitionBy("query_id")) == 1
+    return rows.withColumn("degraded", unscored).drop("missed")
 
 
-def embed_with(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
-    """Adds vec and error; a batch that fails is tried again text by text."""
+def passages(chunks: DataFrame, prefix: str = "") -> DataFrame:
+    """The chunks with the text that is embedded: the model's passage prefix, the heading if any, the text."""
+    head = F.when(F.coalesce("heading", F.lit("")) == "", F.lit("")).otherwise(F.concat("heading", F.lit("\n")))
+    return chunks.withColumn("passage", F.concat(F.lit(prefix), head, "text"))
+
+
+def embed_with(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 32, prefix: str = "") -> DataFrame:
+    """Adds vec and error; a batch that fails is tried again text by text.
+
+    `prefix` goes before every text, as some models want ("query: ", "passage: ").
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             vectors, errors = [], []
-            texts = part["text"].fillna("").tolist()
+            texts = [prefix + t for t in part["text"].fillna("")]
             for i in range(0, len(texts), batch):
                 try:
                     got = embed(texts[i : i + batch])

@@ -38,7 +38,7 @@ def _bm25_sql(rows: str, fields: tuple[str, ...], k: int, name: str = "ranked")
         parts.append(f"""t_{f} AS (SELECT chunk_id, {_words(f)} AS tokens FROM given), s_{f} AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM t_{f} WHERE len(tokens) > 0),
  p_{f} AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM t_{f}) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
  d_{f} AS (SELECT term, count(*) AS df FROM p_{f} GROUP BY term),
- b_{f} AS (SELECT query_id, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS part FROM p_{f} JOIN asked USING (term) JOIN d_{f} USING (term), s_{f})""")
+ b_{f} AS (SELECT query_id, term, chunk_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS part FROM p_{f} JOIN asked USING (term) JOIN d_{f} USING (term), s_{f})""")
     total = " UNION ALL ".join(f"SELECT * FROM b_{f}" for f in fields)
     parts.append(f"total_{name} AS (SELECT query_id, chunk_id, round(sum(part), 6) AS score FROM ({total}) GROUP BY ALL)")
     parts.append(f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM total_{name}) WHERE rank <= {k})")
@@ -209,7 +209,7 @@ def rrf_hybrid(spark, d):
  SELECT query_id, chunk_id, in_head, coalesce(fresh, score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY in_head DESC, fresh DESC NULLS LAST, rank, chunk_id) AS rank FROM r""")
 def rerank_head_tail(spark, d):
     made = F.length("chunk_id").cast("double") + (F.col("query_id") % 7) / 10
-    return search.rerank(_hybrid(spark, d), made, head=5)
+    return search.reranked(_hybrid(spark, d), made, head=5)
 
 
 @query(f"""WITH {V.NOTES}, {V.QUERIES}, {_bm25_sql(f'SELECT *, path AS chunk_id FROM notes WHERE {RECALLED}', ('text',), 50)}, f AS (SELECT n.vault, r.query_id, r.chunk_id, r.score FROM ranked r JOIN notes n ON n.path = r.chunk_id)
@@ -710,3 +710,53 @@ def remember_plan(spark, d):
     n = V.notes(spark, d)
     asked = n.select(F.col("doc_id").alias("id"), "type", F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.lit("old.md")).alias("supersedes"))
     return memory.remember(asked, n)
+
+
+@query(f"""WITH {V.CHUNKS}, flat AS (SELECT chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM chunks),
+ p AS (SELECT *, least(nullif(instr(lower(t), 'the'), 0), nullif(instr(lower(t), 'of'), 0), nullif(instr(lower(t), 'and'), 0)) AS place FROM flat), placed AS (SELECT *, greatest(place - 53, 1) AS s FROM p)
+ SELECT chunk_id, CASE WHEN place IS NULL THEN substr(t, 1, 160) || CASE WHEN length(t) > 160 THEN '…' ELSE '' END ELSE CASE WHEN s > 1 THEN '…' ELSE '' END
+   || regexp_replace(regexp_replace(substr(t, s, 160), '(the)', '**\\1**', 'gi'), '(of)', '**\\1**', 'gi') || CASE WHEN s + 160 <= length(t) THEN '…' ELSE '' END END AS snippet FROM placed""")
+def highlight(spark, d):
+    return V.chunks(spark, d).select("chunk_id", T.highlighted(F.col("text"), ["the", "of", "And"]).alias("snippet"))
+
+
+SYNTAX = "contains(' ' || array_to_string(w, ' ') || ' ', {})"
+
+
+@query(f"""WITH {V.CHUNKS}, c AS (SELECT chunk_id, {_words('text')} AS w, {_words('heading')} AS h FROM chunks)
+ SELECT chunk_id FROM c WHERE (list_contains(h, 'fact') OR list_contains(h, 'policy')) AND len(list_filter(w, lambda t: t >= 'thi' AND t <= 'tho')) > 0 AND NOT len(list_filter(w, lambda t: regexp_full_match(t, 'an(d|a).*'))) > 0""")
+def grouped_query(spark, d):
+    return _syntax(spark, d, "heading:(fact OR policy) AND text:[thi TO tho] -text:/an(d|a).*/")
+
+
+@query(f"""WITH {V.CHUNKS}, queries AS (SELECT 0 AS query_id, ['of', 'the'] AS terms), {_bm25_sql('SELECT * FROM chunks', ('text',), 10)},
+ w AS (SELECT chunk_id, sum(CASE WHEN term = 'of' THEN 2 * part ELSE part END) AS s FROM b_text GROUP BY 1), c AS (SELECT chunk_id, len(list_filter({_words('text')}, lambda t: starts_with(t, 'thorb'))) > 0 AS p, list_contains({_words('heading')}, 'fact') AS f FROM chunks)
+ SELECT chunk_id, round(coalesce(s, 0) + CASE WHEN p THEN 3 ELSE 0 END, 6) AS score FROM c LEFT JOIN w USING (chunk_id) WHERE NOT f AND (s IS NOT NULL OR p)""")
+def boosted_query(spark, d):
+    return search.scored_syntax(V.chunks(spark, d), "text:of^2 text:the text:thorb*^3 -heading:fact").select("chunk_id", "score")
+
+
+@query(f"WITH {V.CHUNKS} SELECT chunk_id, 'passage: ' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE heading || chr(10) END || text AS passage FROM chunks")
+def passage_text(spark, d):
+    rows = V.chunks(spark, d).withColumn("heading", F.when(F.col("doc_id") % 3 != 0, F.col("heading")))
+    return search.passages(rows, "passage: ").select("chunk_id", "passage")
+
+
+@query(f"""WITH {V.NOTES}, t AS (SELECT vault, path, doc_id, CASE doc_id % 5 WHEN 0 THEN 'see [[src1:a/old.md#top|x]] and [[src1: old ]]' WHEN 1 THEN '[[src1:older]] [[src2:old]]' WHEN 2 THEN '[[src1:b/old|old]]' ELSE 'none' END AS text FROM notes WHERE doc_id % 7 <> 3)
+ SELECT vault, path, CASE doc_id % 5 WHEN 0 THEN 'see [[src1:n/new#top|x]] and [[src1:n/new]]' ELSE '[[src1:n/new|old]]' END AS text FROM t WHERE vault <> 'src1' AND vault <> 'src4' AND doc_id % 5 IN (0, 2)""")
+def cross_vault_relink(spark, d):
+    n = V.notes(spark, d).where("doc_id % 7 <> 3")
+    text = F.element_at(F.array(*map(F.lit, ("see [[src1:a/old.md#top|x]] and [[src1: old ]]", "[[src1:older]] [[src2:old]]", "[[src1:b/old|old]]", "none", "none"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    moves = spark.createDataFrame([("src1", "a/old.md", "n/new.md")], "moved string, old string, new string")
+    return links.relink_others(n.select("vault", "path", text.alias("text")), moves, n.where("vault <> 'src4'").select("vault"))
+
+
+@query(f"WITH {V.NOTES}, p AS (SELECT lang || '/' || path AS path FROM notes WHERE lang = 'en'), r AS (SELECT substr(path, 4) AS path FROM p) SELECT count(*) AS files, count(*) FILTER (WHERE NOT contains(path, '/')) AS root_files, count(DISTINCT split_part(path, '/', 1)) > 5 AS truncated FROM r")
+def tree_totals(spark, d):
+    return links.tree_totals(V.notes(spark, d).select(F.concat_ws("/", "lang", "path").alias("path")), "en/", 2, 5)
+
+
+@query(f"""WITH {V.NOTES}, p AS (SELECT string_split(lang || '/' || path, '/') AS s FROM notes), e AS (SELECT array_to_string(s[1:i], '/') AS path, array_to_string(s[1:i - 1], '/') AS parent, s[i] AS name, i < len(s) AS inner_node FROM p, range(1, 4) r(i) WHERE i <= len(s))
+ SELECT path, coalesce(parent, '') AS parent, name, CASE WHEN bool_or(inner_node) THEN 'dir' ELSE 'file' END AS kind FROM e GROUP BY ALL""")
+def tree_nodes(spark, d):
+    return links.tree_nodes(V.notes(spark, d).select(F.concat_ws("/", "lang", "path").alias("path")))

@@ -8,6 +8,7 @@ outcome and, if it holds, a vault with one more change.  Outcomes are `ok`, `con
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -114,34 +115,40 @@ class Vault:
         return self.spark.createDataFrame([(0, query)], "query_id long, q string").select("query_id", T.words(F.col("q")).alias("terms"))
 
     def search(self, query: str = "", mode: str = "HYBRID", limit: int = 10, given: filters.Filters | None = None, vector: list[float] | None = None, as_of: int | None = None, now: int | None = None) -> DataFrame:
-        """Ranked chunks: chunk_id, path, score, rank, snippet.  A blank query with filters browses."""
+        """Ranked chunks: chunk_id, path, score, rank, snippet, degraded.  A blank query with filters browses.
+
+        `degraded`: vectors were wanted and the vault has them, but the query has none.
+        """
         given, now = given or filters.Filters(), int(time.time()) if now is None else now
         own = self if as_of is None else self.at(as_of)
         rows = own.chunks.where(filters.recalled(given, as_of or now))
         if not query.strip():
             found = filters.browse(own.chunks, given, as_of or now).select("chunk_id", "score").orderBy("chunk_id").limit(limit).withColumn("rank", F.lit(None).cast("long"))
         else:
-            plain = all(c["kind"] == "term" and not c["field"] and c["occur"] == "should" for c in search.parse_query(query))
-            rows = rows if plain else search.matching(rows, query)
-            vectors = None
-            asked = self._queries(query)
+            clauses = search.parse_query(query)
+            plain = all(c["kind"] == "term" and not c["field"] and c["occur"] == "should" and c["boost"] == 1 and c["text"].isalnum() for c in clauses)
+            vectors, asked = None, self._queries(query)
             if self.vectors is not None and vector is not None and as_of is None:
                 vectors = rows.select("chunk_id", "content_hash").join(self.vectors, "content_hash")
                 asked = asked.withColumn("vec", F.array(*map(F.lit, vector)))
-            if plain:
+            if plain or mode == "SEMANTIC" and vectors is not None:
                 found = search.search(mode, rows, vectors, asked, limit).select("chunk_id", "score", "rank")
-            else:  # what only a prefix, a near word or a phrase has found scores 1
-                known = search.bm25(rows, asked, ("text", "heading"), None).select("chunk_id", "score")
-                every = rows.select("chunk_id").join(known, "chunk_id", "left").select(F.lit(0).alias("query_id"), "chunk_id", F.coalesce("score", F.lit(1.0)).alias("score"))
-                found = search.top(every, limit).select("chunk_id", "score", "rank")
-        terms = F.array(*map(F.lit, query.lower().split())) if query.strip() else F.array().cast("array<string>")
-        return found.join(own.chunks.select("chunk_id", "path", "text"), "chunk_id").select("chunk_id", "path", "score", "rank", T.snippet(F.col("text"), terms).alias("snippet"))
+            else:
+                keyword = search.scored_syntax(rows, query)
+                if mode == "KEYWORD" or vectors is None:
+                    found = search.top(keyword, limit).select("chunk_id", "score", "rank")
+                else:
+                    wide = search.window_size(limit)
+                    found = search.top(search.fuse(search.top(keyword, wide), search.knn(vectors, asked, wide)), limit).select("chunk_id", "score", "rank")
+        degraded = search.semantic_degraded(mode, query, self.vectors is not None, vector is not None) and as_of is None
+        terms = [w for w in re.split(r"\W+", query.lower()) if w]
+        return found.join(own.chunks.select("chunk_id", "path", "text"), "chunk_id").select("chunk_id", "path", "score", "rank", T.highlighted(F.col("text"), terms).alias("snippet"), F.lit(degraded).alias("degraded"))
 
     def at(self, epoch: int) -> Vault:
         """The vault as it was: the changes of commits not later than a moment."""
         return replace(self, changes=self.changes.where(F.col("epoch") <= epoch))
 
-    def context_pack(self, query: str = "", budget: int = pack.BUDGET, given: filters.Filters | None = None, enumerate: bool = False, expand: bool = False, as_of: int | None = None, now: int | None = None) -> DataFrame:
+    def context_pack(self, query: str = "", budget: int = pack.BUDGET, given: filters.Filters | None = None, enumerate: bool = False, expand: bool = False, as_of: int | None = None, now: int | None = None, mode: str = "HYBRID", vector: list[float] | None = None) -> DataFrame:
         """Cited blocks: path, place, tokens, via, commit, author."""
         if expand and as_of is not None:
             raise ValueError("a pack as of a moment cannot be expanded")
@@ -151,7 +158,7 @@ class Vault:
         if enumerate:
             notes = own.parsed.where(filters.recalled(given, as_of or now)).select("path").join(own.snapshot(), "path")
             return pack.with_provenance(pack.enumerate_notes(notes).withColumn("via", F.lit(None).cast("string")), touched)
-        hits = self.search(query, "KEYWORD", 50, given, None, as_of, now).select(F.lit(0).cast("long").alias("query_id"), "rank", "path")
+        hits = self.search(query, mode, 50, given, vector, as_of, now).select(F.lit(0).cast("long").alias("query_id"), "rank", "path")
         texts = own.snapshot().select("path", "text")
         blocks = pack.first_per_note(hits).join(texts, "path").withColumn("via", F.lit(None).cast("string"))
         if expand:
@@ -229,6 +236,50 @@ class Vault:
         to = next(n for n in names if n not in taken)
         return Outcome("ok"), self._add([(path, "delete", None, None), (to, "add", None, held.text)], f"delete: {path} -> {to}", author, epoch)
 
+    def _trashed(self, trash_path: str):
+        there = history.snapshot(self.changes).where(F.col("path") == trash_path)
+        texts = self.changes.where("text is not null").groupBy("revision").agg(F.min("text").alias("text"))
+        return there.join(texts, "revision").select("path", "text", "revision").first()
+
+    def restore(self, trash_path: str, author: str = "agent", epoch: int | None = None) -> tuple[Outcome, Vault]:
+        """Move a note back out of the trash to where its deletion took it from."""
+        held = self._trashed(trash_path) if trash_path.startswith(filters.TRASH) else None
+        if held is None:
+            return Outcome("not_found"), self
+        row = self.trash().where(F.col("trash_path") == trash_path).first()
+        to = row.origin if row else trash_path.removeprefix(filters.TRASH)
+        if (now := self._held(to)) is not None:
+            return Outcome("conflict", now.text, now.revision), self
+        return Outcome("ok", to, held.revision), self._add([(trash_path, "rename", to, held.text)], f"restore: {trash_path} -> {to}", author, epoch)
+
+    def purge(self, trash_path: str, expected: str | None = None, author: str = "agent", epoch: int | None = None) -> tuple[Outcome, Vault]:
+        """Take a note out of the trash for good; a revision that is given must be the held one."""
+        if not trash_path.startswith(filters.TRASH):
+            return Outcome("bad_request", "not in the trash"), self
+        held = self._trashed(trash_path)
+        if held is None:
+            return Outcome("not_found"), self
+        if expected is not None and expected != held.revision:
+            return Outcome("conflict", held.text, held.revision), self
+        return Outcome("ok", revision=held.revision), self._add([(trash_path, "delete", None, None)], f"purge: {trash_path}", author, epoch)
+
+    def write_bytes(self, path: str, data: bytes, expected: str | None = None, author: str = "agent", epoch: int | None = None) -> tuple[Outcome, Vault]:
+        """Write bytes as they are, unscanned; they must be UTF-8, since notes are kept as text.
+
+        A conflict tells the held revision only.
+        """
+        if self.spark.createDataFrame([(path,)], "p string").where(~filters.valid_path(F.col("p"))).first():
+            return Outcome("bad_request", "path"), self
+        held = self._held(path)
+        if (held.revision if held else None) != expected:
+            return Outcome("conflict", None, held.revision if held else None), self
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError:
+            return Outcome("bad_request", "not UTF-8"), self
+        after = self._add([(path, "modify" if held else "add", None, text)], f"write: {path}", author, epoch)
+        return Outcome("ok", revision=after._held(path).revision), after
+
     def move(self, path: str, to: str, author: str = "agent", epoch: int | None = None) -> tuple[Outcome, Vault]:
         """Move a note and rewrite the links to it, in one commit."""
         if refused := self._refused(to, None):
