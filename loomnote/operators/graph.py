@@ -130,9 +130,12 @@ def louvain(nodes: list, edges: list[tuple]) -> list[dict]:
     return levels or [{n: i for n, i in index.items()}]
 
 
-def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, detect=louvain) -> DataFrame:
     """level, community, node: the Louvain hierarchy, one independent run a connected part.
 
+    `detect` may be another detector with louvain's signature.  A part is one task's: a
+    graph that is one giant component is detected in one task.
+
     Louvain is sequential, but its moves never join nodes without a path between them, so
     each connected component is a group of its own and the groups run in parallel.
     """
@@ -142,7 +145,7 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(group["a"]) | set(group["b"]))
-        found = louvain(names, sorted(zip(group["a"], group["b"], group["weight"], strict=True)))
+        found = detect(names, sorted(zip(group["a"], group["b"], group["weight"], strict=True)))
         rows = [(level, n, c) for level, homes in enumerate(found) for n, c in homes.items()]
         frame = pd.DataFrame(rows, columns=["level", "node", "number"])
         frame["community"] = frame.groupby(["level", "number"])["node"].transform("min")
@@ -177,6 +180,16 @@ def centroids(members: DataFrame) -> DataFrame:
     return means.withColumn("norm", norm).where("norm > 0").join(sizes, "community").select("community", "size", F.transform("mean", lambda x: x / F.col("norm")).alias("vec"))
 
 
+def list_communities(hierarchy: DataFrame, level: int = 0) -> DataFrame:
+    """community, size, place: a level's communities (level, community, node), the largest first.
+
+    A level above the last one is the last one.
+    """
+    top = hierarchy.agg(F.max("level")).first()[0] or 0
+    rows = hierarchy.where(F.col("level") == min(max(level, 0), top)).groupBy("community").agg(F.count("*").alias("size"))
+    return numbered(rows, "place", F.desc("size"), "community").withColumn("place", F.col("place") + 1)
+
+
 def rank_communities(centres: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, community, score, rank: communities by the cosine of their centroid."""
     pairs = queries.select("query_id", F.col("vec").alias("q")).crossJoin(centres.select("community", "vec"))

@@ -105,6 +105,38 @@ def ancestors(parents: DataFrame, start: str, checkpoint: bool = True) -> DataFr
         found = found.unionAll(frontier)
 
 
+def coalesced(events: DataFrame, quiet: float, most: float) -> DataFrame:
+    """key, first, last, changes, fires: changes of a key in batches, each run once.
+
+    A batch ends when `quiet` seconds pass without a change, or `most` after its first one.
+    events: key, seq, epoch.  A key's events are folded in order, as for `token_bucket`.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        key, first, last, n = None, None, None, 0
+
+        def told(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], None if i == 0 else pa.int64() if i == 3 else pa.float64()) for i in range(5)], names=["key", "first", "last", "changes", "fires"])
+
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("epoch").to_pylist(), strict=True):
+                if k != key or t - last >= quiet or t - first >= most:
+                    if n:
+                        out.append((key, first, last, n, min(last + quiet, first + most)))
+                    key, first, n = k, t, 0
+                last, n = t, n + 1
+            if out:
+                yield told(out)
+        if n:
+            yield told([(key, first, last, n, min(last + quiet, first + most))])
+
+    kind = events.schema["key"].dataType.simpleString()
+    ordered = events.select("key", "seq", F.col("epoch").cast("double")).where("key is not null").repartition("key").sortWithinPartitions("key", "epoch", "seq")
+    return ordered.mapInArrow(run, f"key {kind}, first double, last double, changes long, fires double")
+
+
 def token_bucket(events: DataFrame, capacity: float = 60, refill: float = 10) -> DataFrame:
     """key, seq, allowed: a bucket a key, refilled by the second; one ordered fold a key.
 

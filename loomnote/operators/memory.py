@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
 from loomnote.operators.filters import awaiting_review, current
+from loomnote.operators.order import numbered
 
 #: The ladders for vectors and for words, and listing limits.
 SAME_COSINE, CLOSE_COSINE, SAME_WORDS, CLOSE_WORDS = 0.97, 0.82, 0.90, 0.35
 CANDIDATES = 5
 REVIEW_LIMIT, RULES_LIMIT = 200, 40
+TYPES = ("fact", "preference", "policy", "episode")
 
 
 def near_words(notes: DataFrame, minimum: float = CLOSE_WORDS) -> DataFrame:
@@ -79,6 +81,59 @@ def capture(captures: DataFrame) -> DataFrame:
     return captures.groupBy("session_id").agg(best.alias("b"), F.min("started_at").alias("started_at")).select("session_id", "b.bytes", "started_at", "b.ended_at")
 
 
+def list_sessions(sessions: DataFrame, distilled: bool | None = None, limit: int | None = None) -> DataFrame:
+    """Sessions with their place, the last ended first; of one kind and at most `limit`, if that is given."""
+    rows = sessions if distilled is None else sessions.where(F.col("distilled") == distilled)
+    if limit is None:
+        return numbered(rows, "place", F.desc("ended_at"), "session_id").withColumn("place", F.col("place") + 1)
+    rows = rows.orderBy(F.desc("ended_at"), "session_id").limit(limit)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("ended_at"), "session_id")  # `limit` rows
+    return rows.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def _unadorned(value: Column) -> Column:
+    return F.regexp_replace(value, r"^[\s*_`\"']+|[\s*_`\"']+$", "")
+
+
+def parsed_summaries(answers: DataFrame) -> DataFrame:
+    """id, title, summary of a model's answers (id, raw): what follows the labels, without Markdown around it.
+
+    Without a SUMMARY label the whole answer is the summary; without a TITLE there is none.
+    """
+    title = _unadorned(F.regexp_extract("raw", r"(?im)^[^\p{L}\p{N}\n]{0,4}TITLE\s*:\s*(.+)$", 1))
+    body = _unadorned(F.regexp_extract("raw", r"(?ims)^[^\p{L}\p{N}\n]{0,4}SUMMARY\s*:\s*(.+)$", 1))
+    return answers.select("id", F.when(title != "", title).alias("title"), F.when(body != "", body).otherwise(F.trim("raw")).alias("summary"))
+
+
+def parse_candidates(raw: str, most: int = 10) -> list[dict] | None:
+    """Memories (content, type, subject) in a model's answer: its first JSON array that can be read, or null."""
+    import json
+    import re
+
+    text = re.sub(r"```[a-zA-Z]*", "", raw)
+    end, start, found = text.rfind("]"), text.find("["), None
+    while found is None and 0 <= start < end:
+        try:
+            found = json.loads(text[start : end + 1])
+        except ValueError:
+            start = text.find("[", start + 1)
+    if not isinstance(found, list):
+        return None
+    out = []
+    for item in found:
+        content = item.get("content") if isinstance(item, dict) else None
+        if isinstance(content, str) and content.strip():
+            kind, subject = (str(item.get(k) or "").strip() for k in ("type", "subject"))
+            out.append({"content": content.strip(), "type": kind.lower() if kind.lower() in TYPES else "fact", "subject": subject or None})
+    return out[: max(most, 0)]
+
+
+def decided(open_proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Proposals with the status that a decision (id, decision: accept or reject) gives open ones."""
+    state = F.when(F.col("status") == "open", F.when(F.col("decision") == "accept", "accepted").when(F.col("decision") == "reject", "rejected"))
+    return open_proposals.join(decisions, "id", "left").withColumn("status", F.coalesce(state, "status")).drop("decision")
+
+
 def proposals(rows: DataFrame) -> DataFrame:
     """The first proposal (by seq) of each kind, title and scope, with its id."""
     made = F.substring(F.sha2(F.concat_ws("|", "kind", "title", "scope"), 256), 1, 16)

@@ -406,11 +406,14 @@ def rank_communities(spark, d):
  c AS (SELECT community, i, array_to_string(list_slice(s, 1, i), '/') AS folder, count(*) AS c FROM f, range(1, 4) r(i) WHERE i < len(s) GROUP BY ALL), n AS (SELECT community, count(*) AS n FROM m GROUP BY 1),
  h AS (SELECT * FROM (SELECT c.community, folder, row_number() OVER (PARTITION BY c.community ORDER BY i DESC, c.c DESC, folder) AS turn FROM c JOIN n USING (community) WHERE c.c >= ceil(n.n / 2)) WHERE turn = 1),
  g AS (SELECT * FROM (SELECT community, folder, row_number() OVER (PARTITION BY community ORDER BY c DESC, folder) AS turn FROM c WHERE i = 2) WHERE turn = 1),
- t AS (SELECT n.community, coalesce(h.folder, g.folder) AS title FROM n LEFT JOIN h USING (community) LEFT JOIN g USING (community))
- SELECT community, CASE WHEN count(*) OVER (PARTITION BY title) > 1 THEN title || ' (' || community || ')' ELSE title END AS title FROM t""")
+ t AS (SELECT n.community, coalesce(h.folder, g.folder) AS title FROM n LEFT JOIN h USING (community) LEFT JOIN g USING (community)),
+ x AS (SELECT t.*, count(*) OVER (PARTITION BY title) > 1 AS shared FROM t), z AS (SELECT community, regexp_replace(string_split(m.path, '/')[len(string_split(x.title, '/')) + 1], '\\.md$', '') AS segment FROM x JOIN m USING (community) WHERE shared),
+ k AS (SELECT community, string_agg(segment, ', ' ORDER BY turn) AS more FROM (SELECT community, segment, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, segment) AS turn FROM z WHERE segment IS NOT NULL GROUP BY ALL) WHERE turn <= 2 GROUP BY 1),
+ e AS (SELECT x.community, CASE WHEN k.more IS NULL THEN title ELSE title || '/' || k.more || '…' END AS title FROM x LEFT JOIN k USING (community))
+ SELECT community, CASE WHEN count(*) OVER (PARTITION BY title) > 1 THEN title || ' (' || community || ')' ELSE title END AS title FROM e""")
 def community_titles(spark, d):
     members = V.vectors(spark, d).select(F.col("label").alias("community"), F.concat_ws("/", "lang", "path").alias("path"))
-    return graph.unique_titles(graph.titles(members))
+    return graph.unique_titles(graph.titles(members), members)
 
 
 VOTES = f"""votes AS (SELECT a AS node, community, weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, community) AS turn FROM (SELECT s.a, v.label AS community, round(sum(s.score), 6) AS weight FROM sim s JOIN vectors v ON v.path = s.b GROUP BY ALL)) WHERE turn = 1)"""
@@ -760,3 +763,36 @@ def tree_totals(spark, d):
  SELECT path, coalesce(parent, '') AS parent, name, CASE WHEN bool_or(inner_node) THEN 'dir' ELSE 'file' END AS kind FROM e GROUP BY ALL""")
 def tree_nodes(spark, d):
     return links.tree_nodes(V.notes(spark, d).select(F.concat_ws("/", "lang", "path").alias("path")))
+
+
+@query(f"WITH {V.CAPTURES}, s AS (SELECT session_id, max(bytes) AS bytes, arg_max(ended_at, bytes * 1000000000000 + ended_at) AS ended_at, session_id % 2 = 0 AS distilled FROM captures GROUP BY session_id) SELECT * FROM (SELECT row_number() OVER (ORDER BY ended_at DESC, session_id) AS place, session_id, ended_at, bytes FROM s WHERE NOT distilled) WHERE place <= 20")
+def sessions_list(spark, d):
+    rows = memory.capture(V.captures(spark, d)).withColumn("distilled", F.col("session_id") % 2 == 0)
+    return memory.list_sessions(rows, distilled=False, limit=20).select("place", "session_id", "ended_at", "bytes")
+
+
+@query(f"WITH {V.NOTES}, r AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN '**TITLE: Note ' || doc_id || '**' || chr(10) || '- SUMMARY: about ' || lang || chr(10) || 'more' WHEN 1 THEN '> TITLE :  x' WHEN 2 THEN 'SUMMARY: \"only\"' ELSE '  plain text ' END AS raw FROM notes) SELECT id, CASE id % 4 WHEN 0 THEN 'Note ' || id WHEN 1 THEN 'x' END AS title, CASE id % 4 WHEN 0 THEN 'about ' || split_part(split_part(raw, 'about ', 2), chr(10), 1) || chr(10) || 'more' WHEN 1 THEN '> TITLE :  x' WHEN 2 THEN 'only' ELSE 'plain text' END AS summary FROM r")
+def summary_parsing(spark, d):
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, F.concat(F.lit("**TITLE: Note "), F.col("doc_id").cast("string"), F.lit("**\n- SUMMARY: about "), "lang", F.lit("\nmore"))).when(k == 1, "> TITLE :  x").when(k == 2, 'SUMMARY: "only"').otherwise("  plain text ")
+    return memory.parsed_summaries(V.notes(spark, d).select(F.col("doc_id").alias("id"), raw.alias("raw")))
+
+
+@query(f"WITH {V.VECTORS} SELECT label AS community, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, label) AS place FROM vectors GROUP BY label")
+def community_listing(spark, d):
+    return graph.list_communities(V.vectors(spark, d).select(F.lit(0).alias("level"), F.col("label").alias("community"), F.col("path").alias("node")), level=7)
+
+
+@query(f"WITH {PROPOSED}, f AS (SELECT substr(sha256(kind || '|' || title || '|' || scope), 1, 16) AS id FROM p GROUP BY kind, title, scope) SELECT id, CASE WHEN ascii(id) % 3 = 0 THEN 'accepted' WHEN ascii(id) % 3 = 1 THEN 'rejected' ELSE 'open' END AS status FROM f")
+def proposals_decide(spark, d):
+    p = _proposals(spark, d).withColumn("status", F.lit("open"))
+    choice = F.when(F.ascii("id") % 3 == 0, "accept").when(F.ascii("id") % 3 == 1, "reject")
+    return memory.decided(p, p.select("id", choice.alias("decision")).where("decision is not null")).select("id", "status")
+
+
+@query(f"""WITH RECURSIVE {V.COMMITS}, o AS (SELECT author, epoch, row_number() OVER (PARTITION BY author ORDER BY epoch, seq) AS n FROM commits),
+ w AS (SELECT author, n, epoch, epoch AS first FROM o WHERE n = 1 UNION ALL SELECT o.author, o.n, o.epoch, CASE WHEN o.epoch - w.epoch >= 7200 OR o.epoch - w.first >= 14400 THEN o.epoch ELSE w.first END FROM w JOIN o ON o.author = w.author AND o.n = w.n + 1)
+ SELECT author, first AS first_epoch, max(epoch) AS last_epoch, count(*) AS commits, least(max(epoch) + 7200, first + 14400) AS fires FROM w GROUP BY author, first""")
+def coalesced_commits(spark, d):
+    rows = V.commits(spark, d).select(F.col("author").alias("key"), "seq", "epoch")
+    return history.coalesced(rows, 7200, 14400).select(F.col("key").alias("author"), F.col("first").alias("first_epoch"), F.col("last").alias("last_epoch"), F.col("changes").alias("commits"), "fires")

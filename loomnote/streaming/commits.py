@@ -39,16 +39,21 @@ def upsert(batch: DataFrame, current: DataFrame | None) -> DataFrame:
 def maintain(changes: DataFrame, folder: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame] | None = None):
     """Keep the state of a change stream as versions below a folder, one a micro-batch.
 
-    Each version is written whole under its batch number before `latest` moves on to it, so
-    a batch that is repeated after a failure writes the same version again.
+    A version is the one before it with the batch applied, under the batch's number; a batch
+    that is repeated after a failure writes the same version again.  Versions before the
+    last two are removed.  From the second batch on the version before must be there.
     """
     spark = changes.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number - 1}")
         there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        if number and not there:
+            raise FileNotFoundError(f"version {number - 1} is missing below {folder}")
         state = upsert(batch, spark.read.parquet(f"{folder}/{number - 1}") if there else None)
         (state if derive is None else derive(state)).write.mode("overwrite").parquet(f"{folder}/{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -93,8 +98,9 @@ def readable(events: DataFrame, grants: DataFrame) -> DataFrame:
 
 def attach(fresh: DataFrame, placed: DataFrame, threshold: float = 0.75) -> DataFrame:
     """node, community: where new notes (id, vec) belong, by votes of similar placed ones (id, vec, community)."""
-    from loomnote.operators import graph
+    from loomnote.operators import graph, search
 
-    both = fresh.select("id", "vec").unionByName(placed.select("id", "vec"))
-    near = graph.similar(both, threshold=threshold).join(fresh.select(F.col("id").alias("a")), "a", "left_semi")
+    asked = fresh.select(F.col("id").alias("query_id"), "vec")
+    near = search.knn(placed.select(F.col("id").alias("chunk_id"), "vec"), asked, graph.NEIGHBOURS)
+    near = near.where(F.col("score") >= (1 + threshold) / 2).select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), (2 * F.col("score") - 1).alias("score"))
     return graph.vote(near, placed.select(F.col("id").alias("node"), "community")).select("node", "community")

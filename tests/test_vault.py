@@ -73,3 +73,32 @@ def test_private_notes_stay_out_of_the_graph(spark):
     assert {(r.a, r.b) for r in vault.graph_edges().collect()} == {("a.md", "b.md")}
     assert "secret.md" not in {r.node for r in vault.graph_communities().collect()} and "secret.md" not in {r.community for r in vault.graph_communities().collect()}
     assert {r.path for r in vault.graph_query("a.md").collect()} == {"b.md"} and vault.graph_query("secret.md").count() == 0
+
+
+def test_restore_purge_and_bytes(spark):
+    vault = Vault.of_notes(spark.createDataFrame([("a.md", "alpha"), ("b.md", "beta")], "path string, text string"))
+    _, gone = vault.delete("a.md")
+    out, back = gone.restore(".trash/a.md")
+    assert (out.status, out.detail) == ("ok", "a.md") and back.read("a.md").first().text == "alpha" and gone.read("a.md").first() is None
+    assert gone.write("a.md", "new")[1].restore(".trash/a.md")[0].status == "conflict" and vault.restore(".trash/a.md")[0].status == "not_found"
+    assert gone.purge(".trash/a.md", "0" * 40)[0].status == "conflict" and gone.purge("b.md")[0].status == "bad_request"
+    out, empty = gone.purge(".trash/a.md")
+    assert out.status == "ok" and empty.restore(".trash/a.md")[0].status == "not_found"
+    out, more = vault.write_bytes("c.md", "é".encode())
+    assert out.status == "ok" and more.read("c.md").first().text == "é"
+    assert vault.write_bytes("c.md", b"\xff")[0].status == "bad_request" and more.write_bytes("c.md", b"x")[0].status == "conflict"
+
+
+def test_syntax_search_scores_and_degrades(spark):
+    rows = [("a.md", "cats and dogs"), ("b.md", "cats cats"), ("c.md", "birds")]
+    vault = Vault.of_notes(spark.createDataFrame(rows, "path string, text string"))
+    got = [r.path for r in vault.search("cats (dogs OR birds)^9", "KEYWORD").orderBy("rank").collect()]
+    assert got[-1] == "b.md" and set(got) == {"a.md", "b.md", "c.md"}
+    assert {r.path for r in vault.search("[ca TO cz] -dogs", "KEYWORD").collect()} == {"b.md"}
+    assert {r.degraded for r in vault.search("cats", "HYBRID").collect()} == {False}
+    vectors = vault.chunks.select("content_hash").withColumn("vec", __import__("pyspark").sql.functions.array(*map(__import__("pyspark").sql.functions.lit, [1.0, 0.0])))
+    held = Vault(spark, vault.changes, vectors)
+    assert {r.degraded for r in held.search("cats", "HYBRID").collect()} == {True}
+    assert {r.degraded for r in held.search("cats*", "HYBRID", vector=[1.0, 0.0]).collect()} == {False}
+    assert "**cats**" in held.search("cats", "KEYWORD").first().snippet
+    assert {r.path for r in held.context_pack("birds", vector=[1.0, 0.0]).collect()} == {"a.md", "b.md", "c.md"}
