@@ -408,7 +408,7 @@ def rank_communities(spark, d):
  g AS (SELECT * FROM (SELECT community, folder, row_number() OVER (PARTITION BY community ORDER BY c DESC, folder) AS turn FROM c WHERE i = 2) WHERE turn = 1),
  t AS (SELECT n.community, coalesce(h.folder, g.folder) AS title FROM n LEFT JOIN h USING (community) LEFT JOIN g USING (community)),
  x AS (SELECT t.*, count(*) OVER (PARTITION BY title) > 1 AS shared FROM t), z AS (SELECT community, regexp_replace(string_split(m.path, '/')[len(string_split(x.title, '/')) + 1], '\\.md$', '') AS segment FROM x JOIN m USING (community) WHERE shared),
- k AS (SELECT community, string_agg(segment, ', ' ORDER BY turn) AS more FROM (SELECT community, segment, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, segment) AS turn FROM z WHERE segment IS NOT NULL GROUP BY ALL) WHERE turn <= 2 GROUP BY 1),
+ k AS (SELECT community, string_agg(segment, ', ' ORDER BY turn) AS more FROM (SELECT community, segment, row_number() OVER (PARTITION BY community ORDER BY n DESC, segment) AS turn FROM (SELECT community, segment, count(*) AS n FROM z WHERE segment IS NOT NULL GROUP BY 1, 2)) WHERE turn <= 2 GROUP BY 1),
  e AS (SELECT x.community, CASE WHEN k.more IS NULL THEN title ELSE title || '/' || k.more || '…' END AS title FROM x LEFT JOIN k USING (community))
  SELECT community, CASE WHEN count(*) OVER (PARTITION BY title) > 1 THEN title || ' (' || community || ')' ELSE title END AS title FROM e""")
 def community_titles(spark, d):
