@@ -795,4 +795,4 @@ def proposals_decide(spark, d):
  SELECT author, first AS first_epoch, max(epoch) AS last_epoch, count(*) AS commits, least(max(epoch) + 7200, first + 14400) AS fires FROM w GROUP BY author, first""")
 def coalesced_commits(spark, d):
     rows = V.commits(spark, d).select(F.col("author").alias("key"), "seq", "epoch")
-    return history.coalesced(rows, 7200, 14400).select(F.col("key").alias("author"), F.col("first").alias("first_epoch"), F.col("last").alias("last_epoch"), F.col("changes").alias("commits"), "fires")
+    return history.coalesced(rows, 7200, 14400).select(F.col("key").alias("author"), F.col("first").cast("long").alias("first_epoch"), F.col("last").cast("long").alias("last_epoch"), F.col("changes").alias("commits"), F.col("fires").cast("long").alias("fires"))
