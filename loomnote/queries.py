@@ -584,7 +584,10 @@ def commit_sessions(spark, d):
     return history.sessions(V.commits(spark, d), 1800)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {V.COMMITS}, o AS (SELECT author, seq, epoch, row_number() OVER (PARTITION BY author ORDER BY epoch, seq) AS n FROM commits),
+ w AS (SELECT author, seq, n, epoch, 2.0::DOUBLE AS level, true AS allowed FROM o WHERE n = 1
+  UNION ALL SELECT author, seq, n, epoch, full_level - (full_level >= 1)::INT, full_level >= 1 FROM (SELECT o.author, o.seq, o.n, o.epoch, least(3.0::DOUBLE, w.level + (o.epoch - w.epoch) * (1::DOUBLE / 600)) AS full_level FROM w JOIN o ON o.author = w.author AND o.n = w.n + 1))
+ SELECT author AS key, seq, allowed FROM w""")
 def token_bucket(spark, d):
     return history.token_bucket(V.commits(spark, d).select(F.col("author").alias("key"), "seq", "epoch"), capacity=3, refill=1 / 600)
 
@@ -624,9 +627,9 @@ def secret_scan(spark, d):
     return scan.findings(V.table(spark, d, "documents"))
 
 
-@query(None)
+@query(f"WITH {V.NOTES} SELECT path, 'note ' || doc_id AS title, lang || ',' || vault AS tags, type, status, created, NULL::BIGINT AS expires_at, NULL::VARCHAR AS superseded_by, false AS needs_review, false AS private FROM notes")
 def parse_notes(spark, d):
-    return markdown.parse_notes(_raw(spark, d)).drop("chunks")
+    return markdown.parse_notes(_raw(spark, d)).drop("chunks").withColumn("tags", F.array_join("tags", ","))
 
 
 @query(None)
@@ -796,3 +799,44 @@ def proposals_decide(spark, d):
 def coalesced_commits(spark, d):
     rows = V.commits(spark, d).select(F.col("author").alias("key"), "seq", "epoch")
     return history.coalesced(rows, 7200, 14400).select(F.col("key").alias("author"), F.col("first").cast("long").alias("first_epoch"), F.col("last").cast("long").alias("last_epoch"), F.col("changes").alias("commits"), F.col("fires").cast("long").alias("fires"))
+
+
+@query(f"""WITH {V.COMMITS}, {V.snapshot_sql('a', MIDDLE)}, b AS (SELECT CASE WHEN seq % 4 = 0 THEN 'moved/' || path ELSE path END AS path, revision FROM a WHERE seq % 9 <> 0),
+ gone AS (SELECT a.path, a.revision FROM a LEFT JOIN b USING (path) WHERE b.path IS NULL), came AS (SELECT b.revision, min(b.path) AS new_path FROM b LEFT JOIN a USING (path) WHERE a.path IS NULL GROUP BY 1)
+ SELECT path, new_path FROM gone JOIN came USING (revision)""")
+def snapshot_renames(spark, d):
+    old = history.snapshot(V.commits(spark, d), _middle(spark, d))
+    new = old.where("seq % 9 <> 0").select(F.when(F.col("seq") % 4 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")).alias("path"), "revision")
+    return history.renames(history.diff(old, new), old, new)
+
+
+PLACED = f"placed AS (SELECT * EXCLUDE (path), CASE doc_id % 5 WHEN 0 THEN 'messy/' WHEN 1 THEN 'messy/sessions/' WHEN 2 THEN '.trash/' ELSE '' END || path AS path FROM notes)"
+
+
+def _placed(spark, d) -> DataFrame:
+    """The notes with some among drafts, sessions and the trash."""
+    folder = F.element_at(F.array(*map(F.lit, ("messy/", "messy/sessions/", ".trash/", "", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return V.notes(spark, d).withColumn("path", F.concat(folder, "path"))
+
+
+@query(f"WITH {V.NOTES}, {PLACED} SELECT path FROM placed WHERE {RECALLED} AND NOT starts_with(path, '.trash/')")
+def quarantine_default(spark, d):
+    return _placed(spark, d).where(filters.recalled(filters.Filters(), V.NOW)).select("path")
+
+
+@query(f"WITH {V.NOTES}, {PLACED} SELECT path FROM placed WHERE {RECALLED.removeprefix("NOT starts_with(path, 'messy/') AND ")} AND NOT starts_with(path, '.trash/') AND NOT starts_with(path, 'messy/sessions/') AND type = 'fact'")
+def quarantine_drafts(spark, d):
+    return _placed(spark, d).where(filters.recalled(filters.Filters(type="fact", include_drafts=True), V.NOW)).select("path")
+
+
+@query(f"WITH {V.NOTES}, {PLACED} SELECT path FROM placed WHERE {REVIEW} AND NOT starts_with(path, 'messy/sessions/')")
+def quarantine_review(spark, d):
+    return _placed(spark, d).where(filters.awaiting_review(V.NOW)).select("path")
+
+
+@query(f"WITH {V.NOTES} SELECT path, CASE WHEN doc_id % 6 = 0 THEN 'messy/x/' || path WHEN doc_id % 6 = 1 THEN '' WHEN doc_id % 6 = 2 THEN 'a//b' WHEN doc_id % 6 = 3 THEN '.hidden/' || path WHEN doc_id % 6 = 4 THEN 'a/../' || path ELSE path END AS tried, doc_id % 6 IN (0, 5) AS fine FROM notes")
+def path_validation(spark, d):
+    k = F.col("doc_id") % 6
+    tried = F.when(k == 0, F.concat(F.lit("messy/x/"), "path")).when(k == 1, "").when(k == 2, "a//b").when(k == 3, F.concat(F.lit(".hidden/"), "path")).when(k == 4, F.concat(F.lit("a/../"), "path")).otherwise(F.col("path"))
+    rows = V.notes(spark, d).select("path", tried.alias("tried"))
+    return rows.withColumn("fine", filters.valid_path(F.col("tried")))

@@ -305,3 +305,60 @@ def test_shared_titles_are_extended_by_segments(spark):
 def test_frontmatter_merges_against_the_base(base, ours, theirs, want):
     texts = (f"---\n{x}\n---\nbody\n" for x in (base, ours, theirs))
     assert markdown.merge_notes(*texts) == (f"---\n{want[0]}\n---\nbody\n", want[1])
+
+
+def plain_chunks(body, budget):
+    """The chunk rules once more: heading, then paragraphs, then words, then characters, packed greedily."""
+    import re
+
+    out, lines = [], body.split("\n")
+    heads = [i for i, line in enumerate(lines) if re.match(r"#{1,6}\s", line)]
+    starts = [(None, 0, heads[0] if heads else len(lines))] + [(i, i + 1, j) for i, j in zip(heads, [*heads[1:], len(lines)])]
+    for head, i, j in starts:
+        heading, text = "" if head is None else lines[head].lstrip("#"), "\n".join(lines[i:j])
+        text, heading = text.strip(), heading.strip() or None
+        if not text and not heading:
+            continue
+        if len(text) <= budget:
+            out.append((heading, text))
+            continue
+        piece = ""
+        for paragraph in re.split(r"\n\s*\n", text):
+            parts = [paragraph] if len(paragraph) <= budget else [w[i : i + budget] for w in paragraph.split() for i in range(0, len(w), budget)]
+            for part in parts:
+                joint = "\n\n" if len(paragraph) <= budget else " "
+                if piece and len(piece) + len(joint) + len(part) > budget:
+                    out.append((heading, piece))
+                    piece = part
+                else:
+                    piece = piece + joint + part if piece else part
+        out.append((heading, piece))
+    return out
+
+
+def test_chunks_equal_a_plain_reading():
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        lines = [rnd.choice(["# One", "## Two words", "", "a b c", "word " * rnd.randrange(1, 12), "plain", "#no heading"]).strip() for _ in range(rnd.randrange(0, 15))]
+        body = "\n".join(lines)
+        assert markdown.chunks(body, 40) == plain_chunks(body, 40), body
+
+
+def test_coalesced_batches_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice("abc"), i, rnd.randrange(0, 3000)) for i in range(400)]
+    want = []
+    for key in "abc":
+        first = last = None
+        for t in sorted(t for k, _, t in rows if k == key):
+            if first is None or t - last >= 30 or t - first >= 100:
+                first = t
+                want.append([key, t, t, 0, 0])
+            last = t
+            want[-1][2:] = [t, want[-1][3] + 1, min(t + 30, first + 100)]
+    got = history.coalesced(spark.createDataFrame(rows, "key string, seq long, epoch long"), 30, 100).collect()
+    assert sorted([r.key, r.first, r["last"], r.changes, r.fires] for r in got) == sorted(want)
