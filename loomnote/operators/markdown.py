@@ -132,6 +132,7 @@ def parse(raw: str) -> dict:
         "expires_at": epoch(front.get("expires_at")),
         "superseded_by": str(front["superseded_by"]) if front.get("superseded_by") else None,
         "needs_review": truthy(front.get("needs-review")),
+        "contradicts": str(front["contradicts"]) if front.get("contradicts") else None,
         "private": private,
         "chunks": [{"ord": i, "heading": h, "text": t, "content_hash": hashlib.sha256(f"{h or ''}\n{t}".encode()).hexdigest()} for i, (h, t) in enumerate(kept)],
     }
@@ -149,9 +150,34 @@ def title(body: str) -> str | None:
     return None
 
 
-NOTE = "path string, title string, tags array<string>, type string, status string, created long, expires_at long, superseded_by string, needs_review boolean, private boolean, chunks array<struct<ord: int, heading: string, text: string, content_hash: string>>"
+#: Characters of a note's excerpt and of its summary line.
+EXCERPT_CHARS, SUMMARY_CHARS = 280, 160
 
-COLUMNS = ["path", "title", "tags", "type", "status", "created", "expires_at", "superseded_by", "needs_review", "private", "chunks"]
+
+def prose(body: str) -> list[str]:
+    """The lines outside code fences that are neither blank nor headings, without bold marks."""
+    out, fenced = [], False
+    for line in body.splitlines():
+        if line.strip().startswith("```"):
+            fenced = not fenced
+        elif not fenced and line.strip() and not HEADING.match(line):
+            out.append(re.sub(r"\*\*(.+?)\*\*", r"\1", line).strip())
+    return out
+
+
+def excerpt(body: str, size: int = EXCERPT_CHARS) -> str:
+    """A note's prose in one line, cut to `size` characters."""
+    return " ".join(prose(body))[:size].strip()
+
+
+def summary(body: str, size: int = SUMMARY_CHARS) -> str | None:
+    """The first line of prose, cut to `size` characters."""
+    return next(iter(prose(body)), "")[:size].strip() or None
+
+
+NOTE = "path string, title string, tags array<string>, type string, status string, created long, expires_at long, superseded_by string, needs_review boolean, contradicts string, private boolean, chunks array<struct<ord: int, heading: string, text: string, content_hash: string>>"
+
+COLUMNS = ["path", "title", "tags", "type", "status", "created", "expires_at", "superseded_by", "needs_review", "contradicts", "private", "chunks"]
 
 
 def parse_notes(raw: DataFrame) -> DataFrame:
@@ -160,6 +186,8 @@ def parse_notes(raw: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [{"path": p, **parse(t or "")} for p, t in zip(part["path"], part["text"], strict=True)]
+            for row in rows:  # a note without a title has its file's name
+                row["title"] = row["title"] or (row["path"] or "").rsplit("/", 1)[-1].removesuffix(".md") or None
             yield pd.DataFrame(rows, columns=COLUMNS).astype({"created": "Int64", "expires_at": "Int64"})
 
     return raw.select("path", "text").mapInPandas(run, NOTE)

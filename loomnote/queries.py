@@ -627,7 +627,7 @@ def secret_scan(spark, d):
     return scan.findings(V.table(spark, d, "documents"))
 
 
-@query(f"WITH {V.NOTES} SELECT path, 'note ' || doc_id AS title, lang || ',' || vault AS tags, type, status, created, NULL::BIGINT AS expires_at, NULL::VARCHAR AS superseded_by, false AS needs_review, false AS private FROM notes")
+@query(f"WITH {V.NOTES} SELECT path, 'note ' || doc_id AS title, lang || ',' || vault AS tags, type, status, created, NULL::BIGINT AS expires_at, NULL::VARCHAR AS superseded_by, false AS needs_review, NULL::VARCHAR AS contradicts, false AS private FROM notes")
 def parse_notes(spark, d):
     return markdown.parse_notes(_raw(spark, d)).drop("chunks").withColumn("tags", F.array_join("tags", ","))
 
@@ -840,3 +840,16 @@ def path_validation(spark, d):
     tried = F.when(k == 0, F.concat(F.lit("messy/x/"), "path")).when(k == 1, "").when(k == 2, "a//b").when(k == 3, F.concat(F.lit(".hidden/"), "path")).when(k == 4, F.concat(F.lit("a/../"), "path")).otherwise(F.col("path"))
     rows = V.notes(spark, d).select("path", tried.alias("tried"))
     return rows.withColumn("fine", filters.valid_path(F.col("tried")))
+
+
+@query(f"""WITH {V.VECTORS}, f AS (SELECT path, vec FROM vectors WHERE doc_id % 3 = 0 ORDER BY path LIMIT 500), c AS (SELECT path, vec, label FROM vectors WHERE doc_id % 3 <> 0),
+ s AS (SELECT x.path AS node, y.path AS b, y.label AS community, round((1 + {PAIR}) / 2, 6) AS score FROM f x, c y),
+ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, b) AS turn FROM s) WHERE turn <= 6 AND score >= 0.6),
+ v AS (SELECT * FROM (SELECT node, community, row_number() OVER (PARTITION BY node ORDER BY round(sum(2 * score - 1), 6) DESC, community) AS turn FROM k GROUP BY ALL) WHERE turn = 1)
+ SELECT f.path AS node, v.community FROM f LEFT JOIN v ON v.node = f.path""".replace("row_number() OVER (PARTITION BY node ORDER BY round(sum(2 * score - 1), 6) DESC, community) AS turn FROM k GROUP BY ALL)", "row_number() OVER (PARTITION BY node ORDER BY w DESC, community) AS turn FROM (SELECT node, community, round(sum(2 * score - 1), 6) AS w FROM k GROUP BY ALL))"))
+def attach_pass(spark, d):
+    """One pass of attaching every third note to the communities of the others; a null community waits."""
+    from loomnote.streaming import commits
+
+    v = V.vectors(spark, d).select("doc_id", F.col("path").alias("id"), "vec", F.col("label").alias("community"))
+    return commits.attach_pass(v.where("doc_id % 3 = 0"), v.where("doc_id % 3 <> 0"), threshold=0.2)

@@ -68,19 +68,36 @@ def notion_paths(files: DataFrame) -> DataFrame:
 
 
 def notion_links(text: Column) -> Column:
-    """Markdown links to .md files as wikilinks, without ids."""
-    plain = F.regexp_replace(text, r"\[([^\]]+)\]\((?:[^)]*/)?([^)/]+?)(?:%20| )[0-9a-f]{32}\.md\)", "[[$2|$1]]")
-    return F.regexp_replace(plain, r"%20", " ")
+    """Markdown links to .md files as wikilinks, without ids; a link's name is URL-decoded."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(\[[^\]]+\]\((?:[^)]*/)?[^)/]+?(?:%20| )[0-9a-f]{32}\.md\)|(?:(?!\[[^\]]+\]\((?:[^)]*/)?[^)/]+?(?:%20| )[0-9a-f]{32}\.md\)).)+)"), F.lit(1))
+    link = r"^\[([^\]]+)\]\((?:[^)]*/)?([^)/]+?)(?:%20| )[0-9a-f]{32}\.md\)$"
 
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, link, 2)
+        plain = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+        return F.when(part.rlike(link), F.concat(F.lit("[["), plain, F.lit("|"), F.regexp_extract(part, link, 1), F.lit("]]"))).otherwise(part)
 
+    return F.when(F.contains(text, F.lit(".md)")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def notion_report(files: DataFrame) -> DataFrame:
+    """path, outcome: notes of an export are imported, its tables (.csv) and other files skipped."""
+    return files.select("path", F.when(F.lower("path").endswith(".md"), "imported").when(F.lower("path").endswith(".csv"), "skipped table").otherwise("skipped").alias("outcome"))
+
+
+#: Fixed value: the largest JSON export that is read.
+EXPORT_BYTES = 64 << 20
 MEMORY = "array<struct<id: string, memory: string, text: string, created_at: string, user_id: string, metadata: string>>"
 
 
 def memories(spark: SparkSession, path: str, folder: str = "memory") -> DataFrame:
     """id, path, text, problem of a JSON export: an array, or an object with results or memories.
 
-    A row without id or words, and all but the first row of an id, carry a problem.
+    A row without id or words, and all but the first row of an id, carry a problem.  A file of
+    more than EXPORT_BYTES is refused.
     """
+    if spark.read.format("binaryFile").load(path).where(F.col("length") > EXPORT_BYTES).select("path").first():
+        raise ValueError(f"an export may have {EXPORT_BYTES} bytes at most")
     raw = spark.read.text(path, wholetext=True)
     whole = F.coalesce(F.get_json_object("value", "$.results"), F.get_json_object("value", "$.memories"), F.col("value"))
     rows = raw.select(F.posexplode(F.from_json(whole, MEMORY)).alias("at", "m")).select("at", F.col("m.id").alias("id"), F.coalesce("m.memory", "m.text").alias("body"))

@@ -104,3 +104,9 @@ def attach(fresh: DataFrame, placed: DataFrame, threshold: float = 0.75) -> Data
     near = search.knn(placed.select(F.col("id").alias("chunk_id"), "vec"), asked, graph.NEIGHBOURS)
     near = near.where(F.col("score") >= (1 + threshold) / 2).select(F.col("query_id").alias("a"), F.col("chunk_id").alias("b"), (2 * F.col("score") - 1).alias("score"))
     return graph.vote(near, placed.select(F.col("id").alias("node"), "community")).select("node", "community")
+
+
+def attach_pass(fresh: DataFrame, placed: DataFrame, threshold: float = 0.75, most: int = 500) -> DataFrame:
+    """node, community of the first `most` new notes by id; a null community means that no neighbour is near enough yet."""
+    now = fresh.select("id", "vec").orderBy("id").limit(most)
+    return now.select(F.col("id").alias("node")).join(attach(now, placed, threshold), "node", "left")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
 from loomnote.operators import filters, graph, history, links, markdown, memory, pack, scan, search
+from loomnote.operators.order import numbered
 
 CHANGE = "seq long, path string, op string, new_path string, revision string, text string, author string, epoch long, message string"
 
@@ -41,9 +42,12 @@ class Vault:
         return cls(spark, spark.createDataFrame([], CHANGE), name=name)
 
     @classmethod
-    def of_notes(cls, notes: DataFrame, author: str = "import", name: str = "vault", epoch: int = 0) -> Vault:
-        """A vault whose first commit adds every note (path, text)."""
-        rows = notes.select(F.lit(1).cast("long").alias("seq"), "path", F.lit("add").alias("op"), F.lit(None).cast("string").alias("new_path"), T.blob_id(F.col("text")).alias("revision"), "text", F.lit(author).alias("author"), F.lit(epoch).cast("long").alias("epoch"), F.lit("import").alias("message"))
+    def of_notes(cls, notes: DataFrame, author: str = "import", name: str = "vault", epoch: int = 0, per_commit: int | None = None) -> Vault:
+        """A vault whose first commit adds every note (path, text), or `per_commit` of them by path each."""
+        seq = F.lit(1).cast("long")
+        if per_commit is not None:
+            notes, seq = numbered(notes.select("path", "text"), "place", "path"), F.floor(F.col("place") / per_commit) + 1
+        rows = notes.select(seq.alias("seq"), "path", F.lit("add").alias("op"), F.lit(None).cast("string").alias("new_path"), T.blob_id(F.col("text")).alias("revision"), "text", F.lit(author).alias("author"), F.lit(epoch).cast("long").alias("epoch"), F.lit("import").alias("message"))
         return cls(notes.sparkSession, rows, name=name)
 
     # derived tables
@@ -61,7 +65,7 @@ class Vault:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return markdown.parse_notes(self.snapshot().where(F.col("path").endswith(".md"))).withColumn("contradicts", F.lit(None).cast("string"))
+        return markdown.parse_notes(self.snapshot().where(F.col("path").endswith(".md")))
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -190,6 +194,19 @@ class Vault:
     def graph_communities(self) -> DataFrame:
         return graph.communities(self.parsed.where("not private").select(F.col("path").alias("node")), self.graph_edges())
 
+    def graph_community(self, community: str, level: int = 0) -> DataFrame:
+        """The notes of a community at a level, by path."""
+        rows = self.graph_communities().where((F.col("level") == level) & (F.col("community") == community))
+        return rows.select(F.col("node").alias("path")).orderBy("path")
+
+    def graph_status(self) -> DataFrame:
+        """One row: nodes, edges by kind, communities of the last level, notes with a vector and their share."""
+        found = self.graph_communities()
+        last = found.join(found.agg(F.max("level").alias("level")), "level").select("node", "community")
+        nodes = self.parsed.where("not private").select(F.col("path").alias("node"))
+        vectors = self.chunks.join(self.vectors, "content_hash").select(F.col("path").alias("id")) if self.vectors is not None else nodes.limit(0).withColumnRenamed("node", "id")
+        return graph.status(nodes, self.graph_edges(), last, vectors)
+
     # writing
 
     def _held(self, path: str):
@@ -308,21 +325,42 @@ class Vault:
             return Outcome("bad_request", "drafts only"), self
         return self.move(path, to, **more)
 
-    def remember(self, content: str, kind: str = "fact", into: str = "memory", status: str | None = None, **more) -> tuple[Outcome, Vault]:
-        """Keep a memory under a name made from its content; the same content is kept once."""
+    def remember(self, content: str, kind: str = "fact", into: str = "memory", status: str | None = None, supersedes: str | None = None, adjudicate=None, **more) -> tuple[Outcome, Vault]:
+        """Keep a memory under a name made from its content; the same content is kept once.
+
+        `supersedes` names a note that the memory replaces: that is revoked and points to it.
+        An uncertain match goes to `adjudicate(content, other)`, if there is one, which
+        answers NEW, DUPLICATE, UPDATE or CONTRADICTION; contradicting memories are both
+        kept, and the new one says so and waits for review.
+        """
         path = self.spark.createDataFrame([(kind, content)], "k string, c string").select(T.memory_path(into, F.col("k"), F.col("c"))).first()[0]
         held = self._held(path)
         if held is not None:
             return Outcome("ok", "duplicate", held.revision), self
+        if supersedes is not None and self._held(supersedes) is None:
+            return Outcome("not_found", supersedes), self
+        verdict, target = ("UPDATE", supersedes) if supersedes is not None else self._verdict(content, kind, adjudicate)
+        if verdict == "DUPLICATE":
+            return Outcome("ok", "duplicate of " + target), self
+        lines = {"UNCERTAIN": "\nneeds-review: true", "CONTRADICTION": f"\nneeds-review: true\ncontradicts: {target}"}.get(verdict, "")
+        state = status or ("provisional" if lines else "active")
+        out, after = self.write(path, f"---\ntype: {kind}\nstatus: {state}{lines}\n---\n{content.strip()}\n", None, **more)
+        if out.status == "ok" and verdict == "UPDATE":
+            old = after._held(target)
+            text = markdown.patch_frontmatter(old.text, {"status": "revoked", "superseded_by": path})
+            changed, later = after.write(target, text or f"---\nstatus: revoked\nsuperseded_by: {path}\n---\n{old.text}", old.revision, **more)
+            after = later if changed.status == "ok" else after
+        return (replace(out, detail=verdict.lower()) if out.status == "ok" else out), after
+
+    def _verdict(self, content: str, kind: str, adjudicate) -> tuple[str, str | None]:
         near = self.search(content, "KEYWORD", memory.CANDIDATES, filters.Filters(include_all=True, type=kind)).withColumn("id", F.lit("x"))
         near = near.join(self.snapshot().select("path", markdown_body().alias("other")), "path").select("id", F.col("path").alias("target"), "other", F.coalesce("rank", F.lit(1)).alias("rank"))
-        verdict = memory.classify(self.spark.createDataFrame([("x", content)], "id string, body string"), near).first()
-        if verdict.verdict == "DUPLICATE":
-            return Outcome("ok", "duplicate of " + verdict.target), self
-        flag = "\nneeds-review: true" if verdict.verdict == "UNCERTAIN" else ""
-        state = status or ("provisional" if flag else "active")
-        out, after = self.write(path, f"---\ntype: {kind}\nstatus: {state}{flag}\n---\n{content.strip()}\n", None, **more)
-        return (replace(out, detail=verdict.verdict.lower()) if out.status == "ok" else out), after
+        found = memory.classify(self.spark.createDataFrame([("x", content)], "id string, body string"), near).first()
+        if found.verdict != "UNCERTAIN" or adjudicate is None:
+            return found.verdict, found.target
+        other = self.snapshot().where(F.col("path") == found.target).select(markdown_body()).first()[0]
+        answer = adjudicate(content, other)
+        return (answer if answer in ("NEW", "DUPLICATE", "UPDATE", "CONTRADICTION") else "UNCERTAIN"), found.target
 
     def extract_memories(self, transcript: str, extractor=None, most: int = 10, **more) -> tuple[Outcome, Vault]:
         """Provisional memories from a transcript by a pluggable extractor (text to list of texts or null)."""

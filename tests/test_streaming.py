@@ -2,6 +2,8 @@
 
 from datetime import datetime, timezone
 
+from pyspark.sql import functions as F
+
 from loomnote.operators import history
 from loomnote.streaming import commits
 
@@ -72,3 +74,14 @@ def test_sources(spark, tmp_path):
     files.append_audit(spark.createDataFrame([("t", "a", "write", "ok", "p", None, "r", None)], "ts string, agentId string, tool string, outcome string, path string, target string, revision string, detail string"), str(tmp_path / "log"))
     assert files.audit_log(spark, str(tmp_path / "log")).first().tool == "write"
     assert T is not None
+
+
+def test_notion_links_and_report(spark):
+    from loomnote.sources import files
+
+    k = "0123456789abcdef" * 2
+    rows = [(f"see [a b](x/My%20%C3%A9%2B%20page%20{k}.md) 100%20 and [c](d.md)",), ("plain",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(files.notion_links(F.col("t"))).collect()]
+    assert got == ["see [[My é+ page|a b]] 100%20 and [c](d.md)", "plain"]
+    table = spark.createDataFrame([("a.md",), ("t.CSV",), ("p.png",)], "path string")
+    assert {r.path: r.outcome for r in files.notion_report(table).collect()} == {"a.md": "imported", "t.CSV": "skipped table", "p.png": "skipped"}

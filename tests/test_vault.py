@@ -102,3 +102,26 @@ def test_syntax_search_scores_and_degrades(spark):
     assert {r.degraded for r in held.search("cats*", "HYBRID", vector=[1.0, 0.0]).collect()} == {False}
     assert "**cats**" in held.search("cats", "KEYWORD").first().snippet
     assert {r.path for r in held.context_pack("birds", vector=[1.0, 0.0]).collect()} == {"a.md", "b.md", "c.md"}
+
+
+def test_remember_supersedes_and_adjudicates(spark):
+    vault = Vault.of_notes(spark.createDataFrame([("m/tea.md", "---\ntype: fact\nstatus: active\n---\nthe team drinks green tea every morning")], "path string, text string"))
+    out, after = vault.remember("the team drinks black coffee now", supersedes="m/tea.md")
+    old = after.parsed.where("path = 'm/tea.md'").first()
+    assert out.detail == "update" and old.status == "revoked" and after.read(old.superseded_by).first() is not None
+    assert vault.remember("x y z", supersedes="none.md")[0].status == "not_found"
+    close = "the team drinks green tea every evening"
+    assert vault.remember(close)[0].detail == "uncertain"
+    out, after = vault.remember(close, adjudicate=lambda a, b: "CONTRADICTION")
+    made = after.parsed.where("contradicts is not null").first()
+    assert out.detail == "contradiction" and made.contradicts == "m/tea.md" and made.needs_review
+    assert vault.remember(close, adjudicate=lambda a, b: "DUPLICATE")[0].detail == "duplicate of m/tea.md"
+
+
+def test_graph_status_and_chunked_import(spark):
+    vault = Vault.of_notes(spark.createDataFrame([(f"n{i}.md", f"# T\n[[n{(i + 1) % 4}]]") for i in range(4)], "path string, text string"), per_commit=3)
+    assert sorted(r.seq for r in vault.changes.collect()) == [1, 1, 1, 2]
+    row = vault.graph_status().first()
+    assert (row.nodes, row.links, row.with_vector) == (4, 4, 0)
+    home = vault.graph_communities().where("level = 0 and node = 'n1.md'").first().community
+    assert "n1.md" in {r.path for r in vault.graph_community(home).collect()}
