@@ -22,38 +22,46 @@ BLOCK = 1024
 def similar(vectors: DataFrame, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, score: each vector's k most similar others of at least the threshold (ties: smaller b).
 
-    vectors: id, vec.  Rows are packed into blocks by hash and each pair of blocks meets
-    once, as one matrix product; a block pair hands on k rows an id only.
+    vectors: id, vec, all of one length.  Rows are packed into blocks by hash and each two
+    blocks meet once, as one matrix product that serves both directions; a meeting hands on
+    k rows an id only.
     """
     rows = vectors.where("vec is not null")
     count = rows.count()
     blocks = max(1, -(-count // BLOCK))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct("id", F.col("vec").cast("array<double>").alias("vec")).alias("row"))
     packed = dealt.groupBy("block").agg(F.collect_list("row").alias("rows"))
-    left = packed.select(F.col("block").alias("x"), F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))
-    met = left.join(packed.select(F.col("block").alias("y"), F.col("rows").alias("right")), "y").select("left", "right")
+    left = packed.select(F.col("block").alias("x"), F.col("rows").alias("left"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("y"))
+    met = left.join(packed.select(F.col("block").alias("y"), F.col("rows").alias("right")), "y").select("x", "y", "left", "right")
+    kind = vectors.schema["id"].dataType.simpleString()
 
-    def unpack(side) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(side.field("id").to_pylist(), dtype=object)
-        x = np.array(side.field("vec").to_pylist(), dtype=np.float64)
-        return ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    def unpack(side: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+        x = np.asarray(side.field("vec").flatten(), dtype=np.float64).reshape(len(side), -1)
+        return side.field("id"), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def nearest(a: pa.Array, b: pa.Array, score: np.ndarray) -> pa.RecordBatch:
+        """The k best columns of each row, of equal ones those with the smaller id."""
+        names = np.array(b.to_pylist())
+        rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+        i, j = np.nonzero(score >= threshold)
+        order = np.lexsort((rank[j], -score[i, j], i))
+        i, j = i[order], j[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[keep], j[keep]
+        return pa.RecordBatch.from_arrays([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(score[i, j])], names=["a", "b", "score"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two in zip(batch.column("left"), batch.column("right"), strict=True):
-                (a, x), (b, y) = unpack(one.values), unpack(two.values)
-                order = np.argsort(b, kind="stable")
-                b, y = b[order], y[order]
-                score = np.round(x @ y.T, 9)
-                score[a[:, None] == b[None]] = -2
-                for i in range(len(a)):
-                    near = np.flatnonzero(score[i] >= threshold)
-                    near = near[np.argsort(-score[i, near], kind="stable")[:k]]
-                    if len(near):
-                        yield pa.RecordBatch.from_pydict({"a": [a[i]] * len(near), "b": list(b[near]), "score": score[i, near]}, schema=out)
+            for x, y, one, two in zip(*batch.columns, strict=True):
+                (a, left), (b, right) = unpack(one.values), unpack(two.values)
+                score = np.round(left @ right.T, 9)
+                if x == y:  # an id lies in one block, so only here it meets itself
+                    _, same = np.unique(np.array(a.to_pylist()), return_inverse=True)
+                    score[same[:, None] == same[None]] = -2
+                yield nearest(a, b, score)
+                if x != y:
+                    yield nearest(b, a, score.T)
 
-    kind = vectors.schema["id"].dataType.simpleString()
-    out = pa.schema([("a", pa.string() if kind == "string" else pa.int64()), ("b", pa.string() if kind == "string" else pa.int64()), ("score", pa.float64())])
     found = met.mapInArrow(best, f"a {kind}, b {kind}, score double")
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("a", "b", "score")
