@@ -290,7 +290,7 @@ def parents(children: DataFrame, upper: DataFrame) -> DataFrame:
 
 
 #: What a summary's prompt may hold, and the smallest community that gets one.
-PROMPT_CHARS, NOTE_CHARS, SMALLEST = 12_000, 1_500, 3
+PROMPT_CHARS, NOTE_CHARS, CHILD_CHARS, SMALLEST = 12_000, 1_500, 600, 3
 
 
 def summary_prompts(members: DataFrame) -> DataFrame:
@@ -305,3 +305,20 @@ def summary_prompts(members: DataFrame) -> DataFrame:
     kept = F.when(F.col("until") <= PROMPT_CHARS, F.struct("path", "piece"))
     out = rows.groupBy("community").agg(F.count("*").alias("notes"), F.array_sort(F.collect_list(kept)).alias("parts")).where(F.col("notes") >= SMALLEST)
     return out.select("community", "notes", (F.size("parts") < F.col("notes")).alias("sampled"), F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("prompt"))
+
+
+def child_prompts(children: DataFrame) -> DataFrame:
+    """community, children, included, covered, prompt: what to summarise of a community, from its parts' summaries.
+
+    children: community, child, title, size, summary (may be null), of parts that lie wholly
+    in the community.  The largest come first, each summary cut to CHILD_CHARS, until
+    PROMPT_CHARS are reached; `covered` counts the notes of those included.
+    """
+    piece = F.concat(F.lit("--- "), "title", F.lit(" ("), F.col("size").cast("string"), F.lit(" notes)\n"), F.coalesce(F.concat(F.substring("summary", 1, CHILD_CHARS), F.lit("\n")), F.lit("")), F.lit("\n"))
+    order = Window.partitionBy("community").orderBy(F.desc("size"), "child")
+    rows = children.withColumn("piece", piece).withColumn("place", F.row_number().over(order))
+    before = F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("taken", F.coalesce(before, F.lit(0)) < PROMPT_CHARS)
+    kept = F.when(F.col("taken"), F.struct("place", "piece"))
+    out = rows.groupBy("community").agg(F.count("*").alias("children"), F.count_if("taken").alias("included"), F.sum(F.when(F.col("taken"), F.col("size"))).alias("covered"), F.array_sort(F.collect_list(kept)).alias("parts"))
+    return out.select("community", "children", "included", "covered", F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("prompt"))

@@ -853,3 +853,13 @@ def attach_pass(spark, d):
 
     v = V.vectors(spark, d).select("doc_id", F.col("path").alias("id"), "vec", F.col("label").alias("community"))
     return commits.attach_pass(v.where("doc_id % 3 = 0"), v.where("doc_id % 3 <> 0"), threshold=0.2)
+
+
+@query(f"""WITH {V.VECTORS}, c AS (SELECT label % 3 AS community, vault || '-' || label AS child, min(path) AS title, count(*) AS size, min(CASE WHEN doc_id % 4 <> 0 THEN text END) AS summary FROM vectors GROUP BY ALL),
+ p AS (SELECT *, '--- ' || title || ' (' || size || ' notes)' || chr(10) || coalesce(substr(summary, 1, 600) || chr(10), '') || chr(10) AS piece FROM c),
+ o AS (SELECT *, row_number() OVER w AS place, coalesce(sum(length(piece)) OVER (PARTITION BY community ORDER BY size DESC, child ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 12000 AS taken FROM p WINDOW w AS (PARTITION BY community ORDER BY size DESC, child))
+ SELECT community, count(*) AS children, count(*) FILTER (WHERE taken) AS included, (sum(size) FILTER (WHERE taken))::BIGINT AS covered, string_agg(piece, '' ORDER BY place) FILTER (WHERE taken) AS prompt FROM o GROUP BY community""".replace("GROUP BY ALL),\n p AS", "GROUP BY 1, 2),\n p AS"))
+def child_prompts(spark, d):
+    v = V.vectors(spark, d)
+    parts = v.groupBy((F.col("label") % 3).alias("community"), F.concat_ws("-", "vault", F.col("label").cast("string")).alias("child"))
+    return graph.child_prompts(parts.agg(F.min("path").alias("title"), F.count("*").alias("size"), F.min(F.when(F.col("doc_id") % 4 != 0, F.col("text"))).alias("summary")))
