@@ -160,7 +160,7 @@ class Vault:
         given = given or filters.Filters()
         touched = history.last_touch(own.changes, own.commits)
         if enumerate:
-            notes = own.parsed.where(filters.recalled(given, as_of or now)).select("path").join(own.snapshot(), "path")
+            notes = own.parsed.where(filters.recalled(given, as_of or now) & ~F.col("private")).select("path").join(own.snapshot(), "path")
             return pack.with_provenance(pack.enumerate_notes(notes).withColumn("via", F.lit(None).cast("string")), touched)
         hits = self.search(query, mode, 50, given, vector, as_of, now).select(F.lit(0).cast("long").alias("query_id"), "rank", "path")
         texts = own.snapshot().select("path", "text")

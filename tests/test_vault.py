@@ -72,6 +72,7 @@ def test_private_notes_stay_out_of_the_graph(spark):
     vault = Vault.of_notes(spark.createDataFrame(rows, "path string, text string"))
     assert {(r.a, r.b) for r in vault.graph_edges().collect()} == {("a.md", "b.md")}
     assert "secret.md" not in {r.node for r in vault.graph_communities().collect()} and "secret.md" not in {r.community for r in vault.graph_communities().collect()}
+    assert {r.path for r in vault.context_pack(enumerate=True).collect()} == {"a.md", "b.md"}
     assert {r.path for r in vault.graph_query("a.md").collect()} == {"b.md"} and vault.graph_query("secret.md").count() == 0
 
 
