@@ -16,9 +16,6 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
 
-_PRIME = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_PRIME, -1, 1 << 64)
-
 #: ASCII A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -105,23 +102,55 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (1 << 64) - 1], dtype=np.uint64))[0])
 
 
+#: Random numbers for a byte at each of 64 places of a span.
+_PLACES = 64
+_AT_PLACE = mix(np.arange(256 * _PLACES, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+#: Sums over spans are polynomials modulo a prime, at two bases.  Modulo 2 ** 64 whole
+#: families of texts (Thue and Morse's) would have equal sums whatever the base.
+_MODULUS = np.uint64((1 << 31) - 1)
+_BASES = (1_234_567_891, 987_654_323)
+_LANES = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept for chunks of the usual size."""
+    """base ** 0 .. base ** (n - 1) modulo the prime, kept for chunks of the usual size."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            have = np.full(size, np.uint64(base))
-            have[0] = 1
-            have = np.multiply.accumulate(have)
-        if size == CHUNK_BYTES + 1:
+        size, step = max(n, CHUNK_BYTES + 2), base
+        have = np.ones(1, np.uint64)
+        while len(have) < size:
+            have = np.concatenate([have, have * np.uint64(step) % _MODULUS])
+            step = step * step % int(_MODULUS)
+        if size == CHUNK_BYTES + 2:
             _powers[base] = have
     return have[:n]
 
 
+class Sums:
+    """Running sums over a sequence of numbers, for keys of any of its spans."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.lanes = []
+        for base, seed in zip(_BASES, _LANES, strict=True):
+            sums = np.zeros(n + 1, np.uint64)
+            term = (mix(values ^ seed) >> np.uint64(33)) * _power(base, n)
+            np.cumsum((term & _MODULUS) + (term >> np.uint64(31)), out=sums[1:])
+            self.lanes.append((sums, _power(pow(base, -1, int(_MODULUS)), n + 2)))
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """62 bits for each span, the same wherever in the sequence it stands."""
+        low, high = ((s[end] - s[start]) % _MODULUS * inverse[start] % _MODULUS for s, inverse in self.lanes)
+        return low | high << np.uint64(31)
+
+    def without(self, start: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for each span when the number at one place in it is left out."""
+        low, high = (((s[at] - s[start]) % _MODULUS * inverse[start] + (s[end] - s[at + 1]) % _MODULUS * inverse[start + 1]) % _MODULUS for s, inverse in self.lanes)
+        return low | high << np.uint64(31)
+
+
 @dataclass
 class Words:
     """Spans of the words of a chunk; `row` holds each document's first word, and the end."""
@@ -166,13 +195,21 @@ def words(chunk: Chunk, table: np.ndarray, data: np.ndarray | None = None) -> Wo
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running sum over all bytes."""
-    n = len(data)
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_power(_PRIME, n) * (data.astype(np.uint64) + np.uint64(1)), out=sums[1:])
-    value = (sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start]
-    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(mix_int(seed + 1)))
+    """A 64-bit hash of each byte span: a sum of random numbers, one for each byte and its place."""
+    size = end - start
+    filled = size > 0
+    first, size = start[filled], size[filled]
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(before, size)
+    code = data[place + np.repeat(first, size)].astype(np.intp) * _PLACES
+    value = _AT_PLACE[code + (place & _PLACES - 1)]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        value[far] = mix(value[far] + (place[far] // _PLACES).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    out = np.zeros(len(start), np.uint64)
+    if len(before):
+        out[filled] = np.add.reduceat(value, before)
+    return mix(out + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(mix_int(seed + 1)))
 
 
 def run_hash(hashes: np.ndarray, length: int) -> np.ndarray:

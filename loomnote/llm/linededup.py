@@ -4,7 +4,7 @@ Every line counts that is not blank; empty lines and lines of white space only a
 stay, and nothing is compared with them.  Earlier means a smaller doc_id, or the same and
 a smaller line number.  An edit is one character put in, left out or exchanged.
 
-1. Equal lines are grouped by a 128-bit hash; only the earliest of each goes on.
+1. Equal lines are grouped by a 128-bit cryptographic digest; only the earliest of each goes on.
 2. One edit leaves three of a line's four blocks as they are.  Each line emits four
    keys, one without each block; a line that shares none of them has no neighbour.
 3. For a shared key, the left-out block is cut in four again: of the lines that share a
@@ -22,6 +22,7 @@ a smaller line number.  An edit is one character put in, left out or exchanged.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.llm import bytetext as bt
-from loomnote.llm.shared import Tables, narrowed, quoted
+from loomnote.llm.shared import Tables, fresh, narrowed, quoted
 
 #: No line is too short, but blank lines do not count.
 MIN_CHARS = 1
@@ -70,18 +71,22 @@ class Lines:
         self.size = self.end - self.start
         marks = np.concatenate([[0], np.cumsum(~_BLANK[np.minimum(self.chars, len(_BLANK) - 1)])])
         self.filled = marks[self.end] > marks[self.start]
-        n = len(self.chars)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(bt._power(bt._PRIME, n) * (self.chars.astype(np.uint64) + np.uint64(1)))])
-        self.inverse = bt._power(bt._INVERSE, n + 2)
-
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
+        self.sums = bt.Sums(self.chars.astype(np.uint64))
+        self.raw = self.sums.spans
+        at = np.append(lead, len(data))
+        self._bytes = data.tobytes(), at[self.start], at[self.end]
+        self._digests: np.ndarray | None = None
 
     def hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of whole lines."""
-        s, e = self.start[which], self.end[which]
-        other = bt.span_hash(bt.mix(self.chars.astype(np.uint64)), s, e)
-        return bt.mix(self.raw(s, e) + self.size[which].astype(np.uint64) * _K[0]), other
+        """A cryptographic digest of whole lines, in two halves: equal lines are told by it alone."""
+        if self._digests is None:
+            data, start, end = self._bytes
+            filled = np.flatnonzero(self.filled)
+            spans = zip(start[filled].tolist(), end[filled].tolist(), strict=True)
+            made = b"".join([blake2b(data[s:e], digest_size=16).digest() for s, e in spans])
+            self._digests = np.zeros((len(self.start), 2), np.uint64)
+            self._digests[filled] = np.frombuffer(made, np.uint64).reshape(-1, 2)
+        return self._digests[which, 0], self._digests[which, 1]
 
     def firsts(self) -> np.ndarray:
         """The lines, not blank, that no earlier line of their document equals."""
@@ -132,8 +137,7 @@ class Lines:
         entry = np.repeat(np.arange(len(key)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + head[entry]
         h, t = head[entry], tail[entry]
-        left = (self.sums[at] - self.sums[h]) * self.inverse[h] + (self.sums[t] - self.sums[at + 1]) * self.inverse[h + 1]
-        less = bt.mix(left + (t - h - 1).astype(np.uint64) * _K[4] + key[entry])
+        less = bt.mix(self.sums.without(h, at, t) + (t - h - 1).astype(np.uint64) * _K[4] + key[entry])
         exchange = bt.mix(less + (at - h).astype(np.uint64) * _K[5])
         whole = bt.mix(self.raw(head, tail) + size.astype(np.uint64) * _K[4] + key)
         entries = np.concatenate([entry, entry, np.arange(len(key))])
@@ -321,17 +325,20 @@ def later_lines(spark: SparkSession, documents: DataFrame, tables: Tables) -> Da
 
 
 def dedup_lines(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """The documents with shortened texts and two more columns, __lines and __removed.
+    """The documents with shortened texts and two more columns, last: __lines and __removed.
 
     Every row stays, also one whose text becomes empty.  Rows with a null doc_id or text
     stay as they are; rows that share a doc_id are read as one document: the same line
-    number of both is no repetition.  Other columns pass through.
+    number of both is no repetition.  Of equal lines the one of the smallest doc_id and
+    line number stays.  Texts and lines of any length are taken whole.  An empty table
+    gives no rows.  Other columns pass through; if they have the names of the new ones,
+    the new ones get underscores at their ends.
     """
     tables = Tables(spark)
     found = later_lines(spark, documents, tables)
     gone = tables.finish(found.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))).select(F.col("doc_id").alias("gone_id"), F.col("lines").alias("gone_lines"))
     # numbered names: Spark's own hand-over does not take every column name
-    names = [c for c in documents.columns if c not in ("__lines", "__removed")]
+    names = documents.columns
     plain = documents.select(*quoted(names)).toDF(*(f"c{i}" for i in range(len(names))))
     doc, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
     rest = [c for c in plain.columns if c != text]
@@ -339,4 +346,4 @@ def dedup_lines(spark: SparkSession, documents: DataFrame) -> DataFrame:
     joined = plain.join(gone.hint("merge"), F.col(doc) == F.col("gone_id"), "left").select("gone_lines", F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), *rest)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.select(*rest).schema)
     out = joined.mapInArrow(_rebuild, f"text string, lines long, removed long, {fields}")
-    return out.select(*("text" if c == text else c for c in plain.columns), "lines", "removed").toDF(*names, "__lines", "__removed")
+    return out.select(*("text" if c == text else c for c in plain.columns), "lines", "removed").toDF(*names, fresh(names, "__lines"), fresh(names, "__removed"))

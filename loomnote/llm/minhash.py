@@ -7,7 +7,7 @@ lower than that of independent minima.  All elements of many documents take step
 together, and a document leaves as soon as every slot holds a value below j + 1, which no
 later step can lower: for most documents after one or two steps.
 
-Documents with equal sets form a class; only its smallest doc_id goes on.  Classes that
+Documents with equal sets, told by a digest of the whole set, form a class; only its smallest doc_id goes on.  Classes that
 agree in a band of the signature are candidates.  Band keys travel with ids alone; what
 tells pairs apart, a sketch of the set, is joined to the few ids whose keys are shared.
 Within a bucket each class is first checked against the smallest; buckets
@@ -19,6 +19,7 @@ confirmed on the full sets, each of which is shuffled once for all of its links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -149,10 +150,12 @@ def _side(rows: DataFrame, mark: str, *more: str) -> DataFrame:
     return rows.select(*(F.col(c).alias(f"{c}{mark}") for c in ("id", "n", *MARKS, *more)))
 
 
-def _sums(elements: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Two sums over each document's set; with its size they tell sets apart."""
-    sums = [np.concatenate([[np.uint64(0)], np.cumsum(bt.mix(elements + np.uint64(seed)))]) for seed in (0x1B873593, 0xCC9E2D51)]
-    return [s[starts[1:]] - s[starts[:-1]] for s in sums]
+def _digests(elements: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """A cryptographic digest of each document's whole sorted set, in two halves."""
+    data, cut = elements.tobytes(), (8 * starts).tolist()
+    made = b"".join([blake2b(data[s:e], digest_size=16).digest() for s, e in zip(cut, cut[1:], strict=False)])
+    both = np.frombuffer(made, np.uint64).reshape(-1, 2)
+    return [np.ascontiguousarray(both[:, i]) for i in range(2)]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in bt.chunks(batch.column("text")):
             elements, starts = shingles(chunk)
             sizes = np.diff(starts)
-            one, two = _sums(elements, starts)
+            one, two = _digests(elements, starts)
             signed = signatures(elements, starts)
             keys = bands(signed).view(np.int64)
             odd = parities(elements, starts).view(np.int64)

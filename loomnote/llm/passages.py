@@ -60,9 +60,7 @@ class Excerpts:
         self.count = np.diff(np.append(head, len(starts)))
         self.row, self.anchor = row[head], anchor[head]
         #: A hash of all the words from the first window's start to the last one's end.
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * bt._power(bt._PRIME, len(self.hashes)))])
-        last = self.first + self.count + WINDOW - 1
-        value = (sums[last] - sums[self.first]) * bt._power(bt._INVERSE, len(self.hashes) + 1)[self.first]
+        value = bt.Sums(self.hashes).spans(self.first, self.first + self.count + WINDOW - 1)
         self.key = bt.mix(value + self.count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

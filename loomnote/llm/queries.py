@@ -65,7 +65,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that equal an earlier line or are one edit away from it."""
     left = linededup.dedup_lines(spark, table(spark, sf_dir, "documents"))
-    return left.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+    lines, removed = left.columns[-2:]
+    return left.select("doc_id", F.col(lines).alias("n_lines"), F.col(removed).alias("n_removed"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
