@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import ann, bpe, decontaminate, linededup, minhash, passages, quality, secrets, toxicity, urlfilter
+from loomnote.llm import ann, bpe, decontaminate, divergence, linededup, minhash, passages, quality, secrets, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of every source differ from each other source's and from its language's."""
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash": op2_minhash,
@@ -94,10 +99,12 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
+    "op13_divergence": op13_divergence,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SMALL = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_LETTERS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
 _NON_SPACE = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE: dict[str, str] = {
@@ -122,4 +129,16 @@ ORACLE: dict[str, str] = {
  w AS (SELECT doc_id, pos, w[pos] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d)),
  k AS (SELECT w.doc_id, count(g.pos) AS n_removed, string_agg(w.word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL) AS kept FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY w.doc_id)
  SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op13_divergence": f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_SMALL} AS t FROM documents),
+ w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, {_LETTERS})) AS term FROM d),
+ k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+ l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+ c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+ x AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+ g AS (SELECT s.lang, s.source, coalesce(x.n, 0) + coalesce(l.v, 0) AS t FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN x ON x.lang = s.lang AND x.source = s.source LEFT JOIN l ON l.lang = s.lang),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // g.t AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + l.v) AS q FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ y AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS v FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ z AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(y.v, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN y ON y.lang = a.lang AND y.source = a.source AND y.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM z) WHERE part = 'pair' OR rank <= 200""",
 }
