@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import ann, bpe, decontaminate, divergence, linededup, minhash, passages, quality, secrets, toxicity, urlfilter
+from loomnote.llm import ann, bpe, decontaminate, divergence, linededup, minhash, passages, quality, runs, secrets, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, with digests of all runs and of what is left."""
+    return runs.audit(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the words of every source differ from each other source's and from its language's."""
     return divergence.audit(spark, table(spark, sf_dir, "documents"))
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
+    "op11_runs": op11_runs,
     "op13_divergence": op13_divergence,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
