@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomnote.llm import ann, bpe, decontaminate, divergence, linededup, minhash, passages, quality, runs, secrets, toxicity, urlfilter
+from loomnote.llm import ann, bpe, decontaminate, divergence, language, linededup, minhash, passages, quality, runs, secrets, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,11 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.audit(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under an n-gram model learned without the held-out seventh."""
+    return language.assess(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the words of every source differ from each other source's and from its language's."""
     return divergence.audit(spark, table(spark, sf_dir, "documents"))
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_toxicity": op10_toxicity,
     "op11_runs": op11_runs,
+    "op12_language": op12_language,
     "op13_divergence": op13_divergence,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
