@@ -6,6 +6,8 @@ generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,11 +47,16 @@ def without_private(text: Column) -> Column:
     return F.when(F.contains(F.lower(text), F.lit("<private>")), gone).otherwise(text)
 
 
+def mapped(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with every match of a pattern changed; what stands between matches stays."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(between, F.concat(F.transform(found, change), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
 def masked_private(text: Column) -> Column:
     """The text with private spans emptied but for their line feeds, so line numbers hold."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?is)(<private>(?:.*?</private>|.*)|(?:(?!<private>).)+)"), F.lit(1))
-    kept = F.transform(parts, lambda p: F.when(F.lower(p).startswith("<private>"), F.regexp_replace(p, r"[^\n]", "")).otherwise(p))
-    return F.when(F.contains(F.lower(text), F.lit("<private>")), F.array_join(kept, "")).otherwise(text)
+    masked = mapped(text, r"(?is)<private>(?:.*?</private>|.*)", lambda p: F.regexp_replace(p, r"[^\n]", ""))
+    return F.when(F.contains(F.lower(text), F.lit("<private>")), masked).otherwise(text)
 
 
 def tokens_estimate(text: Column) -> Column:
@@ -75,9 +82,9 @@ def truthy(value: Column) -> Column:
 
 
 def wikilinks(text: Column) -> Column:
-    """Targets of `[[...]]` in order: what stands before the first bar, without a last slash."""
+    """Targets of `[[...]]` in order: what stands before the first bar without a backslash, less last slashes."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[\[([^\[\]]+?)\]\]"), F.lit(1))
-    clean = F.transform(found, lambda t: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract(t, r"^((?:\\\||[^|])*)", 1), r"\\\|", "|")), r"/+$", ""))
+    clean = F.transform(found, lambda t: F.regexp_replace(F.trim(F.replace(F.get(F.split(t, r"(?<!\\)\|", 2), F.lit(0)), F.lit("\\|"), F.lit("|"))), r"/+$", ""))
     return F.filter(clean, lambda t: t != "")
 
 
@@ -103,8 +110,7 @@ def snippet(text: Column, terms: Column, window: int = 160, before: int = 53) ->
 def highlighted(text: Column, terms: list[str], window: int = 160) -> Column:
     """A snippet around the earliest term with `**` around what matches.
 
-    Of terms of one length the first is marked, longer ones before shorter ones; without a
-    match it is the text's beginning.
+    Of terms that begin alike the longest is marked; without a match it is the text's beginning.
     """
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     known = [t for t in dict.fromkeys(x.lower() for x in terms) if len(t) > 1]
@@ -112,8 +118,9 @@ def highlighted(text: Column, terms: list[str], window: int = 160) -> Column:
     at = F.array_min(F.filter(F.array(*places), lambda p: p > 0)) if known else F.lit(None).cast("int")
     start = F.greatest(at - window // 3, F.lit(1))
     core = F.substring(flat, start, F.lit(window))
-    for t in sorted({len(t): t for t in reversed(known)}.values(), key=len, reverse=True):
-        core = F.regexp_replace(core, "(?iu)" + "".join(c if c.isalnum() else "\\" + c for c in t), r"**$0**")
+    if known:
+        either = "|".join("".join(c if c.isalnum() else "\\" + c for c in t) for t in sorted(known, key=len, reverse=True))
+        core = F.regexp_replace(core, "(?iu)" + either, r"**$0**")
     found = F.concat(F.when(start > 1, F.lit("…")).otherwise(""), core, F.when(start + window <= F.length(flat), F.lit("…")).otherwise(""))
     plain = F.concat(F.substring(flat, 1, window), F.when(F.length(flat) > window, F.lit("…")).otherwise(""))
     return F.when(at.isNull(), plain).otherwise(found)

@@ -133,6 +133,7 @@ def parse(raw: str) -> dict:
         "superseded_by": str(front["superseded_by"]) if front.get("superseded_by") else None,
         "needs_review": truthy(front.get("needs-review")),
         "contradicts": str(front["contradicts"]) if front.get("contradicts") else None,
+        "subject": str(front["subject"]).strip() if front.get("subject") else None,
         "private": private,
         "chunks": [{"ord": i, "heading": h, "text": t, "content_hash": hashlib.sha256(f"{h or ''}\n{t}".encode()).hexdigest()} for i, (h, t) in enumerate(kept)],
     }
@@ -175,9 +176,9 @@ def summary(body: str, size: int = SUMMARY_CHARS) -> str | None:
     return next(iter(prose(body)), "")[:size].strip() or None
 
 
-NOTE = "path string, title string, tags array<string>, type string, status string, created long, expires_at long, superseded_by string, needs_review boolean, contradicts string, private boolean, chunks array<struct<ord: int, heading: string, text: string, content_hash: string>>"
+NOTE = "path string, title string, tags array<string>, type string, status string, created long, expires_at long, superseded_by string, needs_review boolean, contradicts string, subject string, private boolean, chunks array<struct<ord: int, heading: string, text: string, content_hash: string>>"
 
-COLUMNS = ["path", "title", "tags", "type", "status", "created", "expires_at", "superseded_by", "needs_review", "contradicts", "private", "chunks"]
+COLUMNS = ["path", "title", "tags", "type", "status", "created", "expires_at", "superseded_by", "needs_review", "contradicts", "subject", "private", "chunks"]
 
 
 def parse_notes(raw: DataFrame) -> DataFrame:

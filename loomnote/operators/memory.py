@@ -35,14 +35,36 @@ def near_words(notes: DataFrame, minimum: float = CLOSE_WORDS) -> DataFrame:
     return scored.where(F.col("overlap") >= minimum)
 
 
+def comparable(incoming: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates that an incoming memory can be held against.
+
+    Of the best CANDIDATES, those that are neither revoked nor superseded, are not the place
+    where the memory itself would go (`path` of incoming), and share its subject, if it has
+    one; case does not count.  Columns that either side lacks rule nothing out.
+    """
+    rows = candidates.where(F.col("rank") <= CANDIDATES)
+    if "status" in rows.columns:
+        rows = rows.where(F.coalesce("status", F.lit("")) != "revoked")
+    if "superseded_by" in rows.columns:
+        rows = rows.where("superseded_by is null")
+    asked = incoming.select("id", *(F.col(c).alias(f"asked_{c}") for c in ("subject", "path") if c in incoming.columns))
+    rows = rows.join(asked, "id")
+    if "path" in incoming.columns:
+        rows = rows.where(~F.col("target").eqNullSafe(F.col("asked_path")))
+    if "subject" in incoming.columns and "subject" in candidates.columns:
+        rows = rows.where(F.col("asked_subject").isNull() | (F.lower(F.coalesce("subject", F.lit(""))) == F.lower("asked_subject")))
+    return rows.drop("asked_subject", "asked_path", "subject", "status", "superseded_by")
+
+
 def classify(incoming: DataFrame, candidates: DataFrame) -> DataFrame:
     """id, verdict, confidence, target: what each incoming memory is, given its candidates.
 
-    incoming: id, body (, vec).  candidates: id, target, other (, other_vec), rank.  Equal
+    incoming: id, body (, vec, subject, path).  candidates: id, target, other, rank
+    (, other_vec, status, superseded_by, subject); only `comparable` ones count.  Equal
     normalised bodies are duplicates; then the cosine ladder where both have vectors, else
     the word ladder.  Ambiguous ones are UNCERTAIN for an adjudicator to settle.
     """
-    pairs = incoming.join(candidates.where(F.col("rank") <= CANDIDATES), "id", "left")
+    pairs = incoming.drop("subject", "path").join(comparable(incoming, candidates), "id", "left")
     same = T.normalised(F.col("body")) == T.normalised(F.col("other"))
     vectors = "vec" in incoming.columns and "other_vec" in candidates.columns
     words = T.jaccard(F.array_distinct(T.words(F.col("body"))), F.array_distinct(T.words(F.col("other"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
@@ -453,7 +453,8 @@ def jaccard_duplicates(spark, d):
     return memory.near_words(V.notes(spark, d), 0.9)
 
 
-@query(f"""WITH {TOP_FUSED}, c AS (SELECT h.query_id AS id, h.chunk_id AS target, h.rank, n.text AS other, q.text AS body FROM hits h JOIN notes n ON n.path = h.chunk_id JOIN queries q ON q.query_id = h.query_id WHERE h.rank <= 5),
+@query(f"""WITH {TOP_FUSED}, c AS (SELECT h.query_id AS id, h.chunk_id AS target, h.rank, n.text AS other, q.text AS body FROM hits h JOIN notes n ON n.path = h.chunk_id JOIN queries q ON q.query_id = h.query_id WHERE h.rank <= 5
+  AND coalesce(n.status, '') <> 'revoked' AND n.superseded_by IS NULL AND (q.query_id % 2 = 0 OR q.query_id % 3 = n.doc_id % 3)),
  s AS (SELECT *, trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) = trim(regexp_replace(lower(other), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS same, list_distinct({_words('body')}) AS x, list_distinct({_words('other')}) AS y FROM c),
  t AS (SELECT *, CASE WHEN same THEN 1.0 ELSE round(len(list_intersect(x, y)) / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1), 6) END AS score FROM s),
  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY same DESC, score DESC, target) AS turn FROM t) WHERE turn = 1),
@@ -461,8 +462,10 @@ def jaccard_duplicates(spark, d):
  SELECT id, verdict, round(CASE WHEN verdict = 'NEW' THEN 1 - score ELSE score END, 6) AS confidence, CASE WHEN verdict <> 'NEW' THEN target END AS target FROM v""")
 def classify_memory(spark, d):
     near = _hybrid(spark, d).where("rank <= 5").select(F.col("query_id").alias("id"), F.col("chunk_id").alias("target"), "rank")
-    near = near.join(V.notes(spark, d).select(F.col("path").alias("target"), F.col("text").alias("other")), "target")
-    return memory.classify(V.queries(spark, d).select(F.col("query_id").alias("id"), F.col("text").alias("body")), near)
+    subject = lambda c, name: F.concat(F.lit(name), (F.col(c) % 3).cast("string"))
+    stored = V.notes(spark, d).select(F.col("path").alias("target"), F.col("text").alias("other"), "status", "superseded_by", subject("doc_id", "Team ").alias("subject"))
+    asked = V.queries(spark, d).select(F.col("query_id").alias("id"), F.col("text").alias("body"), F.when(F.col("query_id") % 2 == 1, subject("query_id", "team ")).alias("subject"))
+    return memory.classify(asked, near.join(stored, "target"))
 
 
 @query(f"WITH {V.NOTES}, r AS (SELECT path, needs_review OR contradicts IS NOT NULL AS urgent, created FROM notes WHERE {REVIEW}) SELECT * FROM (SELECT row_number() OVER (ORDER BY urgent DESC, created DESC NULLS LAST, path) AS place, path, urgent FROM r) WHERE place <= 200")
@@ -627,7 +630,8 @@ def secret_scan(spark, d):
     return scan.findings(V.table(spark, d, "documents"))
 
 
-@query(f"WITH {V.NOTES} SELECT path, 'note ' || doc_id AS title, lang || ',' || vault AS tags, type, status, created, NULL::BIGINT AS expires_at, NULL::VARCHAR AS superseded_by, false AS needs_review, NULL::VARCHAR AS contradicts, false AS private FROM notes")
+@query(f"""WITH {V.NOTES} SELECT path, 'note ' || doc_id AS title, lang || ',' || vault AS tags, type, status, created, expires_at // 86400 * 86400 AS expires_at, superseded_by, needs_review, contradicts,
+ CASE WHEN doc_id % 5 = 0 THEN 'Team ' || doc_id % 3 END AS subject, doc_id % 37 = 0 AS private FROM notes""")
 def parse_notes(spark, d):
     return markdown.parse_notes(_raw(spark, d)).drop("chunks").withColumn("tags", F.array_join("tags", ","))
 
@@ -639,7 +643,20 @@ def chunk_markdown(spark, d):
 
 def _raw(spark, d) -> DataFrame:
     """The notes written out as Markdown with frontmatter."""
-    head = F.concat(F.lit("---\ntitle: note "), F.col("doc_id").cast("string"), F.lit("\ntags: ["), F.array_join("tags", ", "), F.lit("]\ntype: "), "type", F.coalesce(F.concat(F.lit("\nstatus: "), "status"), F.lit("")), F.lit("\ncreated: "), F.col("created").cast("string"), F.lit("\n---\n# First\n"))
+    optional = lambda condition, *parts: F.when(condition, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))).otherwise("")
+    number = F.col("doc_id")
+    tags = F.when(number % 2 == 0, F.concat(F.lit("["), F.array_join("tags", ", "), F.lit("]"))).otherwise(F.concat(F.lit("\n  - "), F.array_join("tags", "\n  - ")))
+    head = F.concat(
+        F.lit("---\ntitle: note "), number.cast("string"), F.lit("\ntags: "), tags, F.lit("\ntype: "), "type", F.lit("\ncreated: "), F.col("created").cast("string"),
+        optional(F.col("status").isNotNull(), "\nstatus: ", F.col("status")),
+        optional(F.col("expires_at").isNotNull(), "\nexpires_at: ", F.date_format(F.timestamp_seconds("expires_at"), "yyyy-MM-dd")),
+        optional(F.col("superseded_by").isNotNull(), "\nsuperseded_by: ", F.col("superseded_by")),
+        optional(F.col("needs_review"), "\nneeds-review: yes"),
+        optional(F.col("contradicts").isNotNull(), "\ncontradicts: '", F.col("contradicts"), "'"),
+        optional(number % 5 == 0, '\nsubject: "Team ', (number % 3).cast("string"), '"'),
+        optional(number % 37 == 0, "\nprivate: true"),
+        F.lit("\n---\n# First\n"),
+    )
     return V.notes(spark, d).select("path", F.concat(head, "text").alias("text"))
 
 
@@ -656,9 +673,13 @@ def blob_ids(spark, d):
     return V.notes(spark, d).select("path", T.blob_id(F.col("text")).alias("revision"))
 
 
-@query(f"WITH {V.NOTES} SELECT 'memory/' || type || '/' || substr(sha256(type || chr(10) || trim(text)), 1, 12) || '.md' AS path, count(*) AS notes FROM notes GROUP BY 1")
-def memory_paths(spark, d):
-    return V.notes(spark, d).groupBy(T.memory_path("memory", F.col("type"), F.col("text")).alias("path")).agg(F.count("*").alias("notes"))
+@query(f"""WITH {V.NOTES}, m AS (SELECT doc_id, doc_id % 2 = 0 AS newer, doc_id % 3 = 0 AS stored, 'memory/' || type || '/' || substr(sha256(type || chr(10) || trim(text)), 1, 12) || '.md' AS path FROM notes)
+ SELECT path, doc_id AS id, CASE WHEN path IN (SELECT path FROM m WHERE stored) THEN 'DEDUP' WHEN newer THEN 'UPDATE' ELSE 'NEW' END AS outcome FROM m""")
+def remember_plan(spark, d):
+    n = V.notes(spark, d)
+    asked = n.select(F.col("doc_id").alias("id"), "type", F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.lit("old.md")).alias("supersedes"))
+    stored = n.where("doc_id % 3 = 0").select(T.memory_path("memory", F.col("type"), F.col("text")).alias("path"))
+    return memory.remember(asked, n.select("path").unionAll(stored))
 
 
 @query("SELECT c_name AS principal, c_mktsegment AS vault FROM customer WHERE c_custkey % 3 >= 1 AND c_acctbal >= 0")
@@ -721,7 +742,7 @@ def remember_plan(spark, d):
 @query(f"""WITH {V.CHUNKS}, flat AS (SELECT chunk_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM chunks),
  p AS (SELECT *, least(nullif(instr(lower(t), 'the'), 0), nullif(instr(lower(t), 'of'), 0), nullif(instr(lower(t), 'and'), 0)) AS place FROM flat), placed AS (SELECT *, greatest(place - 53, 1) AS s FROM p)
  SELECT chunk_id, CASE WHEN place IS NULL THEN substr(t, 1, 160) || CASE WHEN length(t) > 160 THEN '…' ELSE '' END ELSE CASE WHEN s > 1 THEN '…' ELSE '' END
-   || regexp_replace(regexp_replace(substr(t, s, 160), '(the)', '**\\1**', 'gi'), '(of)', '**\\1**', 'gi') || CASE WHEN s + 160 <= length(t) THEN '…' ELSE '' END END AS snippet FROM placed""")
+   || regexp_replace(substr(t, s, 160), '(the|and|of)', '**\\1**', 'gi') || CASE WHEN s + 160 <= length(t) THEN '…' ELSE '' END END AS snippet FROM placed""")
 def highlight(spark, d):
     return V.chunks(spark, d).select("chunk_id", T.highlighted(F.col("text"), ["the", "of", "And"]).alias("snippet"))
 
@@ -863,3 +884,14 @@ def child_prompts(spark, d):
     v = V.vectors(spark, d)
     parts = v.groupBy((F.col("label") % 3).alias("community"), F.concat_ws("-", "vault", F.col("label").cast("string")).alias("child"))
     return graph.child_prompts(parts.agg(F.min("path").alias("title"), F.count("*").alias("size"), F.min(F.when(F.col("doc_id") % 4 != 0, F.col("text"))).alias("summary")))
+
+
+LINKED = "linked AS (SELECT path, replace(replace(replace(text, ' of ', ' [[of'), ' the ', '/]] | '), ' and ', '\\|') AS text FROM notes)"
+
+
+@query(f"""WITH {V.NOTES}, {LINKED}, found AS (SELECT path AS src, list_filter(list_transform(regexp_extract_all(text, '\\[\\[([^\\[\\]]+?)\\]\\]', 1),
+  lambda t: regexp_replace(trim(replace(regexp_extract(t, '^((?:\\\\\\||[^|])*)', 1), '\\|', '|')), '/+$', '')), lambda t: t <> '') AS targets FROM linked)
+ SELECT src, i - 1 AS pos, targets[i] AS target FROM (SELECT src, targets, unnest(range(1, len(targets) + 1)) AS i FROM found)""")
+def link_extract(spark, d):
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit(" [[of")), F.lit(" the "), F.lit("/]] | ")), F.lit(" and "), F.lit("\\|"))
+    return links.extract(V.notes(spark, d).select("path", text.alias("text"))).withColumn("pos", F.col("pos").cast("long"))

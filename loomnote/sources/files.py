@@ -69,15 +69,14 @@ def notion_paths(files: DataFrame) -> DataFrame:
 
 def notion_links(text: Column) -> Column:
     """Markdown links to .md files as wikilinks, without ids; a link's name is URL-decoded."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)(\[[^\]]+\]\((?:[^)]*/)?[^)/]+?(?:%20| )[0-9a-f]{32}\.md\)|(?:(?!\[[^\]]+\]\((?:[^)]*/)?[^)/]+?(?:%20| )[0-9a-f]{32}\.md\)).)+)"), F.lit(1))
-    link = r"^\[([^\]]+)\]\((?:[^)]*/)?([^)/]+?)(?:%20| )[0-9a-f]{32}\.md\)$"
+    link = r"\[([^\]]+)\]\((?:[^)]*/)?([^)/]+?)(?:%20| )[0-9a-f]{32}\.md\)"
 
     def one(part: Column) -> Column:
         name = F.regexp_extract(part, link, 2)
         plain = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
-        return F.when(part.rlike(link), F.concat(F.lit("[["), plain, F.lit("|"), F.regexp_extract(part, link, 1), F.lit("]]"))).otherwise(part)
+        return F.concat(F.lit("[["), plain, F.lit("|"), F.regexp_extract(part, link, 1), F.lit("]]"))
 
-    return F.when(F.contains(text, F.lit(".md)")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    return F.when(F.contains(text, F.lit(".md)")), T.mapped(text, "(?s)" + link, one)).otherwise(text)
 
 
 def notion_report(files: DataFrame) -> DataFrame:

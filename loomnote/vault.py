@@ -8,6 +8,7 @@ outcome and, if it holds, a vault with one more change.  Outcomes are `ok`, `con
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from dataclasses import dataclass, replace
@@ -219,6 +220,12 @@ class Vault:
         made = made.withColumn("revision", F.when(F.col("text").isNotNull(), T.blob_id(F.col("text"))))
         return replace(self, changes=self.changes.unionByName(made))
 
+    def _with(self, rows: DataFrame) -> Vault:
+        """The vault with more rows (path, op, text) in its last commit; they stay a plan."""
+        last = self.changes.agg(F.max("seq").alias("seq")).join(self.changes, "seq").limit(1).select("seq", "author", "epoch", "message")
+        made = rows.crossJoin(F.broadcast(last)).withColumn("new_path", F.lit(None).cast("string")).withColumn("revision", T.blob_id(F.col("text")))  # one row
+        return replace(self, changes=self.changes.unionByName(made.select(self.changes.columns)))
+
     def _refused(self, path: str, content: str | None) -> Outcome | None:
         row = self.spark.createDataFrame([(path, content)], "p string, c string").select(filters.valid_path(F.col("p")), F.coalesce(scan.holds_secret(F.col("c")), F.lit(False))).first()
         return Outcome("bad_request", "path") if not row[0] else Outcome("blocked", "secret") if row[1] else None
@@ -306,18 +313,11 @@ class Vault:
             return Outcome("not_found" if held is None else "conflict"), self
         touching = self.resolved.where(F.col("resolved") == path).select(F.col("src").alias("path"), T.link_page(F.col("target")).alias("page")).distinct()
         bare = F.when(F.contains(F.col("page"), F.lit("/")), F.lit(to.removesuffix(".md"))).otherwise(F.lit(to.rsplit("/", 1)[-1].removesuffix(".md")))
-        pages = touching.groupBy("path").agg(F.collect_set(F.struct("page", bare.alias("new"))).alias("pages")).join(self.snapshot(), "path")
-        rows = [(path, "rename", to, held.text)]
-        for r in pages.collect():  # the notes that link to one note
-            text = r.text
-            for p in r.pages:
-                one = self.spark.createDataFrame([(text, p.page, p.new)], "t string, o string, n string")
-                text = one.select(links.rewritten(F.col("t"), F.col("o"), F.col("n"))).first()[0]
-            if r.path == path:
-                rows[0] = (path, "rename", to, text)
-            else:
-                rows.append((r.path, "modify", None, text))
-        return Outcome("ok"), self._add(rows, f"move: {path} -> {to}", author, epoch)
+        pages = touching.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("page", bare.alias("new")))).alias("pages")).join(self.snapshot(), "path")
+        changed = pages.select("path", F.reduce("pages", F.col("text"), lambda text, p: links.rewritten(text, p["page"], p["new"])).alias("text"))
+        own = changed.where(F.col("path") == path).select("text").first()  # a note may link to itself
+        after = self._add([(path, "rename", to, own.text if own else held.text)], f"move: {path} -> {to}", author, epoch)
+        return Outcome("ok"), after._with(changed.where(F.col("path") != path).withColumn("op", F.lit("modify")))
 
     def promote(self, path: str, to: str, **more) -> tuple[Outcome, Vault]:
         """Move a draft out of the drafts' folder."""
@@ -325,9 +325,13 @@ class Vault:
             return Outcome("bad_request", "drafts only"), self
         return self.move(path, to, **more)
 
-    def remember(self, content: str, kind: str = "fact", into: str = "memory", status: str | None = None, supersedes: str | None = None, adjudicate=None, **more) -> tuple[Outcome, Vault]:
+    def remember(self, content: str, kind: str = "fact", into: str = "memory", status: str | None = None, supersedes: str | None = None, adjudicate=None, subject: str | None = None, vector: list[float] | None = None, **more) -> tuple[Outcome, Vault]:
         """Keep a memory under a name made from its content; the same content is kept once.
 
+        It is held against the nearest memories of its kind, by words and, if the vault has
+        vectors and the memory's is given, by vectors; revoked and superseded ones and, if
+        it has a subject, those of others do not count.
+
         `supersedes` names a note that the memory replaces: that is revoked and points to it.
         An uncertain match goes to `adjudicate(content, other)`, if there is one, which
         answers NEW, DUPLICATE, UPDATE or CONTRADICTION; contradicting memories are both
@@ -339,12 +343,13 @@ class Vault:
             return Outcome("ok", "duplicate", held.revision), self
         if supersedes is not None and self._held(supersedes) is None:
             return Outcome("not_found", supersedes), self
-        verdict, target = ("UPDATE", supersedes) if supersedes is not None else self._verdict(content, kind, adjudicate)
+        verdict, target = ("UPDATE", supersedes) if supersedes is not None else self._verdict(content, kind, path, subject, vector, adjudicate)
         if verdict == "DUPLICATE":
             return Outcome("ok", "duplicate of " + target), self
         lines = {"UNCERTAIN": "\nneeds-review: true", "CONTRADICTION": f"\nneeds-review: true\ncontradicts: {target}"}.get(verdict, "")
+        about = "" if subject is None else "\nsubject: " + json.dumps(subject, ensure_ascii=False)
         state = status or ("provisional" if lines else "active")
-        out, after = self.write(path, f"---\ntype: {kind}\nstatus: {state}{lines}\n---\n{content.strip()}\n", None, **more)
+        out, after = self.write(path, f"---\ntype: {kind}\nstatus: {state}{lines}{about}\n---\n{content.strip()}\n", None, **more)
         if out.status == "ok" and verdict == "UPDATE":
             old = after._held(target)
             text = markdown.patch_frontmatter(old.text, {"status": "revoked", "superseded_by": path})
@@ -352,10 +357,16 @@ class Vault:
             after = later if changed.status == "ok" else after
         return (replace(out, detail=verdict.lower()) if out.status == "ok" else out), after
 
-    def _verdict(self, content: str, kind: str, adjudicate) -> tuple[str, str | None]:
-        near = self.search(content, "KEYWORD", memory.CANDIDATES, filters.Filters(include_all=True, type=kind)).withColumn("id", F.lit("x"))
-        near = near.join(self.snapshot().select("path", markdown_body().alias("other")), "path").select("id", F.col("path").alias("target"), "other", F.coalesce("rank", F.lit(1)).alias("rank"))
-        found = memory.classify(self.spark.createDataFrame([("x", content)], "id string, body string"), near).first()
+    def _verdict(self, content: str, kind: str, path: str, subject: str | None, vector: list[float] | None, adjudicate) -> tuple[str, str | None]:
+        hits = self.search(content, "HYBRID", memory.CANDIDATES, filters.Filters(include_all=True, type=kind), vector).groupBy("path").agg(F.min(F.coalesce("rank", F.lit(1))).alias("rank"))
+        near = hits.join(self.snapshot().select("path", markdown_body().alias("other")), "path").join(self.parsed.select("path", "status", "superseded_by", "subject"), "path")
+        near = near.withColumnRenamed("path", "target").withColumn("id", F.lit("x"))
+        asked = self.spark.createDataFrame([("x", content, subject, path)], "id string, body string, subject string, path string")
+        if vector is not None and self.vectors is not None:
+            means = search.mean_vectors(self.chunks.select("path", "content_hash").join(self.vectors, "content_hash"))
+            near = near.join(means.select(F.col("path").alias("target"), F.col("vec").alias("other_vec")), "target", "left")
+            asked = asked.withColumn("vec", F.array(*map(F.lit, vector)))
+        found = memory.classify(asked, near).first()
         if found.verdict != "UNCERTAIN" or adjudicate is None:
             return found.verdict, found.target
         other = self.snapshot().where(F.col("path") == found.target).select(markdown_body()).first()[0]
