@@ -38,7 +38,7 @@ RULES = {
     "slack-token": rf"{_APART}(xox[abprs]-[0-9A-Za-z-]{{10,}})",
     "google-key": rf"{_APART}(AIza[0-9A-Za-z_-]{{35}})",
     "jwt": rf"{_APART}(eyJ[0-9A-Za-z_-]{{8,}}\.[0-9A-Za-z_-]{{8,}}\.[0-9A-Za-z_-]{{8,}})",
-    "private-key": r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)",
+    "private-key": r"(-----BEGIN (?![A-Z ]*  )(?! )[A-Z ]*(?<= )PRIVATE KEY-----)",
     "assigned": _SET + r"[\"']?([^\s\"',;<>]{8,})",
     "assigned-whole": _SET + rf"(?:{_quoted_value('\"', "'")}|{_quoted_value("'", '\"')}|[\"']?((?=[^\s\"']*[,;<>])[^\s\"']{{8,}}))",
 }
@@ -88,7 +88,8 @@ def candidates(documents: DataFrame) -> DataFrame:
     one ends.  Null and empty texts have no match, and without a column `source` paths are
     empty.  Equal matches in a text stand for themselves, each at its own place; repeated
     rows, and rows that share a doc_id or have none, are read one by one.  Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  Texts and lines of any length are read whole: no
+    rule repeats a group, which would recurse once a repetition.
     """
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in documents.columns else F.lit("")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
