@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the cluster's folder or, in local mode without one, one of our own."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        path = context.getConf().get("spark.checkpoint.dir")
-        if not path and context.master.split("[")[0] != "local":
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir` or, in local mode without one, a folder of our own."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not path:
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="loomnote-"))
+        path = tempfile.mkdtemp(prefix="loomnote-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path)
+    return path
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -62,7 +63,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, fields: tuple[str, ...] = ("text
 
 _TOKEN = re.compile(
     r'''\s*(?:(?P<op>AND|OR|NOT|&&|\|\|)(?=[\s()]|$)|(?P<close>\))(?:\^(?P<boosted>\d+(?:\.\d+)?))?
-    |(?P<sign>[+\-!])?(?:(?P<field>\w+):)?(?:(?P<open>\()|(?P<phrase>"[^"]*")(?:~\d+)?|[\[{](?P<low>\S+)\s+TO\s+(?P<high>[^\s\]}]+)[\]}]|/(?P<regex>(?:[^/\\]|\\.)+)/|(?P<word>[^\s()"^]+))(?:\^(?P<boost>\d+(?:\.\d+)?))?)''',
+    |(?P<sign>[+\-!])?(?:(?P<field>\w+):)?(?:(?P<open>\()|(?P<phrase>"[^"]*")(?:~(?P<slop>\d+))?|[\[{](?P<low>\S+)\s+TO\s+(?P<high>[^\s\]}]+)[\]}]|/(?P<regex>(?:[^/\\]|\\.)+)/|(?P<word>[^\s()"^]+))(?:\^(?P<boost>\d+(?:\.\d+)?))?)''',
     re.X,
 )
 _OPERATOR = {"AND": "must", "&&": "must", "OR": "should", "||": "should", "NOT": "must_not"}
@@ -71,7 +72,7 @@ _OPERATOR = {"AND": "must", "&&": "must", "OR": "should", "||": "should", "NOT":
 def parse_query(query: str) -> list[dict]:
     """A query's clauses: kind (term, prefix, fuzzy, phrase, range, regex, group, all), field, text, boost, occur.
 
-    Understands field:, "phrases", trailing * and ~, [a TO b], /regular expressions/, ^boost,
+    Understands field:, "phrases" and "phrases"~slop, trailing * and ~, [a TO b], /regular expressions/, ^boost,
     ( ) and + - ! AND OR NOT.  A group has `clauses`, a range `low` and `high`.  What does not
     parse is taken as plain words.
     """
@@ -99,7 +100,7 @@ def parse_query(query: str) -> list[dict]:
             clause |= {"kind": "group", "clauses": []}
             stack.append(clause["clauses"]), waiting.append("should")
         elif m["phrase"] is not None:
-            clause |= {"kind": "phrase", "text": m["phrase"][1:-1].lower()}
+            clause |= {"kind": "phrase", "text": m["phrase"][1:-1].lower(), "slop": int(m["slop"] or 0)}
         elif m["low"]:
             clause |= {"kind": "range", "low": m["low"].lower(), "high": m["high"].lower()}
         elif m["regex"]:
@@ -131,6 +132,43 @@ def leaves(clauses: list[dict], boost: float = 1.0, field: str | None = None) ->
             yield own
 
 
+def phrase_words(text: str) -> list[str]:
+    """A phrase's words, as the analyser has them."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def sloppy_frequency(places: Column, slots: int, slop: int) -> Column:
+    """How often all of a phrase's words stand together, from places (pos less the word's place in the phrase, slot).
+
+    The shortest stretches with one place of each slot count, 1 / (1 + their length), if that
+    is `slop` at most; 0 for words that stand as in the phrase.
+    """
+    last = F.lit(2**31 - 1)
+    events = F.concat(F.array_sort(places), F.array(F.struct(last.alias("pos"), F.lit(-1).alias("slot"))))
+    start = F.struct(F.array_repeat(F.lit(None).cast("int"), slots).alias("held"), last.alias("at"), F.lit(-(2**31)).alias("seen"), F.lit(0.0).alias("f"))
+
+    def step(state: Column, event: Column) -> Column:
+        # a place's words are all held before the stretch that ends there is looked at
+        low = F.array_min(state["held"])
+        ends = (event["pos"] > state["at"]) & F.forall(state["held"], lambda x: x.isNotNull()) & (low > state["seen"])
+        width = state["at"] - low
+        more = F.when(ends & (width <= slop), 1 / (1 + width)).otherwise(0.0)
+        held = F.transform(state["held"], lambda x, i: F.when(i == event["slot"], event["pos"]).otherwise(x))
+        return F.struct(held.alias("held"), event["pos"].alias("at"), F.when(ends, low).otherwise(state["seen"]).alias("seen"), (state["f"] + more).alias("f"))
+
+    return F.aggregate(events, start, step, lambda state: state["f"])
+
+
+def phrase_frequency(tokens: Column, words: list[str], slop: int) -> Column:
+    """`sloppy_frequency` of words among tokens."""
+    def of(slot: int, word: str) -> Column:
+        every = F.transform(tokens, lambda t, i: F.when(t == word, F.struct((i - slot).alias("pos"), F.lit(slot).alias("slot"))))
+        return F.filter(every, lambda x: x.isNotNull())
+
+    places = [of(slot, word) for slot, word in enumerate(words)]
+    return sloppy_frequency(F.concat(*places), len(words), slop)
+
+
 def clause_matches(clause: dict, tokens: Column) -> Column:
     """Whether a clause matches a chunk's words."""
     kind, text = clause["kind"], clause["text"]
@@ -146,6 +184,8 @@ def clause_matches(clause: dict, tokens: Column) -> Column:
     if kind == "regex":
         return F.exists(tokens, lambda t: t.rlike(f"^(?:{text})$"))
     if kind == "phrase" or not text.isalnum():  # a word that the analyser splits is a phrase of its parts
+        if clause.get("slop") and len(phrase_words(text)) > 1:
+            return phrase_frequency(tokens, phrase_words(text), clause["slop"]) > 0
         joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
         return F.contains(joined, F.concat(F.lit(" "), T.normalised(F.lit(text)), F.lit(" ")))
     return F.array_contains(tokens, text)
@@ -183,21 +223,26 @@ def matching(chunks: DataFrame, query: str, fields: tuple[str, ...] = ("text", "
 def scored_syntax(chunks: DataFrame, query: str, fields: tuple[str, ...] = ("text", "heading")) -> DataFrame:
     """query_id (0), chunk_id, score: the chunks that a query selects.
 
-    Words and phrases score by BM25 of their words, times their boosts; a prefix, fuzzy word,
-    range, regular expression or * that matches adds its boost.
+    Words score by BM25, times their boosts, and so does a phrase, as one word whose idf is the
+    sum of its words'; a prefix, fuzzy word, range, regular expression or * that matches adds
+    its boost.
     """
     parts = list(leaves(parse_query(query)))
     rows, spark = chunks.where(selects(parse_query(query), fields)), chunks.sparkSession
-    constant = F.lit(0.0)
+    total = F.lit(0.0)
     weights: dict[str, dict[str, float]] = {}
     for c in parts:
-        if c["kind"] in ("term", "phrase"):
-            for name in (c["field"],) if c["field"] else fields:
-                for w in re.findall(r"[^\W_]+", c["text"]):
-                    weights.setdefault(name, {})[w] = max(weights.get(name, {}).get(w, 0.0), c["boost"])
+        own, words = (c["field"],) if c["field"] else fields, phrase_words(c["text"])
+        if c["kind"] not in ("term", "phrase"):
+            total += F.when(_hits(c, fields), F.lit(c["boost"])).otherwise(0.0)
+        elif len(words) > 1:
+            for name in own:
+                total += c["boost"] * _phrase_score(chunks, name, words, c.get("slop", 0))
         else:
-            constant += F.when(_hits(c, fields), F.lit(c["boost"])).otherwise(0.0)
-    out = rows.select("chunk_id", constant.alias("extra"))
+            for name in own:
+                for w in words:
+                    weights.setdefault(name, {})[w] = max(weights.get(name, {}).get(w, 0.0), c["boost"])
+    out = rows.select("chunk_id", total.alias("extra"))
     for n, (name, own) in enumerate(weights.items()):
         asked = spark.createDataFrame([(0, list(own), list(own.values()))], "query_id int, terms array<string>, weights array<double>")
         out = out.join(bm25(chunks, asked, (name,), None).select("chunk_id", F.col("score").alias(f"s{n}")), "chunk_id", "left")
@@ -207,6 +252,16 @@ def scored_syntax(chunks: DataFrame, query: str, fields: tuple[str, ...] = ("tex
     return out.select(F.lit(0).alias("query_id"), "chunk_id", F.round(total, 6).alias("score"))
 
 
+def _phrase_score(chunks: DataFrame, field: str, words: list[str], slop: int) -> Column:
+    """BM25 of a phrase in a field, from sums over all chunks."""
+    tokens = T.words(F.col(field))
+    each = [F.count_if(F.array_contains(tokens, w)).alias(f"d{i}") for i, w in enumerate(words)]
+    sums = chunks.agg(F.count_if(F.size(tokens) > 0).alias("n"), F.avg(F.when(F.size(tokens) > 0, F.size(tokens))).alias("mean"), *each).first()
+    idf = sum(math.log(1 + (sums.n - sums[f"d{i}"] + 0.5) / (sums[f"d{i}"] + 0.5)) for i in range(len(words)))
+    f = phrase_frequency(tokens, words, slop)
+    return F.lit(idf) * f / (f + K1 * (1 - B + B * F.size(tokens) / F.lit(sums["mean"] or 1.0)))
+
+
 def semantic_degraded(mode: str, query: str, embedder: bool, vector: bool) -> bool:
     """Whether a search that wants vectors of a vault that has them goes without: no query vector could be had."""
     return bool(query.strip()) and mode != "KEYWORD" and embedder and not vector

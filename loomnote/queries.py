@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
-from loomnote.operators import filters, graph, history, links, markdown, memory, merge, pack, scan, search
+from loomnote.operators import filters, graph, history, kept, links, markdown, memory, merge, order, pack, scan, search
 from loomnote.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -895,3 +895,69 @@ LINKED = "linked AS (SELECT path, replace(replace(replace(text, ' of ', ' [[of')
 def link_extract(spark, d):
     text = F.replace(F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit(" [[of")), F.lit(" the "), F.lit("/]] | ")), F.lit(" and "), F.lit("\\|"))
     return links.extract(V.notes(spark, d).select("path", text.alias("text"))).withColumn("pos", F.col("pos").cast("long"))
+
+
+def _kept(spark, d) -> kept.KeptIndex:
+    """An index of all chunks that came to be in three changes: notes were rewritten, added and removed meanwhile."""
+    rows = V.chunks(spark, d).select("path", "chunk_id", "text", "heading", "doc_id")
+    index = kept.KeptIndex(spark, order.folder(spark, "index"), buckets=8)
+    old = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("the former words of "), "heading")).otherwise(F.col("text"))
+    extra = rows.where("doc_id % 7 = 0").withColumn("path", F.concat(F.lit("gone/"), "path")).withColumn("chunk_id", F.concat(F.lit("gone/"), "chunk_id"))
+    index.apply(rows.where("doc_id % 3 <> 0").withColumn("text", old).unionByName(extra))
+    index.apply(rows.where("doc_id % 3 = 0 or doc_id % 5 = 0"), extra.where("doc_id % 2 = 0").select("path"))
+    index.apply(rows.limit(0), extra.select("path"))
+    return index
+
+
+@query(f"WITH {V.CHUNKS}, {V.QUERIES}, {_bm25_sql('SELECT * FROM chunks', ('text', 'heading'), 10)} SELECT query_id, chunk_id, score, rank FROM ranked")
+def bm25_indexed(spark, d):
+    return _kept(spark, d).bm25(V.queries(spark, d)).select("query_id", "chunk_id", "score", "rank")
+
+
+def _slop_sql(one: str, two: str, slop: int) -> str:
+    """CTEs that end in sloppy (chunk_id, f, dl): the nearest pairs of two words in texts, each word's place less its place in the phrase."""
+    return f"""tok AS (SELECT chunk_id, {_words('text')} AS w FROM chunks), spots AS (SELECT chunk_id, w[i] AS t, i - CASE WHEN w[i] = '{two}' THEN 1 ELSE 0 END AS pos FROM (SELECT chunk_id, w, unnest(range(1, len(w) + 1)) AS i FROM tok) WHERE w[i] IN ('{one}', '{two}')),
+ masks AS (SELECT chunk_id, pos, sum(CASE WHEN t = '{one}' THEN 1 ELSE 2 END) AS mask FROM spots GROUP BY ALL), lagged AS (SELECT *, lag(mask) OVER w AS mask0, lag(pos) OVER w AS pos0 FROM masks WINDOW w AS (PARTITION BY chunk_id ORDER BY pos)),
+ sloppy AS (SELECT l.chunk_id, len(any_value(tok.w)) AS dl, sum(CASE WHEN mask = 3 THEN 1.0 ELSE 1.0 / (1 + pos - pos0) END) AS f FROM lagged l JOIN tok ON tok.chunk_id = l.chunk_id WHERE mask = 3 OR (mask + mask0 = 3 AND pos - pos0 <= {slop}) GROUP BY l.chunk_id)"""
+
+
+@query(f"WITH {V.CHUNKS}, {_slop_sql('the', 'of', 3)} SELECT chunk_id, round(f::DOUBLE, 6) AS frequency FROM sloppy")
+def phrase_slop_query(spark, d):
+    rows = search.matching(V.chunks(spark, d), 'text:"the of"~3')
+    return rows.select("chunk_id", F.round(search.phrase_frequency(T.words(F.col("text")), ["the", "of"], 3), 6).alias("frequency"))
+
+
+PHRASE = f"""WITH {V.CHUNKS}, {_slop_sql('the', 'of', 3)}, sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM tok WHERE len(w) > 0),
+ df AS (SELECT count(*) FILTER (WHERE list_contains(w, 'the')) AS a, count(*) FILTER (WHERE list_contains(w, 'of')) AS b FROM tok)
+ SELECT chunk_id, round(2 * (ln(1 + (n - a + 0.5) / (a + 0.5)) + ln(1 + (n - b + 0.5) / (b + 0.5))) * f / (f + 1.2 * (1 - 0.75 + 0.75 * dl / mean)), 6) AS score FROM sloppy, sizes, df"""
+
+
+@query(PHRASE)
+def scored_phrase_query(spark, d):
+    return search.scored_syntax(V.chunks(spark, d), 'text:"the of"~3^2').select("chunk_id", "score")
+
+
+@query(PHRASE)
+def phrase_indexed(spark, d):
+    return _kept(spark, d).search('text:"the of"~3^2').select("chunk_id", "score")
+
+
+@query(ORACLE["boosted_query"])
+def boosted_indexed(spark, d):
+    return _kept(spark, d).search("text:of^2 text:the text:thorb*^3 -heading:fact").select("chunk_id", "score")
+
+
+EXPANDED = {"episade~": "levenshtein(term, 'episade') <= 2", "th*": "starts_with(term, 'th')", "[thi TO tho]": "term >= 'thi' AND term <= 'tho'", "/an(d|a).*/": "regexp_full_match(term, 'an(d|a).*')"}
+
+
+@query(f"""WITH {V.CHUNKS}, t AS (SELECT DISTINCT chunk_id, 'text' AS field, unnest({_words('text')}) AS term FROM chunks UNION ALL SELECT DISTINCT chunk_id, 'heading', unnest({_words('heading')}) FROM chunks),
+ {', '.join(f'e{i} AS (SELECT {chr(39)}{q.replace(chr(39), chr(39) * 2)}{chr(39)} AS query, field, term, chunk_id FROM t WHERE {c})' for i, (q, c) in enumerate(EXPANDED.items()))}
+ SELECT query, field, count(DISTINCT term) AS terms, count(*) AS postings FROM ({' UNION ALL '.join(f'SELECT * FROM e{i}' for i in range(len(EXPANDED)))}) GROUP BY query, field""")
+def term_expansion(spark, d):
+    index, out = _kept(spark, d), None
+    for text in EXPANDED:
+        terms = index.expand(search.parse_query(text)[0])
+        live = index._live(index._read("postings").join(terms, ["term", "field"], "left_semi"))
+        rows = live.groupBy("field").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings")).withColumn("query", F.lit(text))
+        out = rows if out is None else out.unionAll(rows)
+    return out.select("query", "field", "terms", "postings")
