@@ -29,6 +29,8 @@ from loomnote.llm import bytetext as bt
 from loomnote.llm.shared import small_batches
 
 MIN_LENGTH = 12
+#: Grid candidates, of one period or several, that are extended together.
+TOGETHER = 20_000
 
 
 def _numbered(values: np.ndarray) -> np.ndarray:
@@ -125,29 +127,43 @@ def find(words: np.ndarray, sizes: np.ndarray, least: int = MIN_LENGTH) -> tuple
     starts, ends, periods = ([np.zeros(0, np.int64)] for _ in range(3))
     #: Of one run found over each place: its period and end.
     period_of, end_of = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def extend() -> None:
+        i, p = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        known = np.flatnonzero(period_of[i] > 0)
+        known = known[(p[known] % period_of[i[known]] == 0) & (i[known] + p[known] < end_of[i[known]])]
+        i, p = np.delete(i, known), np.delete(p, known)
+        start, end = i - names.backward(i, i + p), i + p + names.forward(i, i + p)
+        good = np.flatnonzero(end - start >= np.maximum(2 * p, least))
+        good = good[np.lexsort((p[good], end[good], start[good]))]  # the smallest period of a stretch first
+        start, end, p = start[good], end[good], p[good]
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] != start[:-1]) | (end[1:] != end[:-1])
+        start, end, p = start[new], end[new], p[new]
+        starts.append(start), ends.append(end), periods.append(p)
+        for s, e, q in zip(start.tolist(), end.tolist(), p.tolist(), strict=True):
+            period_of[s:e], end_of[s:e] = q, e
+        waiting.clear()
+
     for p in range(1, int(descending[0]) // 2 + 1 if len(descending) else 0):
         shortest = max(2 * p, least)
         many = int(np.searchsorted(-descending, -shortest, "right"))
         if not many:
             break
         stop = int(ahead[many - 1] + descending[many - 1])
-        i = np.arange(0, stop - p, shortest - p)
-        i = i[(level[i] > 0) & (level[i] == level[i + p])]
-        if not len(i):
-            continue
-        known = period_of[i] > 0
-        known[known] = (p % period_of[i[known]] == 0) & (i[known] + p < end_of[i[known]])
-        i = i[~known]
-        if not len(i):
-            continue
-        start = i - names.backward(i, i + p)
-        end = i + p + names.forward(i, i + p)
-        good = end - start >= shortest
-        start, first = np.unique(start[good], return_index=True)  # of one period, runs that start alike are one
-        end = end[good][first]
-        starts.append(start), ends.append(end), periods.append(np.full(len(start), p))
-        for s, e in zip(start.tolist(), end.tolist(), strict=True):
-            period_of[s:e], end_of[s:e] = p, e
+        step = shortest - p
+        at_i, at_j = level[0 : stop - p : step], level[p:stop:step]
+        i = np.flatnonzero((at_i == at_j) & (at_i > 0)) * step
+        if len(i):
+            waiting.append((i, np.full(len(i), p)))
+            size += len(i)
+        if size >= TOGETHER:
+            extend()
+            size = 0
+    if waiting:
+        extend()
     start, end, period = (np.concatenate(x) for x in (starts, ends, periods))
     # a stretch found with several periods has the smallest of them
     by = np.lexsort((period, end, start))
