@@ -21,15 +21,14 @@ from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
 from loomnote.operators import scoring
+from loomnote.operators.generations import Generations
 from loomnote.operators.search import K1, B, leaves, parse_query, phrase_words, sloppy_frequency, top
 
 EDITS = 2
 PIECES = EDITS + 1
-_POSTINGS = "field string, term string, path string, chunk_id string, size int, positions array<int>, gen int, bucket int"
-_TERMS = "term string, field string, gen int"
-_PIECES = "size int, slot int, piece string, term string, field string, gen int"
-_LENGTHS = "path string, chunk_id string, {}, gen int"
-_GONE = "path string, gen int"
+_POSTINGS = "field string, term string, path string, chunk_id string, size int, positions array<int>, bucket int"
+_TERMS = "term string, field string"
+_PIECES = "size int, slot int, piece string, term string, field string"
 
 
 def _piece(term: Column, size: Column, slot: int) -> Column:
@@ -38,7 +37,7 @@ def _piece(term: Column, size: Column, slot: int) -> Column:
     return F.substring(term, start + 1, end - start)
 
 
-class KeptIndex:
+class KeptIndex(Generations):
     """The index below a folder that driver and executors share.
 
     Chunks have path, chunk_id and the fields; null fields have no words.  Null chunk ids
@@ -46,46 +45,19 @@ class KeptIndex:
     """
 
     def __init__(self, spark: SparkSession, root: str, fields: tuple[str, ...] = ("text", "heading"), buckets: int = 64):
-        self.spark, self.root, self.fields, self.buckets = spark, root.rstrip("/"), fields, buckets
+        self.fields, self.buckets = fields, buckets
         lengths = ", ".join(f"l{i} int" for i in range(len(fields)))
         totals = ", ".join(f"n{i} long, s{i} long" for i in range(len(fields)))
-        self.schemas = {"postings": _POSTINGS, "terms": _TERMS, "pieces": _PIECES, "lengths": _LENGTHS.format(lengths), "gone": _GONE, "done": f"base boolean, {totals}, gen int"}
-
-    # generations
-
-    def _there(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def _all(self, name: str) -> DataFrame:
-        if not self._there(name):
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}")
-
-    def generations(self) -> list[int]:
-        """Those that count: the last compacted one and all after it."""
-        rows = sorted((r.gen, r.base) for r in self._all("done").select("gen", "base").collect())  # one row a change
-        first = max((g for g, base in rows if base), default=0)
-        return [g for g, _ in rows if g >= first]
-
-    def _read(self, name: str) -> DataFrame:
-        return self._all(name).where(F.col("gen").isin(self.generations()))
+        super().__init__(spark, root, {"postings": _POSTINGS, "terms": _TERMS, "pieces": _PIECES, "lengths": f"path string, chunk_id string, {lengths}", "gone": "path string", "done": totals})
 
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows of paths that no later generation has replaced."""
-        if len(self.generations()) < 2:
-            return rows
-        last = self._read("gone").groupBy("path").agg(F.max("gen").alias("last"))
-        return rows.join(last, "path", "left").where("last is null or gen >= last").drop("last")
-
-    def _write(self, rows: DataFrame, name: str, gen: int, by: str | None = None) -> None:
-        out = rows.write.mode("overwrite")
-        (out.partitionBy(by) if by else out).parquet(f"{self.root}/{name}/gen={gen}")
+        return self._newest(rows, self._read("gone"), "path")
 
     def _write_postings(self, postings: DataFrame, gen: int) -> None:
         dealt = postings.hint("rebalance", "bucket")  # a frequent term's folder is written by several tasks
         self._write(dealt.sortWithinPartitions("bucket", "field", "term"), "postings", gen, "bucket")
-        terms = self.spark.read.schema(self.schemas["postings"]).parquet(f"{self.root}/postings/gen={gen}").select("term", "field").distinct()
+        terms = self._own("postings", gen).select("term", "field").distinct()
         self._write(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms", gen)
         size = F.length("term")
         slots = F.array(*(F.struct(F.lit(s).alias("slot"), _piece(F.col("term"), size, s).alias("piece")) for s in range(PIECES)))
@@ -98,9 +70,8 @@ class KeptIndex:
         `generation` numbers a change, as a stream does its batches; one that is there already
         is not applied again.
         """
-        done = [r.gen for r in self._all("done").select("gen").collect()]
-        gen = max(done, default=-1) + 1 if generation is None else generation
-        if gen in done:
+        gen, done = self.following(generation)
+        if done:
             return gen
         chunks = chunks.where("path is not null and chunk_id is not null")
         fields = F.array(*(F.struct(F.lit(f).alias("field"), T.words(F.col(f)).alias("w")) for f in self.fields))
@@ -110,8 +81,8 @@ class KeptIndex:
         self._write(chunks.select("path", "chunk_id", *(F.size(T.words(F.col(f))).alias(f"l{i}") for i, f in enumerate(self.fields))), "lengths", gen)
         gone = chunks.select("path") if removed is None else chunks.select("path").unionAll(removed.select("path").where("path is not null"))
         self._write(gone.distinct(), "gone", gen)
-        before = self._live(self._read("lengths")).join(self.spark.read.parquet(f"{self.root}/gone/gen={gen}"), "path", "left_semi")
-        self._finish(gen, self.spark.read.parquet(f"{self.root}/lengths/gen={gen}"), before)
+        before = self._live(self._read("lengths")).join(self._own("gone", gen), "path", "left_semi")
+        self._finish(gen, self._own("lengths", gen), before)
         return gen
 
     def _finish(self, gen: int, added: DataFrame, taken: DataFrame | None) -> None:
@@ -119,7 +90,7 @@ class KeptIndex:
         sums = [x for i in range(len(self.fields)) for x in (F.count_if(F.col(f"l{i}") > 0).alias(f"n{i}"), F.coalesce(F.sum(f"l{i}"), F.lit(0)).alias(f"s{i}"))]
         more = added.agg(*sums).first()
         less = taken.agg(*sums).first() if taken is not None else [0] * len(more)
-        row = self.spark.createDataFrame([(taken is None, *(a - b for a, b in zip(more, less, strict=True)))], self.schemas["done"].removesuffix(", gen int"))
+        row = self.spark.createDataFrame([(taken is None, *(a - b for a, b in zip(more, less, strict=True)))], self.schemas["done"])
         self._write(row, "done", gen)
 
     def compact(self) -> None:
@@ -129,11 +100,8 @@ class KeptIndex:
         self._write_postings(self._live(self._read("postings")).drop("gen"), gen)
         self._write(self._live(self._read("lengths")).drop("gen"), "lengths", gen)
         self._write(self.spark.createDataFrame([], "path string"), "gone", gen)
-        self._finish(gen, self.spark.read.parquet(f"{self.root}/lengths/gen={gen}"), None)
-        for name in self.schemas:
-            for g in old:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/gen={g}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._finish(gen, self._own("lengths", gen), None)
+        self._forget(old)
 
     # words
 
