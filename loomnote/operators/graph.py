@@ -16,23 +16,76 @@ from loomnote.operators.order import cut, numbered
 #: Neighbours a note, similarity threshold, link weight, Louvain's limits.
 NEIGHBOURS, THRESHOLD, LINK_WEIGHT = 6, 0.75, 1.5
 SWEEPS, LEVELS, EPSILON = 50, 20, 1e-12
-BLOCK = 1024
+BLOCK, MOST_CENTRES = 1024, 128
+
+
+def _cells(rows: DataFrame, count: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Packed blocks (cell, part, rows) and the pairs of cells (x, y, x <= y) that may hold similar vectors.
+
+    Centres are at most MOST_CENTRES vectors of lowest hash.  A cell is what is nearest to one
+    centre, in one band of angles to it.  On the sphere angles obey the triangle inequality:
+    vectors of two cells are at least as far apart as the centres, less both cells' largest
+    angles, and at least as far as one's smallest angle, less the rest; cells for which that
+    is more than the threshold's angle need not meet.  The bound is exact; the driver has the
+    centres and two angles a cell.
+    """
+    wanted = min(MOST_CENTRES, max(1, 2 * count // BLOCK))
+    some = rows.select("vec").orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow().column("vec").to_pylist()
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    centres = unit(np.array(some, np.float64).reshape(len(some), -1))
+    held = rows.sparkSession.sparkContext.broadcast(centres)
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6  # scores are rounded
+    width = max(reach, 0.1) / 2
+    bands = int(np.pi / width) + 1
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vec")
+            cosine = unit(np.asarray(lists.flatten(), np.float64).reshape(len(batch), -1)) @ held.value.T
+            cell = cosine.argmax(axis=1)
+            angle = np.arccos(np.clip(cosine[np.arange(len(batch)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((cell * bands + (angle / width).astype(np.int64)).astype(np.int32)), pa.array(angle)], names=["id", "vec", "cell", "angle"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    dealt = cut(rows.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(nearest, f"id {kind}, vec array<double>, cell int, angle double"))
+    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("least"), F.max("angle").alias("most")).orderBy("cell").toArrow()
+    cell, n, least, most = (np.asarray(c.combine_chunks()) for c in cells.columns)
+    apart = np.arccos(np.clip(centres @ centres.T, -1, 1))[np.ix_(cell // bands, cell // bands)]
+    far = np.maximum(apart - most[:, None] - most[None], np.maximum(least[:, None] - most[None], least[None] - most[:, None]) - apart)
+    x, y = np.nonzero(np.triu(far <= reach))
+    spark = rows.sparkSession
+    parts = F.broadcast(spark.createDataFrame(pa.table({"cell": cell, "parts": -(-n // BLOCK)})))
+    row = F.struct("id", "vec").alias("row")
+    packed = dealt.join(parts, "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").alias("part"), row).groupBy("cell", "part").agg(F.collect_list("row").alias("rows"))
+    return packed, spark.createDataFrame(pa.table({"x": cell[x], "y": cell[y]}))
+
+
+def meetings(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """x, y, left, right: every two blocks of cells that may hold similar vectors, once; x = y: a block with itself."""
+    number = (F.col("cell").cast("long") * (1 << 32) + F.col("part")).alias("x")
+    one = packed.select(F.col("cell").alias("cx"), number, F.col("rows").alias("left"))
+    two = packed.select(F.col("cell").alias("cy"), number.alias("y"), F.col("rows").alias("right"))
+    met = one.join(F.broadcast(pairs.toDF("cx", "cy")), "cx").join(two, "cy").where("cx < cy or x <= y")
+    return met.select("x", "y", "left", "right")
 
 
 def similar(vectors: DataFrame, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, score: each vector's k most similar others of at least the threshold (ties: smaller b).
 
-    vectors: id, vec, all of one length.  Rows are packed into blocks by hash and each two
-    blocks meet once, as one matrix product that serves both directions; a meeting hands on
-    k rows an id only.
+    vectors: id, vec, all of one length.  Rows are packed into blocks by cell, and blocks of
+    cells that may hold similar vectors meet once, as one matrix product that serves both
+    directions; a meeting hands on k rows an id only.
     """
     rows = vectors.where("vec is not null")
     count = rows.count()
-    blocks = max(1, -(-count // BLOCK))
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.struct("id", F.col("vec").cast("array<double>").alias("vec")).alias("row"))
-    packed = dealt.groupBy("block").agg(F.collect_list("row").alias("rows"))
-    left = packed.select(F.col("block").alias("x"), F.col("rows").alias("left"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("y"))
-    met = left.join(packed.select(F.col("block").alias("y"), F.col("rows").alias("right")), "y").select("x", "y", "left", "right")
+    if not count:
+        kind = vectors.schema["id"].dataType.simpleString()
+        return vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, score double")
+    met = meetings(*_cells(rows, count, threshold))
+    repeated = rows.select("id").distinct().count() < count
     kind = vectors.schema["id"].dataType.simpleString()
 
     def unpack(side: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
@@ -55,9 +108,9 @@ def similar(vectors: DataFrame, k: int = NEIGHBOURS, threshold: float = THRESHOL
             for x, y, one, two in zip(*batch.columns, strict=True):
                 (a, left), (b, right) = unpack(one.values), unpack(two.values)
                 score = np.round(left @ right.T, 9)
-                if x == y:  # an id lies in one block, so only here it meets itself
-                    _, same = np.unique(np.array(a.to_pylist()), return_inverse=True)
-                    score[same[:, None] == same[None]] = -2
+                if x == y or repeated:  # an id lies in one block, unless it stands for several vectors
+                    names = np.unique(np.array(a.to_pylist() + b.to_pylist()), return_inverse=True)[1]
+                    score[names[: len(a), None] == names[None, len(a) :]] = -2
                 yield nearest(a, b, score)
                 if x != y:
                     yield nearest(b, a, score.T)

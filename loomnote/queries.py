@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
-from loomnote.operators import filters, graph, history, kept, links, markdown, memory, merge, order, pack, scan, search
+from loomnote.operators import filters, graph, history, kept, linkindex, links, markdown, memory, merge, order, pack, scan, search
 from loomnote.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -961,3 +961,18 @@ def term_expansion(spark, d):
         rows = live.groupBy("field").agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings")).withColumn("query", F.lit(text))
         out = rows if out is None else out.unionAll(rows)
     return out.select("query", "field", "terms", "postings")
+
+
+@query(ORACLE["link_resolve"])
+def links_incremental(spark, d):
+    """The links after four changes: notes come, go, are renamed and get other links."""
+    made = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "target"))), lambda x: F.concat(F.lit("[["), x["target"], F.lit("]]"))), " ")
+    notes = V.links(spark, d).groupBy(F.col("src").alias("path")).agg(made.alias("text"))
+    place = F.pmod(F.xxhash64("path"), F.lit(10))
+    index = linkindex.LinkIndex(spark, order.folder(spark, "links"))
+    twins = notes.where(place == 0).select(F.concat(F.lit("twin/"), T.basename(F.col("path"))).alias("path"), F.lit("[[0]]").alias("text"))
+    index.apply(notes.where(place < 8).withColumn("text", F.when(place < 3, F.lit("[[1]] [[2]]")).otherwise(F.col("text"))).unionAll(twins))
+    index.apply(notes.where(place >= 7), notes.where(place == 4).select("path"))
+    index.apply(notes.where(place < 2), twins.select("path"))
+    index.apply(notes.where((place == 2) | (place == 4)))
+    return index.links().withColumn("pos", F.col("pos").cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
@@ -39,6 +39,77 @@ def watch_notes(spark: SparkSession, root: str) -> DataFrame:
     return files.select(_relative(root).alias("path"), F.decode("content", "utf-8").alias("text"), F.col("modificationTime").alias("ts"))
 
 
+LISTED = "path string, bytes long, modified timestamp, revision string"
+SEEN = "seq long, path string, op string, new_path string, revision string, text string, author string, ts timestamp"
+
+
+def listing(spark: SparkSession, root: str, known: DataFrame | None = None, pattern: str = "*.md") -> DataFrame:
+    """path, bytes, modified, revision of a folder's files; those of a size and time that `known` has are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    there = files.select(_relative(root).alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")).where(~F.col("path").rlike(r"(^|/)\."))
+    if known is not None:
+        there = there.join(known, ["path", "bytes", "modified"], "left")
+    else:
+        there = there.withColumn("revision", F.lit(None).cast("string"))
+    texts = files.select(_relative(root).alias("path"), F.decode("content", "utf-8").alias("text")).join(there.where("revision is null").select("path"), "path", "left_semi")
+    read = texts.select("path", T.blob_id(F.col("text")).alias("read"))
+    return there.join(read, "path", "left").select("path", "bytes", "modified", F.coalesce("revision", "read").alias("revision"))
+
+
+def folder_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """op, path, new_path, revision: what turns one listing into another.
+
+    A file that went is taken as renamed to one that came with the same revision; of several
+    the first by path go together.  The rest are add, modify and delete.
+    """
+    old = before.select("path", F.col("revision").alias("was"))
+    both = old.join(after.select("path", "revision"), "path", "full_outer")
+    turn = Window.partitionBy("content").orderBy("path")
+    gone = both.where("revision is null").select(F.col("was").alias("content"), "path").withColumn("turn", F.row_number().over(turn))
+    came = both.where("was is null").select(F.col("revision").alias("content"), F.col("path")).withColumn("turn", F.row_number().over(turn)).withColumnRenamed("path", "new_path")
+    moved = gone.join(came, ["content", "turn"], "full_outer")
+    op = F.when(F.col("path").isNull(), "add").when(F.col("new_path").isNull(), "delete").otherwise("rename")
+    renamed = F.when(F.col("path").isNotNull(), F.col("new_path"))
+    moved = moved.select(op.alias("op"), F.coalesce("path", "new_path").alias("path"), renamed.alias("new_path"), F.when(F.col("new_path").isNotNull(), F.col("content")).alias("revision"))
+    changed = both.where("was <> revision").select(F.lit("modify").alias("op"), "path", F.lit(None).cast("string").alias("new_path"), "revision")
+    return moved.unionAll(changed)
+
+
+def look(spark: SparkSession, root: str, kept: str, number: int, author: str = "external", pattern: str = "*.md") -> None:
+    """One look at a folder: what changed since look `number` - 1 is written as changes below `kept`/changes.
+
+    The listing is kept as `kept`/listing/`number`.  A look that is repeated after a failure
+    writes the same two folders again; listings before the last two go.  Changes have the
+    columns of a vault's stream (seq by look and path).
+    """
+    version = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/listing/{n}")
+    store = version(0).getFileSystem(spark._jsc.hadoopConfiguration())
+    if number and not store.exists(version(number - 1)):
+        raise FileNotFoundError(f"look {number - 1} is missing below {kept}")
+    before = spark.read.schema(LISTED).parquet(f"{kept}/listing/{number - 1}") if number else spark.createDataFrame([], LISTED)
+    listing(spark, root, before, pattern).write.mode("overwrite").parquet(f"{kept}/listing/{number}")
+    after = spark.read.schema(LISTED).parquet(f"{kept}/listing/{number}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    texts = files.select(_relative(root).alias("at"), F.decode("content", "utf-8").alias("text"))
+    rows = folder_changes(before, after).withColumn("at", F.coalesce("new_path", "path"))
+    place = F.row_number().over(Window.orderBy("path", "op"))  # the changes of one look
+    rows = rows.join(texts, "at", "left").withColumn("seq", F.lit(number) * (1 << 32) + place)
+    kept_text = F.when(F.col("op") != "delete", F.col("text"))
+    rows.select("seq", "path", "op", "new_path", "revision", kept_text.alias("text"), F.lit(author).alias("author"), F.current_timestamp().alias("ts")).write.mode("overwrite").parquet(f"{kept}/changes/look={number}")
+    if number > 1:
+        store.delete(version(number - 2), True)
+
+
+def watch_folder(spark: SparkSession, root: str, kept: str, checkpoint: str, author: str = "external"):
+    """A stream that looks at a folder again and again; start it with a trigger.
+
+    `kept`/changes is a folder for `streaming.change_stream`: files added, edited, renamed
+    and deleted in place all come through it.
+    """
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    return ticks.writeStream.foreachBatch(lambda batch, number: look(spark, root, kept, number, author)).option("checkpointLocation", checkpoint)
+
+
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a log of JSON lines."""
     return spark.read.schema("ts string, agentId string, tool string, outcome string, path string, target string, revision string, detail string").json(path)

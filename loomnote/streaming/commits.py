@@ -64,6 +64,39 @@ def debounced(changes: DataFrame, quiet: str = "300 milliseconds", late: str = "
     return bursts.select("author", F.col("w.start").alias("first"), "last", "changes")
 
 
+def coalesced(events: DataFrame, quiet: float, most: float, late: str = "0 seconds") -> DataFrame:
+    """key, first, last, changes, fires: `history.coalesced` of a stream; a batch is told once time has passed it.
+
+    events: key string, seq long, epoch double.  A batch of a key ends `quiet` seconds after
+    its last change, or `most` after its first one, whichever is sooner; a timer of the
+    stream's watermark ends it where no later change does.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        first, last, n = state.get if state.exists else (None, None, 0)
+        out = []
+        frames = [] if state.hasTimedOut else list(parts)
+        for t in pd.concat(frames).sort_values(["epoch", "seq"])["epoch"] if frames else []:
+            if n and (t - last >= quiet or t - first >= most):
+                out.append((first, last, n))
+                n = 0
+            first, last, n = (first if n else t), t, n + 1
+        now = state.getCurrentWatermarkMs() / 1000
+        if n and now >= min(last + quiet, first + most):
+            out.append((first, last, n))
+            n = 0
+        if n:
+            state.update((float(first), float(last), int(n)))
+            state.setTimeoutTimestamp(max(int(1000 * min(last + quiet, first + most)), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame([(key[0], f, e, m, min(e + quiet, f + most)) for f, e, m in out], columns=["key", "first", "last", "changes", "fires"])
+
+    timed = events.withColumn("ts", F.timestamp_micros((F.col("epoch") * 1_000_000).cast("long"))).withWatermark("ts", late)
+    return timed.groupBy("key").applyInPandasWithState(run, "key string, first double, last double, changes long, fires double", "first double, last double, n long", "append", "EventTimeTimeout")
+
+
 def limited(events: DataFrame, capacity: float = 60, refill: float = 10) -> DataFrame:
     """key, seq, allowed: a token bucket a key, its level kept between micro-batches.
 
