@@ -41,6 +41,8 @@ COUNT_TOKENS, SHARD_ENTRIES, BLOCK_BYTES = 1_500_000, 2_000_000, 8 << 20
 #: The grams of the highest order are counted in so many passes over the texts, each for a
 #: part of the hash space: the pieces under way take disk, the passes little time.
 PASSES = 2
+#: So many parts of the documents are scored one after the other, for the same reason.
+PARTS = 2
 _BEGIN, _END = np.uint64(bt.mix_int(0xBE61)), np.uint64(bt.mix_int(0xE4D))
 _STEP = np.uint64(0x9FB21C651E98DF25)
 #: The columns of counts: as a gram; as a context, its followers' sum, and how many followed
@@ -72,27 +74,40 @@ def keys_of(columns: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different grams in the order of their keys, their counts added up."""
+def _summed(grams: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different grams in the order of their keys, their counts added up; without counts each counts once."""
     key = keys_of(list(grams))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(first)
-    total = np.add.reduceat(counts[:, order], first, axis=1) if len(first) else counts
+    first = _firsts(key)
+    if counts is None:
+        total = np.diff(np.append(first, len(key)))[None, :]
+    else:
+        total = np.add.reduceat(counts[:, order], first, axis=1) if len(first) else counts
     return key[first], grams[:, order[first]], total
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """The places of sorted values where another one begins."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
 def _shards(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted keys the shards they are in, and where each shard's begin and end."""
     shard = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-    kinds, start = np.unique(shard, return_index=True)
-    return kinds, np.append(start, len(key))
+    start = _firsts(shard)
+    return shard[start], np.append(start, len(key))
 
 
-def _pieces(level: int, grams: np.ndarray, counts: np.ndarray, bits: int, part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
+def _pieces(level: int, grams: np.ndarray, counts: np.ndarray | None, bits: int, part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
     key, grams, counts = _summed(grams, counts)
+    yield from _packed(level, key, grams, counts, bits, part, parts)
+
+
+def _packed(level: int, key: np.ndarray, grams: np.ndarray, counts: np.ndarray, bits: int, part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """Different grams in the order of their keys, cut by shard; of several parts the shards of one."""
     shards, cut = _shards(key, bits)
     rows: list[tuple[int, bytes, bytes]] = []
     size = 0
@@ -119,11 +134,12 @@ def _count(order: int, bits: int, part: int, parts: int):
 
     def out(sequences: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         grams = np.concatenate([np.stack([seq[at - order + 1 + j] for j in range(order)]) for seq, at in sequences], axis=1)
-        yield from _pieces(order, grams, np.ones((1, grams.shape[1]), np.int64), bits, part, parts)
+        yield from _pieces(order, grams, None, bits, part, parts)
         if part == 0:
-            counts = np.zeros((COLUMNS, grams.shape[1]), np.int64)
-            counts[_TOKEN] = 1
-            yield from _pieces(1, grams[-1:], counts, bits)
+            key, words, count = _summed(grams[-1:], None)
+            counts = np.zeros((COLUMNS, len(key)), np.int64)
+            counts[_TOKEN] = count
+            yield from _packed(1, key, words, counts, bits)
         bt.release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +347,11 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Asked:
-    """The different grams that a block's tokens need counts of, by order and hash."""
+    """The different grams that a block's tokens need counts of, by order and hash.
+
+    Of the highest order those that end in a token; of the others all, since each is the
+    context of the token after it or ends in a token.
+    """
 
     def __init__(self, texts: pa.Array, order: int):
         self.order = order
@@ -340,13 +360,29 @@ class Asked:
             seq, at, count = tokens(chunk, order)
             sequences.append(seq), places.append(at + size), counts.append(count)
             size += len(seq)
-        seq, at, self.count = (np.concatenate(x) for x in (sequences, places, counts))
-        self.keys, self.gram, self.context = [], [], []
-        for k in range(1, order + 1):
-            gram = keys_of([seq[at - k + 1 + j] for j in range(k)])
-            context = keys_of([seq[at - k + j] for j in range(k)]) if k < order else gram[:0]
-            key, which = np.unique(np.concatenate([gram, context]), return_inverse=True)
-            self.keys.append(key), self.gram.append(which[: len(gram)]), self.context.append(which[len(gram) :])
+        seq, self.at, self.count = (np.concatenate(x) for x in (sequences, places, counts))
+        last = len(seq)
+        #: Keys of all grams of an order, by the place where they end, from order - 1 on.
+        self.all = [keys_of([seq[j : last - k + 1 + j] for j in range(k)]) for k in range(1, order)]
+        self.all.append(keys_of([seq[self.at - order + 1 + j] for j in range(order)]))
+
+    def keys(self) -> Iterator[np.ndarray]:
+        """Of each order the different keys, sorted."""
+        for key in self.all:
+            ordered = np.sort(key)
+            yield ordered[_firsts(ordered)]
+
+    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each order the different keys, and of each token the place among them of the gram that ends in it and of the words before it."""
+        for k, key in enumerate(self.all, 1):
+            order = np.argsort(key)
+            first = _firsts(key[order])
+            place = np.zeros(len(key), np.int64)
+            place[first[1:]] = 1
+            which = np.empty(len(key), np.int64)
+            which[order] = np.cumsum(place)
+            top = k == self.order
+            yield key[order[first]], which if top else which[self.at - k + 1], which[:0] if top else which[self.at - k]
 
 
 def _ask(order: int, bits: int):
@@ -355,7 +391,7 @@ def _ask(order: int, bits: int):
             for k in range(len(batch)):
                 block = batch.column("block")[k].as_py()
                 asked = Asked(batch.column("texts")[k].values, order)
-                for level, key in enumerate(asked.keys, 1):
+                for level, key in enumerate(asked.keys(), 1):
                     shards, cut = _shards(key, bits)
                     for i in range(0, len(shards), 64):
                         rows = [(s, key[cut[j] : cut[j + 1]].tobytes()) for j, s in enumerate(shards[i : i + 64].tolist(), i)]
@@ -389,19 +425,22 @@ def _exists(uri: str) -> bool:
     return store.get_file_info(path).type == stores.FileType.File
 
 
-def _probabilities(asked: Asked, counts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token its probability after the words before it, and its plain count."""
+def _probabilities(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token its probability after the words before it, and its plain count.
+
+    counts: of each order the counts of the different grams, and `Asked.places`.
+    """
     total, *kinds = model.unigrams
-    table = counts[0]
-    plain = table[_TOKEN][asked.gram[0]]
+    plain = counts[0][0][_TOKEN][counts[0][1]]
     p = np.full(len(plain), 1 / (model.vocabulary + 1))
-    for k in range(1, model.order + 1):
+    for k, (table, which, _) in enumerate(counts, 1):
         d = np.array([0, *model.discounts[k - 1]])
-        gram = counts[k - 1][_GRAM][asked.gram[k - 1]]
+        gram = table[_GRAM][which]
         if k == 1:
             follow, one, two, more = (np.full(len(gram), x) for x in (total, *kinds))
         else:
-            follow, one, two, more = (counts[k - 2][c][asked.context[k - 2]] for c in (_TOTAL, _ONCE, _TWICE, _MORE))
+            table, _, before = counts[k - 2]
+            follow, one, two, more = (table[c][before] for c in (_TOTAL, _ONCE, _TWICE, _MORE))
         better = (gram - d[np.minimum(gram, 3)] + (d[1] * one + d[2] * two + d[3] * more) * p) / np.maximum(follow, 1)
         p = np.where(follow > 0, better, p)
     return p, plain
@@ -416,15 +455,15 @@ def _score(model: Model):
     def close(ids: pa.Array, texts: pa.Array, answers: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         asked = Asked(texts, model.order)
         counts = []
-        for level, key in enumerate(asked.keys, 1):
+        for level, (key, which, before) in enumerate(asked.places(), 1):
             table = np.zeros((COLUMNS if level < model.order else 1, len(key)), np.int64)
             shards, cut = _shards(key, model.bits)
             for own, shard, data in answers:
                 if own == level and data:
                     at = int(np.searchsorted(shards, shard))
                     table[:, cut[at] : cut[at + 1]] = np.frombuffer(data, np.int64).reshape(len(table), -1)
-            counts.append(table)
-        p, plain = _probabilities(asked, counts, model)
+            counts.append((table, which, before))
+        p, plain = _probabilities(counts, model)
         first = np.cumsum(asked.count) - asked.count
         base = np.log10((plain + 1) / (model.tokens + model.vocabulary + 1))
         sums = [np.add.reduceat(x, first) for x in ((plain > 0).astype(np.int64), base, np.log10(p))]
@@ -450,16 +489,28 @@ def _score(model: Model):
     return run
 
 
-def score(spark: SparkSession, documents: DataFrame, model: Model, tables: Tables) -> DataFrame:
+def score(spark: SparkSession, documents: DataFrame, model: Model, tables: Tables, parts: int = PARTS) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, base_score, score.
 
     Scores are sums of log10 over the tokens: of (count + 1) / (all + types + 1), and of the
     model's probabilities, where a token that it never met has the part of an unknown one.
     A null or empty text has one token, its end.  Rows are scored one by one, whatever their
     doc_id, null and repeated ones too; an empty table gives no rows.  Long texts are scored
-    whole, in a block of their own.  Other columns are ignored.
+    whole, in a block of their own.  Other columns are ignored.  The documents are dealt into
+    `parts`, scored in turn, each written with the tables.
     """
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    scored = None
+    for part in range(max(1, parts)):
+        own = plain.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, parts))) == part)
+        rows = tables.write(_scored(spark, own, model, tables), f"scores-{part}")
+        for name in ("blocks", "answers"):
+            tables.drop(name)
+        scored = rows if scored is None else scored.unionAll(rows)
+    return scored
+
+
+def _scored(spark: SparkSession, plain: DataFrame, model: Model, tables: Tables) -> DataFrame:
     blocks = plain.mapInArrow(_block, "ids array<long>, texts array<string>").withColumn("block", F.monotonically_increasing_id())
     blocks = tables.write(blocks, "blocks")
     shards = max(1 << model.bits, spark.sparkContext.defaultParallelism)
