@@ -17,6 +17,8 @@ from loomnote.operators.order import cut, numbered
 NEIGHBOURS, THRESHOLD, LINK_WEIGHT = 6, 0.75, 1.5
 SWEEPS, LEVELS, EPSILON = 50, 20, 1e-12
 BLOCK, MOST_CENTRES = 1024, 128
+#: Edges of a component that one task may have; rounds of synchronous moves a level.
+LARGE, ROUNDS = 2_000_000, 30
 
 
 def _cells(rows: DataFrame, count: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -191,18 +193,91 @@ def louvain(nodes: list, edges: list[tuple]) -> list[dict]:
     return levels or [{n: i for n, i in index.items()}]
 
 
-def communities(nodes: DataFrame, edges: DataFrame, detect=louvain) -> DataFrame:
-    """level, community, node: the Louvain hierarchy, one independent run a connected part.
+def local_moving(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """node, own: communities of one graph (a, b, weight; a = b: a loop) by synchronous moves, spread over tasks.
+
+    Each round a part of the nodes, another half by hash each time and in the end ever fewer,
+    goes where `weight to it - total * degree / 2m` is largest, if that beats staying by
+    EPSILON; of equal ones to the smallest.  Since the rest stays, two nodes seldom change
+    places for ever.  A round is a join with the neighbours' communities and two aggregates;
+    no node's neighbours are gathered.
+    """
+    both = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionAll(edges.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
+    both = cut(both.groupBy("u", "v").agg(F.sum("weight").alias("weight")))
+    ends = both.select(F.col("u").alias("node"), "weight").unionAll(edges.where("a = b").select(F.col("a").alias("node"), F.col("weight") * 2))
+    degree = cut(ends.groupBy("node").agg(F.sum("weight").alias("degree")))
+    total = degree.agg(F.sum("degree")).first()[0]
+    now = cut(degree.select("node", F.col("node").alias("own"), "degree"))
+    quiet = 0
+    for turn in range(rounds):
+        share = 2 if turn < rounds // 2 else 4  # fewer at a time, once most have found their place
+        chosen = F.pmod(F.xxhash64(F.col("node").cast("string"), F.lit(turn)), F.lit(share)) == 0
+        mass = now.groupBy("own").agg(F.sum("degree").alias("mass"))
+        asked = now.where(chosen)
+        near = both.join(asked.select(F.col("node").alias("u")), "u").join(now.select(F.col("node").alias("v"), F.col("own").alias("to")), "v")
+        to = near.groupBy("u", "to").agg(F.sum("weight").alias("weight")).withColumnRenamed("u", "node")
+        stay = asked.select("node", F.col("own").alias("to"), F.lit(0.0).alias("weight"))
+        offers = to.unionAll(stay).groupBy("node", "to").agg(F.sum("weight").alias("weight")).join(asked, "node").join(mass.withColumnRenamed("own", "to"), "to")
+        less = F.when(F.col("to") == F.col("own"), F.col("degree")).otherwise(0.0)
+        gain = F.col("weight") - (F.col("mass") - less) * F.col("degree") / F.lit(total)
+        ranked = offers.select("node", "own", "to", gain.alias("gain"))
+        best = ranked.groupBy("node").agg(F.min_by("to", F.struct(-F.round("gain", 12), "to")).alias("to"), F.max("gain").alias("most"), F.max(F.when(F.col("to") == F.col("own"), F.col("gain"))).alias("here"))
+        moves = cut(best.where(F.col("most") > F.col("here") + EPSILON).select("node", "to"))
+        moved = moves.count()
+        quiet = 0 if moved else quiet + 1
+        if moved:
+            now = cut(now.join(moves, "node", "left").select("node", F.coalesce("to", "own").alias("own"), "degree"))
+        elif quiet >= share:
+            break
+    return now.select("node", "own")
+
 
-    `detect` may be another detector with louvain's signature.  A part is one task's: a
-    graph that is one giant component is detected in one task.
+def parallel_louvain(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """level, community (its smallest node), node: the hierarchy of one large graph, no part of it in one task.
+
+    Between levels each community becomes a node, by aggregates, until nothing joins.
+    """
+    current, home, out = edges.select("a", "b", "weight"), None, None
+    for level in range(LEVELS):
+        found = local_moving(current, rounds)
+        names = found.groupBy("own").agg(F.min("node").alias("community"))
+        found = cut(found.join(names, "own").select("node", "community"))
+        if found.where("node <> community").isEmpty():
+            break
+        home = found if home is None else home.join(found.select(F.col("node").alias("held"), F.col("community").alias("next")), F.col("community") == F.col("held")).select("node", F.col("next").alias("community"))
+        home = cut(home)
+        rows = home.select(F.lit(level).cast("long").alias("level"), "community", "node")
+        out = rows if out is None else out.unionAll(rows)
+        joined = current.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b")
+        current = cut(joined.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
+    if out is None:
+        nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
+        out = nodes.select(F.lit(0).cast("long").alias("level"), F.col("node").alias("community"), "node")
+    return out
+
+
+def modularity(homes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: the modularity of node, community over edges (a, b, weight) without loops."""
+    total = 2 * edges.agg(F.sum("weight")).first()[0]
+    ends = edges.select(F.col("a").alias("node"), "weight").unionAll(edges.select(F.col("b").alias("node"), "weight"))
+    mass = ends.join(homes, "node").groupBy("community").agg(F.sum("weight").alias("mass"))
+    inner = edges.join(homes.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(homes.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").where("ca = cb")
+    spread = mass.agg(F.sum(F.pow(F.col("mass") / total, 2)).alias("spread"))
+    return inner.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inner")).crossJoin(spread).select((2 * F.col("inner") / total - F.col("spread")).alias("modularity"))  # one row each
+
+
+def communities(nodes: DataFrame, edges: DataFrame, detect=louvain, large: int = LARGE) -> DataFrame:
+    """level, community, node: the Louvain hierarchy, one independent run a connected part.
 
-    Louvain is sequential, but its moves never join nodes without a path between them, so
-    each connected component is a group of its own and the groups run in parallel.
+    `detect` may be another detector with louvain's signature.  Louvain is sequential, but
+    its moves never join nodes without a path between them, so each connected component is a
+    group of its own and the groups run in parallel.  A component of more than `large` edges
+    is not one task's: `parallel_louvain` takes it.
     """
     parts = components(edges.select("a", "b"))
     lone = nodes.select("node").join(parts.select("node"), "node", "left_anti")
     mine = edges.join(parts.select(F.col("node").alias("a"), "part"), "a").select("part", "a", "b", "weight")
+    giants = [r.part for r in mine.groupBy("part").agg(F.count("a").alias("n")).where(F.col("n") > large).select("part").collect()]  # all edges / large at most
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(group["a"]) | set(group["b"]))
@@ -213,8 +288,11 @@ def communities(nodes: DataFrame, edges: DataFrame, detect=louvain) -> DataFrame
         return frame[["level", "community", "node"]]
 
     kind = nodes.schema["node"].dataType.simpleString()
-    grouped = mine.groupBy("part").applyInPandas(run, f"level long, community {kind}, node {kind}")
-    return grouped.unionAll(lone.select(F.lit(0).cast("long").alias("level"), F.col("node").alias("community"), "node"))
+    small = mine.where(~F.col("part").isin(giants)) if giants else mine
+    out = small.groupBy("part").applyInPandas(run, f"level long, community {kind}, node {kind}")
+    for part in giants:
+        out = out.unionAll(parallel_louvain(mine.where(F.col("part") == F.lit(part))))
+    return out.unionAll(lone.select(F.lit(0).cast("long").alias("level"), F.col("node").alias("community"), "node"))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

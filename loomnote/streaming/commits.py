@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 CHANGE = "seq long, path string, op string, new_path string, revision string, text string, author string, ts timestamp"
 
@@ -143,3 +144,64 @@ def attach_pass(fresh: DataFrame, placed: DataFrame, threshold: float = 0.75, mo
     """node, community of the first `most` new notes by id; a null community means that no neighbour is near enough yet."""
     now = fresh.select("id", "vec").orderBy("id").limit(most)
     return now.select(F.col("id").alias("node")).join(attach(now, placed, threshold), "node", "left")
+
+
+def attach_pending(spark: SparkSession, folder: str, number: int, arrived: DataFrame, placed: DataFrame, threshold: float = 0.75, most: int = 500) -> DataFrame:
+    """One pass of attachment with kept state: node, community, since of the communities below `folder`.
+
+    arrived: id, vec of new notes.  placed: id, vec, community as the last whole detection
+    left them.  New notes that no placed one is near wait; every pass tries the first `most`
+    of the waiting, by the pass of their arrival and id, against all placed ones, those that
+    earlier passes placed too.  `since` counts the notes a community got since its summary.
+    A pass that runs twice writes the same version; versions before the last two go.
+    """
+    version = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")
+    store = version(0).getFileSystem(spark._jsc.hadoopConfiguration())
+    if number and not store.exists(version(number - 1)):
+        raise FileNotFoundError(f"pass {number - 1} is missing below {folder}")
+    schema = "id string, vec array<double>, arrived int, community string"
+    before = spark.read.schema(schema).parquet(f"{folder}/{number - 1}") if number else spark.createDataFrame([], schema)
+    fresh = arrived.select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(number).alias("arrived"), F.lit(None).cast("string").alias("community"))
+    known = before.select("id").unionAll(placed.select(F.col("id").cast("string").alias("id")))
+    state = before.unionAll(fresh.dropDuplicates(["id"]).join(known, "id", "left_anti").select(before.columns))
+    asked = state.where("community is null").orderBy("arrived", "id").limit(most)
+    there = placed.select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("community").cast("string").alias("community"))
+    found = attach(asked.select("id", "vec"), there.unionAll(before.where("community is not null").select("id", "vec", "community")), threshold)
+    after = state.join(found.select(F.col("node").alias("id"), F.col("community").alias("got")), "id", "left")
+    after.select("id", "vec", "arrived", F.coalesce("community", "got").alias("community")).write.mode("overwrite").parquet(f"{folder}/{number}")
+    if number > 1:
+        store.delete(version(number - 2), True)
+    rows = spark.read.schema(schema).parquet(f"{folder}/{number}")
+    since = rows.where("community is not null").groupBy("community").agg(F.count("id").alias("since"))
+    return rows.join(since, "community", "left").select(F.col("id").alias("node"), "community", "since")
+
+
+class Progress(StreamingQueryListener):
+    """Rows that a running stream has handled: done, of `total` if that is known, rows a second, seconds left.
+
+    Add it with `spark.streams.addListener`; `name` is the stream's query name.
+    """
+
+    def __init__(self, name: str, total: int | None = None):
+        self.name, self.total, self.done, self.rate, self.ended = name, total, 0, 0.0, False
+        self.run: str | None = None
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        if event.name == self.name:
+            self.run, self.ended = str(event.runId), False
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if event.progress.name == self.name:
+            self.done += event.progress.numInputRows
+            self.rate = event.progress.processedRowsPerSecond
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if str(event.runId) == self.run:
+            self.ended = True
+
+    def now(self) -> dict:
+        left = None if self.total is None or not self.rate else max(0.0, self.total - self.done) / self.rate
+        return {"done": self.done, "total": self.total, "rate": round(self.rate, 3), "left": left, "ended": self.ended}
