@@ -37,7 +37,7 @@ from loomnote.llm.shared import Tables
 #: Longer grams cost disk in proportion: trigrams need some 2.3 times the space of bigrams.
 ORDER = 2
 #: Tokens that a task counts before it hands on, entries of a shard, bytes of a block's texts.
-COUNT_TOKENS, SHARD_ENTRIES, BLOCK_BYTES = 1_500_000, 2_000_000, 8 << 20
+COUNT_TOKENS, SHARD_ENTRIES, BLOCK_BYTES = 1_500_000, 1_000_000, 8 << 20
 #: The grams of the highest order are counted in so many passes over the texts, each for a
 #: part of the hash space: the pieces under way take disk, the passes little time.
 PASSES = 2
