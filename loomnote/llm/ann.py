@@ -14,8 +14,9 @@ nearest cells: to as many as hold a share `COVER` of the true neighbours of the
 own vectors, found by brute force.  Tight clusters need a few cells; vectors without any
 structure need most of them, and the search then costs what a full scan of codes does.  A table holds the product of each query with each codeword; a
 scan adds table entries.  The best of a block by the scan are rescored on the original
-vectors in double precision, and after them every row whose estimate could still reach
-the k-th score, so ties and near ties are never cut.  Each block hands on k rows a query.
+vectors in double precision, and after them every row whose estimate is within `WIDE`
+standard errors of the k-th score.  Both bounds are statistical: a true neighbour can be
+missed, as the recall against brute force tells.  Each block hands on k rows a query.
 
 Equal vectors form a class of which the smallest ids alone take part: a query needs no
 more than `k + 1` of them.
